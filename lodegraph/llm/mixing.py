@@ -50,10 +50,8 @@ def _key(column: str = "source"):
 def temper(counts: DataFrame, quanta: int = 256, power: float = 0.5) -> DataFrame:
     """Target weights in proportion to a power of each source's size: (key, n, weight), weights of about quanta in sum."""
     share = F.pow("n", F.lit(power))
-    total = counts.agg(F.sum(share).alias("total"))
-    return counts.join(F.broadcast(total), F.col("total") > 0).select(
-        "key", "n", F.greatest(F.lit(1), F.round(share * quanta / F.col("total"))).cast("int").alias("weight")
-    )
+    total = F.sum(share).over(W.partitionBy(F.lit(0)))
+    return counts.select("key", "n", F.greatest(F.lit(1), F.round(share * quanta / total)).cast("int").alias("weight"))
 
 
 def templates(sources: DataFrame, block_docs: int) -> DataFrame:
