@@ -38,3 +38,26 @@ def text_or_empty(column: str = "text"):
 def hash_bucket(column, bits: int):
     """The top bits of a column's 64-bit hash, as an int: buckets of near-equal size whatever the values are."""
     return F.shiftrightunsigned(F.xxhash64(column), 64 - bits).cast("int")
+
+
+#: A fixed filter has 2**FILTER_BITS bits (1 MB), sent as pieces of 4 KB, whatever the number of keys.
+FILTER_BITS, PIECE_BITS = 23, 15
+
+
+def fixed_filter(keys: DataFrame, column: str) -> DataFrame:
+    """(piece, bits): a bitmap of the hashes of a column; at most 2**(FILTER_BITS - PIECE_BITS) rows."""
+    at = hash_bucket(column, FILTER_BITS)
+    return (
+        keys.select(F.shiftright(at, PIECE_BITS).alias("piece"), at.bitwiseAND((1 << PIECE_BITS) - 1).alias("bit"))
+        .groupBy("piece")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+    )
+
+
+def marked(df: DataFrame, column: str, filter_: DataFrame) -> DataFrame:
+    """df with `maybe`: whether the filter may hold the column's value.  The filter's size is fixed, so it is broadcast."""
+    at = hash_bucket(column, FILTER_BITS)
+    pieces = filter_.select(F.col("piece").alias("__piece"), F.col("bits").alias("__bits"))
+    out = df.withColumn("__piece", F.shiftright(at, PIECE_BITS)).withColumn("__bit", at.bitwiseAND((1 << PIECE_BITS) - 1))
+    is_set = "coalesce((conv(hex(substring(__bits, __bit div 8 + 1, 1)), 16, 10) >> (__bit % 8)) & 1 = 1, false)"
+    return out.join(F.broadcast(pieces), "__piece", "left").withColumn("maybe", F.expr(is_set)).drop("__piece", "__bit", "__bits")

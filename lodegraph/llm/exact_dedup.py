@@ -19,11 +19,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import hash_bucket, text_or_empty, written
-
-#: The hit filter has 2**FILTER_BITS bits (1 MB), sent as 4 KB pieces.
-FILTER_BITS, PIECE_BITS = 23, 15
-
+from lodegraph.llm.common import fixed_filter, marked, text_or_empty, written
 
 def memtable_runs(docs: DataFrame, memtable_rows: int, least: int) -> DataFrame:
     """Sorted digest runs: (memtable, digest, ids)."""
@@ -49,26 +45,11 @@ def compact(runs: DataFrame, keep: str = "largest") -> DataFrame:
     return merged.agg(best.alias("keep_id"), F.sum("n").alias("group_size"))
 
 
-def _filter_pieces(hits: DataFrame) -> DataFrame:
-    """A bitmap of the hits' digests: at most 2**(FILTER_BITS - PIECE_BITS) rows of 4 KB."""
-    at = hash_bucket("digest", FILTER_BITS)
-    return (
-        hits.select(F.shiftright(at, PIECE_BITS).alias("piece"), at.bitwiseAND((1 << PIECE_BITS) - 1).alias("bit"))
-        .groupBy("piece")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
-    )
-
-
 def verify(docs: DataFrame, index: DataFrame) -> DataFrame:
     """Compare the bytes behind every hit: (digest, n_texts), for hits and a few digests that the filter let through."""
     hits = index.filter("group_size > 1").select("digest")
     texts = docs.select(text_or_empty().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    at = hash_bucket("digest", FILTER_BITS)
-    texts = texts.withColumn("piece", F.shiftright(at, PIECE_BITS)).withColumn("bit", at.bitwiseAND((1 << PIECE_BITS) - 1))
-    # The filter's size is fixed by FILTER_BITS, not by the data, so it may be broadcast.
-    passed = texts.join(F.broadcast(_filter_pieces(hits)), "piece").filter(
-        F.expr("(conv(hex(substring(bits, bit div 8 + 1, 1)), 16, 10) >> (bit % 8)) & 1 = 1")
-    )
+    passed = marked(texts, "digest", fixed_filter(hits, "digest")).filter("maybe")
     return passed.groupBy("digest", "text").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("one").alias("n_texts"))
 
 

@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import exact_dedup, mixing, packing, quality, sharding, toxicity
+from lodegraph.llm import exact_dedup, mixing, ngram_join, packing, quality, sharding, toxicity
 from lodegraph.llm.common import table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_mix_sources": op2_mix_sources,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_toxicity": op4_toxicity,
