@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodegraph.llm import exact_dedup, mixing, ngram_join, packing, quality, sharding, substring_dedup, toxicity
+from lodegraph.llm import exact_dedup, mixing, ngram_join, packing, quality, sharding, substring_dedup, toxicity, vp_search
 from lodegraph.llm.common import table
 
 
@@ -27,6 +28,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_vp_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_search.nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_toxicity": op4_toxicity,
+        "op6_vp_nearest": op6_vp_nearest,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_shard": op9_shard,
