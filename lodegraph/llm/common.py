@@ -61,3 +61,11 @@ def marked(df: DataFrame, column: str, filter_: DataFrame) -> DataFrame:
     out = df.withColumn("__piece", F.shiftright(at, PIECE_BITS)).withColumn("__bit", at.bitwiseAND((1 << PIECE_BITS) - 1))
     is_set = "coalesce((conv(hex(substring(__bits, __bit div 8 + 1, 1)), 16, 10) >> (__bit % 8)) & 1 = 1, false)"
     return out.join(F.broadcast(pieces), "__piece", "left").withColumn("maybe", F.expr(is_set)).drop("__piece", "__bit", "__bits")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among gone's; rows that the filter clears are never shuffled."""
+    gone = gone.select("doc_id").distinct()
+    rows = marked(docs, "doc_id", fixed_filter(gone, "doc_id"))
+    free = rows.filter("NOT maybe").drop("maybe")
+    return free.union(rows.filter("maybe").drop("maybe").join(gone, "doc_id", "left_anti").select(*free.columns))

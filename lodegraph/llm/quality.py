@@ -185,28 +185,45 @@ def fit_scorer(docs: DataFrame, posterior: dict[str, float], n_docs: int, sample
     return logistic(rows, t["target"].to_numpy()[order], 1 << SHAPE_BITS)
 
 
-def classify(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, votes, posterior, score, keep), one row for each row of docs."""
+def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS):
+    """texts -> (votes, posteriors, scores), fitted to docs."""
     patterns = vote_patterns(docs)
     posterior, _, prior = fit_labellers(patterns)
     posterior[SILENT * len(LABELLERS)] = prior
     weights, bias = fit_scorer(docs, posterior, sum(patterns.values()), sample_rows)
     weights = weights.astype(np.float32)
 
+    def judge(texts: list, shapes: Shapes) -> tuple[list[str], list[float], np.ndarray]:
+        said = [votes(t) for t in texts]
+        z = np.array([float(weights[c] @ v) + bias for c, v in (features(t, shapes) for t in texts)])
+        return said, [posterior.get(s, prior) for s in said], sigmoid(z)
+
+    return judge
+
+
+def classify(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, votes, posterior, score, keep), one row for each row of docs."""
+    judge = fitted(docs, sample_rows)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            said = [votes(t) for t in texts]
-            z = np.array([float(weights[c] @ v) + bias for c, v in (features(t, shapes) for t in texts)])
-            score = sigmoid(z)
-            arrays = [
-                batch.column(0),
-                pa.array(said, pa.string()),
-                pa.array([posterior.get(s, prior) for s in said], pa.float64()),
-                pa.array(score, pa.float64()),
-                pa.array(score >= 0.5, pa.bool_()),
-            ]
+            said, post, score = judge([t.as_py() for t in batch.column(1)], shapes)
+            arrays = [batch.column(0), pa.array(said, pa.string()), pa.array(post, pa.float64()), pa.array(score, pa.float64()), pa.array(score >= 0.5, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "votes", "posterior", "score", "keep"])
 
     return _rows(docs).mapInArrow(each, "doc_id long, votes string, posterior double, score double, keep boolean")
+
+
+def good_only(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that the classifier keeps, with all their columns."""
+    judge = fitted(docs, sample_rows)
+    at = docs.columns.index("text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes()
+        for batch in batches:
+            score = judge([None if (v := t.as_py()) is None else str(v) for t in batch.column(at)], shapes)[2]
+            yield batch.filter(pa.array(score >= 0.5, pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
