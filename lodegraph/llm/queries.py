@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import exact_dedup, mixing, ngram_join, packing, quality, sharding, substring_dedup, toxicity, vp_search
+from lodegraph.llm import exact_dedup, mixing, ngram_join, packing, quality, sharding, substring_dedup, token_coder, toxicity, vp_search
 from lodegraph.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_coder.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
+
+
 def op6_vp_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_toxicity": op4_toxicity,
+        "op5_token_files": op5_token_files,
         "op6_vp_nearest": op6_vp_nearest,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
