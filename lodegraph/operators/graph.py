@@ -1,11 +1,30 @@
-"""Operators over a property graph: nodes(qualified_name, name, kind, file_path) and edges(kind, source, target, weight)."""
+"""Operators over a property graph: nodes(qualified_name, name, kind, file_path) and edges(kind, source, target, weight).
+
+Iterative operators write each level to the folder that spark.checkpoint.dir names, so a plan never grows with the number
+of levels and a lost executor costs one level.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="lodegraph-"))
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/level-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(qualified_name, in_degree, out_degree, degree); a self-loop counts twice."""
     ends = edges.select(F.col("source").alias("qualified_name"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(
@@ -20,3 +39,265 @@ def god_nodes(edges: DataFrame, nodes: DataFrame, limit: int = 20) -> DataFrame:
     """The nodes with most edges; names without a node row are left out; ties by qualified name."""
     met = degrees(edges).join(nodes.select("qualified_name", "name", "kind"), "qualified_name")
     return met.orderBy(F.desc("degree"), "qualified_name").limit(limit)
+
+
+def _steps(edges: DataFrame, direction: str) -> DataFrame:
+    """(node, next) along edges ("out"), against them ("in"), or both."""
+    out = edges.select(F.col("source").alias("node"), F.col("target").alias("next"))
+    back = edges.select(F.col("target").alias("node"), F.col("source").alias("next"))
+    return {"out": out, "in": back, "both": out.union(back)}[direction].distinct()
+
+
+def reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
+    """(node, depth): every node within `depth` steps of the seeds, once, at its least depth; seeds have 0."""
+    steps = saved(_steps(edges, direction))
+    seen = saved(seeds.select(F.col("qualified_name").alias("node")).distinct().withColumn("depth", F.lit(0)))
+    front = seen
+    for level in range(1, depth + 1):
+        front = front.select("node").join(steps, "node").select(F.col("next").alias("node")).distinct()
+        front = saved(front.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    return seen
+
+
+def walks(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
+    """(node, depth): every depth up to `depth` at which a node is met; one on a cycle is met again and again."""
+    steps = saved(_steps(edges, direction))
+    front = saved(seeds.select(F.col("qualified_name").alias("node")).distinct())
+    seen = front.withColumn("depth", F.lit(0))
+    for level in range(1, depth + 1):
+        front = saved(front.join(steps, "node").select(F.col("next").alias("node")).distinct())
+        seen = seen.union(front.withColumn("depth", F.lit(level)))
+    return seen
+
+
+def blast(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 3, direction: str = "out", limit: int = 500) -> DataFrame:
+    """What the seeds depend on ("out") or what depends on them ("in"); names without a node row have kind ?."""
+    met = walks(edges, seeds, depth, direction) if direction == "out" else reach(edges, seeds, depth, direction)
+    met = met.filter("depth > 0").join(nodes.select(F.col("qualified_name").alias("node"), "name", "kind"), "node", "left")
+    return met.select("depth", "node", F.coalesce("name", "node").alias("name"), F.coalesce("kind", F.lit("?")).alias("kind")).orderBy("depth", "node").limit(limit)
+
+
+def seed_nodes(nodes: DataFrame, target: str, limit: int = 10) -> DataFrame:
+    """Nodes that a target may mean: exact qualified name, exact name, path, then endings."""
+    q, n, p = F.col("qualified_name"), F.col("name"), F.col("file_path")
+    rank = F.when(q == target, 0).when(n == target, 1).when(p == target, 2).when(q.endswith("::" + target) | q.endswith("." + target), 3)
+    return nodes.withColumn("rank", rank).filter("rank IS NOT NULL").orderBy("rank", "qualified_name").limit(limit)
+
+
+def call_graph(calls: DataFrame, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
+    """(source, target, call_count) of the calls between nodes within reach."""
+    near = reach(calls, seeds, depth, direction).select(F.col("node").alias("qualified_name"))
+    s, t = near.withColumnRenamed("qualified_name", "source"), near.withColumnRenamed("qualified_name", "target")
+    inside = calls.join(s, "source", "left_semi").join(t, "target", "left_semi")
+    return inside.groupBy("source", "target").agg(F.count("*").alias("call_count"))
+
+
+def references(edges: DataFrame, nodes: DataFrame, names: DataFrame, limit: int = 500) -> DataFrame:
+    """Definitions of the names first, then what refers to them."""
+    names = names.select("qualified_name").distinct()
+    own = nodes.join(names, "qualified_name", "left_semi").select(F.lit(0).alias("ord"), "qualified_name", F.col("kind"), "file_path")
+    to = edges.join(names.withColumnRenamed("qualified_name", "target"), "target", "left_semi")
+    to = to.select("source", F.col("kind").alias("edge_kind")).join(nodes.select(F.col("qualified_name").alias("source"), "file_path"), "source", "left")
+    refs = to.select(F.lit(1), "source", "edge_kind", F.coalesce("file_path", F.lit("?")))
+    return own.union(refs).orderBy("ord", "qualified_name", "kind").limit(limit)
+
+
+def two_hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    return reach(edges, seeds, 2, "out")
+
+
+def blast_risk(direct: Column, transitive: Column, tests: Column, decisions: Column) -> Column:
+    """low, medium, high or critical from counts; a change that no test covers is one level up, if it touches anything."""
+    level = F.when((decisions > 0) | (direct + transitive > 100), 3).when((direct > 15) | (transitive > 20), 2).when(direct > 5, 1).otherwise(0)
+    level = F.when((tests == 0) & (direct + transitive > 0), F.least(level + 1, F.lit(3))).otherwise(level)
+    return F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), level + 1)
+
+
+def strong_components(edges: DataFrame, least: int = 2) -> DataFrame:
+    """(component, node) of the strongly connected components of `least` nodes or more, by forward and backward colouring.
+
+    Nodes without an edge in or out can't be on a cycle and are trimmed first.  Then each node takes the smallest name
+    that reaches it; a node that also reaches that name, inside its colour, is in the name's component.  Those are set aside, and
+    the rest is coloured again.
+    """
+    left = saved(edges.filter("source <> target").select("source", "target").distinct())
+    found = None
+    while True:
+        while True:  # trim
+            inner = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+            inner = saved(inner.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+            same = inner.count() == left.count()
+            left = inner
+            if same:
+                break
+        if left.isEmpty():
+            break
+        colour = _least_label(left)
+        inside = left.join(colour.select(F.col("node").alias("source"), F.col("label").alias("a")), "source")
+        inside = inside.join(colour.select(F.col("node").alias("target"), F.col("label").alias("b")), "target").filter("a = b")
+        inside = saved(inside.select("source", "target", "a"))
+        back = saved(colour.filter("node = label").select("node", F.col("label").alias("root")))
+        front = back
+        while not front.isEmpty():
+            step = front.join(inside, (front.node == inside.target) & (front.root == inside.a)).select(F.col("source").alias("node"), "root").distinct()
+            front = saved(step.join(back, ["node", "root"], "left_anti"))
+            back = back.union(front)
+        back = saved(back)
+        found = back if found is None else found.union(back)
+        gone = back.select("node")
+        left = left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti")
+        left = saved(left.join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
+    if found is None:
+        return edges.select(F.col("source").alias("component"), F.col("source").alias("node")).limit(0)
+    big = found.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("root")
+    return found.join(big, "root", "left_semi").select(F.col("root").alias("component"), "node")
+
+
+def _least_label(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest name that reaches each node along edges, its own included."""
+    labels = saved(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct().withColumn("label", F.col("node")))
+    while True:
+        told = edges.join(labels.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"), "label")
+        new = saved(labels.union(told).groupBy("node").agg(F.min("label").alias("label")))
+        if new.join(labels, ["node", "label"], "left_anti").isEmpty():
+            return new
+        labels = new
+
+
+def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """(qualified_name, community_id) by synchronous label propagation over undirected weights; ties go to the smaller label.
+
+    Labels start as names; ids are given by size, then least member.  Self-loops don't count.
+    """
+    e = edges.filter("source <> target").select("source", "target", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    both = saved(e.union(e.select("target", "source", "weight")).groupBy("source", "target").agg(F.sum("weight").alias("weight")))
+    labels = saved(both.select(F.col("source").alias("node")).distinct().withColumn("label", F.col("node")))
+    for r in range(rounds):
+        votes = both.join(labels.withColumnRenamed("node", "target"), "target").groupBy(F.col("source").alias("node"), "label").agg(F.sum("weight").alias("w"))
+        if r % 2:  # a node's own label counts too, so that two sides don't swap for ever
+            votes = votes.union(labels.withColumn("w", F.lit(0.5))).groupBy("node", "label").agg(F.sum("w").alias("w"))
+        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b"))
+        new = saved(best.select("node", F.col("b.label").alias("label")))
+        if new.join(labels, ["node", "label"], "left_anti").isEmpty():
+            break
+        labels = new
+    return reindex(labels)
+
+
+def reindex(labels: DataFrame) -> DataFrame:
+    """Community ids from 0 by size, then least member.  labels: (node, label)"""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    ids = sizes.withColumn("community_id", F.row_number().over(W.orderBy(F.desc("n"), "least")).cast("long") - 1)
+    return labels.join(ids.select("label", "community_id"), "label").select(F.col("node").alias("qualified_name"), "community_id")
+
+
+def betweenness(edges: DataFrame, sources: int = 2_000) -> DataFrame:
+    """(qualified_name, betweenness) of the undirected multigraph, by Brandes from `sources` nodes at a stride, largest value 1.
+
+    The graph must fit one executor's memory: each task runs the searches of its share of the sources over a broadcast copy.
+    """
+    spark = edges.sparkSession
+    e = edges.filter("source <> target").select("source", "target").toPandas()
+    names = pd.Index(sorted(set(e.source) | set(e.target)))
+    near: list[list[int]] = [[] for _ in names]
+    for a, b in zip(names.get_indexer(e.source), names.get_indexer(e.target)):
+        near[a].append(int(b))
+        near[b].append(int(a))
+    near = [sorted(x) for x in near]
+    sent = spark.sparkContext.broadcast(near)
+    stride = max(1, -(-len(names) // sources))
+
+    def search(batches):
+        near = sent.value
+        total = [0.0] * len(near)
+        for batch in batches:
+            for s in batch["id"]:
+                dist, paths, order, before = {s: 0}, {s: 1.0}, [s], {s: []}
+                for v in order:
+                    for w in near[v]:
+                        if w not in dist:
+                            dist[w], paths[w], before[w] = dist[v] + 1, 0.0, []
+                            order.append(w)
+                        if dist[w] == dist[v] + 1:
+                            paths[w] += paths[v]
+                            before[w].append(v)
+                need = dict.fromkeys(order, 0.0)
+                for w in reversed(order):
+                    for v in before[w]:
+                        need[v] += paths[v] / paths[w] * (1 + need[w])
+                    if w != s:
+                        total[w] += need[w]
+        hit = [i for i, x in enumerate(total) if x]
+        yield pd.DataFrame({"id": hit, "x": [total[i] for i in hit]}, columns=["id", "x"]).astype({"id": "int64", "x": "float64"})
+
+    if not len(names):
+        return edges.select(F.col("source").alias("qualified_name"), F.lit(0.0).alias("betweenness")).limit(0)
+    part = spark.range(0, len(names), stride, 8).mapInPandas(search, "id long, x double").groupBy("id").agg(F.sum("x").alias("x"))
+    known = spark.createDataFrame(pd.DataFrame({"id": range(len(names)), "qualified_name": names}))
+    met = known.join(part, "id", "left").select("qualified_name", F.coalesce("x", F.lit(0.0)).alias("x"))
+    top = met.agg(F.max("x").alias("top"))
+    return met.crossJoin(F.broadcast(top)).select("qualified_name", F.when(F.col("top") > 0, F.col("x") / F.col("top")).otherwise(0.0).alias("betweenness"))
+
+
+def surprising(edges: DataFrame, members: DataFrame, kinds: tuple[str, ...] = ("imports", "references", "calls"), limit: int = 50) -> DataFrame:
+    """Edges between communities; the farther apart the ids, the surer: 0.5 + 0.1 * min(4, difference)."""
+    s = members.select(F.col("qualified_name").alias("source"), F.col("community_id").alias("c1"))
+    t = members.select(F.col("qualified_name").alias("target"), F.col("community_id").alias("c2"))
+    met = edges.filter(F.col("kind").isin(*kinds)).select("kind", "source", "target").distinct().join(s, "source").join(t, "target").filter("c1 <> c2")
+    sure = 0.5 + 0.1 * F.least(F.lit(4), F.abs(F.col("c1") - F.col("c2")))
+    return met.withColumn("confidence", F.round(sure, 6)).orderBy(F.desc("confidence"), "source", "target", "kind").limit(limit)
+
+
+def graph_diff(old: DataFrame, new: DataFrame, key: str = "qualified_name", columns: tuple[str, ...] = ("name", "kind", "file_path")) -> DataFrame:
+    """(qualified_name, state, renamed_from): added, removed, modified or renamed nodes.
+
+    A rename is an added node with the same columns as a removed one, under another key; the first pair by key counts.
+    """
+    print_ = lambda df, p: df.select(F.col(key).alias("k"), F.sha2(F.to_json(F.struct(*columns)), 256).alias(p))
+    met = print_(old, "a").join(print_(new, "b"), "k", "full")
+    state = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "modified")
+    met = met.withColumn("state", state).filter("state IS NOT NULL")
+    nth = lambda p: F.row_number().over(W.partitionBy(p).orderBy("k"))
+    gone = met.filter("state = 'removed'").select(F.col("k").alias("renamed_from"), F.col("a").alias("b")).withColumn("nth", F.row_number().over(W.partitionBy("b").orderBy("renamed_from")))
+    come = met.filter("state = 'added'").withColumn("nth", nth("b"))
+    moved = come.join(gone, ["b", "nth"]).select("k", F.lit("renamed").alias("state"), "renamed_from")
+    rest = met.join(moved.select("k"), "k", "left_anti").join(moved.select(F.col("renamed_from").alias("k")), "k", "left_anti")
+    return moved.union(rest.select("k", "state", F.lit(None).cast("string"))).withColumnRenamed("k", key)
+
+
+#: Which tier a first path segment belongs to (fixed values).
+TIERS = {
+    "presentation": ("ui", "web", "vision", "app", "frontend"),
+    "api": ("api", "mcp", "cli", "server", "supervisor"),
+    "intelligence": ("brain", "scanners", "ml"),
+    "data": ("store", "db", "data"),
+    "foundation": ("common", "core", "lib", "parsers"),
+}
+
+
+def tier(column: str) -> Column:
+    first = F.lower(F.substring_index(F.col(column), "/", 1))
+    out = F.lit("other")
+    for name, segments in TIERS.items():
+        out = F.when(first.isin(*segments), F.lit(name)).otherwise(out)
+    return out
+
+
+def path_tree(files: DataFrame, path: str, weight: str) -> DataFrame:
+    """(node, parent, depth, leaves, weight): every prefix of the paths."""
+    parts = F.split(path, "/")
+    each = files.withColumn("__parts", parts).select("*", F.explode(F.sequence(F.lit(1), F.size("__parts"))).alias("depth"))
+    node = F.array_join(F.expr("slice(__parts, 1, depth)"), "/")
+    up = F.when(F.col("depth") > 1, F.array_join(F.expr("slice(__parts, 1, depth - 1)"), "/"))
+    return each.groupBy(node.alias("node"), up.alias("parent"), "depth").agg(F.count("*").alias("leaves"), F.sum(weight).alias("weight"))
+
+
+def file_dependencies(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source, target): files whose nodes have edges to another file's."""
+    s = nodes.select(F.col("qualified_name").alias("source"), F.col("file_path").alias("f"))
+    t = nodes.select(F.col("qualified_name").alias("target"), F.col("file_path").alias("g"))
+    met = edges.join(s, "source").join(t, "target").filter("f <> g")
+    return met.select(F.col("f").alias("source"), F.col("g").alias("target")).distinct()

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.operators import graph
-from lodegraph.sources import tables
+AREAS = ("relational", "graphs", "texts", "events")
 
 
-def _god_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.god_nodes(tables.edges(spark, sf_dir), tables.nodes(spark, sf_dir), 20)
+def _registries() -> list:
+    return [importlib.import_module(f"lodegraph.plans.{a}").Q for a in AREAS]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"A2_god_nodes": _god_nodes}
+    return {k: f for r in _registries() for k, f in r.found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for r in _registries() for k, s in r.sql.items()}

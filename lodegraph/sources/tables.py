@@ -67,3 +67,13 @@ def containment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kind, source, target, weight)"""
     return order_edges(spark, sf_dir).union(containment_edges(spark, sf_dir))
+
+
+def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qualified_name, community_id): stand-in communities, by nation for customers and suppliers and by size for parts."""
+    of = lambda t, kind, a, c: table(spark, sf_dir, t).select(key(kind, a).alias("qualified_name"), c.cast("long").alias("community_id"))
+    return (
+        of("customer", "customer", "c_custkey", F.col("c_nationkey") % 5)
+        .union(of("part", "part", "p_partkey", 5 + F.col("p_size") % 5))
+        .union(of("supplier", "supplier", "s_suppkey", F.col("s_nationkey") % 5))
+    )
