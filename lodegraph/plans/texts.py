@@ -1,3 +1,186 @@
-from lodegraph.plans.registry import Registry
+"""Queries of the text, vector, fingerprint, audit and mining operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lodegraph.functions import names, sketch
+from lodegraph.operators import audit, mining, text
+from lodegraph.operators.graph import degrees
+from lodegraph.plans.registry import GRAPH, NODES, ORDER_EDGES, Registry
+from lodegraph.sources.tables import edges, nodes, order_edges, table
 
 Q = Registry()
+TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: strlen(x) >= 2)"
+WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
+
+
+@Q.add("R1_tokens", f"SELECT doc_id, len({TOKENS}) AS n, list_distinct({TOKENS}).len() AS different FROM documents")
+def tokens(spark, d):
+    t = text.tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("different"))
+
+
+@Q.add("R2_postings", f"WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1")
+def postings(spark, d):
+    p = text.postings(table(spark, d, "documents"), "doc_id")
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@Q.add("R3_R6_bm25", f"WITH t AS (SELECT doc_id, {TOKENS} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS m FROM t), q AS (SELECT unnest(['ther', 'and', 'the', 'der', 'the']) AS w), df AS (SELECT w, count(*) AS df FROM (SELECT DISTINCT w FROM q) JOIN t ON list_contains(t, w) GROUP BY 1), x AS (SELECT doc_id, q.w, len(list_filter(t, lambda y: y = q.w)) AS tf, len(t) AS l FROM t, q) SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / m))), 6) AS score FROM x JOIN df USING (w), s WHERE tf > 0 GROUP BY 1 ORDER BY sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / m))) DESC, doc_id LIMIT 20")
+def bm25(spark, d):
+    return text.bm25(table(spark, d, "documents"), "ther and the der the", "doc_id", limit=20).withColumn("score", F.round("score", 6))
+
+
+@Q.add("R4_full_text", f"SELECT doc_id FROM documents WHERE len(list_filter({TOKENS}, lambda x: x[1:3] = 'the')) > 0 AND len(list_filter({TOKENS}, lambda x: x[1:2] = 'ou')) > 0")
+def full_text(spark, d):
+    return text.full_text(table(spark, d, "documents"), "the ou", "doc_id", prefix=True)
+
+
+@Q.add("R5_L3_fallback", "SELECT doc_id FROM documents WHERE contains(lower(text), 'oken =')")
+def fallback(spark, d):
+    docs = table(spark, d, "documents")
+    return text.or_else(text.full_text(docs, "zzzzzzzz", "doc_id"), docs.filter(F.lower("text").contains("oken =")).select("doc_id"))
+
+
+COSINE = "list_inner_product(a.embedding, b.embedding) / sqrt(list_inner_product(a.embedding, a.embedding)) / sqrt(list_inner_product(b.embedding, b.embedding))"
+
+
+@Q.add("R11_R12_R13_nearest")
+def nearest(spark, d):
+    v = table(spark, d, "embeddings")
+    at = v.filter("vec_id = 7").select("embedding").first().embedding
+    found = text.nearest(v, at, "vec_id", "embedding", 20, F.col("label") < 8)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@Q.add("R14_R15_fusion")
+def fusion(spark, d):
+    docs, v = table(spark, d, "documents"), table(spark, d, "embeddings")
+    a = text.bm25(docs, "ther and", "doc_id", limit=30)
+    b = text.nearest(v, v.filter("vec_id = 3").select("embedding").first().embedding, "vec_id", "embedding", 30).withColumnRenamed("vec_id", "doc_id")
+    c = text.occurrences(docs, "the", "doc_id", limit=30).withColumnRenamed("n", "score")
+    fused = text.fuse([(a, 1.0, "bm25"), (b, 1.0, "vector"), (c, 0.5, "graph")], "doc_id")
+    return text.rerank_blend(fused, a, "doc_id").withColumns({x: F.round(x, 9) for x in ("score", "blend", "second")})
+
+
+@Q.add("R16_W3_packing")
+def packing(spark, d):
+    return text.pack_budget(table(spark, d, "documents"), ["source"], "text", "n_chars", "doc_id", 20_000)
+
+
+@Q.add("R7_hash_embedding")
+def hash_embedding(spark, d):
+    e = table(spark, d, "documents").select("doc_id", sketch.hash_embedding("text").alias("e"))
+    return e.select("doc_id", F.round(F.array_max("e"), 6).alias("largest"), F.size("e").alias("dims"))
+
+
+@Q.add("R18_R22_simhash")
+def simhash(spark, d):
+    return table(spark, d, "documents").select("doc_id", sketch.simhash64("text").alias("simhash"))
+
+
+@Q.add("R19_R20_R21_similar")
+def similar(spark, d):
+    """The benchmark items against each text of their language family's newest 512: same kind, most similar first."""
+    docs = table(spark, d, "documents").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("doc_id")))).filter("rank <= 512")
+    prints = docs.select("lang", "doc_id", sketch.simhash64("text").alias("s2"), sketch.minhash128("text").alias("m2"))
+    probes = prints.filter("doc_id % 100 = 0").select(F.col("lang").alias("kind"), F.col("doc_id").alias("probe"), F.col("s2").alias("s1"), F.col("m2").alias("m1"))
+    met = probes.join(prints, (F.col("kind") == F.col("lang")) & (F.col("probe") != F.col("doc_id")))
+    score = sketch.fingerprint_similarity(F.col("s1"), F.col("m1"), F.col("s2"), F.col("m2"))
+    ranked = met.select("probe", "doc_id", F.round(score, 9).alias("score"))
+    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("probe").orderBy(F.desc("score"), "doc_id")))
+    return ranked.filter("rank <= 5")
+
+
+@Q.add("R24_kinds", "SELECT CASE lang WHEN 'de' THEN 'de_file' WHEN 'en' THEN 'en_file' ELSE 'other_file' END AS kind, count(*) AS n FROM documents GROUP BY 1")
+def kinds(spark, d):
+    kind = F.when(F.col("lang").isin("de", "en"), F.concat("lang", F.lit("_file"))).otherwise("other_file")
+    return table(spark, d, "documents").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@Q.add("R25_export", "SELECT doc_id, lang, n_chars FROM documents")
+def export(spark, d):
+    return table(spark, d, "documents").drop("source", "text")
+
+
+@Q.add("R34_cold_baseline", "SELECT doc_id, ((length(lower(text)) - length(replace(lower(text), 'ther', ''))) // 4)::BIGINT AS n FROM documents WHERE contains(lower(text), 'ther') ORDER BY n DESC, doc_id LIMIT 5")
+def cold(spark, d):
+    return text.occurrences(table(spark, d, "documents"), "ther", "doc_id")
+
+
+@Q.add("R38_token_estimate", "SELECT lang, sum(ceil(strlen(text) / 4))::BIGINT AS tokens FROM documents GROUP BY 1")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.sum(names.token_estimate(F.col("text"))).alias("tokens"))
+
+
+@Q.add("R26_R27_concepts")
+def concepts(spark, d):
+    return text.concepts(table(spark, d, "documents"), "doc_id")
+
+
+@Q.add("R33_smart_questions")
+def smart(spark, d):
+    deg = nodes(spark, d).join(degrees(edges(spark, d)), "qualified_name", "left")
+    rows = deg.select("qualified_name", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.length("name").cast("long").alias("span"))
+    found = text.smart_scores(rows, rows.limit(0)).withColumn("composite", F.round("composite", 6))
+    return found.orderBy(F.desc("composite"), "qualified_name").limit(50)
+
+
+RULE_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{i}' AS rule_id, len(regexp_extract_all(text, '{p}')) AS n FROM documents" for i, _, _, p in audit.PROSE_RULES
+)
+
+
+@Q.add("C6_C10_rule_counts", f"SELECT doc_id, rule_id, n::BIGINT AS n FROM ({RULE_SQL}) WHERE n > 0")
+def rule_counts(spark, d):
+    return audit.counts(table(spark, d, "documents"), audit.PROSE_RULES, "doc_id")
+
+
+@Q.add("C3_C6_C12_findings")
+def findings(spark, d):
+    docs = table(spark, d, "documents").withColumn("doc_key", F.col("doc_id"))
+    return audit.scan(docs, audit.CODE_RULES + audit.PROSE_RULES)
+
+
+@Q.add("A10_C13_finding_stats", f"SELECT split_part(rule_id, '.', 1) AS scanner, count(*) AS texts, sum(n)::BIGINT AS n FROM ({RULE_SQL}) WHERE n > 0 GROUP BY 1")
+def finding_stats(spark, d):
+    met = audit.counts(table(spark, d, "documents"), audit.PROSE_RULES, "doc_id")
+    return met.groupBy(F.substring_index("rule_id", ".", 1).alias("scanner")).agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
+
+
+@Q.add("C4_page_links", "SELECT page_id, len(regexp_extract_all(html, '<a[^>]*>')) AS anchors, len(regexp_extract_all(html, '<a[^>]*href=[^>]*>')) AS with_href FROM pages")
+def page_links(spark, d):
+    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    return table(spark, d, "pages").select("page_id", n("<a[^>]*>").alias("anchors"), n("<a[^>]*href=[^>]*>").alias("with_href"))
+
+
+@Q.add("C7_C8_dead_references", "SELECT p.page_id, h AS href FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"#?]*)', 1)) AS h FROM pages) p WHERE h NOT IN (SELECT regexp_replace(url, '^https?://[^/]*', '') FROM pages)")
+def dead_references(spark, d):
+    pages = table(spark, d, "pages")
+    each = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="(/[^"#?]*)'), 1))).alias("href"))
+    known = pages.select(F.regexp_replace("url", "^https?://[^/]*", "").alias("channel")).distinct()
+    return audit.undeclared_channels(each.withColumnRenamed("href", "channel"), known).select("page_id", F.col("channel").alias("href"))
+
+
+STYLE = "CASE WHEN contains(n, '-') AND NOT contains(n, '_') THEN 'kebab' WHEN contains(n, '_') AND NOT regexp_matches(n, '[a-z]') THEN 'screaming' WHEN contains(n, '_') AND NOT regexp_matches(n, '[A-Z]') THEN 'snake' WHEN contains(n, '_') THEN 'mixed' WHEN regexp_matches(n, '^[A-Z]') AND regexp_matches(n, '[a-z]') THEN 'pascal' WHEN NOT regexp_matches(n, '^[A-Z]') AND regexp_matches(n, '[A-Z]') THEN 'camel' WHEN NOT regexp_matches(n, '[A-Z]') AND n <> '' THEN 'snake' ELSE 'mixed' END"
+
+
+@Q.add("M2_M3_name_styles", f"WITH w AS (SELECT c_mktsegment AS scope, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN lower(c_mktsegment) || '_x' WHEN 2 THEN c_mktsegment || '_X' ELSE 'a-' || c_custkey END AS n FROM customer) SELECT scope, {STYLE} AS style, count(*) AS n FROM w GROUP BY 1, 2")
+def name_styles(spark, d):
+    n = F.expr("CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN concat(lower(c_mktsegment), '_x') WHEN 2 THEN concat(c_mktsegment, '_X') ELSE concat('a-', c_custkey) END")
+    return table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("scope"), names.style(n).alias("style")).agg(F.count("*").alias("n"))
+
+
+@Q.add("M8_precedence", "SELECT o_custkey, o_orderpriority AS intent FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS r FROM orders) WHERE r = 1")
+def precedence(spark, d):
+    rows = table(spark, d, "orders").withColumn("source_rank", F.substring("o_orderpriority", 1, 1).cast("int"))
+    return mining.first_claim(rows, "o_custkey", ["source_rank", "o_orderkey"]).select("o_custkey", F.col("o_orderpriority").alias("intent"))
+
+
+@Q.add("M6_git_intents", "WITH c AS (SELECT o_custkey AS file, count(*) AS commits, max(o_orderdate) AS last, sum(o_totalprice) FILTER (o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY) AS churn FROM orders GROUP BY 1) SELECT file, CASE WHEN last < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY AND commits <= 2 THEN 'frozen' WHEN churn >= 500000 THEN 'deferred' END AS intent FROM c WHERE CASE WHEN last < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY AND commits <= 2 THEN 'frozen' WHEN churn >= 500000 THEN 'deferred' END IS NOT NULL")
+def git_intents(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderdate").alias("committed_at"), F.col("o_totalprice").alias("lines"))
+    now = o.agg(F.max("committed_at").alias("now"))
+    return mining.change_intents(o, now, churn=500_000).select("file", "intent")
