@@ -31,6 +31,13 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(batches, rows: int = 256):
+    """Arrow batches a few rows at a time: what a task holds as Python objects stays small, however Spark cuts its batches."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

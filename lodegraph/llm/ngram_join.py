@@ -8,10 +8,10 @@ A document's set holds its distinct word shingles, as 64-bit hashes.  Equal sets
   are joined, by shingle.
 * Length filter and positional filter on the places where the shared shingle stands; the suffix filter bounds the
   overlap by where the rest of the sets fall in a few hash ranges.  Each pair is then verified once, on whole sets.
-* A shingle in the prefixes of more than HOT classes would emit too many pairs.  Classes that hot shingles connect form
-  clusters; in a cluster each class meets its neighbours in some shuffled orders and the class that got most links from those,
-  and only what is then still in different components is compared, block against block, inside tasks.  So no link between
-  components is missed, and pairs that are connected already are never emitted.
+* A shingle in the prefixes of more than HOT classes would emit too many pairs.  Classes that such shingles connect form
+  clusters.  A cluster is dealt into blocks, in ROUNDS different ways, and all pairs of a block are compared inside a task;
+  what is then still outside the cluster's largest component visits all its blocks.  So every pair is compared unless it is
+  connected already, and what is emitted is a forest, never all pairs.
 
 Defined cases: no words or a null text: an empty set that links with nothing; fewer words than a shingle: the whole
 sequence is the set's one member; rows with a null id link with nothing (component null); rows that repeat an id are one vertex;
@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import fixed_filter, marked, written
+from lodegraph.llm.common import fixed_filter, marked, small, written
 from lodegraph.llm.components import components
 from lodegraph.llm.words import shingles
 
-HOT = 64
-ROUNDS = 4
+HOT = 8
+ROUNDS = 2
 BLOCK = 256
 CHUNKS = 64
 #: Hash ranges of the suffix filter.
@@ -55,7 +55,7 @@ def survey(docs: DataFrame, n: int, bucket_bits: int) -> tuple[DataFrame, np.nda
         counts = np.zeros(size, np.int64)
         types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         names = ["doc_id", "n", "digest", "chunk", "counts"]
-        for batch in batches:
+        for batch in small(batches):
             found = [shingles(t.as_py(), n) for t in batch.column(1)]
             if found:
                 counts += np.bincount((np.concatenate(found) >> shift).astype(np.int64), minlength=size)
@@ -88,7 +88,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, shift = sent.value, np.uint64(64 - bits)
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingles(text.as_py(), n)
@@ -119,7 +119,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     near = near.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [shingles(t.as_py(), n) for t in batch.column(1)]
             ranges = [np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32) for s in found]
             cols = [batch.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int32()))]
@@ -150,47 +150,76 @@ def _pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return x.join(y, "gram").filter("a < b").filter(length).filter(place).select("a", "b").distinct()
 
 
+def overlaps(sets: list[np.ndarray], columns: int = 16_384) -> np.ndarray:
+    """How many members each two of the sets share, a few members at a time as a matrix product."""
+    size = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    rank = np.concatenate([[0], np.cumsum(flat[1:] != flat[:-1])])
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    cuts = np.searchsorted(rank, np.arange(0, rank[-1] + columns + 1, columns))
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        part = np.zeros((len(sets), columns), np.float32)
+        part[owner[lo:hi], rank[lo:hi] - i * columns] = 1
+        shared += part @ part.T
+    return shared
+
+
+def _similar(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    size = np.array([len(s) for s in sets], np.float64)
+    return overlaps(sets) * (num + den) >= (size[:, None] + size[None]) * num
+
+
+def link_blocks(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links that connect whatever is similar inside each block; blocks: (cluster, block, doc_id).
+
+    Every pair of a block is compared; of its links, those of a spanning forest are returned.
+    """
+    both = blocks.join(sets.select("doc_id", "grams"), "doc_id")
+
+    def link(key, t):
+        ids = t["doc_id"].to_numpy()
+        hits = np.argwhere(np.triu(_similar([np.asarray(x.values) for x in t["grams"]], num, den), 1))
+        root = np.arange(len(ids))
+        kept = []
+        for i, j in hits:
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                kept.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([min(x) for x in kept], pa.int64()), "b": pa.array([max(x) for x in kept], pa.int64())})
+
+    return both.groupBy("cluster", "block").applyInArrow(link, "a long, b long")
+
+
+def _blocks(members: DataFrame, seed: int) -> DataFrame:
+    """members with a block each: about BLOCK of a cluster, by a hash of the id."""
+    return members.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("m") / BLOCK)).cast("int"))
+
+
 def compare_blocks(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between different components of a cluster.  members: (cluster, doc_id, comp, n).
+    """Links between different components of a cluster.  members: (cluster, doc_id, comp, m), m the cluster's size.
 
-    The members of a cluster, by size, form blocks.  Those outside its largest component visit every block that
-    holds a size near theirs; a task sees one block and BLOCK visitors at most, and returns one link at most for each visitor and component.
+    Those outside a cluster's largest component visit every block of it; a task sees one block and about BLOCK
+    visitors, and returns one link at most for each visitor and component.
     """
-    per_comp = members.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
-    top = per_comp.groupBy("cluster").agg(F.max(F.struct("m", F.col("comp").alias("top"))).alias("t"), F.count("*").alias("comps"))
-    open_ = members.join(top.filter("comps > 1").select("cluster", F.col("t.top").alias("top")), "cluster")
-    at = F.row_number().over(W.partitionBy("cluster").orderBy("n", "doc_id")) - 1
-    blocks = open_.withColumn("block", F.floor(at / BLOCK).cast("int"))
-    spans = blocks.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    guests = open_.filter("comp <> top").select("cluster", F.col("doc_id").alias("doc_id"), "comp", "n")
-    near = (F.col("n") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("n") * num)
-    visits = guests.join(spans, "cluster").filter(near)
-    visits = visits.withColumn("part", F.floor((F.row_number().over(W.partitionBy("cluster", "block").orderBy("doc_id")) - 1) / BLOCK).cast("int"))
-    parts = visits.groupBy("cluster", "block").agg(F.max("part").alias("parts"))
-    hosts = blocks.join(parts, ["cluster", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts"))))
+    per_comp = members.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
+    top = per_comp.groupBy("cluster").agg(F.max(F.struct("k", F.col("comp").alias("top"))).alias("t"), F.sum("k").alias("all"))
+    top = top.select("cluster", F.col("t.top").alias("top"), (F.col("all") - F.col("t.k")).alias("guests")).filter("guests > 0")
+    open_ = members.join(top, "cluster").withColumn("parts", F.ceil(F.col("guests") / BLOCK).cast("int"))
     cols = ["cluster", "block", "part", "doc_id", "comp"]
+    hosts = _blocks(open_, 0).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    visits = open_.filter("comp <> top").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(9)), "parts").cast("int"))
+    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1)))
     both = hosts.select(*cols, F.lit(False).alias("guest")).union(visits.select(*cols, F.lit(True).alias("guest")))
     both = both.join(sets.select("doc_id", "grams"), "doc_id")
 
     def compare(key, t):
-        guest = t["guest"].to_numpy()
-        ids, comp = t["doc_id"].to_numpy(), t["comp"].to_numpy()
-        sets_ = [np.asarray(x.values) for x in t["grams"]]
-        home = np.flatnonzero(~guest)
-        size = np.array([len(sets_[i]) for i in home])
-        flat, owner = np.concatenate([sets_[i] for i in home]), np.repeat(np.arange(len(home)), size)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        links = []
-        for g in np.flatnonzero(guest):
-            s = sets_[g]
-            lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-            n = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            shared = np.bincount(owner[at], minlength=len(home))
-            hit = np.flatnonzero((shared * (num + den) >= (size + len(s)) * num) & (comp[home] != comp[g]))
-            links += [(ids[g], ids[home[i]]) for i in hit[np.unique(comp[home[hit]], return_index=True)[1]]]
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        guest, ids, comp = t["guest"].to_numpy(), t["doc_id"].to_numpy(), t["comp"].to_numpy()
+        hit = _similar([np.asarray(x.values) for x in t["grams"]], num, den)
+        i, j = np.nonzero(hit & guest[:, None] & ~guest[None] & (comp[:, None] != comp[None]))
+        first = np.unique(np.stack([i, comp[j]]), axis=1, return_index=True)[1]
+        return pa.table({"a": ids[i[first]], "b": ids[j[first]]})
 
     return both.groupBy("cluster", "block", "part").applyInArrow(compare, "a long, b long")
 
@@ -208,34 +237,27 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, num: in
     shared = written(shared, "prefixes")
     pairs = _pairs(shared.filter(f"g <= {HOT}").select("gram", "doc_id", "n", "pos"), num, den)
     hot = shared.filter(f"g > {HOT}")
+    pairs = written(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
     clusters = None
     if not hot.isEmpty():
         stars = hot.join(hot.groupBy("gram").agg(F.min("doc_id").alias("hub")), "gram").select("hub", "doc_id").distinct()
-        joined = components(stars)
-        sizes = hot.groupBy("doc_id").agg(F.max("n").alias("n"))
-        clusters = sizes.join(joined.select(F.col("v").alias("doc_id"), "comp"), "doc_id", "left")
-        clusters = written(clusters.select("doc_id", "n", F.coalesce("comp", "doc_id").alias("cluster")), "clusters")
-        for r in range(ROUNDS):
-            order = F.xxhash64("doc_id", F.lit(r)) if r else F.col("n")
-            ahead = F.lead("doc_id").over(W.partitionBy("cluster").orderBy(order, "doc_id"))
-            met = clusters.select("doc_id", ahead.alias("next")).filter("next IS NOT NULL")
-            pairs = pairs.union(met.select(F.least("doc_id", "next").alias("a"), F.greatest("doc_id", "next").alias("b")))
-    pairs = written(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = sets_of(docs, ids, n)
+        named = hot.select("doc_id").distinct().join(components(stars).select(F.col("v").alias("doc_id"), "comp"), "doc_id", "left")
+        named = written(named.select("doc_id", F.coalesce("comp", "doc_id").alias("cluster")), "clusters")
+        clusters = written(named.join(named.groupBy("cluster").agg(F.count("*").alias("m")), "cluster"), "cluster-sizes")
+        ids = ids.union(clusters.select("doc_id"))
+    sets = sets_of(docs, ids.distinct(), n)
     # Repeated ids: rows under one id are one vertex; whichever of its sets is compared, their links are the vertex's.
-    links = written(verified(pairs, sets, num, den), "links")
+    links = verified(pairs, sets, num, den)
     if clusters is not None:
-        degree = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("d"))
-        hubs = clusters.join(degree, "doc_id").groupBy("cluster").agg(F.max(F.struct("d", F.col("doc_id").alias("hub"))).alias("h"))
-        met = clusters.join(hubs.select("cluster", F.col("h.hub").alias("hub")), "cluster").filter("doc_id <> hub")
-        met = met.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-        links = links.union(verified(met.join(pairs, ["a", "b"], "left_anti"), sets, num, den))
+        links = links.union(link_blocks(_blocks(clusters, 0), sets, num, den))
+        large = clusters.filter(F.col("m") > BLOCK)
+        for seed in range(1, ROUNDS):
+            links = links.union(link_blocks(_blocks(large, seed), sets, num, den))
         comps = components(links)
-        members = clusters.join(comps.select(F.col("v").alias("doc_id"), "comp"), "doc_id", "left")
-        members = members.select("cluster", "doc_id", F.coalesce("comp", "doc_id").alias("comp"), "n")
-        more = compare_blocks(members, sets, num, den)
-        links = comps.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(more)
+        members = large.join(comps.select(F.col("v").alias("doc_id"), "comp"), "doc_id", "left")
+        members = written(members.select("cluster", "doc_id", F.coalesce("comp", "doc_id").alias("comp"), "m"), "members")
+        links = comps.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(compare_blocks(members, sets, num, den))
     comps = components(links).select(F.col("v").alias("class_id"), "comp")
     named = classes.join(comps, "class_id", "left")
     out = found.join(named, "digest", "left")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import hash_bucket, written
+from lodegraph.llm.common import hash_bucket, small, written
 from lodegraph.llm.tokens import encoder
 
 RANK_BITS = 8
@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int, with_
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer).ids
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = ids_of(text.as_py()) + end

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.llm.common import small
 from lodegraph.llm.hashed import Rows, logistic, sigmoid
 
 #: At most about so many rows are drawn for the fit of the scorer (a hash of the id decides).
@@ -126,7 +127,7 @@ def _shape(word: str) -> int:
 
 class Shapes(dict):
     def __missing__(self, word):
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = out = _shape(word)
         return out
@@ -153,7 +154,7 @@ def vote_patterns(docs: DataFrame) -> dict[str, int]:
     """How often each pattern occurs over all documents; 3 ** labellers patterns at most."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([pa.array([votes(t.as_py()) for t in batch.column(0)], pa.string())], names=["votes"])
 
     counted = _rows(docs).select("text").mapInArrow(each, "votes string").groupBy("votes").count()
@@ -166,7 +167,7 @@ def fit_scorer(docs: DataFrame, posterior: dict[str, float], n_docs: int, sample
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for batch in batches:
+        for batch in small(batches):
             texts = [t.as_py() for t in batch.column(1)]
             found = [features(t, shapes) for t in texts]
             arrays = [
@@ -207,7 +208,7 @@ def classify(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROW
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for batch in batches:
+        for batch in small(batches):
             said, post, score = judge([t.as_py() for t in batch.column(1)], shapes)
             arrays = [batch.column(0), pa.array(said, pa.string()), pa.array(post, pa.float64()), pa.array(score, pa.float64()), pa.array(score >= 0.5, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "votes", "posterior", "score", "keep"])
@@ -222,7 +223,7 @@ def good_only(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_RO
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for batch in batches:
+        for batch in small(batches):
             score = judge([None if (v := t.as_py()) is None else str(v) for t in batch.column(at)], shapes)[2]
             yield batch.filter(pa.array(score >= 0.5, pa.bool_()))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import fixed_filter, marked, written
+from lodegraph.llm.common import fixed_filter, marked, small, written
 from lodegraph.llm.fm_index import repeated_windows
 from lodegraph.llm.words import BASE, hashes, mix, runs, split
 
@@ -78,7 +78,7 @@ def all_segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "body", "row", "first", "last"]
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], [], []]
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 w = hashes(split(text.as_py()))
@@ -102,7 +102,7 @@ def _with_words(docs: DataFrame, wanted: DataFrame, width: int, windows: bool) -
     near = near.dropDuplicates(["row"]).join(rows, "row")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for text, parts in zip(batch.column(0), batch.column(1)):
                 w = hashes(split(text.as_py()))
                 cols: list[list] = [[], [], [], []]
@@ -180,7 +180,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 35, gram:
     cols = ["doc_id", "text", "spans"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], []]
             for text, spans in zip(batch.column(1), batch.column(2)):
                 words = split(text.as_py())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import written
+from lodegraph.llm.common import small, written
 from lodegraph.llm.tokens import encoder
 
 BLOCK_IDS = 2_048
@@ -216,7 +216,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: i
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
                 ready.clear()
 
-        for batch in batches:
+        for batch in small(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = np.frombuffer(ids_of(text.as_py()) + end, "<u4")
                 if x.max() >= 1 << 16:

@@ -31,7 +31,7 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """ids(text) -> the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, entries: int = 600_000):
+    def __init__(self, path: str, entries: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.llm.common import small
 from lodegraph.llm.hashed import Adam, Rows, sigmoid
 
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 7_000
@@ -49,7 +50,7 @@ class Known(dict):
         self.kept = kept
 
     def __missing__(self, word):
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         found = word_features(word)
         self[word] = out = found if self.kept is None else tuple(f for f in found if f in self.kept)
@@ -99,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[dict[int,
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known()
-        for b in batches:
+        for b in small(batches):
             found = [np.fromiter(features(t.as_py(), known), np.int32).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2), b.column(3)], names=["doc_id", "cols", "sure", "free"])
 
@@ -123,7 +124,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int =
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(weights)
-        for b in batches:
+        for b in small(batches):
             z = np.array([bias + sum(map(weights.__getitem__, sorted(features(t.as_py(), known)))) for t in b.column(1)])
             s = sigmoid(z)
             arrays = [b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("i4"), pa.int32())]

@@ -23,7 +23,7 @@ CODE_RULES = [
     ("security.rust-unsafe", "warning", ["rs"], r"\bunsafe\s*(?:\{|fn\b)"),
     ("ts.any-annotation", "error", ["ts", "tsx"], r":\s*any\b"),
     ("ts.as-any", "error", ["ts", "tsx"], r"\bas\s+any\b"),
-    ("ts.non-null-assertion", "warning", ["ts", "tsx"], r"[A-Za-z_$][A-Za-z0-9_$]*!\s*[.(\[]"),
+    ("ts.non-null-assertion", "warning", ["ts", "tsx"], r"(?<=[A-Za-z0-9_$])!\s*[.(\[]"),
     ("ts.default-export", "error", ["ts", "tsx"], r"(?m)^\s*export\s+default\b"),
     ("theme.hardcoded-hex", "warning", ["css", "tsx", "jsx", "html"], r"#(?:[0-9a-fA-F]{8}|[0-9a-fA-F]{6}|[0-9a-fA-F]{4}|[0-9a-fA-F]{3})\b"),
     ("theme.hardcoded-css-fn", "warning", ["css", "tsx", "jsx", "html"], r"\b(?:rgb|rgba|hsl|hsla)\s*\([^)]+\)"),
