@@ -7,11 +7,13 @@ A document's set holds its distinct word shingles, as 64-bit hashes.  Equal sets
 * Prefix filter: two sets with similarity t share a shingle among the first n - ceil(t n) + 1 of each.  Only these
   are joined, by shingle.
 * Length filter and positional filter on the places where the shared shingle stands; the suffix filter bounds the
-  overlap by where the rest of the sets fall in a few hash ranges.  Each pair is then verified once, on whole sets.
-* A shingle in the prefixes of more than HOT classes would emit too many pairs.  Classes that such shingles connect form
-  clusters.  A cluster is dealt into blocks, in ROUNDS different ways, and all pairs of a block are compared inside a task;
-  what is then still outside the cluster's largest component visits all its blocks.  So every pair is compared unless it is
-  connected already, and what is emitted is a forest, never all pairs.
+  overlap by how many members the sets have in each of about n / 6 hash ranges, a signature of a byte for each range that is
+  made when the counts are.  Whole sets are fetched for the pairs that pass alone, and each is verified once.
+* A shingle in the prefixes of more than HOT classes would emit too many pairs.  Each class with such shingles picks
+  ROUNDS of them, by smallest hash, so that near copies pick the same; those that picked the same are dealt into blocks, and all
+  pairs of a block are compared inside a task, which returns a spanning forest.  Then only pairs are left that share a hot
+  shingle and aren't connected yet: what is outside a shingle's largest component meets the other components there, under the
+  same filters.  So every pair is compared unless it is connected already, and what is emitted is never all pairs of a group.
 
 Defined cases: no words or a null text: an empty set that links with nothing; fewer words than a shingle: the whole
 sequence is the set's one member; rows with a null id link with nothing (component null); rows that repeat an id are one vertex;
@@ -34,38 +36,51 @@ from lodegraph.llm.common import fixed_filter, marked, small, written
 from lodegraph.llm.components import components
 from lodegraph.llm.words import shingles
 
-HOT = 8
+HOT = 32
 ROUNDS = 2
 BLOCK = 256
 CHUNKS = 64
-#: Hash ranges of the suffix filter.
-RANGES = 16
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def signature(s: np.ndarray) -> bytes:
+    """How many members of a sorted set fall in each of 4 to 8 members' worth of hash ranges; nothing if a byte can't say it."""
+    bits = min(20, max(1, len(s).bit_length() - 3))
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_shared(a: bytes, b: bytes) -> tuple[int, int]:
+    """(at most so many members are in both, size of both together) by two signatures."""
+    x, y = sorted((np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b)), key=len)
+    if len(x) < len(y):
+        y = y.reshape(len(x), -1).sum(1)
+    return int(np.minimum(x, y).sum()), int(x.sum() + y.sum())
+
+
 def survey(docs: DataFrame, n: int, bucket_bits: int) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, n, digest) of every row, counts of shingles by bucket over all rows)."""
+    """((doc_id, n, digest, sig) of every row, counts of shingles by bucket over all rows)."""
     size, shift = 1 << bucket_bits, np.uint64(64 - bucket_bits)
     each = size // CHUNKS
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-        names = ["doc_id", "n", "digest", "chunk", "counts"]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "digest", "sig", "chunk", "counts"]
         for batch in small(batches):
             found = [shingles(t.as_py(), n) for t in batch.column(1)]
             if found:
                 counts += np.bincount((np.concatenate(found) >> shift).astype(np.int64), minlength=size)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
             none = [None] * len(found)
-            cols = [batch.column(0), [len(s) for s in found], digests, none, none]
+            cols = [batch.column(0), [len(s) for s in found], digests, [signature(s) if len(s) else None for s in found], none, none]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
         parts = [zlib.compress(counts[i * each : (i + 1) * each].tobytes(), 1) for i in range(CHUNKS)] if counts.any() else []
         none = [None] * len(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none, none, none, range(len(parts)), parts], types)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none, none, none, none, range(len(parts)), parts], types)], names=names)
 
     def add(key, t):
         total = np.zeros(each, np.int64)
@@ -73,12 +88,12 @@ def survey(docs: DataFrame, n: int, bucket_bits: int) -> tuple[DataFrame, np.nda
             total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
         return pa.table({"chunk": t["chunk"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    found = written(_rows(docs).mapInArrow(look, "doc_id long, n long, digest binary, chunk int, counts binary"), "survey")
+    found = written(_rows(docs).mapInArrow(look, "doc_id long, n long, digest binary, sig binary, chunk int, counts binary"), "survey")
     sums = found.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
     counts = np.zeros(size, np.int64)
     for r in sums.collect():  # CHUNKS rows of a fixed size
         counts[r.chunk * each : (r.chunk + 1) * each] = np.frombuffer(r.counts, np.int64)
-    return found.filter("chunk IS NULL").select("doc_id", "n", "digest"), np.minimum(counts, 2**31 - 1).astype(np.int32)
+    return found.filter("chunk IS NULL").select("doc_id", "n", "digest", "sig"), np.minimum(counts, 2**31 - 1).astype(np.int32)
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int) -> DataFrame:
@@ -113,41 +128,72 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int) ->
     return _rows(docs).mapInArrow(cut, "gram long, doc_id long, n int, pos int")
 
 
+def passed(pairs: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the suffix filter lets through, by the signatures in found."""
+    side = lambda x: found.select(F.col("doc_id").alias(x), F.col("sig").alias(f"{x}_sig"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 4096):
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                shared, both = most_shared(a, b) if a and b else (1, 1)
+                keep.append(shared * (num + den) >= num * both)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sig", "b_sig")
+    return met.mapInArrow(look, "a long, b long").distinct()
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(doc_id, grams, ranges) of the documents in ids; texts of others are left out before they are shuffled."""
+    """(doc_id, grams) of the documents in ids; texts of others are left out before they are shuffled."""
     near = marked(_rows(docs), "doc_id", fixed_filter(ids, "doc_id")).filter("maybe").select("doc_id", "text")
-    near = near.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             found = [shingles(t.as_py(), n) for t in batch.column(1)]
-            ranges = [np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32) for s in found]
-            cols = [batch.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "grams", "ranges"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["doc_id", "grams"])
 
-    found = near.mapInArrow(grams, "doc_id long, grams array<long>, ranges array<int>")
-    return written(found, "sets")
+    near = near.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return written(near.mapInArrow(grams, "doc_id long, grams array<long>"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, each compared once, after the suffix filter.
+    """The pairs (a, b) whose sets are similar enough, each compared once."""
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"{x}_grams"))
+    shared = f"size(array_intersect(a_grams, b_grams)) * {num + den} >= {num} * (size(a_grams) + size(b_grams))"
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(shared).select("a", "b")
+
+
+def _kept(num: int, den: int) -> str:
+    """The length and the positional filter on members a and b that share a gram."""
+    return (
+        f"least(na, nb) * {den} >= greatest(na, nb) * {num} "
+        f"AND least(na - pa, nb - pb) * {num + den} >= {num} * (na + nb)"
+    )
 
-    The suffix filter: two sets share no more than the sum, over hash ranges, of the smaller number of members there.
-    """
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"{x}_grams"), F.col("ranges").alias(f"{x}_ranges"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.expr("size(a_grams) + size(b_grams)"))
-    most = f"aggregate(zip_with(a_ranges, b_ranges, (x, y) -> least(x, y)), 0, (x, y) -> x + y) * {num + den} >= {num} * both"
-    shared = f"size(array_intersect(a_grams, b_grams)) * {num + den} >= {num} * both"
-    return met.filter(most).filter(shared).select("a", "b")
+
+def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
+    return rows.select("gram", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), *more)
 
 
 def _pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of documents that share a prefix gram and pass the length and the positional filter."""
-    x = rows.select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    y = rows.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    length = f"least(na, nb) * {den} >= greatest(na, nb) * {num}"
-    place = f"least(na - pa, nb - pb) * {num + den} >= {num} * (na + nb)"
-    return x.join(y, "gram").filter("a < b").filter(length).filter(place).select("a", "b").distinct()
+    met = _side(rows, "a").join(_side(rows, "b"), "gram").filter("a < b").filter(_kept(num, den))
+    return met.select("a", "b").distinct()
+
+
+def _rest(hot: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that share a hot gram, pass the filters and lie in different components.
+
+    Of two members of a gram one at least is outside the gram's largest component.
+    """
+    rows = hot.join(comps.select(F.col("v").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    sizes = rows.groupBy("gram", "comp").agg(F.count("*").alias("k"))
+    tops = sizes.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
+    open_ = written(rows.join(tops.filter("comps > 1").select("gram", F.col("top.comp").alias("top")), "gram"), "open")
+    guests = _side(open_.filter("comp <> top"), "a", F.col("comp").alias("ca"))
+    met = guests.join(_side(open_, "b", F.col("comp").alias("cb"), "top"), "gram").filter("ca <> cb AND (cb = top OR a < b)")
+    return met.filter(_kept(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def overlaps(sets: list[np.ndarray], columns: int = 16_384) -> np.ndarray:
@@ -192,36 +238,12 @@ def link_blocks(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return both.groupBy("cluster", "block").applyInArrow(link, "a long, b long")
 
 
-def _blocks(members: DataFrame, seed: int) -> DataFrame:
-    """members with a block each: about BLOCK of a cluster, by a hash of the id."""
-    return members.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("m") / BLOCK)).cast("int"))
-
-
-def compare_blocks(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between different components of a cluster.  members: (cluster, doc_id, comp, m), m the cluster's size.
-
-    Those outside a cluster's largest component visit every block of it; a task sees one block and about BLOCK
-    visitors, and returns one link at most for each visitor and component.
-    """
-    per_comp = members.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
-    top = per_comp.groupBy("cluster").agg(F.max(F.struct("k", F.col("comp").alias("top"))).alias("t"), F.sum("k").alias("all"))
-    top = top.select("cluster", F.col("t.top").alias("top"), (F.col("all") - F.col("t.k")).alias("guests")).filter("guests > 0")
-    open_ = members.join(top, "cluster").withColumn("parts", F.ceil(F.col("guests") / BLOCK).cast("int"))
-    cols = ["cluster", "block", "part", "doc_id", "comp"]
-    hosts = _blocks(open_, 0).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    visits = open_.filter("comp <> top").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(9)), "parts").cast("int"))
-    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1)))
-    both = hosts.select(*cols, F.lit(False).alias("guest")).union(visits.select(*cols, F.lit(True).alias("guest")))
-    both = both.join(sets.select("doc_id", "grams"), "doc_id")
-
-    def compare(key, t):
-        guest, ids, comp = t["guest"].to_numpy(), t["doc_id"].to_numpy(), t["comp"].to_numpy()
-        hit = _similar([np.asarray(x.values) for x in t["grams"]], num, den)
-        i, j = np.nonzero(hit & guest[:, None] & ~guest[None] & (comp[:, None] != comp[None]))
-        first = np.unique(np.stack([i, comp[j]]), axis=1, return_index=True)[1]
-        return pa.table({"a": ids[i[first]], "b": ids[j[first]]})
-
-    return both.groupBy("cluster", "block", "part").applyInArrow(compare, "a long, b long")
+def _blocks(hot: DataFrame, seed: int) -> DataFrame:
+    """(cluster, block, doc_id): each document under one of its hot grams, about BLOCK to a block."""
+    picked = hot.groupBy("doc_id").agg(F.min_by("gram", F.xxhash64("gram", F.lit(seed))).alias("cluster"))
+    sizes = picked.groupBy("cluster").agg(F.count("*").alias("m")).filter("m > 1")
+    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("m") / BLOCK)).cast("int")
+    return picked.join(sizes, "cluster").select("cluster", block.alias("block"), "doc_id")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bucket_bits: int = 20) -> DataFrame:
@@ -236,28 +258,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, num: in
     shared = shared.join(firsts, "doc_id", "left_semi").dropDuplicates(["gram", "doc_id"]).withColumn("g", common).filter("g > 1")
     shared = written(shared, "prefixes")
     pairs = _pairs(shared.filter(f"g <= {HOT}").select("gram", "doc_id", "n", "pos"), num, den)
-    hot = shared.filter(f"g > {HOT}")
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    clusters = None
-    if not hot.isEmpty():
-        stars = hot.join(hot.groupBy("gram").agg(F.min("doc_id").alias("hub")), "gram").select("hub", "doc_id").distinct()
-        named = hot.select("doc_id").distinct().join(components(stars).select(F.col("v").alias("doc_id"), "comp"), "doc_id", "left")
-        named = written(named.select("doc_id", F.coalesce("comp", "doc_id").alias("cluster")), "clusters")
-        clusters = written(named.join(named.groupBy("cluster").agg(F.count("*").alias("m")), "cluster"), "cluster-sizes")
-        ids = ids.union(clusters.select("doc_id"))
+    hot = shared.filter(f"g > {HOT}").select("gram", "doc_id", "n", "pos")
+    pairs = written(passed(pairs, found, num, den), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot.select("doc_id"))
     sets = sets_of(docs, ids.distinct(), n)
     # Repeated ids: rows under one id are one vertex; whichever of its sets is compared, their links are the vertex's.
     links = verified(pairs, sets, num, den)
-    if clusters is not None:
-        links = links.union(link_blocks(_blocks(clusters, 0), sets, num, den))
-        large = clusters.filter(F.col("m") > BLOCK)
-        for seed in range(1, ROUNDS):
-            links = links.union(link_blocks(_blocks(large, seed), sets, num, den))
+    if not hot.isEmpty():
+        for seed in range(ROUNDS):
+            links = links.union(link_blocks(_blocks(hot, seed), sets, num, den))
         comps = components(links)
-        members = large.join(comps.select(F.col("v").alias("doc_id"), "comp"), "doc_id", "left")
-        members = written(members.select("cluster", "doc_id", F.coalesce("comp", "doc_id").alias("comp"), "m"), "members")
-        links = comps.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(compare_blocks(members, sets, num, den))
+        rest = written(passed(_rest(hot, comps, num, den), found, num, den), "rest")
+        links = comps.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(verified(rest, sets, num, den))
     comps = components(links).select(F.col("v").alias("class_id"), "comp")
     named = classes.join(comps, "class_id", "left")
     out = found.join(named, "digest", "left")
