@@ -35,19 +35,30 @@ LARGE = 2_000
 SHARD_WORDS = 400_000
 
 
+_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_powers = np.ones((2, 1), np.uint64)
+
+
 def _rolling(w: np.ndarray) -> np.ndarray:
-    """Prefix sums P with hash(i, j) = P[j] - P[i] * BASE ** (j - i), modulo 2 ** 64."""
-    powers = np.empty(len(w) + 1, np.uint64)
-    powers[0] = 1
-    powers[1:] = BASE
-    powers = np.multiply.accumulate(powers)
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    back = np.empty(len(w) + 1, np.uint64)
-    back[0] = 1
-    back[1:] = inverse
-    back = np.multiply.accumulate(back)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * back[1:], dtype=np.uint64)])
-    return np.stack([sums, powers])
+    """Prefix sums of w[i] * BASE ** -(i + 1) and powers of BASE, modulo 2 ** 64."""
+    global _powers
+    if _powers.shape[1] <= len(w):  # a worker keeps the powers up to twice the longest text it has met
+        steps = np.ones((2, 2 * len(w) + 2), np.uint64)
+        steps[0, 1:], steps[1, 1:] = BASE, _INVERSE
+        _powers = np.multiply.accumulate(steps, axis=1)
+    sums = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(w * _powers[1, 1 : len(w) + 1], out=sums[1:])
+    return np.stack([sums, _powers[0, : len(w) + 1]])
+
+
+def first_least(g: np.ndarray, span: int) -> np.ndarray:
+    """The place of the first smallest of g[i : i + span], for every i: by stretches of doubling length."""
+    at, least, have = np.arange(len(g)), g, 1
+    while have < span:
+        step = min(have, span - have)
+        left = least[:-step] <= least[step:]
+        at, least, have = np.where(left, at[:-step], at[step:]), np.where(left, least[:-step], least[step:]), have + step
+    return at
 
 
 def _run_hash(rolling: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -61,8 +72,7 @@ def segments(w: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarr
     if len(w) < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     g = runs(w, gram)
-    at = np.lib.stride_tricks.sliding_window_view(g, width - gram + 1).argmin(1)
-    at = at + np.arange(len(at))
+    at = first_least(g, width - gram + 1)
     new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     return g[at[new]], new, np.concatenate([new[1:] - 1, [len(at) - 1]])
 
@@ -150,9 +160,10 @@ def count_windows(windows: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """(row, spans): the repeated windows of every row that has any, as [first window, last window]."""
-    found = all_segments(docs, width, gram)
+    found = written(all_segments(docs, width, gram), "all-segments")
     stats = found.groupBy("key").agg(F.count("*").alias("n"), F.min("body").alias("b0"), F.max("body").alias("b1"))
-    twice = stats.filter("n > 1").select("key", (F.col("b0") != F.col("b1")).alias("mixed"))
+    # Written, so that the join below has a side of single keys and one that may be split where a key is hot.
+    twice = written(stats.filter("n > 1").select("key", (F.col("b0") != F.col("b1")).alias("mixed")), "twice")
     found = written(found.join(twice, "key"), "segments")
     bodies = found.filter("mixed").groupBy("key", "body").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("p"))
     bodies = bodies.select("key", "body", "n", "p.row", "p.first", "p.last")
