@@ -67,9 +67,12 @@ def stutter(text, words):
 
 
 def variety(text, words):
+    """The share of repeated words, within stretches of about 2000 words: over longer ones it grows with the length alone."""
     if len(words) < 30:
         return SILENT
-    return _between(1 - len(set(words[:2000])) / min(2000, len(words)), 0.6, 0.8)
+    stretch = len(words) / -(-len(words) // 2000)
+    cuts = [round(i * stretch) for i in range(round(len(words) / stretch) + 1)]
+    return _between(1 - sum(len(set(words[a:b])) for a, b in zip(cuts, cuts[1:])) / len(words), 0.6, 0.8)
 
 
 def sentences(text, words):
@@ -122,7 +125,7 @@ def _shape(word: str) -> int:
         c = m[4]
         return ("A" if c.isupper() else "a" if c.isalpha() else c * min(2, len(m[0])))
 
-    return zlib.crc32(re.sub(r"a+", "a", RUNS.sub(run, word[:64])).encode()) & ((1 << SHAPE_BITS) - 1)
+    return zlib.crc32(re.sub(r"a+", "a", RUNS.sub(run, word)).encode()) & ((1 << SHAPE_BITS) - 1)
 
 
 class Shapes(dict):
