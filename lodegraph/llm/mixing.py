@@ -57,7 +57,7 @@ def temper(counts: DataFrame, quanta: int = 256, power: float = 0.5) -> DataFram
 def templates(sources: DataFrame, block_docs: int) -> DataFrame:
     """(from_round, to_round, base, slots, src, nth, t, release, deadline): the order of each kind of round.  base: the first slot of from_round."""
     one = sources.select("key", "weight", F.ceil(F.col("n") / block_docs).cast("long").alias("blocks"))
-    one = one.agg(F.sort_array(F.collect_list(F.struct("key", "weight", "blocks"))).alias("srcs"))
+    one = one.agg(F.sort_array(F.collect_list(F.struct("key", "weight", "blocks"))).alias("srcs")).filter(F.size("srcs") > 0)
     ends = "array_sort(array_distinct(flatten(transform(srcs, s -> array(0L, s.blocks div s.weight, s.blocks div s.weight + 1)))))"
     kinds = one.select("srcs", F.expr(ends).alias("ends")).select(
         "srcs", F.explode(F.expr("transform(sequence(1, size(ends) - 1), i -> named_struct('a', ends[i - 1], 'b', ends[i]))")).alias("r")

@@ -97,7 +97,7 @@ def fit_labellers(patterns: dict[str, int], steps: int = 200) -> tuple[dict[str,
     """Expectation-maximisation on counted vote patterns: posterior of good by pattern, (right on good, right on bad) by labeller, prior."""
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], dtype=float)
-    v = np.array([[{GOOD: 1, BAD: -1, SILENT: 0}[c] for c in k] for k in keys])
+    v = np.array([[{GOOD: 1, BAD: -1, SILENT: 0}[c] for c in k] for k in keys]).reshape(-1, len(LABELLERS))
     # Each labeller finds one kind of bad text and little else, so one vote against a text is where the estimate starts.
     post = np.where((v == -1).any(1), 0.1, 0.9) if len(keys) else np.zeros(0)
     right_good = right_bad = np.full(len(LABELLERS), 0.8)
