@@ -41,8 +41,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of 4096 ids."""
-    return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
+    """Pieces of documents and their places in sequences of 4096 ids, numbered so that sources mix over the sequences.
+
+    The mixing position follows from ids and sources alone, so it is found again here: the order of rows in files is no input.
+    """
+    at = mixing.mix(spark, docs).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("at"))
+    at = at.select("doc_id", F.expr("at.slot * 32 + at.place").alias("at"))  # 32: the documents in a block
+    return packing.pack_in_order(spark, docs, at, public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
 
 
 STAGES = [

@@ -259,6 +259,48 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1,
     return place(spark, pieces, limit).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _ranked(rows: DataFrame, groups: list[str], by: str, ties: list[str], name: str) -> DataFrame:
+    """rows with their rank, from 0, in the order of a number from 0 among those of a group: counts over ranges of it plus a rank within."""
+    most = rows.agg(F.max(by).alias("__most"))
+    rows = rows.crossJoin(F.broadcast(most)).withColumn("__bucket", F.expr(f"cast({by} * {1 << RANK_BITS}D / (__most + 1) AS int)")).drop("__most")  # most: one row
+    counts = rows.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*groups).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select(*groups, "__bucket", F.coalesce(before, F.lit(0)).alias("__start"))
+    within = F.row_number().over(W.partitionBy(*groups, "__bucket").orderBy(by, *ties)) - 1
+    met = rows.withColumn("__within", within).join(starts, [*groups, "__bucket"])
+    return met.withColumn(name, F.col("__start") + F.col("__within")).drop("__bucket", "__within", "__start")
+
+
+def place_in_order(spark: SparkSession, pieces: DataFrame, limit: int) -> DataFrame:
+    """pieces with sequence_id and offset, both following the pieces' order `at` as far as the plan's contents allow.
+
+    Sequences of like contents are first spread evenly; each is then numbered by the place of its longest piece, and of each
+    length the pieces in their order meet the plan's places for that length in the order of sequences.
+    """
+    # limit rows at most come to the driver, and the plan that goes back grows with limit alone.
+    counts = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    planned = spark.createDataFrame(plan(counts, limit), "length long, low long, high long, each long, first long, offset long")
+    runs = planned.withColumn("m", F.expr("(high - low) div each")).withColumn("a", F.explode(F.expr("sequence(0L, m - 1, 65536L)")))
+    runs = runs.withColumn("j", F.explode(F.expr("sequence(a, least(a + 65535, m - 1))")))
+    spread = "cast((j + (first * 0.6180339887498949D) % 1) / m * 1000000000000D AS long)"
+    places = runs.selectExpr("length", "first + j AS sequence", f"{spread} AS spread", "offset AS base", "explode(sequence(0L, each - 1)) AS k")
+    places = written(places.selectExpr("length", "sequence", "spread", "base + k * length AS offset"), "pack-places")
+    ranked = written(_ranked(pieces, ["length"], "at", ["doc_id", "row", "piece"], "rank"), "pack-ranks")
+    first = _ranked(places, ["length"], "spread", ["sequence", "offset"], "rank").join(ranked.select("length", "rank", "at"), ["length", "rank"])
+    longest = first.groupBy("sequence").agg(F.min(F.struct((-F.col("length")).alias("l"), "at")).alias("x")).select("sequence", F.col("x.at").alias("at"), F.lit(0).alias("all"))
+    numbers = written(_ranked(longest, ["all"], "at", ["sequence"], "sequence_id").select("sequence", "sequence_id"), "pack-numbers")
+    final = _ranked(places.join(numbers, "sequence"), ["length"], "sequence_id", ["offset"], "rank")
+    return ranked.join(final.select("length", "rank", "sequence_id", "offset"), ["length", "rank"])
+
+
+def pack_in_order(spark: SparkSession, docs: DataFrame, at: DataFrame, tokenizer: str, end_id: int = 1, limit: int = 4096) -> DataFrame:
+    """As pack; at: (doc_id, at), a number from 0 for each id, which places and sequences follow."""
+    at = at.select(F.col("doc_id").cast("long").alias("__id"), F.col("at").cast("long").alias("at"))
+    pieces = written(token_pieces(docs, tokenizer, end_id, limit), "pack-pieces")
+    pieces = written(pieces.join(at, pieces["doc_id"].eqNullSafe(at["__id"])).drop("__id"), "pack-ordered")
+    return place_in_order(spark, pieces, limit).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def sequences(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = 4096) -> DataFrame:
     """(sequence_id, ids array<int>): the packed ids themselves; a sequence has `limit` ids at most."""
     pieces = written(token_pieces(docs, tokenizer, end_id, limit, with_ids=True), "pack-ids")

@@ -65,3 +65,22 @@ def test_entry_has_them_all():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_sources_mix_over_the_sequences(spark):
+    from collections import Counter
+
+    rows = [(i, "web" if i % 51 else "books", " ".join(f"w{(i * 7 + k) % 90}" for k in range((20, 31, 44, 600)[0 if i % 40 else 3] if i % 3 else (31, 44)[i % 2]))) for i in range(20_400)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, s, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(8)
+    source = {i: s for i, s, _ in rows}
+    placed = corpus_pipeline.packed(spark, docs, SMALL).collect()
+    assert sorted(r.doc_id for r in placed) == list(range(20_400))
+    last = max(r.sequence_id for r in placed)
+    assert {r.sequence_id for r in placed} == set(range(last + 1))
+    # 400 books, 13 blocks, go with 224 of the web's 625 blocks in the first round, and none is left for the others.
+    round_one = 237 / 638
+    shares = []
+    for a, b in ((0, 0.17), (0.17, 0.33), (round_one + 0.05, 1.01)):
+        n = Counter(source[r.doc_id] for r in placed if a * last <= r.sequence_id < b * last)
+        shares.append(n["books"] / (n["books"] + n["web"]))
+    assert abs(shares[0] - 13 / 237) < 0.015 and abs(shares[1] - 13 / 237) < 0.015 and shares[2] < 0.003
