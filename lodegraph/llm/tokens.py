@@ -77,6 +77,8 @@ class Encoder:
             if not body.isascii() and (not unicodedata.is_normalized("NFC", body) or "Σ" in body):
                 return self._encode(text)
             text = text.lower()
+            if not text[: len(text) - len(end)].strip().isalpha():  # dotted I becomes i and a mark, where the tokenizer cuts
+                return self._encode(chunk.decode())
         return self._letters(text[: len(text) - len(end)]) + (self._letters(end) if end else b"")
 
     def ids(self, text: str | None) -> bytes:

@@ -39,6 +39,12 @@ def test_chunks_give_the_ids_of_the_whole(path, text):
     assert FAST[path].ids(text) == packed(plain(path, text))
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@pytest.mark.parametrize("text", ["İstanbul", "in İstanbul, DİYARBAKIR.", "İ", "İ! Straße", "Şişli\nIĞDIR İzmir."])
+def test_dotted_capital_i(path, text):
+    assert FAST[path].ids(text) == packed(plain(path, text))
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_ids_of_documents(path, docs):
     for _, text in pairs_of(docs):
