@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: quality, exact and near duplicates, mixing, packing.
 
 Each stage gets the documents that the one before kept, written as Parquet and read again, and decides on those alone.
-All but the last return the columns of documents.  Rows with a null id pass the duplicate stages.
+All but the last return the columns of documents.  Rows with a null id pass the stage of near duplicates; among copies a null
+id is below every other.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm import exact_dedup, mixing, ngram_join, packing, quality
-from lodegraph.llm.common import table, without, written
+from lodegraph.llm.common import fixed_filter, marked, table, text_or_empty, without, written
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +21,16 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    found = written(exact_dedup.exact_dedup(spark, docs), "copies").filter("doc_id IS NOT NULL")
-    gone = found.filter("NOT kept").join(found.filter("kept").select("doc_id"), "doc_id", "left_anti")
-    return without(docs, gone)
+    """Of equal texts one row: that with the largest id, a null id below all others; of rows that repeat both, the least by all columns."""
+    found = written(exact_dedup.exact_dedup(spark, docs).filter("group_size > 1").select("doc_id", "text_sha256", "kept"), "copies")
+    groups = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    touched = written(groups.agg(F.max("kept").alias("__kept"), F.count("*").alias("__n")).filter("NOT __kept OR __n > 1"), "copies-rows")
+    # Rows whose id the filter clears are never shuffled.
+    rows = marked(docs.select("doc_id", F.struct(*docs.columns).alias("__row")), "doc_id", fixed_filter(touched, "__id"))
+    passed = rows.filter("maybe").withColumn("__digest", F.sha2(text_or_empty("__row.text"), 256))
+    met = passed.join(touched, passed["doc_id"].eqNullSafe(touched["__id"]) & (F.col("__digest") == F.col("__sha")), "left")
+    once = met.filter("__kept").groupBy("__id", "__sha").agg(F.min("__row").alias("__row"))
+    return rows.filter("NOT maybe").select("__row.*").union(met.filter("__sha IS NULL").select("__row.*")).union(once.select("__row.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,20 @@ def test_sources_mix_over_the_sequences(spark):
         n = Counter(source[r.doc_id] for r in placed if a * last <= r.sequence_id < b * last)
         shares.append(n["books"] / (n["books"] + n["web"]))
     assert abs(shares[0] - 13 / 237) < 0.015 and abs(shares[1] - 13 / 237) < 0.015 and shares[2] < 0.003
+
+
+def test_repeated_rows_stay_once(spark, edge, docs):
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, edge, SMALL).collect()), key=repr)
+    texts = defaultdict(list)
+    for r in edge.collect():
+        texts[r.text or ""].append((r.doc_id is not None, r.doc_id or 0, r.text))
+    want = [(max(rows)[1], t) for t, rows in texts.items() if t]
+    assert sorted((x for x in kept if x[1]), key=repr) == sorted(want, key=repr)
+    assert [i for i, t in kept if not t] == [4] and (8, "short text") in kept and len(kept) == len(texts)
+
+    twice = corpus_pipeline.drop_copies(spark, docs.union(docs), SMALL).collect()
+    once = corpus_pipeline.drop_copies(spark, docs, SMALL).collect()
+    assert sorted(map(repr, twice)) == sorted(map(repr, once))
+
+    shared = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "c"), (None, "c"), (None, "b")], "doc_id long, text string")
+    assert sorted((tuple(r) for r in corpus_pipeline.drop_copies(spark, shared, SMALL).collect()), key=repr) == [(1, "b"), (2, "a"), (None, "c")]
