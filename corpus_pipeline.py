@@ -41,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, ordered over and within the files so that sources mix in proportion to the root of their size."""
-    slots = mixing.mix(spark, docs).groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct("slot", "place")).alias("__at"))
+    slots = mixing.mix(spark, docs, most_sources=None).groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct("slot", "place")).alias("__at"))
     rows = docs.join(slots, docs["doc_id"].eqNullSafe(slots["__id"])).withColumn("__slot", F.col("__at.slot"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "__slot").sortWithinPartitions("__slot", "__at.place").select(*docs.columns)
@@ -52,7 +52,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The mixing position follows from ids and sources alone, so it is found again here: the order of rows in files is no input.
     """
-    at = mixing.mix(spark, docs).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("at"))
+    at = mixing.mix(spark, docs, most_sources=None).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("at"))
     at = at.select("doc_id", F.expr("at.slot * 32 + at.place").alias("at"))  # 32: the documents in a block
     return packing.pack_in_order(spark, docs, at, public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
 

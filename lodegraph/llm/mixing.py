@@ -12,11 +12,17 @@ the scheduling is done once for each of those, on tables whose size k and the su
 source are counts over hash buckets plus a rank within the bucket, so a source with a third of all rows is no hot key.
 
 Defined cases: a null source is a source of its own; a null id is an id like others; repeated rows count each; an empty
-table gives an empty result; extra columns are ignored; more than MAX_SOURCES sources is an error.
+table gives an empty result; extra columns are ignored.  Up to MAX_SOURCES sources the rounds are made by Spark's array
+functions, beyond that by a heap in a Python worker, one round at a time and to the same order; their slots are at most as
+many as there are blocks.  `most_sources` sets a number beyond which mixing is an error.
 """
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,7 +78,55 @@ def templates(sources: DataFrame, block_docs: int) -> DataFrame:
     return order.select("from_round", "to_round", "base", "slots", "o.src", "o.nth", "t", "o.release", "o.deadline")
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = 32) -> DataFrame:
+def round_order(m: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """One round as in ROUND, of m[s] blocks of each source s: (s, nth, release, deadline) slot by slot."""
+    slots = int(m.sum())
+    src = np.repeat(np.arange(len(m)), m)
+    nth = np.arange(slots) - np.repeat(np.cumsum(m) - m, m)
+    release, deadline = nth * slots // m[src], -(-(nth + 1) * slots // m[src])
+    by = np.argsort(release, kind="stable")
+    queue, out, k = [], [], 0
+    for t in range(slots):
+        while k < slots and release[by[k]] <= t:
+            heapq.heappush(queue, (int(deadline[by[k]]), int(src[by[k]]), int(by[k])))
+            k += 1
+        due, s, i = heapq.heappop(queue)
+        out.append((s, int(nth[i]), int(release[i]), due))
+    return out
+
+
+def schedule(sources: DataFrame, block_docs: int) -> DataFrame:
+    """(src, block, slot, release_slot, deadline_slot) of every block, for any number of sources (src, n, weight)."""
+    one = sources.select("src", F.col("weight").cast("long").alias("weight"), F.ceil(F.col("n") / block_docs).cast("long").alias("blocks"))
+    one = written(one.withColumn("full", F.expr("blocks div weight")), "mix-blocks")
+    ends = one.select(F.explode(F.array(F.lit(0).cast("long"), F.col("full"), F.col("full") + 1)).alias("a")).distinct()
+    # Sources that run out in d different rounds have d * (d - 1) / 2 blocks at least: there are few ends, and few sums over them.
+    kinds = ends.withColumn("b", F.lead("a").over(W.partitionBy(F.lit(0)).orderBy("a"))).filter("b IS NOT NULL")
+    listed = kinds.agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("kinds"))
+    live = one.crossJoin(F.broadcast(listed)).select("src", "weight", "blocks", F.explode(F.expr("filter(kinds, r -> r.a * weight < blocks)")).alias("r"))
+    live = live.selectExpr("r.a AS a", "r.b AS b", "src", "weight", "least(weight, blocks - r.a * weight) AS m")
+    sums = live.groupBy("a", "b").agg(F.sum("m").alias("slots"))
+    before = F.sum(F.expr("(b - a) * slots")).over(W.partitionBy(F.lit(0)).orderBy("a").rowsBetween(W.unboundedPreceding, -1))
+    sums = written(sums.withColumn("base", F.coalesce(before, F.lit(0))), "mix-rounds")
+
+    def ordered(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("src", ignore_index=True)
+        found = np.array(round_order(t["m"].to_numpy("int64")), "int64").reshape(-1, 4)
+        s = found[:, 0]
+        columns = {"a": t["a"][s], "src": t["src"][s], "weight": t["weight"][s]}
+        out = {k: v.to_numpy("int64") for k, v in columns.items()} | {"nth": found[:, 1], "t": np.arange(len(s)), "release": found[:, 2], "deadline": found[:, 3]}
+        return pd.DataFrame(out)
+
+    names = "a long, src long, weight long, nth long, t long, release long, deadline long"
+    rounds = live.groupBy("a").applyInPandas(ordered, names).join(sums, "a")
+    rounds = rounds.withColumn("round", F.explode(F.expr("sequence(a, b - 1)"))).withColumn("first", F.expr("base + (round - a) * slots"))
+    return rounds.selectExpr("src", "round * weight + nth AS block", "first + t AS slot", "first + release AS release_slot", "first + deadline AS deadline_slot")
+
+
+def mix(
+    spark: SparkSession, docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = 32,
+    most_sources: int | None = MAX_SOURCES, array_sources: int = MAX_SOURCES,
+) -> DataFrame:
     """(doc_id, source, weight, block, release_slot, deadline_slot, slot, place): read by (slot, place), the rows are mixed.
 
     weights: whole numbers by source, 1 for those not named; None: in proportion to the square root of a source's size.
@@ -81,8 +135,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, int] | None = N
     rows = rows.withColumn("bucket", hash_bucket("doc_id", RANK_BITS)).withColumn("h", F.xxhash64("doc_id", F.lit(1)))
     by_bucket = written(rows.groupBy("key", "bucket").agg(F.count("*").alias("n")), "mix-counts")
     counts = by_bucket.groupBy("key").agg(F.sum("n").alias("n"))
-    if (k := counts.count()) > MAX_SOURCES:
-        raise ValueError(f"{k} sources; at most {MAX_SOURCES} can be mixed")
+    if (k := counts.count()) > (k if most_sources is None else most_sources):
+        raise ValueError(f"{k} sources; at most {most_sources} can be mixed")
     if weights is None:
         weighted = temper(counts)
     else:
@@ -90,15 +144,24 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, int] | None = N
         for name, w in weights.items():
             told = F.when(F.col("key") == "1" + name, F.lit(int(w))).otherwise(told)
         weighted = counts.withColumn("weight", told)
-    order = written(templates(weighted, block_docs), "mix-order")
-    listed = weighted.withColumn("src", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("key")) - 1).select("key", "src", "weight")
+    listed = weighted.withColumn("src", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("key")) - 1).select("key", "src", "weight", "n")
+    if k > array_sources:
+        listed = written(listed.withColumn("src", F.col("src").cast("long")), "mix-sources")
 
     before = F.sum("n").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     starts = by_bucket.select("key", "bucket", F.coalesce(before, F.lit(0)).alias("start"))
+    if k > array_sources:
+        starts = starts.join(listed.drop("n"), "key")
     within = F.row_number().over(W.partitionBy("key", "bucket").orderBy("h", "doc_id")) - 1
     ranked = rows.withColumn("within", within).join(starts, ["key", "bucket"])
+    if k > array_sources:
+        at = "(start + within)"
+        blocks = ranked.selectExpr("doc_id", "source", "src", "weight", f"{at} div {block_docs} AS block", f"cast({at} % {block_docs} AS int) AS place")
+        met = blocks.join(schedule(listed, block_docs), ["src", "block"])
+        return met.select("doc_id", "source", "weight", "block", "release_slot", "deadline_slot", "slot", "place")
+    order = written(templates(weighted, block_docs), "mix-order")
     # listed has a row for each source, order 2 * MAX_SOURCES + 1 rounds at most: both may be broadcast.
-    blocks = ranked.withColumn("rank", F.col("start") + F.col("within")).join(F.broadcast(listed), "key")
+    blocks = ranked.withColumn("rank", F.col("start") + F.col("within")).join(F.broadcast(listed.drop("n")), "key")
     blocks = blocks.selectExpr(
         "doc_id", "source", "src", "weight", f"rank div {block_docs} AS block", f"cast(rank % {block_docs} AS int) AS place"
     ).selectExpr("*", "block div weight AS round", "cast(block % weight AS int) AS nth")

@@ -17,7 +17,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+    return mixing.mix(spark, table(spark, sf_dir, "documents"), most_sources=None)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,31 @@ def test_mix_sources_limit(spark):
         mixing.mix(spark, rows)
 
 
+def test_mix_any_number_of_sources(spark):
+    sizes = {f"site{i}": 1 + i % 3 for i in range(400)} | {"hot": 900, "warm": 300}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    table = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"hot": 90, "warm": 30}
+    got = mixing.mix(spark, table, weights, block_docs=2, most_sources=None).collect()
+    assert sorted((r.doc_id, r.source) for r in got) == rows
+    slots = {}
+    for r in got:
+        assert r.release_slot <= r.slot < r.deadline_slot
+        assert slots.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
+    assert sorted(slots) == list(range(sum(-(-n // 2) for n in sizes.values())))
+    given, total = Counter(), 400 + 90 + 30
+    for t in range(total):
+        given[slots[t][0]] += 1
+        assert all(abs(given[s] - (t + 1) * weights.get(s, 1) / total) < 1 for s in sizes)
+
+
+@pytest.mark.parametrize("name", ["docs", "edge", "none"])
+def test_both_ways_to_mix_agree(spark, request, name):
+    table = request.getfixturevalue(name)
+    a, b = (sorted(repr(r) for r in mixing.mix(spark, table, None, 4, array_sources=n).collect()) for n in (256, 0))
+    assert a == b
+
+
 @pytest.mark.parametrize("name", ["docs", "edge", "none"])
 def test_shards(spark, request, name):
     table = request.getfixturevalue(name)
