@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodegraph.functions import sketch
 from lodegraph.functions.names import split_identifier, token_estimate
 from lodegraph.functions.sketch import cosine
+from lodegraph.operators.graph import saved
 
 
 def tokens(text: Column) -> Column:
@@ -118,6 +123,59 @@ def pack_budget(hits: DataFrame, groups: list[str], text: str, score: str, key:
     return kept.select(*groups, F.col("k.key").alias(key), F.col("k.cost").alias("tokens"))
 
 
+def fingerprints(docs: DataFrame, kind: str, key: str, text: str = "text") -> DataFrame:
+    """(kind, key, simhash, mins): the MinHash values as little-endian unsigned 32-bit integers; a null kind is a kind of its own."""
+
+    def made(batches):
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            columns = [pa.array([sketch.simhash(t) for t in texts], pa.int64()), pa.array([np.array(sketch.minhash(t), "<u4").tobytes() for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["kind", "key", "simhash", "mins"])
+
+    named = F.concat(F.when(F.col(kind).isNull(), "0").otherwise("1"), F.coalesce(F.col(kind).cast("string"), F.lit("")))
+    rows = docs.select(named.alias("kind"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(made, "kind string, key long, simhash long, mins binary")
+
+
+def most_similar(prints: DataFrame, is_probe: Column, top: int = 5, block: int = 16_384, probe_block: int = 4_096) -> DataFrame:
+    """(probe, key, score, rank): of all fingerprints of its kind, the most similar to each probe, ties by key; exact.
+
+    Blocks of probes meet blocks of fingerprints, each pair in a task that keeps the best of the block: no kind is a hot key.
+    The score is that of sketch.fingerprint_similarity, in steps of 1/256.
+    """
+    prints = saved(prints.filter("key IS NOT NULL").withColumn("probe", F.coalesce(is_probe, F.lit(False))).withColumn("uid", F.xxhash64(F.monotonically_increasing_id())))
+    size = prints.agg(F.count("*").alias("n"), F.count_if("probe").alias("p")).first()
+    n_b, n_p = max(1, -(-size.n // block)), max(1, -(-size.p // probe_block))
+    part = lambda n: F.pmod("uid", F.lit(n))
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    probes = prints.filter("probe").select("kind", "key", "simhash", "mins", part(n_p).cast("int").alias("pb"), all_(n_b).alias("cb"))
+    rows = prints.select("kind", "key", "simhash", "mins", part(n_b).cast("int").alias("cb"), all_(n_p).alias("pb"))
+
+    def best(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out: list[list[np.ndarray]] = [[], [], []]
+        if len(p) and len(c):
+            c = c.sort_values("key", ignore_index=True)
+            keys, sims = c["key"].to_numpy("int64"), c["simhash"].to_numpy("int64")
+            mins = np.ascontiguousarray(np.frombuffer(b"".join(c["mins"]), "<u4").reshape(len(c), -1).T)
+            for key, sim, own in zip(p["key"].to_numpy("int64"), p["simhash"].to_numpy("int64"), p["mins"]):
+                score = 128 - 2 * np.bitwise_count((sims ^ sim).view("uint64")).astype("int16")
+                for mine, theirs in zip(np.frombuffer(own, "<u4"), mins):
+                    score += theirs == mine
+                score[keys == key] = -1
+                least = np.partition(score, -top)[-top] if len(score) > top else 0
+                at = np.flatnonzero(score >= max(least, 0))
+                at = at[np.argsort(-score[at], kind="stable")][:top]
+                for o, v in zip(out, (np.full(len(at), key), keys[at], score[at] / 256)):
+                    o.append(v)
+        flat = [np.concatenate(o) if o else np.array([]) for o in out]
+        return pd.DataFrame({"probe": flat[0].astype("int64"), "key": flat[1].astype("int64"), "score": flat[2].astype("float64")})
+
+    keys = ["kind", "pb", "cb"]
+    met = probes.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(best, "probe long, key long, score double")
+    rank = F.row_number().over(W.partitionBy("probe").orderBy(F.desc("score"), "key"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= top)
+
+
 def occurrences(docs: DataFrame, needle: str, key: str, text: str = "text", limit: int = 5) -> DataFrame:
     """Texts by how often they hold the needle, case-insensitively and without overlaps."""
     low, n = F.lower(F.col(text)), needle.lower()

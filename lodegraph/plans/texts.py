@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodegraph.functions import names, sketch
@@ -83,15 +82,9 @@ def simhash(spark, d):
 
 @Q.add("R19_R20_R21_similar")
 def similar(spark, d):
-    """The benchmark items against each text of their language family's newest 512: same kind, most similar first."""
-    docs = table(spark, d, "documents").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("doc_id")))).filter("rank <= 512")
-    prints = docs.select("lang", "doc_id", sketch.simhash64("text").alias("s2"), sketch.minhash128("text").alias("m2"))
-    probes = prints.filter("doc_id % 100 = 0").select(F.col("lang").alias("kind"), F.col("doc_id").alias("probe"), F.col("s2").alias("s1"), F.col("m2").alias("m1"))
-    met = probes.join(prints, (F.col("kind") == F.col("lang")) & (F.col("probe") != F.col("doc_id")))
-    score = sketch.fingerprint_similarity(F.col("s1"), F.col("m1"), F.col("s2"), F.col("m2"))
-    ranked = met.select("probe", "doc_id", F.round(score, 9).alias("score"))
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("probe").orderBy(F.desc("score"), "doc_id")))
-    return ranked.filter("rank <= 5")
+    """One id in a hundred as probes, each against all documents of its language: the five most similar."""
+    prints = text.fingerprints(table(spark, d, "documents"), "lang", "doc_id")
+    return text.most_similar(prints, F.col("key") % 100 == 0, 5).withColumnRenamed("key", "doc_id")
 
 
 @Q.add("R24_kinds", "SELECT CASE lang WHEN 'de' THEN 'de_file' WHEN 'en' THEN 'en_file' ELSE 'other_file' END AS kind, count(*) AS n FROM documents GROUP BY 1")

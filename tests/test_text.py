@@ -35,6 +35,29 @@ def test_packing_skips_what_does_not_fit(spark):
     assert sorted(r.id for r in text.pack_budget(rows, ["g"], "text", "score", "id", 10).collect()) == [1, 3]
 
 
+def test_most_similar_of_all(spark):
+    texts = [(i, None if i % 7 == 0 else "de" if i % 3 else "en", " ".join(f"w{(i * k) % (11 + i % 5)}" for k in range(1, 12)) if i % 10 else "") for i in range(900)]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    prints = text.fingerprints(docs, "lang", "doc_id")
+    made = {i: (k, sketch.simhash(t), np.array(sketch.minhash(t))) for i, k, t in texts}
+    want = []
+    for i in range(0, 900, 100):
+        kind, s, m = made[i]
+        near = sorted((-(0.5 * (1 - bin((s ^ t) & 0xFFFFFFFFFFFFFFFF).count("1") / 64) + 0.5 * float((m == n).mean())), j) for j, (k, t, n) in made.items() if k == kind and j != i)
+        want += [(i, j, -x, r + 1) for r, (x, j) in enumerate(near[:5])]
+    got = text.most_similar(prints, F.col("key") % 100 == 0, 5, block=200, probe_block=4).collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_similar_reaches_the_oldest_documents(spark, tmp_path):
+    from lodegraph.plans import catalog
+
+    rows = [(i, "en", f"only number {i} of these texts") for i in range(700)] + [(1000, "en", "only number 3 of these texts")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["R19_R20_R21_similar"](spark, str(tmp_path)).collect()
+    assert (1000, 3, 1.0, 1) in [(r.probe, r.doc_id, r.score, r.rank) for r in got]
+
+
 def test_dialects_and_fallback(docs):
     ids = lambda df: sorted(r.id for r in df.collect())
     assert ids(text.full_text(docs, "parser pool", "id")) == ["d1"]
