@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -194,51 +194,54 @@ def reindex(labels: DataFrame) -> DataFrame:
     return labels.join(ids.select("label", "community_id"), "label").select(F.col("node").alias("qualified_name"), "community_id")
 
 
+def numbered(names: DataFrame, column: str) -> DataFrame:
+    """(id, column): the different names from 0 in their order, counted by ranges of names."""
+    spread = names.select(column).distinct()
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = saved(spread.repartitionByRange(parts, column).withColumn("part", F.spark_partition_id()))
+    before = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = ranges.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))  # a row for each partition
+    within = F.row_number().over(W.partitionBy("part").orderBy(column)) - 1
+    return saved(ranges.withColumn("within", within).join(starts, "part").select((F.col("start") + F.col("within")).alias("id"), column))
+
+
 def betweenness(edges: DataFrame, sources: int = 2_000) -> DataFrame:
     """(qualified_name, betweenness) of the undirected multigraph, by Brandes from `sources` nodes at a stride, largest value 1.
 
-    The graph must fit one executor's memory: each task runs the searches of its share of the sources over a broadcast copy.
+    All sources search at once, level by level, in joins keyed by (source, node); dependencies come back by the same joins.
     """
-    spark = edges.sparkSession
-    e = edges.filter("source <> target").select("source", "target").toPandas()
-    names = pd.Index(sorted(set(e.source) | set(e.target)))
-    near: list[list[int]] = [[] for _ in names]
-    for a, b in zip(names.get_indexer(e.source), names.get_indexer(e.target)):
-        near[a].append(int(b))
-        near[b].append(int(a))
-    near = [sorted(x) for x in near]
-    sent = spark.sparkContext.broadcast(near)
-    stride = max(1, -(-len(names) // sources))
-
-    def search(batches):
-        near = sent.value
-        total = [0.0] * len(near)
-        for batch in batches:
-            for s in batch["id"]:
-                dist, paths, order, before = {s: 0}, {s: 1.0}, [s], {s: []}
-                for v in order:
-                    for w in near[v]:
-                        if w not in dist:
-                            dist[w], paths[w], before[w] = dist[v] + 1, 0.0, []
-                            order.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                need = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        need[v] += paths[v] / paths[w] * (1 + need[w])
-                    if w != s:
-                        total[w] += need[w]
-        hit = [i for i, x in enumerate(total) if x]
-        yield pd.DataFrame({"id": hit, "x": [total[i] for i in hit]}, columns=["id", "x"]).astype({"id": "int64", "x": "float64"})
-
-    if not len(names):
+    e = edges.filter("source <> target").select("source", "target")
+    names = numbered(e.select(F.col("source").alias("qualified_name")).union(e.select("target")), "qualified_name")
+    if not (n := names.count()):
         return edges.select(F.col("source").alias("qualified_name"), F.lit(0.0).alias("betweenness")).limit(0)
-    part = spark.range(0, len(names), stride, 8).mapInPandas(search, "id long, x double").groupBy("id").agg(F.sum("x").alias("x"))
-    known = spark.createDataFrame(pd.DataFrame({"id": range(len(names)), "qualified_name": names}))
-    met = known.join(part, "id", "left").select("qualified_name", F.coalesce("x", F.lit(0.0)).alias("x"))
-    top = met.agg(F.max("x").alias("top"))
+    end = lambda c, i: names.select(F.col("qualified_name").alias(c), F.col("id").alias(i))
+    ids = e.join(end("source", "a"), "source").join(end("target", "b"), "target").select("a", "b")
+    near = saved(ids.union(ids.select("b", "a")).groupBy("a", "b").agg(F.count("*").alias("m")))  # m: parallel edges
+    stride = max(1, -(-n // sources))
+    levels = [saved(names.filter(F.col("id") % stride == 0).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
+    while True:
+        met = levels[-1].join(near, F.col("v") == F.col("a")).groupBy("s", "b").agg(F.sum(F.col("paths") * F.col("m")).alias("paths"))
+        new = met.select("s", F.col("b").alias("v"), "paths")
+        for known in levels[-2:]:  # an undirected edge leads one level back at most
+            new = new.join(known.select("s", "v"), ["s", "v"], "left_anti")
+        new = saved(new)
+        if new.isEmpty():
+            break
+        levels.append(new)
+    totals, need = [], None
+    for level in reversed(levels[1:]):
+        if need is not None:
+            share = need.select("s", "v", ((1 + F.col("need")) / F.col("paths")).alias("x")).join(near, F.col("v") == F.col("b"))
+            told = share.groupBy("s", F.col("a").alias("v")).agg(F.sum(F.col("x") * F.col("m")).alias("x"))
+            need = saved(level.join(told, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("x", F.lit(0.0))).alias("need")))
+        else:
+            need = level.withColumn("need", F.lit(0.0))
+        totals.append(saved(need.groupBy(F.col("v").alias("id")).agg(F.sum("need").alias("x"))))
+    if not totals:
+        return names.select("qualified_name", F.lit(0.0).alias("betweenness"))
+    part = reduce(DataFrame.union, totals).groupBy("id").agg(F.sum("x").alias("x"))
+    met = saved(names.join(part, "id", "left").select("qualified_name", F.coalesce("x", F.lit(0.0)).alias("x")))
+    top = met.agg(F.max("x").alias("top"))  # one row
     return met.crossJoin(F.broadcast(top)).select("qualified_name", F.when(F.col("top") > 0, F.col("x") / F.col("top")).otherwise(0.0).alias("betweenness"))
 
 

@@ -71,12 +71,12 @@ def two_hops(spark, d):
 
 @Q.add("G11_G13_communities")
 def communities(spark, d):
-    return G.communities(containment_edges(spark, d))
+    return G.communities(edges(spark, d))
 
 
 @Q.add("G14_betweenness")
 def betweenness(spark, d):
-    return G.betweenness(containment_edges(spark, d), 200).withColumn("betweenness", F.round("betweenness", 9))
+    return G.betweenness(edges(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
 
 
 @Q.add("J11_G16_surprising", f"WITH edges AS ({ORDER_EDGES}), m AS ({MEMBERS}) SELECT kind, source, target, a.community_id AS c1, b.community_id AS c2, round(0.5 + 0.1 * least(4, abs(a.community_id - b.community_id)), 6) AS confidence FROM (SELECT DISTINCT kind, source, target FROM edges) JOIN m a ON a.qualified_name = source JOIN m b ON b.qualified_name = target WHERE a.community_id <> b.community_id ORDER BY confidence DESC, source, target, kind LIMIT 50")
