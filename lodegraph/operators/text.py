@@ -103,24 +103,36 @@ def rerank_blend(fused: DataFrame, reranked: DataFrame, key: str, top: int = 25)
     return best.withColumn("blend", 0.5 * spread("score") + 0.5 * F.coalesce(spread("second"), spread("score")))
 
 
-def pack_budget(hits: DataFrame, groups: list[str], text: str, score: str, key: str, budget: int, most: int = 150) -> DataFrame:
+def pack_budget(hits: DataFrame, groups: list[str], text: str, score: str, key: str, budget: int) -> DataFrame:
     """The best hits of each group that fit a token budget: in order of score, one that doesn't fit is skipped and the next tried.
 
-    This isn't a prefix sum, so the `most` best hits of a group are folded in one array.
+    This isn't a prefix sum, so it goes in rounds: of the hits of a group that fit what is left of its budget, the best budget + 1
+    are folded in one array.  As each costs something, no more than that can be kept; hits that didn't fit never will again.
     """
-    rank = F.row_number().over(W.partitionBy(*groups).orderBy(F.desc(score), key))
-    top = hits.withColumn("__rank", rank).filter(F.col("__rank") <= most)
-    item = F.struct("__rank", F.col(key).alias("key"), token_estimate(F.col(text)).cast("long").alias("cost"))
-    lists = top.groupBy(*groups).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<struct<key: bigint, cost: bigint>>)").alias("kept"))
+    cost = token_estimate(F.col(text)).cast("long")
+    names = {g: f"__g{i}" for i, g in enumerate(groups)}
+    items = hits.select(*[F.col(g).alias(n) for g, n in names.items()], F.col(score).alias("score"), F.col(key).alias("key"), cost.alias("cost"))
+    items = saved(items.withColumn("uid", F.monotonically_increasing_id()).filter(F.col("cost") <= budget))
+    kept = [items.filter("cost = 0").select(*names.values(), "key", "cost")]
+    rest = items.filter("cost > 0").withColumn("left", F.lit(budget).cast("long"))
+    start = "named_struct('left', left, 'kept', cast(array() as array<bigint>))"
 
     def step(acc, x):
-        fits = acc["used"] + x["cost"] <= budget
-        one = F.array(F.struct(x["key"].cast("long").alias("key"), x["cost"].alias("cost")))
-        return F.when(fits, F.struct((acc["used"] + x["cost"]).alias("used"), F.concat(acc["kept"], one).alias("kept"))).otherwise(acc)
-
-    kept = lists.select(*groups, F.explode(F.aggregate("items", start, step)["kept"]).alias("k"))
-    return kept.select(*groups, F.col("k.key").alias(key), F.col("k.cost").alias("tokens"))
+        taken = F.struct((acc["left"] - x["cost"]).alias("left"), F.concat(acc["kept"], F.array(x["uid"])).alias("kept"))
+        return F.when(x["cost"] <= acc["left"], taken).otherwise(acc)
+
+    while not rest.isEmpty():
+        rank = F.row_number().over(W.partitionBy(*names.values()).orderBy(F.desc("score"), "key", "cost", "uid"))
+        tried = saved(rest.withColumn("rank", rank).filter(F.col("rank") <= budget + 1))
+        lists = tried.groupBy(*names.values(), "left").agg(F.sort_array(F.collect_list(F.struct("rank", "uid", "cost"))).alias("items"))
+        folded = saved(lists.select(*names.values(), F.aggregate("items", F.expr(start), step).alias("f")))
+        taken = tried.join(folded.select(F.explode("f.kept").alias("uid")), "uid")
+        kept.append(taken.select(*names.values(), "key", "cost"))
+        now = folded.select(*[F.col(n).alias(f"{n}_") for n in names.values()], F.col("f.left").alias("left"))
+        same = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names.values()], F.lit(True))
+        fit = rest.drop("left").join(now, same).filter("cost <= left").select(rest.columns)
+        rest = saved(fit.join(tried.select("uid"), "uid", "left_anti"))
+    return reduce(DataFrame.union, kept).select(*[F.col(n).alias(g) for g, n in names.items()], F.col("key").alias(key), F.col("cost").alias("tokens"))
 
 
 def fingerprints(docs: DataFrame, kind: str, key: str, text: str = "text") -> DataFrame:

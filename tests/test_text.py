@@ -35,6 +35,24 @@ def test_packing_skips_what_does_not_fit(spark):
     assert sorted(r.id for r in text.pack_budget(rows, ["g"], "text", "score", "id", 10).collect()) == [1, 3]
 
 
+def test_packing_tries_every_hit(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(g, i, "x" * rng.choice((0, 3, 40, 400, 900, 2000)), rng.randrange(1500)) for g in ("a", "b", None) for i in range(700)]
+    rows += [("c", i, "x" * 4000, 5) for i in range(200)] + [("c", 1000, "xy", 1), ("c", 1001, None, 9)]
+    table = spark.createDataFrame(rows, "g string, id long, text string, score long")
+    want = []
+    for g in ("a", "b", "c", None):
+        left = 300
+        for _, i, t, s in sorted((r for r in rows if r[0] == g and r[2] is not None), key=lambda r: (-r[3], r[1])):
+            if (cost := -(-len(t) // 4)) <= left:
+                left -= cost
+                want.append((g, i, cost))
+    got = [tuple(r) for r in text.pack_budget(table, ["g"], "text", "score", "id", 300).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and ("c", 1000, 1) in got
+
+
 def test_most_similar_of_all(spark):
     texts = [(i, None if i % 7 == 0 else "de" if i % 3 else "en", " ".join(f"w{(i * k) % (11 + i % 5)}" for k in range(1, 12)) if i % 10 else "") for i in range(900)]
     docs = spark.createDataFrame(texts, "doc_id long, lang string, text string")
