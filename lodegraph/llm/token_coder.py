@@ -1,27 +1,31 @@
 """Token ids as binary files: an adaptive context-mixing range coder over independent blocks.
 
-Each block is coded on its own, from a fresh model, and carries a checksum of its ids.  For every id the model looks at
-which id last followed the two ids before (order 2) and the one id before (order 1).  How likely each of these is right is mixed
-from two adaptive estimates, one for whether the two agree and what happened at the last ids, one for how often this order-2
-context was right.  An id that neither predicts is coded with the block's own counts of high bytes so far (order 0) and
-its low byte.  All this drives one range coder: 12 bits for which prediction, 12 for the high byte, 8 for the low byte.
-
-Numpy codes many blocks side by side, one id of each at a time; the blocks know nothing of each other, so a reader may
-decode any of them alone.  Files hold documents in ascending order of id: rows are range-partitioned and sorted,
-each task writes the blocks of its range, and block headers say which documents end where.
-
-Defined cases: a null text is the end id alone; repeated rows follow each other; an empty table gives no blocks and an empty
-result; ids must be below 2**16; extra columns are ignored; a block whose ids don't have its checksum is an error.
+Each block is coded on its own, from a fresh model, and carries a checksum of its ids.  Its header lists which ids occur in it;
+the coder sees them as codes 0, 1, 2, ...  For every id three models speak: order 2 and order 1 each name the id that last
+followed the two ids (the one id) before, order 0 gives every code of the block a share by how often it came so far.  How
+far orders 2 and 1 are to be trusted is a logistic mix of two adaptive estimates (how often a context this sure was right, and
+what happened at the last ids); its weights are learned as the block goes, for each order on its own.  What they leave is
+shared out by order 0.  So every id is one step of one range coder, with 12 bits for who was right and 15 for order 0.
+
+All arithmetic is on whole numbers, so a file reads the same on every machine.  Numpy codes many blocks side by side, one id
+of each at a time; the blocks know nothing of each other, so a reader may decode any of them alone.
+
+Files hold documents in ascending order of id: cuts of the ids deal documents to ranges, ids of tokens (not texts) are shuffled
+by range and sorted, each task writes the blocks of its ranges, and block headers say which documents end where.
+
+Defined cases: a null text is the end id alone; rows with a null id come first; repeated rows follow each other, and an id
+that very many rows share spreads over several ranges; ids of any size up to 32 bits; an empty table gives no blocks
+and an empty result; extra columns are ignored; a block whose ids don't have its checksum is an error.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,215 +33,386 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import small, written
 from lodegraph.llm.tokens import encoder
 
-BLOCK_IDS = 2_048
+BLOCK_IDS = 8_192
 #: Blocks that are coded side by side.
-LANES = 4_096
-SLOTS = 1_024
-RENEW = 128
-ONE, LEAST = 12, np.uint64(1 << 32)
+LANES = 1_024
+#: A range holds about so many bytes of text, but there are never more than MOST_RANGES: a task streams through its range.
+RANGE_BYTES, MOST_RANGES = 20_000_000, 20_000
+SLOTS = 4_096
+ONE, WHOLE = 12, 15
+LEAST, SIXTEEN, LOW, HIGH = np.uint64(1 << 32), np.uint64(16), np.uint64(0xFFFFFFFF), np.uint64(32)
+BASE = np.uint64(ONE + WHOLE)
+_p = np.arange(1 << ONE) + 0.5
+STRETCH = np.clip(np.round(256 * np.log(_p / ((1 << ONE) - _p))), -2047, 2047).astype(np.int64)
+SQUASH = np.clip(np.round((1 << ONE) / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 24, (1 << ONE) - 48).astype(np.int64)
+HIST = np.array([(h << 1 & 7) | k for h in range(8) for k in (0, 1)])
+UP = np.array([0, 0, 0, 0, 1, 2, 3, 3])  # level after a miss, after a hit
 
 
 class Model:
-    """The adaptive state of many blocks; all arrays are flat, with a lane's part at lane * width."""
+    """The adaptive state of many blocks, a lane each; sizes: how many codes each block has."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, sizes: list[int]):
+        self.sizes = np.asarray(sizes)
+        lanes, self.width = len(sizes), int(max(sizes))
         self.lane = np.arange(lanes)
-        self.two, self.one = np.zeros(lanes * SLOTS, np.uint16), np.zeros(lanes * SLOTS, np.uint16)
-        self.sure = np.zeros(lanes * SLOTS, np.uint8)
-        # Estimates that order 2, then order 1 is right: by what happened lately, and by how sure the order-2 context is.
-        self.lately = np.full((2, lanes * 16), 1 << 10, np.int32)
-        self.known = np.full((2, lanes * 8), 1 << 10, np.int32)
+        # What came last, as code * 4 + how sure: all slots of order 2, then those of order 1.
+        self.tab = np.zeros(lanes * (SLOTS + self.width), np.int32)
+        self.at = np.stack([self.lane * SLOTS, lanes * SLOTS + self.lane * self.width])
+        self.at1, self.at0 = self.lane * self.width, self.lane * (self.width + 1)
+        self.count = (np.arange(self.width) < self.sizes[:, None]).astype(np.int32)
+        self.flat = self.count.reshape(-1)
+        # How often the named id was right, by [estimate, order, lane, context]; estimates: sureness, last hits.
+        self.shares = np.full(4 * lanes * 16, 1 << 9, np.int64)
+        self.base = (np.arange(4).reshape(2, 2, 1) * lanes + self.lane) * 16
+        self.weight = np.full((2, 2, lanes), 40_000, np.int64)
+        self.ctx = np.zeros((2, 2, lanes), np.int64)
+        self.ix = np.zeros((2, lanes), np.int64)
+        self.hist = np.zeros(lanes, np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.seen = np.zeros(lanes, np.int64)
-        self.count = np.ones((lanes, 256), np.int32)
+        self.cum = np.zeros((lanes, self.width + 1), np.int64)
+        self.cflat = self.cum.reshape(-1)
+        self.step, self.due = 0, 16
         self.renew()
 
     def renew(self) -> None:
-        """Order-0 frequencies of high bytes, 2**ONE in sum, from the counts so far."""
-        total = self.count.sum(1, keepdims=True)
-        freq = 1 + self.count * ((1 << ONE) - 256) // total
-        freq[:, 0] += (1 << ONE) - freq.sum(1, dtype=np.int32)
-        self.cum = np.zeros((len(freq), 257), np.int32)
+        """Order 0 from the counts so far: cumulative shares of 2**WHOLE, at least 1 for each code of the block."""
+        free = ((1 << WHOLE) - self.sizes)[:, None]
+        total = self.count.sum(1, dtype=np.int64, keepdims=True)
+        freq = self.count * (free * 65536 // total)
+        freq >>= 16
+        freq += 1
         np.cumsum(freq, axis=1, out=self.cum[:, 1:])
-        self.flat = self.cum.reshape(-1)
-        self.row = self.lane * 257
+        for i, s in enumerate(self.sizes):
+            self.cum[i, s:] = 1 << WHOLE
 
     def look(self) -> tuple[np.ndarray, ...]:
-        """(id of order 2, id of order 1, share of order 2, share of order 1), shares of 2**ONE, with room for an escape."""
-        self.i2 = self.lane * SLOTS + ((self.last * 40503 + self.before * 30011 >> 4) & (SLOTS - 1))
-        self.i1 = self.lane * SLOTS + ((self.last * 25173 >> 3) & (SLOTS - 1))
-        a, b = self.two[self.i2], self.one[self.i1]
-        self.same = a == b
-        self.level = np.minimum(self.sure[self.i2], 3)
-        self.c0 = self.lane * 16 + self.seen * 2 + self.same
-        self.c1 = self.lane * 8 + self.level * 2 + self.same
-        p2 = self.lately[0][self.c0] + self.known[0][self.c1] >> 1
-        p1 = self.lately[1][self.c0] + self.known[1][self.c1] >> 1
-        p1 = np.where(self.same, 0, ((1 << ONE) - p2) * p1 >> ONE)
-        return a, b, p2, np.minimum(p1, (1 << ONE) - 1 - p2)
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, live: np.ndarray, step: int) -> None:
-        for order, hit, told in ((0, hit2, live), (1, hit1, live & ~hit2 & ~self.same)):
-            for table, at in ((self.lately[order], self.c0), (self.known[order], self.c1)):
-                p = table[at]
-                table[at] = np.clip(p + np.where(told, (np.where(hit, 1 << ONE, 0) - p) >> 4, 0), 32, (1 << ONE) - 64)
-        self.sure[self.i2] = np.where(hit2, self.level + 1, 0)
-        self.two[self.i2] = ids
-        self.one[self.i1] = ids
-        self.seen = (self.seen << 1 & 7) | (hit2 | hit1)
-        self.before, self.last = self.last, ids.astype(np.int64)
-        new = np.flatnonzero(live & ~hit2 & ~hit1)
-        self.count[new, ids[new] >> 8] += 24
-        if step % RENEW == RENEW - 1:
+        """(id of order 2, id of order 1, share of order 2, share of order 1), shares of 2**ONE, with room for order 0."""
+        ix, ctx = self.ix, self.ctx
+        h = self.last * 40503
+        h += self.before * 30011
+        h >>= 3
+        h &= SLOTS - 1
+        ix[0] = h
+        ix[1] = self.last
+        ix += self.at
+        self.got = got = self.tab.take(ix, mode="clip").astype(np.int64)
+        self.codes = codes = got >> 2
+        same = self.same = codes[0] == codes[1]
+        self.level = got & 3
+        np.add(self.level, self.level, out=ctx[0])
+        np.add(self.hist, self.hist, out=ctx[1, 0])
+        ctx[1, 1] = ctx[1, 0]
+        ctx += same
+        ctx += self.base
+        self.known = self.shares.take(ctx, mode="clip")
+        self.s = s = STRETCH.take(self.known, mode="clip")
+        z = s * self.weight
+        z = z[0] + z[1]
+        z >>= 16
+        z += 2048
+        self.p = p = SQUASH.take(z, mode="clip")
+        p1 = ((1 << ONE) - p[0]) * p[1]
+        p1 >>= ONE
+        np.maximum(p1, 1, out=p1)
+        p1 *= ~same
+        return codes[0], codes[1], p[0], p1
+
+    def learn(self, x: np.ndarray, hits: np.ndarray) -> None:
+        """x: the codes that came; hits: whether order 2, whether order 1 had named them."""
+        goal = hits * (1 << ONE)
+        err = goal - self.p
+        told = ~(hits[0] | self.same)
+        err[1] *= told
+        step = self.s * err
+        step >>= 10
+        self.weight += step
+        d = goal - self.known
+        d[:, 1] *= told
+        d >>= 4
+        d += self.known
+        self.shares[self.ctx] = d
+        self.level += hits * 4
+        new = UP.take(self.level, mode="clip")
+        new += x << 2
+        self.tab[self.ix] = new
+        self.flat[self.at1 + x] += 24
+        self.hist += self.hist
+        self.hist += hits[0] | hits[1]
+        self.hist &= 7
+        self.before, self.last = self.last, x
+        self.step += 1
+        if self.step == self.due:
             self.renew()
+            self.due += min(self.due, 1024)
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    lanes, size = len(blocks), np.array([len(b) for b in blocks])
-    width = int(size.max())
+def encode_blocks(blocks: list[np.ndarray], sizes: list[int]) -> list[bytes]:
+    """The coded bytes of each block of codes; sizes: how many codes each has."""
+    lanes, n = len(blocks), np.array([len(b) for b in blocks])
+    width, least = int(n.max()), int(n.min())
     ids = np.zeros((width, lanes), np.uint16)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
-    model, lane = Model(lanes), np.arange(lanes)
+    m, lane = Model(sizes), np.arange(lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 47, np.uint64)
-    words, used = np.zeros((lanes, 2 * width + 8), np.int32), np.zeros(lanes, np.int64)
-    one, sixteen = np.uint64(ONE), np.uint64(16)
+    words, used = np.zeros((lanes, width * 3 // 4 + 64), np.int32), np.zeros(lanes, np.int64)
     for step in range(width):
-        x, live = ids[step], size > step
-        a, b, p2, p1 = model.look()
-        hit2 = live & (x == a)
-        hit1 = live & ~hit2 & (x == b)
-        lit = live & ~hit2 & ~hit1
-        start = np.where(hit2, 0, np.where(hit1, p2, p2 + p1)).astype(np.uint64)
-        freq = np.where(hit2, p2, np.where(hit1, p1, (1 << ONE) - p2 - p1)).astype(np.uint64)
-        r = rng >> one
-        low, rng = low + np.where(live, r * start, 0).astype(np.uint64), np.where(live, r * freq, rng)
-        at = model.row + (x >> 8)
-        c0 = model.flat[at].astype(np.uint64)
-        f0 = model.flat[at + 1].astype(np.uint64) - c0
-        r = rng >> one
-        r2 = r * f0 >> np.uint64(8)
-        low = low + np.where(lit, r * c0 + r2 * (x & 255), 0).astype(np.uint64)
-        rng = np.where(lit, r2, rng)
-        while len(short := np.flatnonzero(rng < LEAST)):
-            words[short, used[short]] = low[short] >> np.uint64(32)
-            used[short] += 1
-            low[short] = (low[short] & np.uint64(0xFFFFFFFF)) << sixteen
-            rng[short] <<= sixteen
-        model.learn(x, hit2, hit1, live, step)
+        x = ids[step].astype(np.int64)
+        a, b, p2, p1 = m.look()
+        hits = x == m.codes
+        at = m.at0 + x
+        c = m.cflat.take(at, mode="clip")
+        at += 1
+        f = m.cflat.take(at, mode="clip")
+        f -= c
+        both = p2 + p1
+        esc = (1 << ONE) - both
+        two, one = hits[0], hits[1]
+        start = np.where(two, 0, np.where(one, p2 << WHOLE, (both << WHOLE) + esc * c)).view(np.uint64)
+        freq = np.where(two, p2 << WHOLE, np.where(one, p1 << WHOLE, esc * f)).view(np.uint64)
+        r = rng >> BASE
+        if step >= least:
+            live = n > step
+            low += np.where(live, r * start, 0).astype(np.uint64)
+            rng = np.where(live, r * freq, rng)
+        else:
+            start *= r
+            low += start
+            rng = r * freq
+        short = np.flatnonzero(rng < LEAST)
+        while len(short):
+            u = used[short]
+            if step & 255 == 0 and u.max() >= words.shape[1] - 600:
+                words = np.concatenate([words, np.zeros_like(words)], 1)
+            lo = low[short]
+            words[short, u] = lo >> HIGH
+            used[short] = u + 1
+            low[short] = (lo & LOW) << SIXTEEN
+            g = rng[short] << SIXTEEN
+            rng[short] = g
+            short = short[g < LEAST]
+        m.learn(x, hits)
     for _ in range(3):
-        words[lane, used] = low >> np.uint64(32)
+        words[lane, used] = low >> HIGH
         used += 1
-        low = (low & np.uint64(0xFFFFFFFF)) << sixteen
+        low = (low & LOW) << SIXTEEN
     for j in range(words.shape[1] - 1, 0, -1):  # words may have one bit too many: carry it
         words[:, j - 1] += words[:, j] >> 16
     out = (words & 0xFFFF).astype("<u2")
     return [out[i, : used[i]].tobytes() for i in range(lanes)]
 
 
-def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    lanes, size = len(payloads), np.array(sizes)
-    width, longest = int(size.max()), max(map(len, payloads)) // 2
-    words = np.zeros((lanes, longest + 4), np.uint64)
+def decode_blocks(payloads: list[bytes], counts: list[int], sizes: list[int]) -> list[np.ndarray]:
+    """The codes of each block; counts: how many it holds."""
+    lanes, n = len(payloads), np.array(counts)
+    width, longest = int(n.max()), max(map(len, payloads)) // 2
+    words = np.zeros((lanes, longest + 4), np.uint16)
     for i, p in enumerate(payloads):
         words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-    model = Model(lanes)
-    code, rng = words[:, 0] << np.uint64(32) | words[:, 1] << np.uint64(16) | words[:, 2], np.full(lanes, 1 << 47, np.uint64)
-    used = np.full(lanes, 3)
+    flat, nxt = words.reshape(-1), np.arange(lanes) * (longest + 4) + 3
+    m = Model(sizes)
+    first = words[:, :3].astype(np.uint64)
+    code, rng = first[:, 0] << HIGH | first[:, 1] << SIXTEEN | first[:, 2], np.full(lanes, 1 << 47, np.uint64)
     ids = np.zeros((width, lanes), np.uint16)
-    one, sixteen = np.uint64(ONE), np.uint64(16)
+    key = np.arange(lanes, dtype=np.int64) << (WHOLE + 1)
+    hunt_at, least, top = 0, int(n.min()), np.uint64((1 << (ONE + WHOLE)) - 1)
     for step in range(width):
-        live = size > step
-        a, b, p2, p1 = model.look()
-        r = rng >> one
-        c2, c1 = r * p2.astype(np.uint64), r * (p2 + p1).astype(np.uint64)
-        hit2 = live & (code < c2)
-        hit1 = live & ~hit2 & (code < c1)
-        lit = live & ~hit2 & ~hit1
-        freq = np.where(hit2, p2, np.where(hit1, p1, (1 << ONE) - p2 - p1)).astype(np.uint64)
-        code = code - np.where(lit, c1, np.where(hit1, c2, 0)).astype(np.uint64)
-        rng = np.where(live, r * freq, rng)
-        r = rng >> one
-        v = np.minimum(code // np.maximum(r, np.uint64(1)), np.uint64((1 << ONE) - 1)).astype(np.int32)
-        high = np.zeros(lanes, np.int64)
-        for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-            high += np.where(model.flat[model.row + high + bit] <= v, bit, 0)
-        c0 = model.flat[model.row + high].astype(np.uint64)
-        f0 = model.flat[model.row + high + 1].astype(np.uint64) - c0
-        r2 = r * f0 >> np.uint64(8)
-        rest = code - r * c0
-        small = np.minimum(rest // np.maximum(r2, np.uint64(1)), np.uint64(255))
-        code = np.where(lit, rest - r2 * small, code)
-        rng = np.where(lit, r2, rng)
-        x = np.where(hit2, a, np.where(hit1, b, np.where(lit, (high << 8 | small.astype(np.int64)), 0))).astype(np.uint16)
+        a, b, p2, p1 = m.look()
+        r = rng >> BASE
+        v = np.minimum(code // r, top).view(np.int64)
+        both = p2 + p1
+        e2, e1 = p2 << WHOLE, both << WHOLE
+        two = v < e2
+        one = v < e1
+        one &= ~two
+        esc = (1 << ONE) - both
+        if m.step == hunt_at:
+            hunt = (m.cum + key[:, None]).reshape(-1)
+            hunt_at = m.due
+        v -= e1
+        np.maximum(v, 0, out=v)
+        v //= esc
+        v += key
+        at = hunt.searchsorted(v, side="right")
+        f = m.cflat.take(at, mode="clip")
+        at -= 1
+        c = m.cflat.take(at, mode="clip")
+        f -= c
+        at -= m.at0
+        x = np.where(two, a, np.where(one, b, at))
+        start = np.where(two, 0, np.where(one, e2, e1 + esc * c)).view(np.uint64)
+        freq = np.where(two, e2, np.where(one, e1 - e2, esc * f)).view(np.uint64)
+        if step >= least:
+            live = n > step
+            x = np.where(live, x, 0)
+            code = np.where(live, code - r * start, code)
+            rng = np.where(live, r * freq, rng)
+        else:
+            start *= r
+            code -= start
+            rng = r * freq
         ids[step] = x
-        while len(short := np.flatnonzero(rng < LEAST)):
-            code[short] = code[short] << sixteen | words[short, np.minimum(used[short], longest)]
-            used[short] += 1
-            rng[short] <<= sixteen
-        model.learn(x, hit2, hit1, live, step)
-    return [ids[:n, i].astype("<u4") for i, n in enumerate(sizes)]
-
-
-SCHEMA = "part int, block int, before long, n int, crc32 long, first_doc int, lead int, doc_ids array<long>, ends array<int>, payload binary"
-
-
-def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
+        short = np.flatnonzero(rng < LEAST)
+        while len(short):
+            u = nxt[short]
+            code[short] = code[short] << SIXTEEN | flat.take(u, mode="clip")
+            nxt[short] = u + 1
+            g = rng[short] << SIXTEEN
+            rng[short] = g
+            short = short[g < LEAST]
+        m.learn(x, x == m.codes)
+    return [ids[:k, i] for i, k in enumerate(counts)]
+
+
+def alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different ids, ascending; each id's place among them)."""
+    if int(ids.max()) >= 1 << 16:
+        found, codes = np.unique(ids, return_inverse=True)
+        return found, codes.astype(np.uint16)
+    place = np.zeros(1 << 16, np.uint16)
+    place[ids] = 1
+    found = np.flatnonzero(place)
+    place[found] = np.arange(len(found))
+    return found, place.take(ids)
+
+
+def gaps_out(ascending: np.ndarray) -> bytes:
+    """Ascending whole numbers as gaps, seven bits to a byte, the high bit where a gap goes on."""
+    gap = np.diff(ascending.astype(np.int64), prepend=-1) - 1
+    n = 1 + sum((gap >= 1 << s).astype(np.int64) for s in (7, 14, 21, 28))
+    start = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), np.uint8)
+    for k in range(int(n.max(initial=0))):
+        some = n > k
+        out[start[some] + k] = (gap[some] >> 7 * k & 127) | np.where(n[some] > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def gaps_in(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8).astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], b[:-1] < 128]))
+    k = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+    return np.cumsum(np.add.reduceat((b & 127) << 7 * k, start) + 1) - 1
+
+
+#: A block as a row of the files.
+SCHEMA = (
+    "part int, block int, before long, n int, crc32 long, first_doc int, lead int, doc_ids array<long>, ends array<int>, "
+    "size int, alphabet binary, payload binary"
+)
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+KINDS = [
+    pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()),
+    pa.int32(), pa.binary(), pa.binary(),
+]
+
+
+def range_cuts(docs: DataFrame, ranges: int | None = None) -> np.ndarray:
+    """Ascending ids that cut docs into ranges of about RANGE_BYTES of text; an id with very many rows is a cut more than once."""
+    if ranges is None:
+        total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")) + 1)).first()[0] or 0
+        ranges = min(MOST_RANGES, max(1, math.ceil(total / RANGE_BYTES)))
+    if ranges == 1:
+        return np.zeros(0, np.int64)
+    at = [i / ranges for i in range(1, ranges)]
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    found = docs.agg(F.percentile_approx(id_, at, max(10_000, 20 * ranges))).first()[0]
+    return np.array(found or [], np.int64)
+
+
+def token_rows(docs: DataFrame, tokenizer: str, end_id: int, cuts: np.ndarray) -> DataFrame:
+    """(part, doc_id, wide, ids): each document's ids with the end id, two bytes each, four if wide."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("text").alias("spread"))
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = encoder(tokenizer)
+        end = np.array([end_id], "<u4").tobytes()
+        for batch in small(batches):
+            key = batch.column(0).fill_null(-(1 << 63)).to_numpy()
+            low, high = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
+            part = low + batch.column(2).to_numpy(zero_copy_only=False) % np.maximum(1, high - low)
+            wide, ids = [], []
+            for text in batch.column(1):
+                x = np.frombuffer(of.ids(text.as_py()) + end, "<u4")
+                wide.append(bool(x.max() >= 1 << 16))
+                ids.append(x.tobytes() if wide[-1] else x.astype("<u2").tobytes())
+            cols = [pa.array(part, pa.int32()), batch.column(0), pa.array(wide, pa.bool_()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "doc_id", "wide", "ids"])
+
+    return rows.mapInArrow(tokenise, "part int, doc_id long, wide boolean, ids binary")
+
+
+class Writer:
+    """Cuts the ids of documents into blocks; a range's blocks are numbered from 0 and follow each other."""
+
+    def __init__(self):
+        self.ready: list[tuple] = []
+        self.part, self.held = None, 0
+
+    def start(self, part: int) -> None:
+        self.finish()
+        self.part, self.done, self.doc_no, self.lead = part, 0, 0, 0
+        self.ids, self.doc_ids, self.ends = [], [], []
+
+    def add(self, doc: int | None, x: np.ndarray) -> None:
+        while True:
+            take = min(len(x), BLOCK_IDS - self.held)
+            self.ids.append(x[:take])
+            self.held += take
+            self.doc_ids.append(doc)
+            self.ends.append(self.held)
+            x = x[take:]
+            if self.held == BLOCK_IDS:
+                self._close(self.doc_no, len(x) > 0)
+            if not len(x):
+                break
+        self.doc_no += 1
+
+    def finish(self) -> None:
+        if self.held:
+            self._close(self.doc_no - 1, False)
+
+    def _close(self, last: int, unfinished: bool) -> None:
+        """The block up to document number `last` of the range."""
+        whole = np.concatenate(self.ids).astype("<u4")
+        head = (self.part, self.done, self.done * BLOCK_IDS, self.held, zlib.crc32(whole.tobytes()), last - len(self.doc_ids) + 1)
+        self.ready.append((*head, self.lead, self.doc_ids, self.ends, *alphabet(whole)))
+        self.lead = (self.lead + 1 if len(self.doc_ids) == 1 else 1) if unfinished else 0
+        self.ids, self.doc_ids, self.ends, self.done, self.held = [], [], [], self.done + 1, 0
+
+    def blocks(self, least: int) -> Iterator[pa.RecordBatch]:
+        """What is ready, LANES blocks at a time, as long as there are `least`."""
+        while len(self.ready) >= least and self.ready:
+            some, self.ready = self.ready[:LANES], self.ready[LANES:]
+            sizes = [len(r[-2]) for r in some]
+            payloads = encode_blocks([r[-1] for r in some], sizes)
+            cols = [*map(list, zip(*(r[:-2] for r in some))), sizes, [gaps_out(r[-2]) for r in some], payloads]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KINDS)], names=NAMES)
+
+
+def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, ranges: int | None = None) -> DataFrame:
     """Encode docs in ascending order of id and write the files; the blocks as read back, see SCHEMA.
 
     A block holds BLOCK_IDS ids (the last of a range fewer), `before` ids of its range come before it; doc_ids are those of
     the documents with ids in it, from number first_doc of the range on, and ends says where each ends in the block; the first
     of them has `lead` earlier blocks.
     """
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    end = np.array([end_id], "<u4").tobytes()
+    cuts = range_cuts(docs, ranges)
+    rows = token_rows(docs, tokenizer, end_id, cuts)
+    rows = rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, names = encoder(tokenizer).ids, TaskContext.get().partitionId(), [x.split()[0] for x in SCHEMA.split(", ")]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-        ready: list[tuple] = []
-        ids, doc_ids, ends, done, doc_no, lead, held = [], [], [], 0, 0, 0, 0
-
-        def close(last: int, unfinished: bool) -> None:
-            """The block up to document number `last`."""
-            nonlocal ids, doc_ids, ends, done, lead, held
-            whole = np.concatenate(ids)
-            ready.append((part, done, done * BLOCK_IDS, held, zlib.crc32(whole.tobytes()), last - len(doc_ids) + 1, lead, doc_ids, ends, whole))
-            lead = (lead + 1 if len(doc_ids) == 1 else 1) if unfinished else 0
-            ids, doc_ids, ends, done, held = [], [], [], done + 1, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if ready:
-                payloads = encode_blocks([r[-1] for r in ready])
-                cols = [*map(list, zip(*(r[:-1] for r in ready))), payloads]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-                ready.clear()
-
+        out = Writer()
         for batch in small(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(ids_of(text.as_py()) + end, "<u4")
-                if x.max() >= 1 << 16:
-                    raise ValueError("ids must be below 65536")
-                while True:
-                    take = min(len(x), BLOCK_IDS - held)
-                    ids.append(x[:take])
-                    held += take
-                    doc_ids.append(doc)
-                    ends.append(held)
-                    x = x[take:]
-                    if held == BLOCK_IDS:
-                        close(doc_no, len(x) > 0)
-                        if len(ready) == LANES:
-                            yield from flush()
-                    if not len(x):
-                        break
-                doc_no += 1
-        if held:
-            close(doc_no - 1, False)
-        yield from flush()
+            for part, doc, wide, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != out.part:
+                    out.start(part)
+                out.add(doc, np.frombuffer(ids, "<u4" if wide else "<u2"))
+            yield from out.blocks(LANES)
+        out.finish()
+        yield from out.blocks(1)
 
     return written(rows.mapInArrow(code, SCHEMA), "token-blocks", compression="none")
 
@@ -252,14 +427,16 @@ def read_blocks(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
             for i in range(0, batch.num_rows, LANES):
                 rows = batch.slice(i, LANES).to_pylist()
                 out: list[list] = [[] for _ in names]
-                for r, ids in zip(rows, decode_blocks([r["payload"] for r in rows], [r["n"] for r in rows])):
-                    if zlib.crc32(ids.tobytes()) != r["crc32"]:
+                codes = decode_blocks([r["payload"] for r in rows], [r["n"] for r in rows], [r["size"] for r in rows])
+                for r, c in zip(rows, codes):
+                    ids = gaps_in(r["alphabet"]).astype("<u4").take(c).tobytes()
+                    if zlib.crc32(ids) != r["crc32"]:
                         raise ValueError(f"block {r['block']} of part {r['part']} is damaged")
                     at = 0
                     for k, (doc, stop) in enumerate(zip(r["doc_ids"], r["ends"])):
-                        own = ids[at:stop].tobytes()
-                        values = (r["part"], r["first_doc"] + k, doc, r["lead"] if not k else 0, r["before"] + at, stop - at, zlib.crc32(own), own)
-                        for column, v in zip(out, values):
+                        own = ids[4 * at : 4 * stop]
+                        head = (r["part"], r["first_doc"] + k, doc, r["lead"] if not k else 0)
+                        for column, v in zip(out, (*head, r["before"] + at, stop - at, zlib.crc32(own), own)):
                             column.append(v)
                         at = stop
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)

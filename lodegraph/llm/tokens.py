@@ -11,6 +11,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -20,12 +21,15 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 CLOSERS = frozenset(".,;:!?|*%&$#")
 
+#: Where each kind of tokenizer cuts a chunk of ASCII characters without apostrophes (fixed values).
+PARTS = {"spaced": re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+"), "words": re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")}
 
-def _byte_letters() -> list[str]:
+
+def _byte_letters() -> dict[int, int]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     hidden = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+    return {b: b if b in shown else next(hidden) for b in range(256)}
 
 
 class Encoder:
@@ -36,6 +40,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole, self.entries, self.letters = Tokenizer.from_file(path), entries, _byte_letters()
+        model = self.whole.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # what is asked for here is new to it, so a cache of its own only costs
+        self.pieces = model.tokenize
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.marks = [t["content"] for t in spec.get("added_tokens", [])]
@@ -63,14 +71,21 @@ class Encoder:
 
     def _letters(self, text: str) -> bytes:
         """Of text that is one piece for the model."""
-        found = self.whole.model.tokenize("".join([self.letters[b] for b in text.encode()]))
-        return np.array([t.id for t in found], dtype="<u4").tobytes()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.letters)
+        elif text[0] == " ":
+            text = chr(self.letters[32]) + text[1:]
+        return array("I", [t.id for t in self.pieces(text)]).tobytes()
 
     def _chunk(self, chunk) -> bytes:
         text = chunk if self.kind == "spaced" else chunk.decode()
         core = text[1:] if self.kind == "spaced" and text[0] == " " else text
         end = core[-1:] if core[-1:] in CLOSERS else ""
         body = core[: len(core) - len(end)]
+        if len(chunk) <= 200 and core.isascii() and core.isprintable() and "'" not in core and core:
+            # Letters, digits and other signs part; a byte-level tokenizer leaves the space with the first.
+            found = PARTS[self.kind].findall(text if self.kind == "spaced" else text.lower())
+            return b"".join(map(self._letters, found))
         if len(chunk) > 200 or not body.isalpha():
             return self._encode(text)
         if self.kind == "words":

@@ -70,16 +70,41 @@ def test_files_hold_the_ids_themselves(spark, docs):
     for _, _, _, at, doc, ids in parts:
         by_doc[doc].append((at, ids))
     assert {d: b"".join(x for _, x in sorted(v)) for d, v in by_doc.items()} == {i: packed([*plain(BYTES, t), 0]) for i, t in pairs_of(docs)}
-    raw = sum(len(p[-1]) for p in parts)
-    assert sum(len(r.payload) for r in blocks.select("payload").collect()) < raw / 2
+
+
+def test_blocks_are_smaller_than_zlib_makes_them(spark):
+    """Of whole blocks, with their headers, at zlib's best level on two-byte ids."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    blocks = token_coder.write_blocks(table, BYTES, 0, ranges=1)
+    sizes = {r.block: len(r.payload) + len(r.alphabet) for r in blocks.filter(f"n = {token_coder.BLOCK_IDS}").collect()}
+    ids = [r.ids for r in token_coder.read_blocks(blocks, with_ids=True).orderBy("at").collect()]
+    whole, n = np.frombuffer(b"".join(ids), "<u4").astype("<u2"), token_coder.BLOCK_IDS
+    plain_ = {b: len(zlib.compress(whole[b * n : (b + 1) * n].tobytes(), 9)) for b in sizes}
+    assert len(sizes) > 50 and sum(sizes.values()) < 0.97 * sum(plain_.values())
+    print("bits an id", 8 * sum(sizes.values()) / n / len(sizes), "zlib", 8 * sum(plain_.values()) / n / len(sizes))
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.one_of(st.integers(0, 5), st.integers(0, 65535)), min_size=1, max_size=300), min_size=1, max_size=8))
+@given(st.lists(st.lists(st.one_of(st.integers(0, 5), st.integers(0, 65535), st.integers(0, 2**32 - 1)), min_size=1, max_size=300), min_size=1, max_size=8))
 def test_coder_round_trip(blocks):
     blocks = [np.array(b, np.uint32) for b in blocks]
-    back = token_coder.decode_blocks(token_coder.encode_blocks(blocks), [len(b) for b in blocks])
-    assert all(np.array_equal(a, b) for a, b in zip(blocks, back))
+    found, codes = zip(*map(token_coder.alphabet, blocks))
+    sizes = [len(f) for f in found]
+    back = token_coder.decode_blocks(token_coder.encode_blocks(list(codes), sizes), [len(b) for b in blocks], sizes)
+    heads = [token_coder.gaps_in(token_coder.gaps_out(f)) for f in found]
+    assert all(np.array_equal(a, h[b]) for a, h, b in zip(blocks, heads, back))
+
+
+def test_hot_id_spreads_over_ranges(spark):
+    rows = [(7 if k % 3 else k, f"text {k} of {k * k}") for k in range(300)] + [(None, "a"), (None, "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts = token_coder.range_cuts(table, 12)
+    assert list(cuts) == sorted(cuts)
+    blocks = token_coder.write_blocks(table, BYTES, 0, ranges=12)
+    assert blocks.filter("array_contains(doc_ids, 7L)").select("part").distinct().count() > 3
+    got = token_coder.document_ids(blocks).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted([r[0] for r in rows], key=lambda i: -1 if i is None else i)
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in got) == sorted((i or -1, len(x := [*plain(BYTES, t), 0]), zlib.crc32(packed(x))) for i, t in rows)
 
 
 def test_damaged_block_is_an_error(spark, docs):
