@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,22 +16,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  Only where the session names none (as in tests) is one made."""
+    """The folder all executors share, spark.checkpoint.dir; a session on one machine may do without the setting."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodegraph-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: The scopes that are open.
+_open: list[Scratch] = []
+
+
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, so lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].paths.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A scope at whose end all that written() wrote in it is deleted, but for the last table."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.pop()
+        for path in self.paths[:-1]:
+            self.delete(path)
+
+    def delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small(batches, rows: int = 256):
     """Arrow batches a few rows at a time: what a task holds as Python objects stays small, however Spark cuts its batches."""
     for batch in batches:
@@ -47,32 +76,48 @@ def hash_bucket(column, bits: int):
     return F.shiftrightunsigned(F.xxhash64(column), 64 - bits).cast("int")
 
 
-#: A fixed filter has 2**FILTER_BITS bits (1 MB), sent as pieces of 4 KB, whatever the number of keys.
-FILTER_BITS, PIECE_BITS = 23, 15
+#: A filter has FILTER_RATE bits a key, between these powers of two (16 MB at most), sent as pieces of 4 KB.
+FILTER_RATE, LEAST_BITS, MOST_BITS, PIECE_BITS = 16, 18, 27, 15
 
 
-def fixed_filter(keys: DataFrame, column: str) -> DataFrame:
-    """(piece, bits): a bitmap of the hashes of a column; at most 2**(FILTER_BITS - PIECE_BITS) rows."""
-    at = hash_bucket(column, FILTER_BITS)
-    return (
-        keys.select(F.shiftright(at, PIECE_BITS).alias("piece"), at.bitwiseAND((1 << PIECE_BITS) - 1).alias("bit"))
-        .groupBy("piece")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
-    )
+@dataclass
+class Filter:
+    """A bitmap of hashes: (piece, map), 2**(bits - PIECE_BITS) pieces at most."""
+
+    pieces: DataFrame
+    bits: int
+
+
+def sized_filter(keys: DataFrame, column: str, most_bits: int = MOST_BITS) -> Filter:
+    """A filter of the values of a column.  Beyond 2**most_bits / FILTER_RATE keys it lets more and more through: it
+    only ever spares work, the join behind it decides."""
+    bits = min(most_bits, max(LEAST_BITS, (FILTER_RATE * keys.count()).bit_length()))
+    at = hash_bucket(column, bits)
+    places = keys.select(F.shiftright(at, PIECE_BITS).alias("piece"), at.bitwiseAND((1 << PIECE_BITS) - 1).alias("bit"))
+    return Filter(places.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("map")), bits)
 
 
-def marked(df: DataFrame, column: str, filter_: DataFrame) -> DataFrame:
-    """df with `maybe`: whether the filter may hold the column's value.  The filter's size is fixed, so it is broadcast."""
-    at = hash_bucket(column, FILTER_BITS)
-    pieces = filter_.select(F.col("piece").alias("__piece"), F.col("bits").alias("__bits"))
-    out = df.withColumn("__piece", F.shiftright(at, PIECE_BITS)).withColumn("__bit", at.bitwiseAND((1 << PIECE_BITS) - 1))
-    is_set = "coalesce((conv(hex(substring(__bits, __bit div 8 + 1, 1)), 16, 10) >> (__bit % 8)) & 1 = 1, false)"
-    return out.join(F.broadcast(pieces), "__piece", "left").withColumn("maybe", F.expr(is_set)).drop("__piece", "__bit", "__bits")
+def unused(df: DataFrame, name: str) -> str:
+    """A name like this that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among gone's; rows that the filter clears are never shuffled."""
-    gone = gone.select("doc_id").distinct()
-    rows = marked(docs, "doc_id", fixed_filter(gone, "doc_id"))
-    free = rows.filter("NOT maybe").drop("maybe")
-    return free.union(rows.filter("maybe").drop("maybe").join(gone, "doc_id", "left_anti").select(*free.columns))
+def columns_of(df: DataFrame) -> list:
+    """All columns, for select(), whatever signs are in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def parted(df: DataFrame, column, filter_: Filter) -> tuple[DataFrame, DataFrame]:
+    """(the rows whose value of the column (of the type of the filter's) it may hold, those that it clears); its size is bounded, so it is broadcast."""
+    at = hash_bucket(column, filter_.bits)
+    piece, map_ = unused(df, "piece"), unused(df, "map")
+    met = df.withColumn(piece, F.shiftright(at, PIECE_BITS)).join(
+        F.broadcast(filter_.pieces.select(F.col("piece").alias(piece), F.col("map").alias(map_))), piece, "left"
+    )
+    bit = at.bitwiseAND((1 << PIECE_BITS) - 1)
+    byte = F.conv(F.hex(F.substring(F.col(map_), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))
+    return met.filter(maybe).select(*columns_of(df)), met.filter(~maybe).select(*columns_of(df))

@@ -4,7 +4,7 @@ Rows are routed to memtables by a hash of their id, so a group of copies, howeve
 memtables.  Each memtable flushes one run: a Parquet file sorted by SHA-256 digest, one entry for each digest
 with the ids under it, carrying Parquet's own bloom filter and min/max for the digest column.  Compaction merges
 the runs: one entry for each digest with the largest id (or smallest) and the group's size.  Digests that
-compaction found more than once are hits.  A fixed-size bitmap of the hits filters a second scan of the texts, and
+compaction found more than once are hits.  A bitmap of the hits filters a second scan of the texts, and
 the texts that pass are grouped by digest and bytes, combined map-side; a digest with two different texts ends the
 job with an error, so a result never rests on the digest alone.
 
@@ -19,7 +19,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import fixed_filter, marked, text_or_empty, written
+from lodegraph.llm.common import parted, sized_filter, text_or_empty, written
+
 
 def memtable_runs(docs: DataFrame, memtable_rows: int, least: int) -> DataFrame:
     """Sorted digest runs: (memtable, digest, ids)."""
@@ -49,7 +50,7 @@ def verify(docs: DataFrame, index: DataFrame) -> DataFrame:
     """Compare the bytes behind every hit: (digest, n_texts), for hits and a few digests that the filter let through."""
     hits = index.filter("group_size > 1").select("digest")
     texts = docs.select(text_or_empty().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    passed = marked(texts, "digest", fixed_filter(hits, "digest")).filter("maybe")
+    passed, _ = parted(texts, "digest", sized_filter(hits, "digest"))
     return passed.groupBy("digest", "text").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("one").alias("n_texts"))
 
 

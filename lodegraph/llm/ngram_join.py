@@ -1,23 +1,28 @@
-"""N-gram Jaccard self-join: near-duplicate classes and their connected components, exactly.
+"""N-gram Jaccard self-join: near-duplicate classes and their connected components.
 
-A document's set holds its distinct word shingles, as 64-bit hashes.  Equal sets are one class, joined as one.
+A document's set holds its distinct word shingles.  Equal sets are one class, known by a 128-bit digest; all joins are between
+classes, ids come in only when components are named.  Shingles are told apart by 64-bit hashes; but for a collision of
+these (once in 2**64 for a given pair) no link is lost and none is made up.
 
-* Order: shingles are ordered rare first by counts over the whole corpus, kept in 2**bucket_bits hash buckets, so the order
-  costs a table of fixed size.
+* Order: shingles are ordered rare first by counts over the whole corpus in hash buckets, on a logarithmic scale of one byte each.
+  There are more buckets the larger the input is, up to 2**MOST_BITS (16 MB), which is what is broadcast at most.
 * Prefix filter: two sets with similarity t share a shingle among the first n - ceil(t n) + 1 of each.  Only these
-  are joined, by shingle.
+  are joined, by shingle.  A task sends a class once, however many copies it meets, and shingles of crowded buckets go to
+  several groups by class, so no group grows with one shingle; such shingles count as hot.
 * Length filter and positional filter on the places where the shared shingle stands; the suffix filter bounds the
   overlap by how many members the sets have in each of about n / 6 hash ranges, a signature of a byte for each range that is
-  made when the counts are.  Whole sets are fetched for the pairs that pass alone, and each is verified once.
+  made when the counts are.  Whole sets are fetched for the pairs that pass alone.
 * A shingle in the prefixes of more than HOT classes would emit too many pairs.  Each class with such shingles picks
   ROUNDS of them, by smallest hash, so that near copies pick the same; those that picked the same are dealt into blocks, and all
   pairs of a block are compared inside a task, which returns a spanning forest.  Then only pairs are left that share a hot
-  shingle and aren't connected yet: what is outside a shingle's largest component meets the other components there, under the
-  same filters.  So every pair is compared unless it is connected already, and what is emitted is never all pairs of a group.
+  shingle, weren't in one block and aren't connected yet: what is outside a shingle's largest component meets the other
+  components there, under the same filters.  So every pair is compared unless it is connected already, and a pair
+  outside the blocks is verified once.
 
 Defined cases: no words or a null text: an empty set that links with nothing; fewer words than a shingle: the whole
-sequence is the set's one member; rows with a null id link with nothing (component null); rows that repeat an id are one vertex;
-an empty table gives an empty result; extra columns are ignored.
+sequence is the set's one member; rows with a null id link with nothing (component null); rows that repeat an id are one vertex,
+which has the links of each of its texts, whatever the order of rows; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import fixed_filter, marked, small, written
+from lodegraph.llm.common import parted, sized_filter, small, written
 from lodegraph.llm.components import components
 from lodegraph.llm.words import shingles
 
@@ -40,10 +45,25 @@ HOT = 32
 ROUNDS = 2
 BLOCK = 256
 CHUNKS = 64
+#: Buckets of counts: one for each BUCKET_BYTES of text, within these bounds.
+BUCKET_BYTES, LEAST_BITS, MOST_BITS = 256, 20, 24
+#: So many shingles of one bucket at most go to one group.
+GROUP_ROWS = 1_000_000
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tk"))
+
+
+def bucket_bits(docs: DataFrame) -> int:
+    """As many bits as give each bucket about BUCKET_BYTES of text."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (total // BUCKET_BYTES).bit_length()))
+
+
+def set_digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -61,54 +81,68 @@ def most_shared(a: bytes, b: bytes) -> tuple[int, int]:
     return int(np.minimum(x, y).sum()), int(x.sum() + y.sum())
 
 
-def survey(docs: DataFrame, n: int, bucket_bits: int) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, n, digest, sig) of every row, counts of shingles by bucket over all rows)."""
-    size, shift = 1 << bucket_bits, np.uint64(64 - bucket_bits)
+def survey(docs: DataFrame, n: int, bits: int) -> tuple[DataFrame, np.ndarray]:
+    """((doc_id, tk, n, digest, sig) of every row, 8 * log2 of how many shingles of all rows fell in each bucket)."""
+    size, shift = 1 << bits, np.uint64(64 - bits)
     each = size // CHUNKS
+    names = ["doc_id", "tk", "n", "digest", "sig", "chunk", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
-        names = ["doc_id", "n", "digest", "sig", "chunk", "counts"]
+        counts = np.zeros(size, np.int32)
         for batch in small(batches):
             found = [shingles(t.as_py(), n) for t in batch.column(1)]
             if found:
-                counts += np.bincount((np.concatenate(found) >> shift).astype(np.int64), minlength=size)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
+                np.add.at(counts, (np.concatenate(found) >> shift).astype(np.int64), 1)
+            digests = [set_digest(s) if len(s) else None for s in found]
             none = [None] * len(found)
-            cols = [batch.column(0), [len(s) for s in found], digests, [signature(s) if len(s) else None for s in found], none, none]
+            cols = [batch.column(0), batch.column(2), [len(s) for s in found], digests]
+            cols += [[signature(s) if len(s) else None for s in found], none, none]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
         parts = [zlib.compress(counts[i * each : (i + 1) * each].tobytes(), 1) for i in range(CHUNKS)] if counts.any() else []
         none = [None] * len(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none, none, none, none, range(len(parts)), parts], types)], names=names)
+        cols = [none, none, none, none, none, range(len(parts)), parts]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     def add(key, t):
         total = np.zeros(each, np.int64)
         for x in t["counts"]:
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
-        return pa.table({"chunk": t["chunk"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
+        scale = np.minimum(255, 8 * np.log2(total + 1)).astype(np.uint8)
+        return pa.table({"chunk": t["chunk"][:1], "counts": pa.array([scale.tobytes()], pa.binary())})
 
-    found = written(_rows(docs).mapInArrow(look, "doc_id long, n long, digest binary, sig binary, chunk int, counts binary"), "survey")
+    schema = "doc_id long, tk long, n long, digest binary, sig binary, chunk int, counts binary"
+    found = written(_rows(docs).mapInArrow(look, schema), "survey")
     sums = found.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    counts = np.zeros(size, np.int64)
+    counts = np.zeros(size, np.uint8)
     for r in sums.collect():  # CHUNKS rows of a fixed size
-        counts[r.chunk * each : (r.chunk + 1) * each] = np.frombuffer(r.counts, np.int64)
-    return found.filter("chunk IS NULL").select("doc_id", "n", "digest", "sig"), np.minimum(counts, 2**31 - 1).astype(np.int32)
+        counts[r.chunk * each : (r.chunk + 1) * each] = np.frombuffer(r.counts, np.uint8)
+    return found.filter("chunk IS NULL").select("doc_id", "tk", "n", "digest", "sig"), counts
+
 
+def prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(gram, salt, cls, n, pos): the rare-first prefix of every set, once for each class that a task meets.
 
-def prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """(gram, doc_id, n, pos): the rare-first prefix of every set."""
-    bits = int(np.log2(len(counts)))
+    salt is -1 but for shingles of buckets that hold more than group_rows: these are dealt by class to groups from 0 on.
+    """
+    bits, crowded = int(np.log2(len(counts))), 8 * np.log2(group_rows)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
+    names = ["gram", "salt", "cls", "n", "pos"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, shift = sent.value, np.uint64(64 - bits)
+        counts, shift, met = sent.value, np.uint64(64 - bits), set()
         for batch in small(batches):
-            out: list[list] = [[], [], [], []]
+            grams, salts, digests, sizes, places, lengths = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingles(text.as_py(), n)
                 if not len(s) or doc is None:
                     continue
+                digest = set_digest(s)
+                if digest in met:
+                    continue
+                if len(met) >= 500_000:
+                    met.clear()
+                met.add(digest)
                 m = len(s) - (len(s) * num + den - 1) // den + 1
                 often = counts[(s >> shift).astype(np.int64)]
                 if m < len(s):  # those that can be in the prefix, ties included, before sorting
@@ -117,20 +151,27 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int) ->
                 else:
                     s_ = s
                 order = np.lexsort((s_, often))[:m]
-                out[0].append(s_[order].view(np.int64))
-                out[1].append(np.full(m, doc))
-                out[2].append(np.full(m, len(s), np.int32))
-                out[3].append(np.arange(m, dtype=np.int32))
-            for i in range(0, len(out[0]), 2000):
-                cols = [np.concatenate(c[i : i + 2000]) for c in out]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "doc_id", "n", "pos"])
-
-    return _rows(docs).mapInArrow(cut, "gram long, doc_id long, n int, pos int")
-
-
-def passed(pairs: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that the suffix filter lets through, by the signatures in found."""
-    side = lambda x: found.select(F.col("doc_id").alias(x), F.col("sig").alias(f"{x}_sig"))
+                often = often[order].astype(np.float64)
+                groups = np.where(often > crowded, np.exp2(np.maximum(0, often - crowded) / 8) + 1, 0).astype(np.int64)
+                grams.append(s_[order].view(np.int64))
+                salts.append(np.where(groups > 0, int.from_bytes(digest[:4], "little") % np.maximum(1, groups), -1).astype(np.int32))
+                digests.append(digest)
+                sizes.append(np.full(m, len(s), np.int32))
+                places.append(np.arange(m, dtype=np.int32))
+                lengths.append(m)
+            for i in range(0, len(grams), 2000):
+                part = slice(i, i + 2000)
+                own = np.repeat(np.arange(len(lengths[part])), lengths[part])
+                cls = pa.array(digests[part], pa.binary()).take(pa.array(own))
+                cols = [pa.array(np.concatenate(c[part])) for c in (grams, salts, sizes, places)]
+                yield pa.RecordBatch.from_arrays([cols[0], cols[1], cls, cols[2], cols[3]], names=names)
+
+    return _rows(docs).mapInArrow(cut, "gram long, salt int, cls binary, n int, pos int")
+
+
+def passed(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the suffix filter lets through, by the signatures in classes."""
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("sig").alias(f"{x}_sig"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 4096):
@@ -141,25 +182,31 @@ def passed(pairs: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sig", "b_sig")
-    return met.mapInArrow(look, "a long, b long").distinct()
+    return met.mapInArrow(look, "a binary, b binary")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(doc_id, grams) of the documents in ids; texts of others are left out before they are shuffled."""
-    near = marked(_rows(docs), "doc_id", fixed_filter(ids, "doc_id")).filter("maybe").select("doc_id", "text")
+def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(cls, grams) of the classes in wanted (cls, doc_id, tk), each from the text of that row alone."""
+    wanted = written(wanted, "wanted")
+    near, _ = parted(_rows(docs), "doc_id", sized_filter(wanted, "doc_id"))
+    near = near.join(wanted, ["doc_id", "tk"]).select("cls", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
         for batch in small(batches):
-            found = [shingles(t.as_py(), n) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["doc_id", "grams"])
+            fresh = [i for i, c in enumerate(batch.column(0).to_pylist()) if c not in met and not met.add(c)]
+            found = [shingles(batch.column(1)[i].as_py(), n).view(np.int64) for i in fresh]
+            cols = [batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["cls", "grams"])
 
-    near = near.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    return written(near.mapInArrow(grams, "doc_id long, grams array<long>"), "sets")
+    # Rows that repeat id and text give a class twice: one is kept.
+    each = near.mapInArrow(grams, "cls binary, grams array<long>").groupBy("cls").agg(F.first("grams").alias("grams"))
+    return written(each, "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, each compared once."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"{x}_grams"))
+    side = lambda x: sets.select(F.col("cls").alias(x), F.col("grams").alias(f"{x}_grams"))
     shared = f"size(array_intersect(a_grams, b_grams)) * {num + den} >= {num} * (size(a_grams) + size(b_grams))"
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(shared).select("a", "b")
 
@@ -173,26 +220,33 @@ def _kept(num: int, den: int) -> str:
 
 
 def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
-    return rows.select("gram", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), *more)
+    return rows.select("gram", F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), *more)
+
+
+def _apart(a: str, b: str) -> str:
+    """That two classes were in no block together; a, b: their arrays of blocks, by round, null outside all blocks."""
+    return f"NOT coalesce(exists(sequence(0, {ROUNDS - 1}), k -> {a}[k] = {b}[k]), false)"
 
 
 def _pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of documents that share a prefix gram and pass the length and the positional filter."""
+    """Pairs (a, b) of classes that share a prefix gram and pass the length and the positional filter."""
     met = _side(rows, "a").join(_side(rows, "b"), "gram").filter("a < b").filter(_kept(num, den))
     return met.select("a", "b").distinct()
 
 
 def _rest(hot: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that share a hot gram, pass the filters and lie in different components.
+    """Pairs (a, b) that share a hot gram, pass the filters, were in no block together and lie in different components.
 
-    Of two members of a gram one at least is outside the gram's largest component.
+    hot: gram, cls, n, pos, v (the vertex of the class), blocks.  Of two members of a gram one at least is outside the gram's
+    largest component.
     """
-    rows = hot.join(comps.select(F.col("v").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    rows = hot.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     sizes = rows.groupBy("gram", "comp").agg(F.count("*").alias("k"))
     tops = sizes.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
     open_ = written(rows.join(tops.filter("comps > 1").select("gram", F.col("top.comp").alias("top")), "gram"), "open")
-    guests = _side(open_.filter("comp <> top"), "a", F.col("comp").alias("ca"))
-    met = guests.join(_side(open_, "b", F.col("comp").alias("cb"), "top"), "gram").filter("ca <> cb AND (cb = top OR a < b)")
+    guests = _side(open_.filter("comp <> top"), "a", F.col("comp").alias("ca"), F.col("blocks").alias("ba"))
+    hosts = _side(open_, "b", F.col("comp").alias("cb"), F.col("blocks").alias("bb"), "top")
+    met = guests.join(hosts, "gram").filter("ca <> cb AND (cb = top OR a < b)").filter(_apart("ba", "bb"))
     return met.filter(_kept(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -218,14 +272,14 @@ def _similar(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 
 def link_blocks(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that connect whatever is similar inside each block; blocks: (cluster, block, doc_id).
+    """Links that connect whatever is similar inside each block; blocks: (block, cls).
 
     Every pair of a block is compared; of its links, those of a spanning forest are returned.
     """
-    both = blocks.join(sets.select("doc_id", "grams"), "doc_id")
+    both = blocks.join(sets, "cls").select("block", "cls", "grams")
 
     def link(key, t):
-        ids = t["doc_id"].to_numpy()
+        ids = t["cls"].to_pylist()
         hits = np.argwhere(np.triu(_similar([np.asarray(x.values) for x in t["grams"]], num, den), 1))
         root = np.arange(len(ids))
         kept = []
@@ -233,50 +287,80 @@ def link_blocks(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             if root[i] != root[j]:
                 root[root == root[j]] = root[i]
                 kept.append((ids[i], ids[j]))
-        return pa.table({"a": pa.array([min(x) for x in kept], pa.int64()), "b": pa.array([max(x) for x in kept], pa.int64())})
-
-    return both.groupBy("cluster", "block").applyInArrow(link, "a long, b long")
-
-
-def _blocks(hot: DataFrame, seed: int) -> DataFrame:
-    """(cluster, block, doc_id): each document under one of its hot grams, about BLOCK to a block."""
-    picked = hot.groupBy("doc_id").agg(F.min_by("gram", F.xxhash64("gram", F.lit(seed))).alias("cluster"))
-    sizes = picked.groupBy("cluster").agg(F.count("*").alias("m")).filter("m > 1")
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("m") / BLOCK)).cast("int")
-    return picked.join(sizes, "cluster").select("cluster", block.alias("block"), "doc_id")
-
-
-def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bucket_bits: int = 20) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id), one row for each row of docs; similarity num / den or more links."""
-    found, counts = survey(docs, n, bucket_bits)
-    classes = found.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    classes = written(classes, "classes")
-    common = F.count("*").over(W.partitionBy("gram"))
-    shared = prefixes(docs, counts, n, num, den).withColumn("g", common).filter("g > 1").drop("g")
-    firsts = classes.select(F.col("class_id").alias("doc_id"))
-    # Of equal sets one stands for all, and a gram that only those have is no candidate.
-    shared = shared.join(firsts, "doc_id", "left_semi").dropDuplicates(["gram", "doc_id"]).withColumn("g", common).filter("g > 1")
-    shared = written(shared, "prefixes")
-    pairs = _pairs(shared.filter(f"g <= {HOT}").select("gram", "doc_id", "n", "pos"), num, den)
-    hot = shared.filter(f"g > {HOT}").select("gram", "doc_id", "n", "pos")
-    pairs = written(passed(pairs, found, num, den), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot.select("doc_id"))
-    sets = sets_of(docs, ids.distinct(), n)
-    # Repeated ids: rows under one id are one vertex; whichever of its sets is compared, their links are the vertex's.
+        return pa.table({"a": pa.array([min(x) for x in kept], pa.binary()), "b": pa.array([max(x) for x in kept], pa.binary())})
+
+    return both.groupBy("block").applyInArrow(link, "a binary, b binary")
+
+
+def _blocks(hot: DataFrame) -> DataFrame:
+    """(cls, blocks): for each round, the class's block: about BLOCK classes that picked the same of their hot grams."""
+    seeds = range(ROUNDS)
+    picks = [F.min_by("gram", F.xxhash64("gram", F.lit(seed))).alias(f"g{seed}") for seed in seeds]
+    out = hot.groupBy("cls").agg(*picks)
+    for seed in seeds:
+        sizes = out.groupBy(f"g{seed}").agg(F.count("*").alias("m")).filter("m > 1")
+        place = F.pmod(F.xxhash64("cls", F.lit(seed)), F.ceil(F.col("m") / BLOCK))
+        name = F.concat_ws("/", F.lit(seed), F.col(f"g{seed}"), place)
+        out = out.join(sizes, f"g{seed}", "left").withColumn(f"b{seed}", F.when(F.col("m").isNotNull(), name)).drop("m")
+    return out.select("cls", F.array([f"b{seed}" for seed in seeds]).alias("blocks"))
+
+
+def _by_vertex(links: DataFrame, classes: DataFrame) -> DataFrame:
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("v").alias(f"{x}_v"))
+    return links.join(side("a"), "a").join(side("b"), "b").select("a_v", "b_v")
+
+
+def row_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits: int | None = None, by_id: bool = False) -> DataFrame:
+    """(doc_id, tk, n, class_id, grp), one row for each row of docs; tk: hash of the text.
+
+    grp is the group of the row's class: classes that links connect, with by_id also those that share an id; null for rows
+    without words or id.  class_id: the smallest id with an equal set.
+    """
+    found, counts = survey(docs, n, bucket_bits(docs) if bits is None else bits)
+    known = found.filter("digest IS NOT NULL AND doc_id IS NOT NULL").withColumnRenamed("digest", "cls")
+    one = F.min(F.struct("doc_id", "tk", "sig"))
+    classes = known.groupBy("cls").agg(one.alias("p")).select("cls", F.col("p.doc_id").alias("class_id"), "p.tk", "p.sig")
+    # Written, so that a class keeps its number.
+    classes = written(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
+    shared = prefixes(docs, counts, n, num, den).repartition("gram", "salt").dropDuplicates(["gram", "salt", "cls"])
+    shared = shared.withColumn("g", F.count("*").over(W.partitionBy("gram", "salt")))
+    shared = written(shared.filter("g > 1 OR salt >= 0"), "prefixes")
+    pairs = _pairs(shared.filter(f"g <= {HOT} AND salt < 0"), num, den)
+    hot = shared.filter(f"g > {HOT} OR salt >= 0").select("gram", "cls", "n", "pos")
+    blocks = written(_blocks(hot), "blocks")
+    side = lambda x: blocks.select(F.col("cls").alias(x), F.col("blocks").alias(f"{x}_blocks"))
+    pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(_apart("a_blocks", "b_blocks")).select("a", "b")
+    pairs = written(passed(pairs, classes, num, den), "pairs")
+    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(blocks.select("cls")).distinct()
+    sets = sets_of(docs, classes.join(needed, "cls", "left_semi").select("cls", F.col("class_id").alias("doc_id"), "tk"), n)
     links = verified(pairs, sets, num, den)
-    if not hot.isEmpty():
-        for seed in range(ROUNDS):
-            links = links.union(link_blocks(_blocks(hot, seed), sets, num, den))
-        comps = components(links)
-        rest = written(passed(_rest(hot, comps, num, den), found, num, den), "rest")
-        links = comps.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(verified(rest, sets, num, den))
-    comps = components(links).select(F.col("v").alias("class_id"), "comp")
-    named = classes.join(comps, "class_id", "left")
-    out = found.join(named, "digest", "left")
-    lone = F.when(F.col("digest").isNull(), F.col("doc_id"))
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", lone)).alias("class_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "class_id", lone)).alias("component_id"),
-    )
+    dealt = not blocks.isEmpty()
+    if dealt:
+        each = blocks.select("cls", F.explode("blocks").alias("block")).filter("block IS NOT NULL")
+        links = links.union(link_blocks(each, sets, num, den))
+    edges = _by_vertex(links, classes)
+    if by_id:
+        held = known.join(classes.select("cls", "v"), "cls").select("doc_id", "v")
+        several = held.groupBy("doc_id").agg(F.min("v").alias("a_v"), F.max("v").alias("b_v")).filter("a_v < b_v")
+        edges = edges.union(held.join(several.select("doc_id", "a_v"), "doc_id").filter("v > a_v").select("a_v", F.col("v")).distinct())
+    comps = components(edges)
+    if dealt:
+        rows = hot.join(classes.select("cls", "v"), "cls").join(blocks, "cls")
+        rest = _rest(rows, comps, num, den).join(pairs, ["a", "b"], "left_anti")
+        more = _by_vertex(verified(written(passed(rest, classes, num, den), "rest"), sets, num, den), classes)
+        comps = components(comps.select(F.col("v").alias("a_v"), F.col("comp").alias("b_v")).union(more))
+    named = classes.join(comps, "v", "left").select(F.col("cls").alias("digest"), "class_id", F.coalesce("comp", "v").alias("grp"))
+    key = F.when(F.col("doc_id").isNotNull(), F.col("digest"))
+    return found.withColumn("digest", key).join(named, "digest", "left").select("doc_id", "tk", "n", "class_id", "grp")
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id), one row for each row of docs; similarity num / den or more links."""
+    rows = written(row_groups(docs, n, num, den, bits, by_id=True), "row-groups")
+    # A row without words shares the vertex of its id's other rows.
+    named = rows.filter("grp IS NOT NULL").groupBy("grp").agg(F.min("class_id").alias("component_id"))
+    full = rows.filter("grp IS NOT NULL").join(named, "grp").select("doc_id", "n", "component_id", "class_id")
+    bare = rows.filter("grp IS NULL")
+    others = full.join(bare.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("c"))
+    bare = bare.join(others, "doc_id", "left").select("doc_id", "n", F.coalesce("c", "doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    return full.union(bare).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import fixed_filter, marked, small, written
+from lodegraph.llm.common import parted, sized_filter, small, written
 from lodegraph.llm.fm_index import repeated_windows
 from lodegraph.llm.words import BASE, hashes, mix, runs, split
 
@@ -108,7 +108,7 @@ def all_segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
 def _with_words(docs: DataFrame, wanted: DataFrame, width: int, windows: bool) -> DataFrame:
     """The words behind wanted (key, body, n, row, first, last): their hashes, or with windows a hash for each window."""
     rows = wanted.groupBy("row").agg(F.collect_list(F.struct("key", "body", "n", "first", "last")).alias("parts"))
-    near = marked(_rows(docs).select("row", "text"), "row", fixed_filter(rows, "row")).filter("maybe").select("row", "text")
+    near, _ = parted(_rows(docs).select("row", "text"), "row", sized_filter(rows, "row"))
     near = near.dropDuplicates(["row"]).join(rows, "row")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +185,9 @@ def repeated_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
 def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 35, gram: int = 8, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]), one row for each row of docs."""
     spans = written(repeated_spans(docs, width, gram), "row-spans")
-    rows = marked(_rows(docs), "row", fixed_filter(spans, "row"))
-    touched = rows.filter("maybe").drop("maybe").join(spans, "row", "left")
-    free = rows.filter("NOT maybe").drop("maybe").withColumn("spans", F.lit(None).cast("array<array<int>>"))
+    near, free = parted(_rows(docs), "row", sized_filter(spans, "row"))
+    touched = near.join(spans, "row", "left")
+    free = free.withColumn("spans", F.lit(None).cast("array<array<int>>"))
     cols = ["doc_id", "text", "spans"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

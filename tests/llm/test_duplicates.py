@@ -87,6 +87,21 @@ def test_jaccard_components(spark, request, name):
     assert got == brute_jaccard(pairs_of(table))
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (2, 1, 0)])
+def test_jaccard_of_ids_with_several_texts(spark, order):
+    """The links of each of an id's texts count, in whatever order its rows come."""
+    base = [f"w{k}" for k in range(40)]
+    more = [f"m{k}" for k in range(400)]
+    odd = [(5, " ".join(base)), (5, " ".join(base + more)), (9, " ".join(base[:-1] + ["other"]))]
+    rest = [(20 + k, " ".join(more + [f"t{k}_{i}" for i in range(300)])) for k in range(6)]
+    rest += [(12, " ".join(more + base)), (9, None), (30, ""), (31, " ".join(base[1:])), (31, "of its own")]
+    pairs = [odd[k] for k in order] + rest
+    table = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    got = rows_of(ngram_join.jaccard_components(spark, table), "doc_id", "n_shingles", "component_id")
+    assert got == brute_jaccard(pairs)
+    assert {c for i, _, c in got if i in (5, 9, 31)} == {5}
+
+
 def near_copies(n, groups, seed):
     """Groups of texts that differ in a few words each, so that their shingles are shared by many."""
     rng = np.random.default_rng(seed)
@@ -109,6 +124,15 @@ def test_jaccard_with_hot_shingles(spark, monkeypatch, block):
     assert got == brute_jaccard(pairs)
 
 
+def test_jaccard_with_crowded_buckets(spark, monkeypatch):
+    """Shingles of buckets with many go to several groups by class; no link is lost by that."""
+    cut = ngram_join.prefixes
+    monkeypatch.setattr(ngram_join, "prefixes", lambda *a: cut(*a, group_rows=40))
+    pairs = near_copies(200, 2, 5) + [(300, "a b c d e f"), (301, "a b c d e f"), (302, "x y z")]
+    table = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert rows_of(ngram_join.jaccard_components(spark, table), "doc_id", "n_shingles", "component_id") == brute_jaccard(pairs)
+
+
 def test_components_of_a_long_path(spark, monkeypatch):
     import lodegraph.llm.components as c
 

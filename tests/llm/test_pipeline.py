@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_duplicates import brute_jaccard
 from tokenizers import Tokenizer
 
@@ -54,8 +55,11 @@ def test_stages(spark, docs):
 def test_stages_on_odd_tables(spark, edge, none):
     for table in (edge, none):
         at = table
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             at = written(stage(spark, at, SMALL), "test-odd")
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert at.columns == table.columns
+                assert at.filter("comp = 'clash' AND `map` = 'clash' AND piece = 'clash'").count() == at.count()
         assert at.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
@@ -101,3 +105,28 @@ def test_repeated_rows_stay_once(spark, edge, docs):
 
     shared = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "c"), (None, "c"), (None, "b")], "doc_id long, text string")
     assert sorted((tuple(r) for r in corpus_pipeline.drop_copies(spark, shared, SMALL).collect()), key=repr) == [(1, "b"), (2, "a"), (None, "c")]
+
+
+def test_stages_judge_rows(spark):
+    """Rows that repeat, or share an id but not a text, after every stage."""
+    prose = "The committee met on Tuesday. It decided to build a new school near the old bridge by the river. Many people came to the meeting. "
+    a, b = prose + " ".join(f"word{k}" for k in range(60)) + ".", prose + " ".join(f"other{k}" for k in range(60)) + "."
+    near = a.replace("word59", "changed")
+    rows = [(2, a), (2, a), (2, b), (3, a), (4, near), (4, b + " And one more."), (5, near), (None, a), (6, None), (6, None)]
+    table = spark.createDataFrame([(i, t, "en", "web") for i, t in rows], "doc_id long, text string, lang string, source string")
+    table = table.withColumns({c: F.lit(c) for c in ("map", "piece", "mix_id", "mix_at", "row", "id", "sha", "stays", "maybe", "__piece")})
+    of = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    once = corpus_pipeline.drop_copies(spark, table, SMALL)
+    assert once.columns == table.columns
+    assert of(once) == sorted([(3, a), (2, b), (5, near), (4, b + " And one more."), (6, None)], key=repr)
+    apart = corpus_pipeline.drop_near_copies(spark, table, SMALL)
+    assert apart.columns == table.columns
+    # One of the first group and one of the second stay; without id or words, rows pass.
+    kept = of(apart)
+    assert len([x for x in kept if x[0] is not None and x[1]]) == 2 and all(i == 2 for i, t in kept if i is not None and t)
+    assert kept.count((None, a)) == 1 and kept.count((6, None)) == 2
+    both = corpus_pipeline.drop_near_copies(spark, written(once, "test-once"), SMALL)
+    assert of(both) == sorted([(3, a), (2, b), (6, None)], key=repr)
+    mixed = corpus_pipeline.mixed(spark, written(both, "test-both"), SMALL)
+    assert mixed.columns == table.columns and of(mixed) == of(both)
+    assert mixed.filter("`map` = 'map' AND maybe = 'maybe' AND __piece = '__piece'").count() == 3
