@@ -1,8 +1,9 @@
 """From raw documents to packed sequences: quality, exact and near duplicates, mixing, packing.
 
 Each stage gets the documents that the one before kept, written as Parquet and read again, and decides on those alone.
-All but the last return the columns of documents.  Rows with a null id pass the stage of near duplicates; among copies a null
-id is below every other.
+All but the last return the columns of documents, all of them, whatever their names.  Duplicates are rows, not ids: rows
+that share an id and differ in text are judged each.  Rows with a null id pass the stage of near duplicates; among copies a
+null id is below every other.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm import exact_dedup, mixing, ngram_join, packing, quality
-from lodegraph.llm.common import fixed_filter, marked, table, text_or_empty, without, written
+from lodegraph.llm.common import Scratch, columns_of, parted, sized_filter, table, unused, written
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,31 +21,49 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.good_only(spark, docs)
 
 
+def _keep_rows(docs: DataFrame, told: DataFrame, digest) -> DataFrame:
+    """The rows of docs but for those that told (id, sha, stays) drops.
+
+    A row is known by its id and a digest of its text.  Rows without an entry pass; of rows that repeat an entry that stays,
+    the least by all columns does.
+    """
+    told = written(told, "told")
+    near, free = parted(docs, F.col("doc_id").cast("long"), sized_filter(told, "id"))
+    rows = near.select(F.struct(*columns_of(near)).alias("row"))
+    met = rows.join(told, F.col("row.doc_id").eqNullSafe(F.col("id")) & (digest(F.col("row.text")) == F.col("sha")), "left")
+    once = met.filter("stays").groupBy("id", "sha").agg(F.min("row").alias("row"))
+    return free.union(met.filter("stays IS NULL").select("row.*")).union(once.select("row.*"))
+
+
+def _sha(text):
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row: that with the largest id, a null id below all others; of rows that repeat both, the least by all columns."""
-    found = written(exact_dedup.exact_dedup(spark, docs).filter("group_size > 1").select("doc_id", "text_sha256", "kept"), "copies")
-    groups = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    touched = written(groups.agg(F.max("kept").alias("__kept"), F.count("*").alias("__n")).filter("NOT __kept OR __n > 1"), "copies-rows")
-    # Rows whose id the filter clears are never shuffled.
-    rows = marked(docs.select("doc_id", F.struct(*docs.columns).alias("__row")), "doc_id", fixed_filter(touched, "__id"))
-    passed = rows.filter("maybe").withColumn("__digest", F.sha2(text_or_empty("__row.text"), 256))
-    met = passed.join(touched, passed["doc_id"].eqNullSafe(touched["__id"]) & (F.col("__digest") == F.col("__sha")), "left")
-    once = met.filter("__kept").groupBy("__id", "__sha").agg(F.min("__row").alias("__row"))
-    return rows.filter("NOT maybe").select("__row.*").union(met.filter("__sha IS NULL").select("__row.*")).union(once.select("__row.*"))
+    found = exact_dedup.exact_dedup(spark, docs).filter("group_size > 1")
+    return _keep_rows(docs, found.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("stays")), _sha)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similarity 0.8 or more connect, the one with the smallest id."""
-    found = ngram_join.jaccard_components(spark, docs)
-    return without(docs, written(found.filter("doc_id <> component_id").select("doc_id"), "near-copies"))
+    """Of rows that links of similarity 0.8 or more connect, one: that with the smallest id; rows with that id by a hash of the text.
+
+    Rows that share an id but are not alike are two documents here.
+    """
+    rows = written(ngram_join.row_groups(docs).filter("grp IS NOT NULL"), "row-groups")
+    firsts = rows.groupBy("grp").agg(F.min(F.struct("doc_id", "tk")).alias("first"), F.count("*").alias("k")).filter("k > 1")
+    at = F.struct("doc_id", "tk")
+    told = rows.join(firsts, "grp").select(F.col("doc_id").alias("id"), F.col("tk").alias("sha"), (at == F.col("first")).alias("stays"))
+    return _keep_rows(docs, told.distinct(), lambda text: F.xxhash64(text.cast("string")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, ordered over and within the files so that sources mix in proportion to the root of their size."""
-    slots = mixing.mix(spark, docs, most_sources=None).groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct("slot", "place")).alias("__at"))
-    rows = docs.join(slots, docs["doc_id"].eqNullSafe(slots["__id"])).withColumn("__slot", F.col("__at.slot"))
+    key, at = unused(docs, "mix_id"), unused(docs, "mix_at")
+    slots = mixing.mix(spark, docs, most_sources=None).groupBy(F.col("doc_id").alias(key)).agg(F.min(F.struct("slot", "place")).alias(at))
+    rows = docs.join(slots, docs["doc_id"].eqNullSafe(slots[key]))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "__slot").sortWithinPartitions("__slot", "__at.place").select(*docs.columns)
+    return rows.repartitionByRange(parts, F.col(f"{at}.slot")).sortWithinPartitions(f"{at}.slot", f"{at}.place").select(*columns_of(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,9 +89,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{k}")
-    return docs
+    """What a stage wrote for itself is deleted once its result is written; a stage's result, once the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with Scratch(spark) as own:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        if before:
+            own.delete(before)
+        before = own.paths[-1]
+    return STAGES[-1][1](spark, docs, sf_dir)
