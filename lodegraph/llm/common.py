@@ -76,6 +76,11 @@ def hash_bucket(column, bits: int):
     return F.shiftrightunsigned(F.xxhash64(column), 64 - bits).cast("int")
 
 
+def drawn(key, seed: int, share: float):
+    """Whether a hash of the key falls in this share of all hashes, to 63 bits."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 1) <= F.lit(int(share * (1 << 53)) * 1024 - 1 if share < 1 else (1 << 63) - 1)
+
+
 #: A filter has FILTER_RATE bits a key, between these powers of two (16 MB at most), sent as pieces of 4 KB.
 FILTER_RATE, LEAST_BITS, MOST_BITS, PIECE_BITS = 16, 18, 27, 15
 

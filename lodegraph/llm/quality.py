@@ -4,7 +4,11 @@ Heuristic labellers look at each text and say good, bad or nothing.  How often e
 over all documents; expectation-maximisation on those counts estimates how often each labeller is right about good and
 about bad texts, and with that the posterior of every pattern.  A linear scorer over hashed word shapes is then fitted
 to the posteriors of a bounded sample and scores every document; it sees what the labellers don't, and a document
-is kept if its score is 0.5 or more.
+is kept if its score is 0.5 or more.  A text is read once for votes and word shapes, which are written; only where all
+columns of the kept rows are asked for (good_only) are texts read again, for the score alone.
+
+The sample for the scorer has about sample_rows rows, fewer if they would hold more than SAMPLE_BYTES of text; a hash of the id
+draws it.  A sample that comes out empty although there are rows is an error.
 
 Defined cases: a null or empty text gets no votes, the prior as its posterior and the scorer's bias as its score;
 repeated rows are scored each; with an empty table the result is empty; extra columns are ignored.
@@ -21,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import small
+from lodegraph.llm.common import drawn, small, written
 from lodegraph.llm.hashed import Rows, logistic, sigmoid
 
-#: At most about so many rows are drawn for the fit of the scorer (a hash of the id decides).
-SAMPLE_ROWS = 8_000
+#: At most about so many rows, and so much text, are drawn for the fit of the scorer.
+SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 256_000_000
 SHAPE_BITS = 16
 SYMBOLS = frozenset("#$%&*@^~<>{}[]\\=+_")
 GOOD, BAD, SILENT = "1", "0", "-"
@@ -153,81 +157,85 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def vote_patterns(docs: DataFrame) -> dict[str, int]:
-    """How often each pattern occurs over all documents; 3 ** labellers patterns at most."""
+def looked_at(docs: DataFrame) -> DataFrame:
+    """(doc_id, votes, cols, vals) of every row: its votes, and its word shapes as bytes of uint16 and of float32."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes()
         for batch in small(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([votes(t.as_py()) for t in batch.column(0)], pa.string())], names=["votes"])
+            texts = [t.as_py() for t in batch.column(1)]
+            found = [features(t, shapes) for t in texts]
+            cols, vals = [c.astype("<u2").tobytes() for c, _ in found], [v.astype("<f4").tobytes() for _, v in found]
+            arrays = [batch.column(0), pa.array([votes(t) for t in texts], pa.string()), pa.array(cols, pa.binary()), pa.array(vals, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "votes", "cols", "vals"])
 
-    counted = _rows(docs).select("text").mapInArrow(each, "votes string").groupBy("votes").count()
-    return {r.votes: r["count"] for r in counted.collect()}
+    return _rows(docs).mapInArrow(each, "doc_id long, votes string, cols binary, vals binary")
 
 
-def fit_scorer(docs: DataFrame, posterior: dict[str, float], n_docs: int, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
-    share = min(1.0, sample_rows / max(1, n_docs))
-    drawn = _rows(docs).filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003)) < int(share * 1_000_003))
+def vote_patterns(docs: DataFrame) -> dict[str, int]:
+    """How often each pattern occurs over all documents; 3 ** labellers patterns at most.  docs: with votes, or with texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
         for batch in small(batches):
-            texts = [t.as_py() for t in batch.column(1)]
-            found = [features(t, shapes) for t in texts]
-            arrays = [
-                batch.column(0),
-                pa.array([posterior[votes(t)] for t in texts], pa.float64()),
-                pa.array([c for c, _ in found], pa.list_(pa.int64())),
-                pa.array([v for _, v in found], pa.list_(pa.float64())),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "target", "cols", "vals"])
-
-    t = drawn.mapInArrow(each, "doc_id long, target double, cols array<long>, vals array<double>").toArrow()
-    order = np.argsort(t["doc_id"].to_numpy(), kind="stable") if t["doc_id"].null_count == 0 else np.arange(t.num_rows)
-    cols = [np.asarray(x.as_py(), dtype=np.int64) for x in t["cols"]]
-    vals = [np.asarray(x.as_py(), dtype=float) for x in t["vals"]]
-    rows = Rows.of([cols[i] for i in order], [vals[i] for i in order])
-    return logistic(rows, t["target"].to_numpy()[order], 1 << SHAPE_BITS)
-
-
-def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS):
-    """texts -> (votes, posteriors, scores), fitted to docs."""
-    patterns = vote_patterns(docs)
-    posterior, _, prior = fit_labellers(patterns)
-    posterior[SILENT * len(LABELLERS)] = prior
-    weights, bias = fit_scorer(docs, posterior, sum(patterns.values()), sample_rows)
-    weights = weights.astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([votes(t.as_py()) for t in batch.column(0)], pa.string())], names=["votes"])
+
+    said = docs if "vals" in docs.columns else _rows(docs).select("text").mapInArrow(each, "votes string")
+    return {r.votes: r["count"] for r in said.groupBy("votes").count().collect()}
 
-    def judge(texts: list, shapes: Shapes) -> tuple[list[str], list[float], np.ndarray]:
-        said = [votes(t) for t in texts]
-        z = np.array([float(weights[c] @ v) + bias for c, v in (features(t, shapes) for t in texts)])
-        return said, [posterior.get(s, prior) for s in said], sigmoid(z)
 
-    return judge
+def sample_share(docs: DataFrame, sample_rows: int) -> float:
+    """The share of rows of docs that keeps both bounds."""
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col("text").cast("string")))).first()
+    return min(1.0, sample_rows / max(1, n), SAMPLE_BYTES / max(1, size or 0))
+
+
+def fit_scorer(drawn: DataFrame, posterior: dict[str, float], n_docs: int) -> tuple[np.ndarray, float]:
+    """Weights and bias from the rows drawn (doc_id, votes, cols, vals)."""
+    t = drawn.toArrow()
+    if n_docs and not t.num_rows:
+        raise ValueError("no row was drawn for the fit of the scorer")
+    t = t.sort_by([("doc_id", "ascending"), ("votes", "ascending"), ("cols", "ascending")])
+    rows = Rows.of([np.frombuffer(x.as_py(), "<u2") for x in t["cols"]], [np.frombuffer(x.as_py(), "<f4") for x in t["vals"]])
+    return logistic(rows, np.array([posterior[v] for v in t["votes"].to_pylist()]), 1 << SHAPE_BITS)
+
+
+def fitted(docs: DataFrame, seen: DataFrame | None, sample_rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], float, np.ndarray, float]:
+    """(posterior by pattern, prior, weights, bias); seen: looked_at(docs), where that is written."""
+    patterns = vote_patterns(docs if seen is None else seen)
+    posterior, _, prior = fit_labellers(patterns)
+    posterior[SILENT * len(LABELLERS)] = prior
+    chosen = drawn(F.col("doc_id").cast("long"), 3, sample_share(docs, sample_rows))
+    some = looked_at(docs.filter(chosen)) if seen is None else seen.filter(chosen)
+    return posterior, prior, *fit_scorer(some, posterior, sum(patterns.values()))
 
 
 def classify(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, votes, posterior, score, keep), one row for each row of docs."""
-    judge = fitted(docs, sample_rows)
+    seen = written(looked_at(docs), "votes")
+    posterior, prior, weights, bias = fitted(docs, seen, sample_rows)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
-        for batch in small(batches):
-            said, post, score = judge([t.as_py() for t in batch.column(1)], shapes)
-            arrays = [batch.column(0), pa.array(said, pa.string()), pa.array(post, pa.float64()), pa.array(score, pa.float64()), pa.array(score >= 0.5, pa.bool_())]
+        for batch in small(batches, 4096):
+            said = batch.column(1).to_pylist()
+            found = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            score = sigmoid(np.array([weights[np.frombuffer(c, "<u2")] @ np.frombuffer(v, "<f4") + bias for c, v in found]))
+            post = pa.array([posterior.get(v, prior) for v in said], pa.float64())
+            arrays = [batch.column(0), batch.column(1), post, pa.array(score, pa.float64()), pa.array(score >= 0.5, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "votes", "posterior", "score", "keep"])
 
-    return _rows(docs).mapInArrow(each, "doc_id long, votes string, posterior double, score double, keep boolean")
+    return seen.mapInArrow(each, "doc_id long, votes string, posterior double, score double, keep boolean")
 
 
 def good_only(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
-    judge = fitted(docs, sample_rows)
+    _, _, weights, bias = fitted(docs, None, sample_rows)
     at = docs.columns.index("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in small(batches):
-            score = judge([None if (v := t.as_py()) is None else str(v) for t in batch.column(at)], shapes)[2]
+            found = (features(None if (v := t.as_py()) is None else str(v), shapes) for t in batch.column(at))
+            score = sigmoid(np.array([weights[c] @ v.astype("<f4") + bias for c, v in found]))
             yield batch.filter(pa.array(score >= 0.5, pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)

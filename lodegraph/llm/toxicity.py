@@ -6,8 +6,9 @@ R-(unlabelled) - prior * R-(positives).  Where that part falls below zero on a b
 keeps a flexible model from fitting the positives as negatives of the unlabelled.  The class prior is the share of
 toxic rows among the labelled ones that may be learned from.
 
-Only labels of rows whose crc32(doc_id as text) mod `folds` is not 0 are read.  The fit uses MAX_POSITIVE and
-MAX_UNLABELLED documents at most (a hash of the id decides which); every document is scored.
+Only labels of rows whose crc32(doc_id as text) mod `folds` is not 0 are read.  The fit uses about most_positive toxic and
+most_unlabelled other documents (labelled or not) at most, fewer if they would hold more than SAMPLE_BYTES of text; a hash of
+the id decides which, and a sample that comes out empty is an error.  Every document is scored.
 
 Defined cases: null and empty texts get the score of a text without any known word; repeated rows are scored each; rows with
 contradicting labels count as toxic; without any toxic row no document scores above 0.5; extra columns are ignored.
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import small
+from lodegraph.llm.common import drawn, small
 from lodegraph.llm.hashed import Adam, Rows, sigmoid
 
-MAX_POSITIVE, MAX_UNLABELLED = 3_000, 7_000
+MAX_POSITIVE, MAX_UNLABELLED, SAMPLE_BYTES = 3_000, 7_000, 256_000_000
 BITS = 20
 BEGINNINGS = (2, 3, 4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
@@ -61,12 +62,13 @@ def features(text: str | None, known: Known) -> set[int]:
     return set().union(*map(known.__getitem__, set(WORD.findall((text or "").lower()))))
 
 
-def fit(positive: Rows, unlabelled: Rows, prior: float, size: int, steps: int = 300, rate: float = 0.05, shrink: float = 0.1, seed: int = 7):
-    """Weights and bias under the non-negative risk, with the logistic loss, in batches of a quarter."""
+def fit(positive: Rows, unlabelled: Rows, prior: float, size: int, steps: int = 300, rate: float = 0.1, shrink: float = 0.1, seed: int = 7):
+    """Weights and bias under the non-negative risk, with the logistic loss, in batches of half; steps get smaller, so the end is steady."""
     rng, w, opt = np.random.default_rng(seed), np.zeros(size + 1), Adam(size + 1, rate)
     w[size] = np.log(prior / (1 - prior))
     po, uo = positive.owner(), unlabelled.owner()
-    for _ in range(steps):
+    for step in range(steps):
+        opt.rate = rate * (1 - step / steps)
         p = sigmoid(positive.dot(w[:size], po) + w[size])
         u = sigmoid(unlabelled.dot(w[:size], uo) + w[size])
         pick_p = (rng.random(len(p)) < 0.5) / max(1, 0.5 * len(p))
@@ -79,11 +81,13 @@ def fit(positive: Rows, unlabelled: Rows, prior: float, size: int, steps: int =
             gp, gu = prior * pick_p * p, -pick_u * u
         g = np.append(positive.spread(gp, po, size) + unlabelled.spread(gu, uo, size), gp.sum() + gu.sum())
         w = opt.step(w, g)
-        w[:size] = np.sign(w[:size]) * np.maximum(0, np.abs(w[:size]) - rate * shrink)
+        w[:size] = np.sign(w[:size]) * np.maximum(0, np.abs(w[:size]) - opt.rate * shrink)
     return w[:size], float(w[size])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[dict[int, float], float]:
+def train(
+    docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int = MAX_POSITIVE, most_unlabelled: int = MAX_UNLABELLED
+) -> tuple[dict[int, float], float]:
     """(weight by feature, bias)."""
     open_ = labels.filter(~held_out(folds) & F.col("toxic").isNotNull())
     by_doc = open_.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -91,20 +95,27 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[dict[int,
     if not n_toxic:
         return {}, -20.0
     prior = min(0.9, max(1e-4, n_toxic / n))
-    drawn = lambda seed, most, total: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) < int(min(1.0, most / max(1, total)) * 1_000_003)
-    # MAX_POSITIVE rows or so: small enough for any executor.
-    sure = by_doc.filter((F.col("toxic") == 1) & drawn(1, MAX_POSITIVE, n_toxic)).select("doc_id", F.lit(True).alias("sure"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(~held_out(folds))
-    rows = rows.join(F.broadcast(sure), "doc_id", "left").withColumn("free", drawn(2, MAX_UNLABELLED, docs.count()))
+    n_docs, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col("text").cast("string")))).first()
+    # Both samples together hold about SAMPLE_BYTES at most, as their texts are of mean length.
+    rows_at_most = SAMPLE_BYTES / max(1.0, (size or 0) / max(1, n_docs))
+    share = lambda most, total: min(1.0, min(most, rows_at_most / 2) / max(1, total))
+    id_ = F.col("doc_id")
+    # most_positive rows or so: small enough for any executor.
+    sure = by_doc.filter((F.col("toxic") == 1) & drawn(id_, 1, share(most_positive, n_toxic))).select("doc_id", F.lit(True).alias("sure"))
+    rows = docs.select(id_.cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(~held_out(folds))
+    rows = rows.join(F.broadcast(sure), "doc_id", "left").withColumn("free", drawn(id_, 2, share(most_unlabelled, n_docs)))
     rows = rows.filter("sure OR free").select("doc_id", "text", F.coalesce("sure", F.lit(False)).alias("sure"), F.coalesce("free", F.lit(False)).alias("free"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known()
         for b in small(batches):
-            found = [np.fromiter(features(t.as_py(), known), np.int32).tobytes() for t in b.column(1)]
+            found = [np.sort(np.fromiter(features(t.as_py(), known), np.int32)).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2), b.column(3)], names=["doc_id", "cols", "sure", "free"])
 
-    t = rows.mapInArrow(each, "doc_id long, cols binary, sure boolean, free boolean").toArrow().sort_by("doc_id")
+    t = rows.mapInArrow(each, "doc_id long, cols binary, sure boolean, free boolean").toArrow()
+    if n_docs and not t.num_rows:
+        raise ValueError("no row was drawn for the fit")
+    t = t.sort_by([("doc_id", "ascending"), ("cols", "ascending")])
     cols = [np.frombuffer(x.as_py(), np.int32) for x in t["cols"]]
     sure_at, free_at = (np.flatnonzero(t[k].to_numpy()) for k in ("sure", "free"))
     seen = np.zeros(1 << BITS, np.int32)
@@ -118,9 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[dict[int,
     return {int(f): float(v) for f, v in zip(kept, w) if abs(v) > 1e-6}, bias
 
 
-def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+def score(
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int = MAX_POSITIVE, most_unlabelled: int = MAX_UNLABELLED
+) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each row of docs."""
-    weights, bias = train(docs, labels, folds)  # 2**BITS weights at most
+    weights, bias = train(docs, labels, folds, most_positive, most_unlabelled)  # 2**BITS weights at most
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(weights)

@@ -110,3 +110,100 @@ def test_risk_separates_positives_from_unlabelled():
     w, bias = toxicity.fit(positive, unlabelled, 0.1, 100, steps=1000)  # to convergence: a few sharp features need more steps than text
     assert np.mean([w[toxic()].sum() + bias > 0 for _ in range(200)]) > 0.95
     assert np.mean([w[clean()].sum() + bias < 0 for _ in range(200)]) > 0.95
+
+
+def test_quality_scores_by_plain_loops(spark, docs):
+    """Expectation-maximisation over single documents, and gradient steps over a full matrix."""
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    said = {i: quality.votes(t) for i, t in texts.items()}
+    post = {i: 0.1 if "0" in v else 0.9 for i, v in said.items()}
+    for _ in range(200):
+        prior = (sum(post.values()) + 1) / (len(post) + 2)
+        good, bad = [], []
+        for k in range(len(quality.LABELLERS)):
+            of = lambda votes, p: sum(p(i) for i, v in said.items() if v[k] in votes)  # noqa: B023, E731
+            good.append(min(0.9995, max(0.5, (of("1", post.get) + 9) / (of("01", post.get) + 10))))
+            bad.append(min(0.9995, max(0.05, (of("0", lambda i: 1 - post[i]) + 8) / (of("01", lambda i: 1 - post[i]) + 10))))
+        for i, v in said.items():
+            yes, no = prior, 1 - prior
+            for k, c in enumerate(v):
+                yes *= good[k] if c == "1" else 1 - good[k] if c == "0" else 1
+                no *= 1 - bad[k] if c == "1" else bad[k] if c == "0" else 1
+            post[i] = yes / (yes + no)
+    shapes, ids = quality.Shapes(), sorted(texts)
+    x = np.zeros((len(ids), 1 << quality.SHAPE_BITS))
+    for r, i in enumerate(ids):
+        cols, vals = quality.features(texts[i], shapes)
+        np.add.at(x[r], cols, vals)
+    used = np.flatnonzero(x.any(0))
+    x, y = np.c_[x[:, used], np.ones(len(ids))], np.array([post[i] for i in ids])
+    w = m = v = np.zeros(x.shape[1])
+    for t in range(1, 301):
+        g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(ids) + 1e-5 * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    want = dict(zip(ids, 1 / (1 + np.exp(-x @ w))))
+    got = {r.doc_id: r for r in quality.classify(spark, docs).collect()}
+    assert all(got[i].posterior == pytest.approx(post[i], abs=1e-6) and got[i].score == pytest.approx(want[i], abs=2e-3) for i in ids)
+    assert {i for i in ids if got[i].keep} == {r.doc_id for r in quality.good_only(spark, docs).collect()}
+
+
+def test_toxicity_scores_by_plain_loops(spark):
+    """The corrected risk with a full matrix, all rows and the same draws of batches."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    open_ = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    told = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and open_(r.doc_id)}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    words = lambda t: set(toxicity.WORD.findall((t or "").lower()))
+    of = {i: {f for w in words(t) for f in toxicity.word_features(w)} for i, t in texts.items()}
+    sure = [i for i in sorted(texts) if told.get(i) == 1]
+    free = [i for i in sorted(texts) if open_(i)]
+    seen = Counter(f for i in sure for f in of[i])
+    kept = sorted(f for f, n in seen.items() if n >= max(3, len(sure) // 400))
+    at = {f: k for k, f in enumerate(kept)}
+    def matrix(ids):
+        x = np.zeros((len(ids), len(kept)))
+        for r, i in enumerate(ids):
+            x[r, [at[f] for f in of[i] if f in at]] = 1
+        return x
+    xp, xu, prior = matrix(sure), matrix(free), sum(told.values()) / len(told)
+    rng, w, b = np.random.default_rng(7), np.zeros(len(kept)), np.log(prior / (1 - prior))
+    m = v = np.zeros(len(kept) + 1)
+    for t in range(1, 301):
+        p, u = 1 / (1 + np.exp(-(xp @ w + b))), 1 / (1 + np.exp(-(xu @ w + b)))
+        pp, pu = (rng.random(len(p)) < 0.5) / (0.5 * len(p)), (rng.random(len(u)) < 0.5) / (0.5 * len(u))
+        rest = -(pu @ np.log1p(-np.minimum(u, 1 - 1e-12))) + prior * (pp @ np.log1p(-np.minimum(p, 1 - 1e-12)))
+        gp, gu = (prior * pp * (p - 1) - prior * pp * p, pu * u) if rest >= 0 else (prior * pp * p, -pu * u)
+        g = np.append(gp @ xp + gu @ xu, gp.sum() + gu.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        rate = 0.1 * (1 - (t - 1) / 300)
+        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+        w = np.sign(w) * np.maximum(0, np.abs(w) - rate * 0.1)
+    want = dict(zip(texts, 1 / (1 + np.exp(-(matrix(list(texts)) @ w + b)))))
+    got = {r.doc_id: r.score for r in toxicity.score(spark, docs, labels).collect()}
+    assert max(abs(got[i] - want[i]) for i in texts) < 2e-3
+
+
+def test_shares_of_very_large_tables(spark):
+    """A share of one in 10**11 still draws, in proportion; a sample without rows is an error."""
+    from lodegraph.llm.common import drawn
+
+    hashes = spark.range(200_000)
+    assert abs(hashes.filter(drawn("id", 3, 0.01)).count() - 2_000) < 300
+    assert hashes.filter(drawn("id", 3, 1.0)).count() == 200_000
+    far = spark.range(3_000_000_000, 3_040_000_000, numPartitions=8)
+    assert 1 <= far.filter(drawn("id", 3, 1e-6)).count() <= 100
+    with pytest.raises(ValueError, match="no row"):
+        quality.fit_scorer(quality.looked_at(spark.createDataFrame([], "doc_id long, text string")), {}, 10**11)
+
+
+def test_larger_samples_score_alike(spark, middle):
+    docs, labels = middle
+    told = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    for most in (1_000, 100_000):
+        rows = [(r.predicted, told[r.doc_id]) for r in toxicity.score(spark, docs, labels, most_positive=most, most_unlabelled=most).collect() if r.held_out and r.doc_id in told]
+        hit = sum(p and t for p, t in rows)
+        print(most, "caught", hit / max(1, sum(t for _, t in rows)), "right", hit / max(1, sum(p for p, _ in rows)))
+        assert hit / max(1, sum(t for _, t in rows)) >= 0.8
