@@ -311,17 +311,19 @@ def _by_vertex(links: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def row_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits: int | None = None, by_id: bool = False) -> DataFrame:
-    """(doc_id, tk, n, class_id, grp), one row for each row of docs; tk: hash of the text.
+    """(doc_id, tk, n, class_id, grp, alone), one row for each row of docs; tk: hash of the text.
 
-    grp is the group of the row's class: classes that links connect, with by_id also those that share an id; null for rows
-    without words or id.  class_id: the smallest id with an equal set.
+    grp is the group of the row's class: classes that links connect; null for rows without words or id.  With by_id, classes that
+    share an id are connected too, and grp is the group's smallest id.  class_id: the smallest id with an equal set.  alone: the row
+    is the only one of its group (by_id aside).  Nothing is joined by group, so a very large one is no hot key.
     """
     found, counts = survey(docs, n, bucket_bits(docs) if bits is None else bits)
     known = found.filter("digest IS NOT NULL AND doc_id IS NOT NULL").withColumnRenamed("digest", "cls")
     one = F.min(F.struct("doc_id", "tk", "sig"))
-    classes = known.groupBy("cls").agg(one.alias("p")).select("cls", F.col("p.doc_id").alias("class_id"), "p.tk", "p.sig")
-    # Written, so that a class keeps its number.
-    classes = written(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
+    classes = known.groupBy("cls").agg(one.alias("p"), F.count("*").alias("k"))
+    # Written, so that a class keeps its number.  By id, classes with the same smallest id are one vertex.
+    vertex = F.col("p.doc_id") if by_id else F.monotonically_increasing_id()
+    classes = written(classes.select("cls", F.col("p.doc_id").alias("class_id"), "p.tk", "p.sig", "k", vertex.alias("v")), "classes")
     shared = prefixes(docs, counts, n, num, den).repartition("gram", "salt").dropDuplicates(["gram", "salt", "cls"])
     shared = shared.withColumn("g", F.count("*").over(W.partitionBy("gram", "salt")))
     shared = written(shared.filter("g > 1 OR salt >= 0"), "prefixes")
@@ -349,17 +351,19 @@ def row_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits: in
         rest = _rest(rows, comps, num, den).join(pairs, ["a", "b"], "left_anti")
         more = _by_vertex(verified(written(passed(rest, classes, num, den), "rest"), sets, num, den), classes)
         comps = components(comps.select(F.col("v").alias("a_v"), F.col("comp").alias("b_v")).union(more))
-    named = classes.join(comps, "v", "left").select(F.col("cls").alias("digest"), "class_id", F.coalesce("comp", "v").alias("grp"))
+    tops = comps.select(F.col("comp").alias("v")).distinct().withColumn("top", F.lit(True))
+    named = classes.join(comps, "v", "left").join(tops, "v", "left").select(
+        F.col("cls").alias("digest"), "class_id", F.coalesce("comp", "v").alias("grp"), F.expr("k = 1 AND comp IS NULL AND top IS NULL").alias("alone")
+    )
     key = F.when(F.col("doc_id").isNotNull(), F.col("digest"))
-    return found.withColumn("digest", key).join(named, "digest", "left").select("doc_id", "tk", "n", "class_id", "grp")
+    return found.withColumn("digest", key).join(named, "digest", "left").select("doc_id", "tk", "n", "class_id", "grp", "alone")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id), one row for each row of docs; similarity num / den or more links."""
     rows = written(row_groups(docs, n, num, den, bits, by_id=True), "row-groups")
+    full = rows.filter("grp IS NOT NULL").select("doc_id", "n", F.col("grp").alias("component_id"), "class_id")
     # A row without words shares the vertex of its id's other rows.
-    named = rows.filter("grp IS NOT NULL").groupBy("grp").agg(F.min("class_id").alias("component_id"))
-    full = rows.filter("grp IS NOT NULL").join(named, "grp").select("doc_id", "n", "component_id", "class_id")
     bare = rows.filter("grp IS NULL")
     others = full.join(bare.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("c"))
     bare = bare.join(others, "doc_id", "left").select("doc_id", "n", F.coalesce("c", "doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
