@@ -50,11 +50,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows that share an id but are not alike are two documents here.
     """
-    rows = written(ngram_join.row_groups(docs).filter("grp IS NOT NULL"), "row-groups")
-    firsts = rows.groupBy("grp").agg(F.min(F.struct("doc_id", "tk")).alias("first"), F.count("*").alias("k")).filter("k > 1")
-    at = F.struct("doc_id", "tk")
-    told = rows.join(firsts, "grp").select(F.col("doc_id").alias("id"), F.col("tk").alias("sha"), (at == F.col("first")).alias("stays"))
-    return _keep_rows(docs, told.distinct(), lambda text: F.xxhash64(text.cast("string")))
+    rows = written(ngram_join.row_groups(docs).filter("NOT alone"), "row-groups")
+    firsts = rows.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("tk").alias("sha"))).alias("first"))
+    firsts = firsts.select("first.*", F.lit(True).alias("first"))
+    told = rows.select(F.col("doc_id").alias("id"), F.col("tk").alias("sha")).distinct().join(firsts, ["id", "sha"], "left")
+    told = told.select("id", "sha", F.coalesce("first", F.lit(False)).alias("stays"))
+    return _keep_rows(docs, told, lambda text: F.xxhash64(text.cast("string")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
