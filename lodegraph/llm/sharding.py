@@ -5,13 +5,15 @@ to that point's arc.  A shard takes no more than its bound of rows.  Rows that a
 clockwise to the next shards, in rounds: in round h every arc offers what it has left to the h-th shard clockwise,
 and a shard accepts in ring order until it is full.  The rounds need only the number of rows in each arc, so they run
 on a table of shards * vnodes counts, whatever the input's size; each arc's rows, in hash order, are then cut
-into the ranges that the rounds gave to each shard.
+into the ranges that the rounds gave to each shard.  A row's rank in its arc is the number of rows in the cells of the ring before
+its own, from a table of counts of fixed size, plus its rank in the cell: no task sorts a whole arc.
 
 With overload 0 the bounds are the mean, rounded so that they add up to all rows: counts are at most one apart
-(the law "rows").  A larger overload moves fewer rows when shards change.
+(the law "rows").  A larger overload moves fewer rows when shards change.  Equal texts are not held together: a group of copies
+may have a third of all rows, which no one of 16 shards may take under this law, and rows go by their ids.
 
-Defined cases: a null text has size 1 and the checksum of no bytes; rows with a null id share one point of the
-ring; rows that repeat count each; an empty table gives an empty result; extra columns are ignored.
+Defined cases: a null text has size 1 and the checksum of no bytes; rows with a null id go by their texts;
+rows that repeat count each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 RING = 1 << 32
 #: The ring is cut into so many cells, so that finding the arc of a row is an equi-join with a table of fixed size.
-CELLS = 4096
+CELLS = 16_384
 
 
 def ring_points(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -76,20 +78,25 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 16, vnodes: int =
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 32).alias("at"),
+        F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))), 32).alias("at"),
     ).withColumn("cell", F.floor(F.col("at") / (RING // CELLS)).cast("int"))
-    # Both tables that are broadcast have sizes set by shards, vnodes and CELLS.
+    # All tables that are broadcast have sizes set by shards, vnodes and CELLS.
     cells = spark.createDataFrame(arc_cells(points), "cell int, low long, high long, arc int")
     placed = rows.join(F.broadcast(cells), (rows.cell == cells.cell) & (rows.at >= cells.low) & (rows.at <= cells.high)).select(
-        "doc_id", "size", "text_crc32", "at", "arc"
+        "doc_id", "size", "text_crc32", "at", "arc", rows.cell
     )
-    counts = {r.arc: r["count"] for r in placed.groupBy("arc").count().collect()}
+    counts, before = {}, []
+    # CELLS + shards * vnodes rows at most.
+    for r in sorted(placed.groupBy("arc", "cell").count().collect(), key=lambda r: (r.arc, r.cell)):
+        before.append((r.arc, r.cell, counts.get(r.arc, 0)))
+        counts[r.arc] = counts.get(r.arc, 0) + r["count"]
     n = sum(counts.values())
     each = [n // shards + (s < n % shards) for s in range(shards)]
     bounds = [b + int(overload * b) for b in each]
     cuts = spark.createDataFrame(bounded_rounds(counts, points, bounds), "arc int, low long, high long, shard int, base long")
-    rank = F.row_number().over(W.partitionBy("arc").orderBy("at", "doc_id", "size", "text_crc32")) - 1
-    ranked = placed.withColumn("rank", rank.cast("long"))
+    starts = spark.createDataFrame(before, "arc int, cell int, start long")
+    rank = F.row_number().over(W.partitionBy("arc", "cell").orderBy("at", "doc_id", "size", "text_crc32")) - 1
+    ranked = placed.withColumn("rank", rank).join(F.broadcast(starts), ["arc", "cell"]).withColumn("rank", F.col("rank") + F.col("start"))
     met = (ranked.arc == cuts.arc) & (ranked["rank"] >= cuts.low) & (ranked["rank"] < cuts.high)
     return ranked.join(F.broadcast(cuts), met).select(
         "doc_id",

@@ -90,6 +90,53 @@ def test_shards(spark, request, name):
     assert max(counts) - min(counts) <= 1
 
 
+def plain_ring(rows, shards, vnodes, overload):
+    """Row by row: every row's point, then rounds in which each shard clockwise takes rows of an arc until it is full."""
+    import bisect
+    import hashlib
+    import struct
+    import zlib
+
+    import xxhash
+
+    h64 = lambda b: xxhash.xxh64_intdigest(b, 42)
+    points = {}
+    for s in range(shards):
+        for v in range(vnodes):
+            points.setdefault(int.from_bytes(hashlib.sha256(f"{s}/{v}".encode()).digest()[:4], "big"), s)
+    at = sorted(points)
+    arcs = [[] for _ in at]
+    for i, t in rows:
+        raw = (t or "").encode()
+        key = struct.pack("<q", i) if i is not None else struct.pack("<Q", h64(raw))
+        where = h64(key) >> 32
+        arcs[bisect.bisect_left(at, where) % len(at)].append((where, (i is not None, i or 0), len(raw) + 1, zlib.crc32(raw), i))
+    for a in arcs:
+        a.sort()
+    n = len(rows)
+    room = [(m := n // shards + (s < n % shards)) + int(overload * m) for s in range(shards)]
+    out, slots = [], [0] * shards
+    turns = [list(dict.fromkeys(points[at[(a + k) % len(at)]] for k in range(len(at)))) for a in range(len(at))]
+    for turn in range(shards):
+        for a, rest in enumerate(arcs):
+            s = turns[a][turn]
+            while rest and room[s]:
+                _, _, size, crc, i = rest.pop(0)
+                out.append((i, size, crc, s, slots[s]))
+                slots[s] += 1
+                room[s] -= 1
+    return out
+
+
+@pytest.mark.parametrize("overload", [0.0, 0.25])
+@pytest.mark.parametrize("name", ["docs", "edge", "none"])
+def test_shards_by_a_plain_ring(spark, request, name, overload):
+    table = request.getfixturevalue(name)
+    got = [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard(spark, table, vnodes=8, overload=overload).collect()]
+    want = plain_ring([(r.doc_id, r.text) for r in table.collect()], 16, 8, overload)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_one_more_shard_moves_few(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     at = lambda n: {r.doc_id: r.shard for r in sharding.shard(spark, rows, shards=n, overload=0.25).collect()}
