@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +62,15 @@ class Scratch:
 
 
 def small(batches, rows: int = 256):
-    """Arrow batches a few rows at a time: what a task holds as Python objects stays small, however Spark cuts its batches."""
+    """Arrow batches a few rows at a time: what a task holds as Python objects stays small, however Spark cuts its batches.
+
+    A worker lives on for later tasks, so what Arrow holds in reserve is given back at the end.
+    """
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def text_or_empty(column: str = "text"):

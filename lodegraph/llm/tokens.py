@@ -35,7 +35,7 @@ def _byte_letters() -> dict[int, int]:
 class Encoder:
     """ids(text) -> the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -17,7 +17,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 class Hashes(dict):
     """word -> hash, with at most `entries` kept."""
 
-    def __init__(self, entries: int = 200_000):
+    def __init__(self, entries: int = 100_000):
         self.entries = entries
 
     def __missing__(self, word: bytes) -> int:
