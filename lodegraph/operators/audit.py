@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.functions.names import style
+
 FINDING = "doc_key string, rule_id string, scanner string, severity string, line int, column int, snippet string"
 RULE = "rule_id string, severity string, kind string, extensions array<string>, pattern string"
 
@@ -31,6 +33,13 @@ CODE_RULES = [
     ("perf.keys-foreach", "info", ["ts", "tsx", "js", "jsx"], r"\bObject\.keys\s*\([^)]*\)\s*\.forEach\s*\("),
     ("a11y.img-alt", "error", ["tsx", "jsx", "html", "vue", "svelte"], r"""<img\b(?![^>]*\balt\s*=\s*["'])[^>]*>"""),
     ("a11y.anchor-href", "error", ["tsx", "jsx", "html", "vue", "svelte"], r"""<a\b(?![^>]*\bhref\s*=\s*["'])[^>]*>"""),
+    ("security.sql-concat", "critical", ["ts", "tsx", "js", "jsx", "py", "rs"], r"""(?i)["'`](?:select|insert|update|delete)\b[^"'`\n]*["'`]\s*\+"""),
+    ("ts.untyped-param", "warning", ["ts", "tsx"], r"\bfunction\s+\w+\s*\(\s*\w+\s*[,)]"),
+    ("theme.missing-dark-variant", "warning", ["tsx", "jsx", "html"], r"""\bclass(?:Name)?=["'](?=[^"']*\b(?:bg|text)-(?:white|black)\b)(?![^"']*\bdark:)[^"']*["']"""),
+    ("a11y.button-focus", "warning", ["tsx", "jsx", "html", "vue", "svelte"], r"<button\b(?![^<]*focus-visible)[^<]*>"),
+    ("perf.array-from-in-loop", "warning", ["ts", "tsx", "js", "jsx"], r"\b(?:for|while)\s*\([^)]*\)\s*\{[^}]*\bArray\.from\s*\("),
+    ("perf.unwrap-in-async", "warning", ["rs"], r"\basync\s+fn\b[^{]*\{[^}]*\.unwrap\(\)"),
+    ("perf.many-state-updates", "info", ["ts", "tsx", "js", "jsx"], r"\bset[A-Z]\w*\((?:(?!\bset[A-Z])[\s\S]){0,100}\bset[A-Z]\w*\((?:(?!\bset[A-Z])[\s\S]){0,100}\bset[A-Z]\w*\("),
     ("secrets.jwt", "critical", None, r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 ]
 
@@ -43,6 +52,43 @@ PROSE_RULES = [
 ]
 
 
+def _closing(text: str, at: int, pair: str = "()") -> int:
+    """The place of the bracket that closes the one at `at`; -1 if none does."""
+    depth = 0
+    for i in range(at, len(text)):
+        depth += (text[i] == pair[0]) - (text[i] == pair[1])
+        if not depth:
+            return i
+    return -1
+
+
+def _effects_without_deps(text: str):
+    for m in re.finditer(r"\buseEffect\s*\(", text):
+        end = _closing(text, m.end() - 1)
+        if end >= 0 and not re.search(r",\s*\[[^\]]*\]\s*$", text[m.end() : end]):
+            yield m
+
+
+def _handlers_without_checks(text: str, ahead: int = 400):
+    for m in re.finditer(r"\bipcMain\.(?:handle|on)\s*\(", text):
+        if not re.search(r"\.(?:safeParse|parse|validate)\s*\(|\b(?:assert|is)[A-Z]\w*\s*\(", text[m.end() : m.end() + ahead]):
+            yield m
+
+
+def _icon_buttons(text: str):
+    for m in re.finditer(r"<button\b([^<]*)>([\s\S]*?)</button>", text):
+        if "aria-label" not in m[1] and not re.sub(r"<[^>]*>", "", m[2]).strip():
+            yield m
+
+
+#: Rules that one pattern can't say: (id, severity, extensions, text -> matches).
+CODE_CHECKS = [
+    ("perf.effect-without-deps", "warning", ["ts", "tsx", "js", "jsx"], _effects_without_deps),
+    ("security.unchecked-handler", "error", ["ts", "tsx", "js", "jsx"], _handlers_without_checks),
+    ("a11y.icon-button", "error", ["tsx", "jsx", "html", "vue", "svelte"], _icon_buttons),
+]
+
+
 def rules_table(spark: SparkSession, rules: list[tuple], kind: str = "forbidden") -> DataFrame:
     return spark.createDataFrame([(i, s, kind, e, p) for i, s, e, p in rules], RULE)
 
@@ -54,21 +100,22 @@ def scan(docs: DataFrame, rules: list[tuple], required: list[tuple] = (), extens
     """
 
     def look(batches):
-        plan = [(i, s, e, re.compile(p), True) for i, s, e, p in rules] + [(i, s, e, re.compile(p), False) for i, s, e, p in required]
+        finder = lambda p: p if callable(p) else re.compile(p).finditer
+        plan = [(i, s, e, finder(p), True) for i, s, e, p in rules] + [(i, s, e, finder(p), False) for i, s, e, p in required]
         for batch in batches:
             out = []
             for key, text, ext in zip(batch["doc_key"], batch["text"], batch["extension"]):
                 text = text or ""
-                for rule, severity, extensions, pattern, forbidden in plan:
+                for rule, severity, extensions, matches, forbidden in plan:
                     if extensions and ext not in extensions:
                         continue
                     scanner = rule.split(".")[0]
                     if not forbidden:
-                        if not pattern.search(text):
+                        if next(iter(matches(text)), None) is None:
                             out.append((key, rule, scanner, severity, 1, 0, ""))
                         continue
                     line, seen = 1, 0
-                    for m in pattern.finditer(text):
+                    for m in matches(text):
                         line += text.count("\n", seen, m.start())
                         seen = m.start()
                         out.append((key, rule, scanner, severity, line, m.start() - (text.rfind("\n", 0, m.start()) + 1), m[0][:80]))
@@ -105,6 +152,28 @@ def unused_imports(docs: DataFrame) -> DataFrame:
     return each.filter(times <= 1).select("doc_key", "name")
 
 
+def unreachable_functions(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_key, name): functions whose name stands once in all texts, where it is declared."""
+    names = docs.select("doc_key", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(?:function|fn|def)\s+([A-Za-z_][A-Za-z0-9_]*)"), 1))).alias("name"))
+    words = docs.select(F.explode(F.split(text, "[^A-Za-z0-9_]+")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return names.join(words.filter("n = 1"), "name").select("doc_key", "name")
+
+
+def unreferenced_types(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_key, name): types whose name stands once in all texts."""
+    names = docs.select("doc_key", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(?:interface|struct|enum|class|type)\s+([A-Z][A-Za-z0-9_]*)"), 1))).alias("name"))
+    words = docs.select(F.explode(F.split(text, "[^A-Za-z0-9_]+")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return names.join(words.filter("n = 1"), "name").select("doc_key", "name")
+
+
+def renames(docs: DataFrame, text: str = "text", extension: str = "extension") -> DataFrame:
+    """(doc_key, name, style): functions that are not named as their language does: camel in scripts, snake in Rust and Python."""
+    each = docs.select("doc_key", extension, F.explode(F.regexp_extract_all(text, F.lit(r"\b(?:function|fn|def)\s+([A-Za-z_][A-Za-z0-9_]*)"), 1)).alias("name"))
+    script = F.col(extension).isin("ts", "tsx", "js", "jsx")
+    wrong = F.when(script, F.col("name").contains("_")).otherwise(F.col("name").rlike("[A-Z]"))
+    return each.filter(wrong).select("doc_key", "name", style(F.col("name")).alias("style"))
+
+
 def open_findings(findings: DataFrame, rank, limit: int = 500) -> DataFrame:
     """Unresolved findings, worst first."""
     return findings.filter("resolved_at IS NULL").orderBy(F.desc(rank), "doc_key", "line", "column", "rule_id").limit(limit)

@@ -10,17 +10,24 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder all executors share, spark.checkpoint.dir; a session on one machine may do without the setting."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="lodegraph-"))
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="lodegraph-"))
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/level-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/level-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -167,24 +174,51 @@ def _least_label(edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(qualified_name, community_id) by synchronous label propagation over undirected weights; ties go to the smaller label.
+def _moved(links: DataFrame, weight: DataFrame, total: float, gamma: float, rounds: int) -> DataFrame:
+    """(node, label): local moving by modularity over links (source, target, weight) of both directions; weight: (node, k).
 
-    Labels start as names; ids are given by size, then least member.  Self-loops don't count.
+    In each round half of the nodes, by a hash, go where the gain is largest, the smaller label first; so two sides don't
+    swap for ever.  It ends when no node would go anywhere.
     """
-    e = edges.filter("source <> target").select("source", "target", F.coalesce("weight", F.lit(1.0)).alias("weight"))
-    both = saved(e.union(e.select("target", "source", "weight")).groupBy("source", "target").agg(F.sum("weight").alias("weight")))
-    labels = saved(both.select(F.col("source").alias("node")).distinct().withColumn("label", F.col("node")))
+    labels = saved(weight.select("node", F.col("node").alias("label")))
     for r in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "target"), "target").groupBy(F.col("source").alias("node"), "label").agg(F.sum("weight").alias("w"))
-        if r % 2:  # a node's own label counts too, so that two sides don't swap for ever
-            votes = votes.union(labels.withColumn("w", F.lit(0.5))).groupBy("node", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b"))
-        new = saved(best.select("node", F.col("b.label").alias("label")))
-        if new.join(labels, ["node", "label"], "left_anti").isEmpty():
+        held = labels.join(weight, "node")
+        sums = held.groupBy("label").agg(F.sum("k").alias("all"))
+        told = links.join(labels.withColumnRenamed("node", "target"), "target").select(F.col("source").alias("node"), "label", "weight")
+        votes = told.union(labels.withColumn("weight", F.lit(0.0))).groupBy("node", "label").agg(F.sum("weight").alias("w"))
+        met = votes.join(held.withColumnRenamed("label", "now"), "node").join(sums, "label")
+        rest = F.col("all") - F.when(F.col("label") == F.col("now"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - gamma * F.col("k") * rest / total, 9)
+        best = met.groupBy("node", "now").agg(F.min(F.struct((-gain).alias("cost"), "label")).alias("b")).select("node", "now", F.col("b.label").alias("best"))
+        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
+        moved = saved(best.select("node", F.when(turn, F.col("best")).otherwise(F.col("now")).alias("label"), (F.col("best") != F.col("now")).alias("open")))
+        labels = moved.select("node", "label")
+        if moved.filter("open").isEmpty():
             break
-        labels = new
-    return reindex(labels)
+    return labels
+
+
+def communities(edges: DataFrame, rounds: int = 6, gamma: float = 1.0, levels: int = 3) -> DataFrame:
+    """(qualified_name, community_id) by modularity over undirected weights: local moving, then the same over the communities found.
+
+    Ids are given by size, then least member.  Self-loops don't count.  Each level's graph is smaller than the one before; it ends when
+    nothing moves.
+    """
+    e = edges.filter("source <> target").select("source", "target", F.coalesce("weight", F.lit(1.0)).cast("double").alias("weight"))
+    links = saved(e.union(e.select("target", "source", "weight")).groupBy("source", "target").agg(F.sum("weight").alias("weight")))
+    weight = saved(links.groupBy(F.col("source").alias("node")).agg(F.sum("weight").alias("k")))
+    total = weight.agg(F.sum("k")).first()[0] or 1.0
+    found = weight.select("node", F.col("node").alias("label"))
+    for _ in range(levels):
+        to = _moved(links, weight, total, gamma, rounds)
+        if to.filter("node <> label").isEmpty():
+            break
+        found = saved(found.join(to.select(F.col("node").alias("label"), F.col("label").alias("new")), "label").select("node", F.col("new").alias("label")))
+        side = lambda x: to.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))  # noqa: B023, E731
+        met = links.join(side("source"), "source").join(side("target"), "target").filter("source_label <> target_label")
+        links = saved(met.groupBy(F.col("source_label").alias("source"), F.col("target_label").alias("target")).agg(F.sum("weight").alias("weight")))
+        weight = saved(weight.join(to, "node").groupBy("label").agg(F.sum("k").alias("k")).withColumnRenamed("label", "node"))
+    return reindex(found)
 
 
 def reindex(labels: DataFrame) -> DataFrame:
@@ -304,3 +338,73 @@ def file_dependencies(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     t = nodes.select(F.col("qualified_name").alias("target"), F.col("file_path").alias("g"))
     met = edges.join(s, "source").join(t, "target").filter("f <> g")
     return met.select(F.col("f").alias("source"), F.col("g").alias("target")).distinct()
+
+
+def shortest_cycles(edges: DataFrame, starts: int = 10, most: int = 3, depth: int = 12) -> DataFrame:
+    """(start, length, nodes) of short cycles: from up to `starts` nodes on cycles, the shortest way back to each, each cycle once.
+
+    Searches run side by side inside the strongly connected components, level by level; of the ways to a node at its least depth, the
+    one that comes first by name is kept.
+    """
+    members = strong_components(edges)
+    seeds = saved(members.groupBy("component").agg(F.min("node").alias("node")).union(members.select("component", "node")).select("node").distinct().orderBy("node").limit(starts))
+    inside = edges.filter("source <> target").select("source", "target").distinct()
+    inside = inside.join(members.select(F.col("node").alias("source"), F.col("component").alias("a")), "source")
+    inside = saved(inside.join(members.select(F.col("node").alias("target"), F.col("component").alias("b")), "target").filter("a = b").select("source", "target"))
+    front = seeds.select(F.col("node").alias("start"), F.col("node").alias("source"), F.array("node").alias("way"))
+    seen, back = front.select("start", F.col("source").alias("target")), None
+    for _ in range(depth):
+        step = front.join(inside, "source").select("start", "target", "way")
+        closed = step.filter("target = start").groupBy("start").agg(F.min("way").alias("way"))
+        back = closed if back is None else back.union(closed)
+        new = step.join(seen, ["start", "target"], "left_anti").groupBy("start", "target").agg(F.min("way").alias("way"))
+        front = saved(new.select("start", F.col("target").alias("source"), F.array_append("way", F.col("target")).alias("way")))
+        if front.isEmpty():
+            break
+        seen = saved(seen.union(front.select("start", "source")))
+    found = back.groupBy("start").agg(F.min(F.struct(F.size("way").alias("length"), "way")).alias("c")).select("start", "c.length", F.col("c.way").alias("nodes"))
+    first = F.row_number().over(W.partitionBy(F.sort_array("nodes")).orderBy("start"))
+    return found.withColumn("first", first).filter("first = 1").drop("first").orderBy("length", "start").limit(most)
+
+
+def split_oversized(edges: DataFrame, labels: DataFrame, share: float = 0.25, depth: int = 3, least: int = 4) -> DataFrame:
+    """Communities (qualified_name, community_id) with those of more than `share` of all nodes split again, up to `depth` times.
+
+    A community is split by modularity over its own edges, at 1.5 times the resolution; what stays whole then stays.
+    """
+    now = saved(labels.select(F.col("qualified_name").alias("node"), F.col("community_id").cast("string").alias("label")))
+    n = now.count()
+    for _ in range(depth):
+        big = saved(now.groupBy("label").agg(F.count("*").alias("k")).filter(F.col("k") > max(share * n, least)).select("label"))
+        if big.isEmpty():
+            break
+        held = now.join(F.broadcast(big), "label")  # 1 / share rows at most
+        inner = edges.join(held.select(F.col("node").alias("source"), F.col("label").alias("a")), "source")
+        inner = inner.join(held.select(F.col("node").alias("target"), F.col("label").alias("b")), "target").filter("a = b").select("source", "target", "weight")
+        parts = communities(inner, gamma=1.5).select(F.col("qualified_name").alias("node"), F.col("community_id").cast("string").alias("part"))
+        new = saved(now.join(parts, "node", "left").select("node", F.concat_ws("/", "label", "part").alias("label")))
+        same = new.select("label").distinct().count() == now.select("label").distinct().count()
+        now = new
+        if same:
+            break
+    return reindex(now)
+
+
+def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(community_id, inside, incident, cohesion): the weight inside each community against all that touches it."""
+    side = lambda x, c: labels.select(F.col("qualified_name").alias(x), F.col("community_id").alias(c))
+    met = edges.filter("source <> target").join(side("source", "a"), "source").join(side("target", "b"), "target")
+    ends = met.select("a", "b", "weight").withColumn("community_id", F.explode(F.array_distinct(F.array("a", "b"))))
+    return ends.groupBy("community_id").agg(
+        F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("inside"), F.sum("weight").alias("incident")
+    ).withColumn("cohesion", F.col("inside") / F.col("incident"))
+
+
+def circle_layout(nodes: DataFrame, group: str, radius: float = 10.0, apart: float = 100.0) -> DataFrame:
+    """Nodes with x and y: each group on a circle in order of name, the circles side by side in order of the groups' names."""
+    sizes = nodes.groupBy(group).agg(F.count("*").alias("n"))
+    place = sizes.withColumn("g", F.row_number().over(W.orderBy(group)) - 1)  # one row for each group
+    w = W.partitionBy(group).orderBy("qualified_name")
+    met = nodes.withColumn("i", F.row_number().over(w) - 1).join(F.broadcast(place), group)
+    angle = 2 * F.pi() * F.col("i") / F.col("n")
+    return met.withColumn("x", F.col("g") * apart + radius * F.cos(angle)).withColumn("y", radius * F.sin(angle)).drop("i", "n", "g")

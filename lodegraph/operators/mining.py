@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodegraph.functions.names import style
-from lodegraph.operators.relational import majority
+from lodegraph.operators.relational import glob_pattern, majority
 
 
 def naming_conventions(symbols: DataFrame, scope: str, name: str) -> DataFrame:
@@ -71,3 +71,30 @@ def test_framework(path: Column) -> Column:
         F.when(path.rlike(r"\.(test|spec)\.[jt]sx?$"), "jest").when(path.rlike(r"(^|/)test_[^/]+\.py$|_test\.py$"), "pytest")
         .when(path.rlike(r"(^|/)tests/[^/]+\.rs$|_test\.rs$"), "cargo").when(path.rlike(r"_test\.go$"), "go")
     )
+
+
+def glob_intents(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """(file, intent, confidence) by the first rule (glob, intent) that a file fits."""
+    kind: Column | None = None
+    for glob, intent in rules:
+        fits = F.col("file").rlike(glob_pattern(glob))
+        kind = F.when(fits, intent) if kind is None else kind.when(fits, intent)
+    return files.select("file", kind.alias("intent"), F.lit(0.9).alias("confidence")).filter("intent IS NOT NULL")
+
+
+def written_intents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(file, intent, reason) from lines `- name: kind - reason` of documents."""
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("line"))
+    part = lambda i: F.regexp_extract("line", r"^\s*-\s+`?([^:`\s]+)`?:\s*([a-z]+)(?:\s+[-—]\s+(.*))?$", i)
+    return lines.select(part(1).alias("file"), part(2).alias("intent"), part(3).alias("reason")).filter("file <> ''")
+
+
+def observed(files: DataFrame, text: str = "text") -> DataFrame:
+    """(path, functions, types, imports_first, exports, tests_beside): what a file shows of its conventions."""
+    head = F.array_join(F.slice(F.split(text, "\n"), 1, 60), "\n")
+    n = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
+    return files.select(
+        "path", n(r"\b(?:function|fn|def)\s+[A-Za-z_]").alias("functions"), n(r"\b(?:interface|struct|enum|class)\s+[A-Z]").alias("types"),
+        F.regexp_count(head, F.lit(r"(?m)^(?:import|use|from)\s")).cast("long").alias("imports"), n(r"(?m)^export\b").alias("exports"),
+        F.col("path").rlike(r"\.(?:test|spec)\.|(?:^|/)tests?/").alias("is_test"),
+    )

@@ -128,3 +128,50 @@ def blast_risk(spark, d):
         F.countDistinct("source").alias("direct"), (F.count("*") - F.countDistinct("source")).alias("transitive"), F.count_if(F.col("weight") > 45).alias("tests")
     )
     return c.select("target", G.blast_risk(F.col("direct"), F.col("transitive"), F.col("tests"), F.lit(0)).alias("risk"))
+
+
+@Q.add(
+    "G9_shortest_cycles",
+    """SELECT * FROM (VALUES ('n:0', 3, ['n:0', 'n:1', 'n:2']), ('n:10', 5, ['n:10', 'n:11', 'n:12', 'n:13', 'n:14']),
+      ('n:15', 5, ['n:15', 'n:16', 'n:17', 'n:18', 'n:19'])) AS t(start, length, nodes)""",
+)
+def shortest_cycles(spark, d):
+    """Rings of five nations each, and a short cut in the first."""
+    n = F.col("n_nationkey")
+    after = F.when(n % 5 == 4, n - 4).otherwise(n + 1)
+    ring = table(spark, d, "nation").select(F.concat(F.lit("n:"), n.cast("string")).alias("source"), F.concat(F.lit("n:"), after.cast("string")).alias("target"))
+    ring = ring.union(spark.createDataFrame([("n:2", "n:0")], "source string, target string"))
+    return G.shortest_cycles(ring)
+
+
+@Q.add("G12_oversized_split", "SELECT p_brand || '/' || (p_partkey % 2) AS member, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def oversized(spark, d):
+    """One community of all parts, whose edges go round within each half of each brand: every half comes out as one."""
+    part = table(spark, d, "part").select(F.concat_ws("/", "p_brand", (F.col("p_partkey") % 2).cast("string")).alias("half"), F.concat(F.lit("p:"), "p_partkey").alias("q"))
+    hub = part.groupBy("half").agg(F.min("q").alias("hub"))
+    star = part.join(hub, "half").filter("q <> hub").select(F.col("hub").alias("source"), F.col("q").alias("target"), F.lit(1.0).alias("weight"))
+    whole = part.select(F.col("q").alias("qualified_name"), F.lit(0).cast("long").alias("community_id"))
+    found = G.split_oversized(star, whole).join(part.withColumnRenamed("q", "qualified_name"), "qualified_name")
+    return found.groupBy("community_id").agg(F.min("half").alias("member"), F.count("*").alias("n"), F.countDistinct("half").alias("k")).filter("k = 1 AND n > 1").select("member", "n")
+
+
+@Q.add(
+    "G11_cohesion",
+    f"""WITH e AS ({CONTAINMENT}), m AS ({MEMBERS}), j AS (SELECT a.community_id AS a, b.community_id AS b, weight FROM e JOIN m a ON a.qualified_name = source JOIN (
+      SELECT qualified_name, community_id FROM m UNION ALL SELECT 'n:' || n_nationkey, (n_nationkey % 5)::BIGINT FROM nation) b ON b.qualified_name = target)
+    SELECT community_id, sum(weight) FILTER (a = b) AS inside, sum(weight) AS incident, sum(weight) FILTER (a = b) / sum(weight) AS cohesion
+    FROM (SELECT a AS community_id, a, b, weight FROM j UNION ALL SELECT b, a, b, weight FROM j WHERE a <> b) GROUP BY 1""",
+)
+def cohesion(spark, d):
+    n = table(spark, d, "nation").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("qualified_name"), (F.col("n_nationkey") % 5).cast("long").alias("community_id"))
+    return G.cohesion(containment_edges(spark, d), membership(spark, d).union(n))
+
+
+@Q.add(
+    "J2_blast_unknown",
+    f"WITH e AS ({CONTAINMENT}) SELECT 1::BIGINT AS depth, target AS node, CASE WHEN target IN ('n:0', 'n:1') THEN '?' ELSE 'nation' END AS kind FROM e WHERE source IN ('c:1', 'c:2', 'c:3', 'c:4', 'c:5') GROUP BY target",
+)
+def blast_unknown(spark, d):
+    known = nodes(spark, d).filter("qualified_name NOT IN ('n:0', 'n:1')")
+    seeds = _seed(spark, d, "c:1", "c:2", "c:3", "c:4", "c:5")
+    return G.blast(containment_edges(spark, d), known, seeds, 1).select(F.col("depth").cast("long").alias("depth"), "node", "kind")

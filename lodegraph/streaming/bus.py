@@ -93,3 +93,22 @@ def upsert_each(stream: DataFrame, path: str, key: str, checkpoint: str):
 def latest_version(rows: DataFrame, key: str) -> DataFrame:
     rank = F.dense_rank().over(W.partitionBy(key).orderBy(F.desc("version")))
     return rows.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
+
+
+def upsert_newest(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
+    """Write all that the stream holds now, of each micro-batch the newest row of each key; a started query that ends by itself."""
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
+        newest.withColumn("version", F.lit(epoch)).write.mode("append").partitionBy("version").parquet(path)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+def evicted(sends: DataFrame, consumer: str, order: str, full: str, limit: int = 256) -> DataFrame:
+    """(consumer, evicted_at): where a consumer's queue was full at `limit` sends in a row for the first time."""
+    w = W.partitionBy(consumer).orderBy(order)
+    rows = sends.withColumn("__free", F.sum(F.when(F.col(full), 0).otherwise(1)).over(w))
+    run = F.row_number().over(W.partitionBy(consumer, "__free").orderBy(order))
+    late = rows.filter(F.col(full)).withColumn("__run", run).filter(F.col("__run") == limit)
+    return late.groupBy(consumer).agg(F.min(order).alias("evicted_at"))
