@@ -57,23 +57,29 @@ def minhash(text: str) -> list[int]:
     return np.minimum.reduce([_token_mins(t) for t in found]).tolist() if found else [0xFFFFFFFF] * SALTS
 
 
+@lru_cache(200_000)
+def _token_hash(token: str) -> int:
+    return fnv1a(token.encode())
+
+
+def _trigram_hashes(data: bytes) -> np.ndarray:
+    """FNV-1a of every three bytes that follow each other, all at once."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint64)
+    h = np.full(max(0, len(b) - 2), FNV_OFFSET, np.uint64)
+    for i in range(3):
+        h = (h ^ b[i : i + len(h)]) * np.uint64(FNV_PRIME)
+    return h
+
+
 def hash_embed(text: str) -> np.ndarray:
     lower = (text or "").lower()
-    out, n = np.zeros(DIMENSIONS), 0
-
-    def put(data: bytes, size: float) -> None:
-        h = fnv1a(data)
-        out[h % DIMENSIONS] += size if h % 2 == 0 else -size
-
-    for t in WORD.findall(lower):
-        if len(data := t.encode()) >= 2:
-            n += 1
-            put(data, 1.0)
-    data = lower.encode()
-    for i in range(len(data) - 2):
-        put(data[i : i + 3], 0.5)
-    if n > MAX_TOKENS:
-        out *= MAX_TOKENS / n
+    own = [_token_hash(t) for t in WORD.findall(lower) if len(t) > 1 or len(t.encode()) >= 2]
+    near = _trigram_hashes(lower.encode())
+    h = np.concatenate([np.array(own, np.uint64), near])
+    size = np.concatenate([np.ones(len(own)), np.full(len(near), 0.5)])
+    out = np.bincount((h % np.uint64(DIMENSIONS)).astype(np.int64), weights=np.where(h & np.uint64(1), -size, size), minlength=DIMENSIONS)
+    if len(own) > MAX_TOKENS:
+        out *= MAX_TOKENS / len(own)
     norm = np.sqrt((out**2).sum())
     if norm > 1e-12:
         return out / norm

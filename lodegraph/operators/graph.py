@@ -198,7 +198,7 @@ def _moved(links: DataFrame, weight: DataFrame, total: float, gamma: float, roun
     return labels
 
 
-def communities(edges: DataFrame, rounds: int = 6, gamma: float = 1.0, levels: int = 3) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 12, gamma: float = 1.0, levels: int = 3) -> DataFrame:
     """(qualified_name, community_id) by modularity over undirected weights: local moving, then the same over the communities found.
 
     Ids are given by size, then least member.  Self-loops don't count.  Each level's graph is smaller than the one before; it ends when

@@ -87,12 +87,12 @@ def canonical_symbol(language: Column, path: Column, text: Column, alias: dict[s
     above = F.slice(here, 1, F.greatest(F.size(here) - supers, F.lit(0)))
     rust = (
         F.when(text.startswith("crate::"), F.substring(text, 8, 1 << 30)).when(text.startswith("self::"), F.concat_ws("::", F.array_join(here, "::"), F.substring(text, 7, 1 << 30)))
-        .when(supers > 0, F.concat_ws("::", F.array_join(above, "::"), rest)).otherwise(text)
+        .when(supers > 0, F.concat_ws("::", F.nullif(F.array_join(above, "::"), F.lit("")), rest)).otherwise(text)
     )
     dots = F.length(F.regexp_extract(text, r"^(\.*)", 1))
     folder = F.split(folder_of(path), "/")
     package = F.slice(folder, 1, F.greatest(F.size(folder) - dots + 1, F.lit(0)))
-    python = F.when(dots > 0, F.concat_ws(".", F.array_join(package, "."), F.regexp_replace(text, r"^\.+", ""))).otherwise(text)
+    python = F.when(dots > 0, F.concat_ws(".", F.nullif(F.array_join(package, "."), F.lit("")), F.regexp_replace(text, r"^\.+", ""))).otherwise(text)
     typescript = F.when(text.rlike(r"^\.{1,2}/"), joined_path(folder_of(path), text))
     for prefix, target in (alias or {}).items():
         typescript = typescript.when(text.startswith(prefix), F.concat(F.lit(target), F.substring(text, len(prefix) + 1, 1 << 30)))

@@ -255,7 +255,11 @@ def summaries(spark, d):
     return _files(spark, d).select("path", resolve.doc_summary(F.col("text"), F.col("path")).alias("summary"))
 
 
-@Q.add("R23_shapes", f"{WITH_FILES} SELECT 'class : def ( ) : return ( )' AS shape, count(*) AS n FROM files WHERE extension = 'py' HAVING count(*) > 0")
+@Q.add(
+    "R23_shapes",
+    f"""{WITH_FILES} SELECT 'class : def ( ) : return ( )' AS shape, count(*) AS n FROM files
+      WHERE extension = 'py' HAVING count(*) > 0""",
+)
 def shapes(spark, d):
     text = F.regexp_replace(F.regexp_replace("text", "(?m)^(#|from).*\n", ""), "$", "")
     found = _files(spark, d).filter("extension = 'py'").select(resolve.shape(text).alias("shape"))
@@ -296,7 +300,12 @@ def skills(spark, d):
     return skill_scores("find a cycle of EDGES", spark.createDataFrame(rows, "name string, triggers array<string>, tags array<string>")).select("name", "score", "confidence")
 
 
-@Q.add("S16_exports", "SELECT 'graphml' AS format, (2 * count(*))::BIGINT AS lines FROM nation UNION ALL SELECT 'cypher', 2 * count(*) FROM nation UNION ALL SELECT 'jsonld', 2 * count(*) FROM nation")
+@Q.add(
+    "S16_exports",
+    """SELECT 'graphml' AS format, (2 * count(*))::BIGINT AS lines FROM nation UNION ALL
+      SELECT 'cypher', 2 * count(*) FROM nation UNION ALL SELECT 'jsonld', 2 * count(*)
+      FROM nation""",
+)
 def exports(spark, d):
     from lodegraph.sources.tables import containment_edges, nodes
 

@@ -15,24 +15,44 @@ def _seed(spark, d, *names):
     return nodes(spark, d).filter(F.col("qualified_name").isin(*names)).select("qualified_name")
 
 
-@Q.add("A2_A9_god_nodes", f"{GRAPH}, ends AS (SELECT source AS q, 0 AS i, 1 AS o FROM edges UNION ALL SELECT target, 1, 0 FROM edges) SELECT q AS qualified_name, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*) AS degree, name, kind FROM ends JOIN nodes ON qualified_name = q GROUP BY q, name, kind ORDER BY degree DESC, q LIMIT 20")
+@Q.add(
+    "A2_A9_god_nodes",
+    f"""{GRAPH}, ends AS (SELECT source AS q, 0 AS i, 1 AS o FROM edges UNION ALL SELECT target, 1, 0
+      FROM edges) SELECT q AS qualified_name, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*) AS degree, name,
+      kind FROM ends JOIN nodes ON qualified_name = q GROUP BY q, name, kind ORDER BY degree DESC, q LIMIT 20""",
+)
 def god_nodes(spark, d):
     return G.god_nodes(edges(spark, d), nodes(spark, d), 20)
 
 
-@Q.add("G1_blast", f"WITH RECURSIVE edges AS ({CONTAINMENT}), b(node, depth) AS (SELECT 'c:7', 0 UNION SELECT target, depth + 1 FROM b JOIN edges ON source = node WHERE depth < 3) SELECT node, depth::BIGINT AS depth FROM b WHERE depth > 0")
+@Q.add(
+    "G1_blast",
+    f"""WITH RECURSIVE edges AS ({CONTAINMENT}), b(node, depth) AS (SELECT 'c:7', 0 UNION
+      SELECT target, depth + 1 FROM b JOIN edges ON source = node WHERE depth < 3)
+      SELECT node, depth::BIGINT AS depth FROM b WHERE depth > 0""",
+)
 def blast(spark, d):
     met = G.blast(containment_edges(spark, d), nodes(spark, d), _seed(spark, d, "c:7"), 3, "out")
     return met.select("node", F.col("depth").cast("long").alias("depth"))
 
 
-@Q.add("G2_G3_dependents", f"WITH RECURSIVE edges AS ({CONTAINMENT}), b(node, depth) AS (SELECT 'r:1', 0 UNION SELECT source, depth + 1 FROM b JOIN edges ON target = node WHERE depth < 4) SELECT node, min(depth)::BIGINT AS depth FROM b WHERE depth > 0 GROUP BY 1")
+@Q.add(
+    "G2_G3_dependents",
+    f"""WITH RECURSIVE edges AS ({CONTAINMENT}), b(node, depth) AS (SELECT 'r:1', 0 UNION
+      SELECT source, depth + 1 FROM b JOIN edges ON target = node WHERE depth < 4)
+      SELECT node, min(depth)::BIGINT AS depth FROM b WHERE depth > 0 GROUP BY 1""",
+)
 def dependents(spark, d):
     seeds = G.seed_nodes(nodes(spark, d), "r:1")
     return G.reach(containment_edges(spark, d), seeds, 4, "in").filter("depth > 0").select("node", F.col("depth").cast("long").alias("depth"))
 
 
-@Q.add("G4_call_graph", f"WITH edges AS ({ORDER_EDGES}), p AS (SELECT DISTINCT target FROM edges WHERE source = 'c:7') SELECT source, target, count(*) AS call_count FROM edges WHERE source = 'c:7' AND target IN (FROM p) GROUP BY 1, 2")
+@Q.add(
+    "G4_call_graph",
+    f"""WITH edges AS ({ORDER_EDGES}), p AS (SELECT DISTINCT target FROM edges WHERE source = 'c:7')
+      SELECT source, target, count(*) AS call_count FROM edges WHERE source = 'c:7'
+      AND target IN (FROM p) GROUP BY 1, 2""",
+)
 def call_graph(spark, d):
     return G.call_graph(order_edges(spark, d), _seed(spark, d, "c:7"), 1)
 
@@ -42,20 +62,39 @@ def callers(spark, d):
     return order_edges(spark, d).filter("target = 'p:11'").groupBy("source").agg(F.count("*").alias("n"))
 
 
-@Q.add("G6_references", f"{GRAPH} SELECT 0::BIGINT AS ord, qualified_name, kind, file_path FROM nodes WHERE qualified_name = 'n:3' UNION ALL SELECT 1, source, e.kind, n.file_path FROM edges e JOIN nodes n ON n.qualified_name = source WHERE target = 'n:3'")
+@Q.add(
+    "G6_references",
+    f"""{GRAPH} SELECT 0::BIGINT AS ord, qualified_name, kind, file_path FROM nodes WHERE qualified_name = 'n:3'
+      UNION ALL SELECT 1, source, e.kind, n.file_path FROM edges e JOIN nodes n ON n.qualified_name = source
+      WHERE target = 'n:3'""",
+)
 def references(spark, d):
     found = G.references(edges(spark, d), nodes(spark, d), _seed(spark, d, "n:3"), 100_000)
     return found.withColumn("ord", F.col("ord").cast("long"))
 
 
-@Q.add("G7_dependency_chain", f"{GRAPH.replace('WITH nodes', 'WITH RECURSIVE nodes')}, f AS (SELECT DISTINCT a.file_path AS s, b.file_path AS t FROM edges e JOIN nodes a ON a.qualified_name = e.source JOIN nodes b ON b.qualified_name = e.target WHERE e.kind = 'contains'), w(node, depth) AS (SELECT 'supplier/5', 0 UNION SELECT t, depth + 1 FROM w JOIN f ON s = node WHERE depth < 10) SELECT node, min(depth)::BIGINT AS depth FROM w GROUP BY 1")
+@Q.add(
+    "G7_dependency_chain",
+    f"""{GRAPH.replace('WITH nodes', 'WITH RECURSIVE nodes')}, f AS (SELECT DISTINCT a.file_path AS s, b.file_path AS t
+      FROM edges e JOIN nodes a ON a.qualified_name = e.source JOIN nodes b ON b.qualified_name = e.target
+      WHERE e.kind = 'contains'), w(node, depth) AS (SELECT 'supplier/5', 0 UNION
+      SELECT t, depth + 1 FROM w JOIN f ON s = node WHERE depth < 10) SELECT node, min(depth)::BIGINT AS depth
+      FROM w GROUP BY 1""",
+)
 def chain(spark, d):
     files = G.file_dependencies(containment_edges(spark, d), nodes(spark, d))
     seed = nodes(spark, d).filter("file_path = 'supplier/5'").select(F.col("file_path").alias("qualified_name"))
     return G.reach(files, seed, 10, "out").select("node", F.col("depth").cast("long").alias("depth"))
 
 
-@Q.add("G8_cycles")
+@Q.add(
+    "G8_cycles",
+    """WITH RECURSIVE back AS (SELECT p_partkey AS p, p_partkey // 2 AS c FROM part WHERE p_partkey % 40 = 0),
+    step AS (SELECT DISTINCT back.p AS a, l_partkey AS b FROM back JOIN orders ON o_custkey = back.c JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey % 40 = 0),
+    r(a, b) AS (SELECT a, b FROM step UNION SELECT r.a, step.b FROM r JOIN step ON step.a = r.b),
+    m AS (SELECT x.a, min('c:' || (x.b // 2)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)
+    SELECT component, 'p:' || a AS node FROM m UNION ALL SELECT component, 'c:' || (a // 2) FROM m""",
+)
 def cycles(spark, d):
     # Orders lead from customers to parts; so that there are cycles, cheap parts lead back to the customers of their number.
     back = table(spark, d, "part").filter("p_partkey % 40 = 0").select(
@@ -64,7 +103,12 @@ def cycles(spark, d):
     return G.strong_components(order_edges(spark, d).union(back))
 
 
-@Q.add("G10_two_hops", f"WITH edges AS ({CONTAINMENT}), a AS (SELECT DISTINCT target AS t FROM edges WHERE source = 's:3'), b AS (SELECT DISTINCT target AS t FROM edges WHERE source IN (FROM a)) SELECT 's:3' AS node, 0::BIGINT AS depth UNION ALL SELECT t, 1 FROM a UNION ALL SELECT t, 2 FROM b WHERE t NOT IN (FROM a)")
+@Q.add(
+    "G10_two_hops",
+    f"""WITH edges AS ({CONTAINMENT}), a AS (SELECT DISTINCT target AS t FROM edges WHERE source = 's:3'), b AS (SELECT DISTINCT target AS
+      t FROM edges WHERE source IN (FROM a)) SELECT 's:3' AS node, 0::BIGINT AS depth
+      UNION ALL SELECT t, 1 FROM a UNION ALL SELECT t, 2 FROM b WHERE t NOT IN (FROM a)""",
+)
 def two_hops(spark, d):
     return G.two_hops(containment_edges(spark, d), _seed(spark, d, "s:3")).select("node", F.col("depth").cast("long").alias("depth"))
 
@@ -79,12 +123,23 @@ def betweenness(spark, d):
     return G.betweenness(edges(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
 
 
-@Q.add("J11_G16_surprising", f"WITH edges AS ({ORDER_EDGES}), m AS ({MEMBERS}) SELECT kind, source, target, a.community_id AS c1, b.community_id AS c2, round(0.5 + 0.1 * least(4, abs(a.community_id - b.community_id)), 6) AS confidence FROM (SELECT DISTINCT kind, source, target FROM edges) JOIN m a ON a.qualified_name = source JOIN m b ON b.qualified_name = target WHERE a.community_id <> b.community_id ORDER BY confidence DESC, source, target, kind LIMIT 50")
+@Q.add(
+    "J11_G16_surprising",
+    f"""WITH edges AS ({ORDER_EDGES}), m AS ({MEMBERS}) SELECT kind, source, target, a.community_id AS c1, b.community_id AS c2, round(0.5
+      + 0.1 * least(4, abs(a.community_id - b.community_id)), 6) AS confidence FROM (SELECT DISTINCT kind, source, target
+      FROM edges) JOIN m a ON a.qualified_name = source JOIN m b ON b.qualified_name = target
+      WHERE a.community_id <> b.community_id ORDER BY confidence DESC, source, target, kind LIMIT 50""",
+)
 def surprising(spark, d):
     return G.surprising(order_edges(spark, d), membership(spark, d), ("orders",), 50).select("kind", "source", "target", "c1", "c2", "confidence")
 
 
-@Q.add("G20_file_state", f"{GRAPH} SELECT n.qualified_name AS neighbour, n.kind AS kind, count(*) AS n FROM (SELECT CASE WHEN source = 'n:3' THEN target ELSE source END AS other FROM edges WHERE source = 'n:3' OR target = 'n:3') JOIN nodes n ON n.qualified_name = other GROUP BY 1, 2")
+@Q.add(
+    "G20_file_state",
+    f"""{GRAPH} SELECT n.qualified_name AS neighbour, n.kind AS kind, count(*) AS n FROM (SELECT CASE
+      WHEN source = 'n:3' THEN target ELSE source END AS other FROM edges WHERE source = 'n:3' OR target = 'n:3')
+      JOIN nodes n ON n.qualified_name = other GROUP BY 1, 2""",
+)
 def file_state(spark, d):
     e = edges(spark, d)
     other = e.filter("source = 'n:3'").select(F.col("target").alias("qualified_name")).union(e.filter("target = 'n:3'").select("source"))
@@ -92,7 +147,18 @@ def file_state(spark, d):
     return met.groupBy(F.col("qualified_name").alias("neighbour"), "kind").agg(F.count("*").alias("n"))
 
 
-@Q.add("G21_graph_diff", "WITH a AS (SELECT 'c:' || c_custkey AS q, c_name AS name FROM customer WHERE c_custkey % 11 <> 0), b AS (SELECT CASE WHEN c_custkey % 13 = 0 THEN 'x:' || c_custkey ELSE 'c:' || c_custkey END AS q, CASE WHEN c_custkey % 7 = 0 THEN c_name || '!' ELSE c_name END AS name FROM customer WHERE c_custkey % 17 <> 0), f AS (SELECT coalesce(a.q, b.q) AS q, a.name AS an, b.name AS bn, CASE WHEN a.q IS NULL THEN 'added' WHEN b.q IS NULL THEN 'removed' WHEN a.name <> b.name THEN 'modified' END AS state FROM a FULL JOIN b ON a.q = b.q), r AS (SELECT x.q AS q, y.q AS was FROM f x JOIN f y ON x.state = 'added' AND y.state = 'removed' AND x.bn = y.an) SELECT q AS qualified_name, 'renamed' AS state, was AS renamed_from FROM r UNION ALL SELECT q, state, NULL FROM f WHERE state IS NOT NULL AND q NOT IN (SELECT q FROM r) AND q NOT IN (SELECT was FROM r)")
+@Q.add(
+    "G21_graph_diff",
+    """WITH a AS (SELECT 'c:' || c_custkey AS q, c_name AS name FROM customer WHERE c_custkey % 11 <> 0), b AS (SELECT CASE
+      WHEN c_custkey % 13 = 0 THEN 'x:' || c_custkey ELSE 'c:' || c_custkey END AS q, CASE
+      WHEN c_custkey % 7 = 0 THEN c_name || '!' ELSE c_name END AS name FROM customer
+      WHERE c_custkey % 17 <> 0), f AS (SELECT coalesce(a.q, b.q) AS q, a.name AS an, b.name AS bn, CASE
+      WHEN a.q IS NULL THEN 'added' WHEN b.q IS NULL THEN 'removed' WHEN a.name <> b.name THEN 'modified' END AS state
+      FROM a FULL JOIN b ON a.q = b.q), r AS (SELECT x.q AS q, y.q AS was FROM f x
+      JOIN f y ON x.state = 'added' AND y.state = 'removed' AND x.bn = y.an) SELECT q AS qualified_name, 'renamed' AS state, was
+      AS renamed_from FROM r UNION ALL SELECT q, state, NULL FROM f WHERE state IS NOT NULL
+      AND q NOT IN (SELECT q FROM r) AND q NOT IN (SELECT was FROM r)""",
+)
 def diff(spark, d):
     c = table(spark, d, "customer")
     old = c.filter("c_custkey % 11 <> 0").select(F.concat(F.lit("c:"), "c_custkey").alias("qualified_name"), F.col("c_name").alias("name"))
@@ -102,13 +168,25 @@ def diff(spark, d):
     return G.graph_diff(old, new, columns=("name",))
 
 
-@Q.add("G23_path_tree", "SELECT split_part(p, '/', 1) AS node, NULL AS parent, 1::BIGINT AS depth, count(*) AS leaves, sum(w)::BIGINT AS weight FROM (SELECT p_brand || '/' || p_type AS p, p_size AS w FROM part) GROUP BY 1 UNION ALL SELECT p, split_part(p, '/', 1), 2, count(*), sum(w)::BIGINT FROM (SELECT p_brand || '/' || p_type AS p, p_size AS w FROM part) GROUP BY 1, 2")
+@Q.add(
+    "G23_path_tree",
+    """SELECT split_part(p, '/', 1) AS node, NULL AS parent, 1::BIGINT AS depth, count(*) AS leaves, sum(w)::BIGINT AS weight
+      FROM (SELECT p_brand || '/' || p_type AS p, p_size AS w FROM part) GROUP BY 1
+      UNION ALL SELECT p, split_part(p, '/', 1), 2, count(*), sum(w)::BIGINT FROM (SELECT p_brand || '/' || p_type AS p, p_size AS
+      w FROM part) GROUP BY 1, 2""",
+)
 def tree(spark, d):
     files = table(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("path"), "p_size")
     return G.path_tree(files, "path", "p_size").withColumn("depth", F.col("depth").cast("long"))
 
 
-@Q.add("J5_G24_galaxy", f"{GRAPH}, m AS ({MEMBERS}), g AS (SELECT q, count(*) AS degree FROM (SELECT source AS q FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1) SELECT n.qualified_name, n.kind, coalesce(degree, 0) AS degree, coalesce(community_id, -1) AS community_id FROM nodes n LEFT JOIN g ON q = n.qualified_name LEFT JOIN m ON m.qualified_name = n.qualified_name")
+@Q.add(
+    "J5_G24_galaxy",
+    f"""{GRAPH}, m AS ({MEMBERS}), g AS (SELECT q, count(*) AS degree FROM (SELECT source AS q
+      FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1) SELECT n.qualified_name, n.kind, coalesce(degree, 0) AS degree,
+      coalesce(community_id, -1) AS community_id FROM nodes n LEFT JOIN g ON q = n.qualified_name
+      LEFT JOIN m ON m.qualified_name = n.qualified_name""",
+)
 def galaxy(spark, d):
     met = nodes(spark, d).join(G.degrees(edges(spark, d)).select("qualified_name", "degree"), "qualified_name", "left")
     met = met.join(membership(spark, d), "qualified_name", "left")
@@ -116,13 +194,26 @@ def galaxy(spark, d):
     return met.select("qualified_name", "kind", zero("degree", 0), zero("community_id", -1))
 
 
-@Q.add("G25_tiers", f"WITH nodes AS ({GRAPH.split('WITH nodes AS (')[1].split('), edges AS')[0]}) SELECT CASE WHEN kind IN ('part') THEN 'data' WHEN kind = 'supplier' THEN 'api' ELSE 'other' END AS tier, count(*) AS n FROM nodes GROUP BY 1")
+@Q.add(
+    "G25_tiers",
+    f"""WITH nodes AS ({GRAPH.split('WITH nodes AS (')[1].split('), edges AS')[0]}) SELECT CASE
+      WHEN kind IN ('part') THEN 'data' WHEN kind = 'supplier' THEN 'api' ELSE 'other' END AS tier, count(*) AS n
+      FROM nodes GROUP BY 1""",
+)
 def tiers(spark, d):
     path = F.expr("concat(CASE kind WHEN 'part' THEN 'store' WHEN 'supplier' THEN 'server' ELSE kind END, '/', name)")
     return nodes(spark, d).withColumn("path", path).groupBy(G.tier("path").alias("tier")).agg(F.count("*").alias("n"))
 
 
-@Q.add("G26_blast_risk", f"WITH edges AS ({ORDER_EDGES}), c AS (SELECT target, count(DISTINCT source) AS direct, count(*) - count(DISTINCT source) AS transitive, count(*) FILTER (weight > 45) AS tests FROM edges GROUP BY 1), l AS (SELECT *, CASE WHEN direct + transitive > 100 THEN 3 WHEN direct > 15 OR transitive > 20 THEN 2 WHEN direct > 5 THEN 1 ELSE 0 END AS v FROM c) SELECT target, CASE CASE WHEN tests = 0 AND direct + transitive > 0 THEN least(v + 1, 3) ELSE v END WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS risk FROM l")
+@Q.add(
+    "G26_blast_risk",
+    f"""WITH edges AS ({ORDER_EDGES}), c AS (SELECT target, count(DISTINCT source) AS direct, count(*) - count(DISTINCT source) AS
+      transitive, count(*) FILTER (weight > 45) AS tests FROM edges GROUP BY 1), l AS (SELECT *, CASE
+      WHEN direct + transitive > 100 THEN 3 WHEN direct > 15 OR transitive > 20 THEN 2
+      WHEN direct > 5 THEN 1 ELSE 0 END AS v FROM c) SELECT target, CASE CASE WHEN tests = 0
+      AND direct + transitive > 0 THEN least(v + 1, 3) ELSE v END WHEN 0 THEN 'low'
+      WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS risk FROM l""",
+)
 def blast_risk(spark, d):
     c = order_edges(spark, d).groupBy("target").agg(
         F.countDistinct("source").alias("direct"), (F.count("*") - F.countDistinct("source")).alias("transitive"), F.count_if(F.col("weight") > 45).alias("tests")

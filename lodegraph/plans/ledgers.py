@@ -42,13 +42,21 @@ def why(spark, d):
     return H.why(_entries(spark, d), _events(spark, d), " 7").select("origin", "id", F.col("at").alias("made"))
 
 
-@Q.add("L16_history", f"SELECT id, kind FROM ({ENTRIES}) WHERE contains(lower(text), 'urgent') AND made >= TIMESTAMP '1995-01-01' ORDER BY made DESC, id LIMIT 50")
+@Q.add(
+    "L16_history",
+    f"""SELECT id, kind FROM ({ENTRIES}) WHERE contains(lower(text), 'urgent') AND made >= TIMESTAMP '1995-01-01'
+      ORDER BY made DESC, id LIMIT 50""",
+)
 def history(spark, d):
     since = F.to_timestamp(F.lit("1995-01-01"))
     return H.history(_entries(spark, d).filter(F.col("at") >= since), "URGENT").select("id", "kind")
 
 
-@Q.add("L19_recent_of_session", f"SELECT id FROM ({ENTRIES}) WHERE session = 7 AND made >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 900 DAY ORDER BY made DESC, id LIMIT 30")
+@Q.add(
+    "L19_recent_of_session",
+    f"""SELECT id FROM ({ENTRIES}) WHERE session = 7 AND made >= (SELECT max(o_orderdate)
+      FROM orders) - INTERVAL 900 DAY ORDER BY made DESC, id LIMIT 30""",
+)
 def recent(spark, d):
     e = _entries(spark, d)
     now = F.broadcast(e.agg(F.max("at").alias("now")))  # one row
@@ -85,7 +93,11 @@ def step_tree(spark, d):
 PROPOSALS = "SELECT o_orderkey AS id, o_orderpriority AS kind, o_totalprice AS confidence, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS applied_at FROM orders"
 
 
-@Q.add("L10_proposals", f"SELECT id, kind FROM ({PROPOSALS}) WHERE applied_at IS NULL AND id % 6 <> 0 AND kind IN ('1-URGENT', '2-HIGH') ORDER BY confidence DESC, id LIMIT 100")
+@Q.add(
+    "L10_proposals",
+    f"""SELECT id, kind FROM ({PROPOSALS}) WHERE applied_at IS NULL AND id % 6 <> 0 AND kind IN ('1-URGENT', '2-HIGH')
+      ORDER BY confidence DESC, id LIMIT 100""",
+)
 def proposals(spark, d):
     rows = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"), F.col("o_totalprice").alias("confidence"),
@@ -117,7 +129,11 @@ def as_of(spark, d):
     return H.as_of(rows, "o_custkey", "o_orderdate", F.col("t")).select("o_custkey", F.col("o_orderdate").alias("at"))
 
 
-@Q.add("L12_latest_or_live", f"SELECT 'live' AS origin, (SELECT count(*) FROM ({NODES})) AS nodes, (SELECT count(*) FROM ({CONTAINMENT})) AS edges UNION ALL SELECT 'snapshot', 2::BIGINT, 3::BIGINT")
+@Q.add(
+    "L12_latest_or_live",
+    f"""SELECT 'live' AS origin, (SELECT count(*) FROM ({NODES})) AS nodes, (SELECT count(*)
+      FROM ({CONTAINMENT})) AS edges UNION ALL SELECT 'snapshot', 2::BIGINT, 3::BIGINT""",
+)
 def latest_or_live(spark, d):
     live = nodes(spark, d).agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(containment_edges(spark, d).agg(F.count("*").alias("edges"))))  # one row each
     kept = spark.createDataFrame([(1, 1, 1), (2, 2, 3)], "at long, nodes long, edges long")

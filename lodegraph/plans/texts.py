@@ -8,6 +8,7 @@ from lodegraph.functions import names, sketch
 from lodegraph.operators import audit, mining, text
 from lodegraph.operators.graph import degrees
 from lodegraph.plans.registry import GRAPH, NODES, ORDER_EDGES, Registry
+from lodegraph.sources.code import FILES, for_sql, made
 from lodegraph.sources.tables import edges, nodes, order_edges, table
 
 Q = Registry()
@@ -21,18 +22,35 @@ def tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("different"))
 
 
-@Q.add("R2_postings", f"WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1")
+@Q.add(
+    "R2_postings",
+    f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf
+      FROM t GROUP BY 1""",
+)
 def postings(spark, d):
     p = text.postings(table(spark, d, "documents"), "doc_id")
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-@Q.add("R3_R6_bm25", f"WITH t AS (SELECT doc_id, {TOKENS} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS m FROM t), q AS (SELECT unnest(['ther', 'and', 'the', 'der', 'the']) AS w), df AS (SELECT w, count(*) AS df FROM (SELECT DISTINCT w FROM q) JOIN t ON list_contains(t, w) GROUP BY 1), x AS (SELECT doc_id, q.w, len(list_filter(t, lambda y: y = q.w)) AS tf, len(t) AS l FROM t, q) SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / m))), 6) AS score FROM x JOIN df USING (w), s WHERE tf > 0 GROUP BY 1 ORDER BY sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / m))) DESC, doc_id LIMIT 20")
+@Q.add(
+    "R3_R6_bm25",
+    f"""WITH t AS (SELECT doc_id, {TOKENS} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS m
+      FROM t), q AS (SELECT unnest(['ther', 'and', 'the', 'der', 'the']) AS w), df AS (SELECT w, count(*) AS df
+      FROM (SELECT DISTINCT w FROM q) JOIN t ON list_contains(t, w) GROUP BY 1), x AS (SELECT doc_id, q.w, len(list_filter(t,
+      lambda y: y = q.w)) AS tf, len(t) AS l FROM t, q) SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 /
+      (tf + 1.5 * (0.25 + 0.75 * l / m))), 6) AS score FROM x JOIN df USING (w), s
+      WHERE tf > 0 GROUP BY 1 ORDER BY sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / m)))
+      DESC, doc_id LIMIT 20""",
+)
 def bm25(spark, d):
     return text.bm25(table(spark, d, "documents"), "ther and the der the", "doc_id", limit=20).withColumn("score", F.round("score", 6))
 
 
-@Q.add("R4_full_text", f"SELECT doc_id FROM documents WHERE len(list_filter({TOKENS}, lambda x: x[1:3] = 'the')) > 0 AND len(list_filter({TOKENS}, lambda x: x[1:2] = 'ou')) > 0")
+@Q.add(
+    "R4_full_text",
+    f"""SELECT doc_id FROM documents WHERE len(list_filter({TOKENS}, lambda x: x[1:3] = 'the')) > 0
+      AND len(list_filter({TOKENS}, lambda x: x[1:2] = 'ou')) > 0""",
+)
 def full_text(spark, d):
     return text.full_text(table(spark, d, "documents"), "the ou", "doc_id", prefix=True)
 
@@ -46,7 +64,12 @@ def fallback(spark, d):
 COSINE = "list_inner_product(a.embedding, b.embedding) / sqrt(list_inner_product(a.embedding, a.embedding)) / sqrt(list_inner_product(b.embedding, b.embedding))"
 
 
-@Q.add("R11_R12_R13_nearest")
+@Q.add(
+    "R11_R12_R13_nearest",
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS embedding FROM embeddings), c AS (SELECT a.vec_id, list_cosine_similarity(a.embedding, b.embedding) AS score
+      FROM e a, (SELECT embedding FROM e WHERE vec_id = 7) b WHERE a.label < 8)
+    SELECT vec_id, round(score, 6) AS score FROM c ORDER BY c.score DESC, vec_id LIMIT 20""",
+)
 def nearest(spark, d):
     v = table(spark, d, "embeddings")
     at = v.filter("vec_id = 7").select("embedding").first().embedding
@@ -64,7 +87,13 @@ def fusion(spark, d):
     return text.rerank_blend(fused, a, "doc_id").withColumns({x: F.round(x, 9) for x in ("score", "blend", "second")})
 
 
-@Q.add("R16_W3_packing")
+@Q.add(
+    "R16_W3_packing",
+    """WITH RECURSIVE o AS (SELECT source, doc_id, ceil(strlen(coalesce(text, '')) / 4)::BIGINT AS cost, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents),
+    f(source, doc_id, rn, rest, cost, kept) AS (SELECT DISTINCT source, NULL::BIGINT, 0::BIGINT, 20000::BIGINT, 0::BIGINT, false FROM documents
+      UNION ALL SELECT o.source, o.doc_id, o.rn, CASE WHEN o.cost <= rest THEN rest - o.cost ELSE rest END, o.cost, o.cost <= rest FROM f JOIN o ON o.source = f.source AND o.rn = f.rn + 1)
+    SELECT source, doc_id, cost AS tokens FROM f WHERE kept""",
+)
 def packing(spark, d):
     return text.pack_budget(table(spark, d, "documents"), ["source"], "text", "n_chars", "doc_id", 20_000)
 
@@ -87,7 +116,11 @@ def similar(spark, d):
     return text.most_similar(prints, F.col("key") % 100 == 0, 5).withColumnRenamed("key", "doc_id")
 
 
-@Q.add("R24_kinds", "SELECT CASE lang WHEN 'de' THEN 'de_file' WHEN 'en' THEN 'en_file' ELSE 'other_file' END AS kind, count(*) AS n FROM documents GROUP BY 1")
+@Q.add(
+    "R24_kinds",
+    """SELECT CASE lang WHEN 'de' THEN 'de_file' WHEN 'en' THEN 'en_file' ELSE 'other_file' END AS kind, count(*) AS n
+      FROM documents GROUP BY 1""",
+)
 def kinds(spark, d):
     kind = F.when(F.col("lang").isin("de", "en"), F.concat("lang", F.lit("_file"))).otherwise("other_file")
     return table(spark, d, "documents").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
@@ -98,7 +131,11 @@ def export(spark, d):
     return table(spark, d, "documents").drop("source", "text")
 
 
-@Q.add("R34_cold_baseline", "SELECT doc_id, ((length(lower(text)) - length(replace(lower(text), 'ther', ''))) // 4)::BIGINT AS n FROM documents WHERE contains(lower(text), 'ther') ORDER BY n DESC, doc_id LIMIT 5")
+@Q.add(
+    "R34_cold_baseline",
+    """SELECT doc_id, ((length(lower(text)) - length(replace(lower(text), 'ther', ''))) // 4)::BIGINT AS n
+      FROM documents WHERE contains(lower(text), 'ther') ORDER BY n DESC, doc_id LIMIT 5""",
+)
 def cold(spark, d):
     return text.occurrences(table(spark, d, "documents"), "ther", "doc_id")
 
@@ -108,16 +145,37 @@ def token_estimate(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.sum(names.token_estimate(F.col("text"))).alias("tokens"))
 
 
-@Q.add("R26_R27_concepts")
+@Q.add(
+    "R26_R27_concepts",
+    f"""WITH files AS ({for_sql(FILES)}), found AS (
+      SELECT path, unnest(['stores', 'part', 'safe']) AS term, 0.55::DOUBLE AS score FROM files WHERE extension = 'rs'
+      UNION ALL SELECT path, id::VARCHAR, 0.55 FROM files WHERE extension IN ('rs', 'md') AND id >= 1000
+      UNION ALL SELECT path, 'part', 0.55 FROM files WHERE extension = 'md'
+      UNION ALL SELECT path, unnest(['part ' || id, 'use', 'limits']), 0.85 FROM files WHERE extension = 'md'
+      UNION ALL SELECT path, unnest(CASE WHEN id % 2 = 0 THEN ['open', 'widget', 'open widget'] ELSE ['max', 'size', 'max size'] END), 0.70 FROM files WHERE extension = 'py')
+    SELECT * FROM found""",
+)
 def concepts(spark, d):
-    return text.concepts(table(spark, d, "documents"), "doc_id")
-
-
-@Q.add("R33_smart_questions")
+    files = made(spark, d, FILES).filter("extension IN ('rs', 'md', 'py')")
+    files = files.withColumn("text", F.expr("CASE WHEN extension <> 'py' THEN text WHEN id % 2 = 0 THEN 'openWidget(1)' ELSE 'x = max_size' END"))
+    return text.concepts(files, "path")
+
+
+@Q.add(
+    "R33_smart_questions",
+    f"""{GRAPH}, i AS (SELECT target AS q, count(*) AS n FROM edges GROUP BY 1), o AS (SELECT source AS q, count(*) AS n FROM edges GROUP BY 1),
+    b AS (SELECT qualified_name, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, length(name) AS span FROM nodes LEFT JOIN i ON i.q = qualified_name LEFT JOIN o ON o.q = qualified_name),
+    s AS (SELECT avg(in_degree) AS m1, stddev_pop(in_degree) AS s1, avg(span) AS m2, stddev_pop(span) AS s2,
+      greatest(1, list_sort(list(in_degree))[least(floor(0.95 * count(*)), count(*) - 1)::BIGINT + 1]) AS p95 FROM b)
+    SELECT qualified_name, in_degree, round(0.4 * greatest(0, (in_degree - m1) / s1) + 0.3 * greatest(0, (span - m2) / s2) + 0.3 * least(1,
+        CASE WHEN in_degree >= p95 THEN 1 ELSE 0 END + CASE WHEN qualified_name LIKE 'n:%' THEN 0.7 ELSE 0 END + CASE WHEN in_degree = 0 AND out_degree = 0 THEN 0.5 ELSE 0 END), 6) AS composite
+    FROM b, s ORDER BY composite DESC, qualified_name LIMIT 50""",
+)
 def smart(spark, d):
     deg = nodes(spark, d).join(degrees(edges(spark, d)), "qualified_name", "left")
     rows = deg.select("qualified_name", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.length("name").cast("long").alias("span"))
-    found = text.smart_scores(rows, rows.limit(0)).withColumn("composite", F.round("composite", 6))
+    # Nations stand for the nodes on cycles.
+    found = text.smart_scores(rows, rows.filter("qualified_name LIKE 'n:%'")).withColumn("composite", F.round("composite", 6))
     return found.orderBy(F.desc("composite"), "qualified_name").limit(50)
 
 
@@ -131,25 +189,45 @@ def rule_counts(spark, d):
     return audit.counts(table(spark, d, "documents"), audit.PROSE_RULES, "doc_id")
 
 
-@Q.add("C3_C6_C12_findings")
+ANYWHERE = [r for r in audit.CODE_RULES if r[2] is None] + audit.PROSE_RULES
+ANYWHERE_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{i}' AS rule_id, len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS n FROM documents" for i, _, _, p in ANYWHERE
+)
+
+
+@Q.add("C3_C6_C12_findings", f"SELECT doc_id::VARCHAR AS doc_key, rule_id, n::BIGINT AS n FROM ({ANYWHERE_SQL}) WHERE n > 0")
 def findings(spark, d):
+    """Documents have no extension, so rules for any text alone fire; C1_C2_C3_C4_C5_C12_findings runs all over files."""
     docs = table(spark, d, "documents").withColumn("doc_key", F.col("doc_id"))
-    return audit.scan(docs, audit.CODE_RULES + audit.PROSE_RULES)
+    return audit.scan(docs, audit.CODE_RULES + audit.PROSE_RULES).groupBy("doc_key", "rule_id").agg(F.count("*").alias("n"))
 
 
-@Q.add("A10_C13_finding_stats", f"SELECT split_part(rule_id, '.', 1) AS scanner, count(*) AS texts, sum(n)::BIGINT AS n FROM ({RULE_SQL}) WHERE n > 0 GROUP BY 1")
+@Q.add(
+    "A10_C13_finding_stats",
+    f"""SELECT split_part(rule_id, '.', 1) AS scanner, count(*) AS texts, sum(n)::BIGINT AS n
+      FROM ({RULE_SQL}) WHERE n > 0 GROUP BY 1""",
+)
 def finding_stats(spark, d):
     met = audit.counts(table(spark, d, "documents"), audit.PROSE_RULES, "doc_id")
     return met.groupBy(F.substring_index("rule_id", ".", 1).alias("scanner")).agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
 
 
-@Q.add("C4_page_links", "SELECT page_id, len(regexp_extract_all(html, '<a[^>]*>')) AS anchors, len(regexp_extract_all(html, '<a[^>]*href=[^>]*>')) AS with_href FROM pages")
+@Q.add(
+    "C4_page_links",
+    """SELECT page_id, len(regexp_extract_all(html, '<a[^>]*>')) AS anchors, len(regexp_extract_all(html, '<a[^>]*href=[^>]*>')) AS
+      with_href FROM pages""",
+)
 def page_links(spark, d):
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
     return table(spark, d, "pages").select("page_id", n("<a[^>]*>").alias("anchors"), n("<a[^>]*href=[^>]*>").alias("with_href"))
 
 
-@Q.add("C7_C8_dead_references", "SELECT p.page_id, h AS href FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"#?]*)', 1)) AS h FROM pages) p WHERE h NOT IN (SELECT regexp_replace(url, '^https?://[^/]*', '') FROM pages)")
+@Q.add(
+    "C7_C8_dead_references",
+    """SELECT p.page_id, h AS href FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"#?]*)', 1)) AS h
+      FROM pages) p WHERE h NOT IN (SELECT regexp_replace(url, '^https?://[^/]*', '')
+      FROM pages)""",
+)
 def dead_references(spark, d):
     pages = table(spark, d, "pages")
     each = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="(/[^"#?]*)'), 1))).alias("href"))
@@ -160,19 +238,36 @@ def dead_references(spark, d):
 STYLE = "CASE WHEN contains(n, '-') AND NOT contains(n, '_') THEN 'kebab' WHEN contains(n, '_') AND NOT regexp_matches(n, '[a-z]') THEN 'screaming' WHEN contains(n, '_') AND NOT regexp_matches(n, '[A-Z]') THEN 'snake' WHEN contains(n, '_') THEN 'mixed' WHEN regexp_matches(n, '^[A-Z]') AND regexp_matches(n, '[a-z]') THEN 'pascal' WHEN NOT regexp_matches(n, '^[A-Z]') AND regexp_matches(n, '[A-Z]') THEN 'camel' WHEN NOT regexp_matches(n, '[A-Z]') AND n <> '' THEN 'snake' ELSE 'mixed' END"
 
 
-@Q.add("M2_M3_name_styles", f"WITH w AS (SELECT c_mktsegment AS scope, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN lower(c_mktsegment) || '_x' WHEN 2 THEN c_mktsegment || '_X' ELSE 'a-' || c_custkey END AS n FROM customer) SELECT scope, {STYLE} AS style, count(*) AS n FROM w GROUP BY 1, 2")
+@Q.add(
+    "M2_M3_name_styles",
+    f"""WITH w AS (SELECT c_mktsegment AS scope, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN lower(c_mktsegment) || '_x'
+      WHEN 2 THEN c_mktsegment || '_X' ELSE 'a-' || c_custkey END AS n FROM customer)
+      SELECT scope, {STYLE} AS style, count(*) AS n FROM w GROUP BY 1, 2""",
+)
 def name_styles(spark, d):
     n = F.expr("CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN concat(lower(c_mktsegment), '_x') WHEN 2 THEN concat(c_mktsegment, '_X') ELSE concat('a-', c_custkey) END")
     return table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("scope"), names.style(n).alias("style")).agg(F.count("*").alias("n"))
 
 
-@Q.add("M8_precedence", "SELECT o_custkey, o_orderpriority AS intent FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS r FROM orders) WHERE r = 1")
+@Q.add(
+    "M8_precedence",
+    """SELECT o_custkey, o_orderpriority AS intent FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
+      ORDER BY o_orderpriority, o_orderkey) AS r FROM orders) WHERE r = 1""",
+)
 def precedence(spark, d):
     rows = table(spark, d, "orders").withColumn("source_rank", F.substring("o_orderpriority", 1, 1).cast("int"))
     return mining.first_claim(rows, "o_custkey", ["source_rank", "o_orderkey"]).select("o_custkey", F.col("o_orderpriority").alias("intent"))
 
 
-@Q.add("M6_git_intents", "WITH c AS (SELECT o_custkey AS file, count(*) AS commits, max(o_orderdate) AS last, sum(o_totalprice) FILTER (o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY) AS churn FROM orders GROUP BY 1) SELECT file, CASE WHEN last < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY AND commits <= 2 THEN 'frozen' WHEN churn >= 500000 THEN 'deferred' END AS intent FROM c WHERE CASE WHEN last < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY AND commits <= 2 THEN 'frozen' WHEN churn >= 500000 THEN 'deferred' END IS NOT NULL")
+@Q.add(
+    "M6_git_intents",
+    """WITH c AS (SELECT o_custkey AS file, count(*) AS commits, max(o_orderdate) AS last, sum(o_totalprice) FILTER (o_orderdate >=
+      (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY) AS churn FROM orders
+      GROUP BY 1) SELECT file, CASE WHEN last < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY
+      AND commits <= 2 THEN 'frozen' WHEN churn >= 500000 THEN 'deferred' END AS intent
+      FROM c WHERE CASE WHEN last < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY
+      AND commits <= 2 THEN 'frozen' WHEN churn >= 500000 THEN 'deferred' END IS NOT NULL""",
+)
 def git_intents(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderdate").alias("committed_at"), F.col("o_totalprice").alias("lines"))
     now = o.agg(F.max("committed_at").alias("now"))
