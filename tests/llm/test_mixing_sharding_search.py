@@ -158,7 +158,7 @@ def brute_nearest(vectors, k):
 def test_nearest_on_embeddings(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").union(
         spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id + 1000", "embedding", "label"))
-    got = sorted(tuple(r) for r in vp_search.nearest(spark, table, F.col("vec_id") % 100 == 0, least_shards=3).collect())
+    got = sorted(tuple(r) for r in vp_search.nearest(spark, table, F.col("vec_id") % 100 == 0, shard_rows=150).collect())
     want = brute_nearest([(r.vec_id, r.embedding) for r in table.collect()], 10)
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
@@ -176,6 +176,20 @@ def test_nearest_with_bad_vectors_and_ties(spark):
     assert vp_search.nearest(spark, table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_queries_visit_near_cells_alone(spark, monkeypatch):
+    """Clustered rows: few cells are near a query, the result is still exact, also where shards and parts are several."""
+    monkeypatch.setattr(vp_search, "CELL_ROWS", 20)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 8)) * 10
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=8) * 0.2]) for i in range(900)]
+    rows += [(1000 + i, rows[0][1]) for i in range(40)]  # one vector many times
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_nearest(rows, 10)
+    for sizes in ({}, {"shard_rows": 30, "part_rows": 2}):
+        got = sorted(tuple(r) for r in vp_search.nearest(spark, table, F.col("vec_id") % 100 == 0, **sizes).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+
+
 def test_relaxed_pruning_keeps_recall():
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(20, 16)) * 4
