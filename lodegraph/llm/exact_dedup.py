@@ -8,6 +8,9 @@ compaction found more than once are hits.  A bitmap of the hits filters a second
 the texts that pass are grouped by digest and bytes, combined map-side; a digest with two different texts ends the
 job with an error, so a result never rests on the digest alone.
 
+Later documents are absorbed into a written index the same way, as one more level: a filter of their digests picks the entries
+that a merge may change.
+
 Defined cases: a null text counts as empty; an empty table gives an empty result; a null id is below every other
 id; rows that repeat both id and text count each, and exactly one of them stays; extra columns are ignored.
 """
@@ -46,6 +49,16 @@ def compact(runs: DataFrame, keep: str = "largest") -> DataFrame:
     return merged.agg(best.alias("keep_id"), F.sum("n").alias("group_size"))
 
 
+def absorb(index: DataFrame, docs: DataFrame, keep: str = "largest", memtable_rows: int = 1_000_000, least_memtables: int = 8) -> DataFrame:
+    """The index (digest, keep_id, group_size) with later documents in it: their runs are flushed and compacted, and a filter of their
+    digests picks the entries of the index that are merged with them; the others stay as they are, unsorted and unshuffled."""
+    fresh = written(compact(memtable_runs(docs, memtable_rows, least_memtables), keep), "dedup-level")
+    near, far = parted(index, "digest", sized_filter(fresh, "digest"))
+    best = F.max("keep_id") if keep == "largest" else F.min("keep_id")
+    merged = near.union(fresh.select(near.columns)).groupBy("digest").agg(best.alias("keep_id"), F.sum("group_size").alias("group_size"))
+    return far.union(merged.select(far.columns))
+
+
 def verify(docs: DataFrame, index: DataFrame) -> DataFrame:
     """Compare the bytes behind every hit: (digest, n_texts), for hits and a few digests that the filter let through."""
     hits = index.filter("group_size > 1").select("digest")

@@ -50,6 +50,16 @@ def test_exact_dedup_smallest(spark, docs):
     assert got == brute_exact(pairs_of(docs), min)
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_an_index_absorbs_later_documents(spark, docs, edge, keep):
+    both = docs.select("doc_id", "text").union(edge.select("doc_id", "text"))
+    early, late = both.filter("doc_id % 3 = 0"), both.filter("doc_id % 3 <> 0 OR doc_id IS NULL")
+    index = exact_dedup.compact(exact_dedup.memtable_runs(early, 40, 3), keep)
+    got = rows_of(exact_dedup.absorb(index, late, keep, 40, 3), "digest", "keep_id", "group_size")
+    assert got == rows_of(exact_dedup.compact(exact_dedup.memtable_runs(both, 40, 3), keep), "digest", "keep_id", "group_size")
+    assert rows_of(exact_dedup.absorb(index, late.limit(0), keep), "digest") == rows_of(index, "digest")
+
+
 def test_exact_dedup_sql(spark, duck, docs):
     got = exact_dedup.exact_dedup(spark, docs).toPandas().sort_values("doc_id").reset_index(drop=True)
     want = duck.execute(exact_dedup.ORACLE).df().sort_values("doc_id").reset_index(drop=True)

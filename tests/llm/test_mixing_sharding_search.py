@@ -44,6 +44,35 @@ def test_mix(spark, request, name, weights):
         last[s] += 1
 
 
+def plain_schedule(n, weight, size):
+    """Slot by slot: (source, block) of each, released blocks with the earliest deadline first, the first source of several."""
+    names = sorted(n, key=lambda s: (s is not None, s or ""))
+    left, given, out = {s: -(-n[s] // size) for s in names}, Counter(), []
+    while any(left.values()):
+        m = {s: min(weight[s], left[s]) for s in names if left[s]}
+        length, done = sum(m.values()), Counter()
+        for t in range(length):
+            open_ = [(-(-(done[s] + 1) * length // m[s]), k, s) for k, s in enumerate(names) if s in m and done[s] < m[s] and done[s] * length // m[s] <= t]
+            s = min(open_)[2]
+            out.append((s, given[s]))
+            done[s] += 1
+            given[s] += 1
+        for s in m:
+            left[s] -= m[s]
+    return out
+
+
+@pytest.mark.parametrize("name,weights", [("docs", None), ("docs", {"web": 5, "books": 2, "code": 3}), ("edge", None), ("none", None)])
+def test_mix_slot_by_slot(spark, request, name, weights):
+    rows = mixing.mix(spark, request.getfixturevalue(name), weights, block_docs=4).collect()
+    n = Counter(r.source for r in rows)
+    roots = sum(v**0.5 for v in n.values())
+    told = {s: (weights.get(s, 1) if weights else max(1, round(n[s] ** 0.5 * 256 / roots))) for s in n}
+    assert {r.source: r.weight for r in rows} == told
+    got = {r.slot: (r.source, r.block) for r in rows}
+    assert [got[t] for t in sorted(got)] == plain_schedule(n, told, 4)
+
+
 def test_mix_sources_limit(spark):
     rows = spark.range(300).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"))
     with pytest.raises(ValueError, match="sources"):
