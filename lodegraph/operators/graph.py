@@ -10,6 +10,8 @@ import tempfile
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -239,10 +241,63 @@ def numbered(names: DataFrame, column: str) -> DataFrame:
     return saved(ranges.withColumn("within", within).join(starts, "part").select((F.col("start") + F.col("within")).alias("id"), column))
 
 
-def betweenness(edges: DataFrame, sources: int = 2_000) -> DataFrame:
+#: Graphs of so many pairs of neighbours fit into every task (20 bytes a pair).
+WHOLE_PAIRS = 5_000_000
+
+
+def _dependencies(begin: np.ndarray, near: np.ndarray, times: np.ndarray, source: int) -> np.ndarray:
+    """How much each node is needed on the shortest ways from one source; node v's neighbours are near[begin[v]:begin[v + 1]]."""
+    n = len(begin) - 1
+    level, paths, need = np.full(n, -1), np.zeros(n), np.zeros(n)
+    level[source], paths[source], fronts = 0, 1.0, [np.array([source])]
+
+    def around(front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in front, place in near) of each neighbour of the front's nodes."""
+        k = begin[front + 1] - begin[front]
+        own = np.repeat(np.arange(len(front)), k)
+        return own, np.arange(len(own)) + np.repeat(begin[front] - np.cumsum(k) + k, k)
+
+    while len(fronts[-1]):
+        own, at = around(fronts[-1])
+        new = level[near[at]] < 0
+        paths += np.bincount(near[at[new]], weights=paths[fronts[-1]][own[new]] * times[at[new]], minlength=n)
+        fronts.append(np.unique(near[at[new]]))
+        level[fronts[-1]] = len(fronts) - 1
+    for d in range(len(fronts) - 3, -1, -1):
+        own, at = around(fronts[d])
+        on = level[near[at]] == d + 1
+        to = near[at[on]]
+        need[fronts[d]] = paths[fronts[d]] * np.bincount(own[on], weights=times[at[on]] * (1 + need[to]) / paths[to], minlength=len(fronts[d]))
+    need[source] = 0
+    return need
+
+
+def _searched(names: DataFrame, near: DataFrame, n: int, stride: int) -> DataFrame:
+    """(id, x): the sum of dependencies over the sources, with the graph in every task."""
+    spark = names.sparkSession
+    t = near.toArrow().sort_by([("a", "ascending"), ("b", "ascending")])
+    begin = np.searchsorted(t["a"].to_numpy(), np.arange(n + 1))
+    sent = spark.sparkContext.broadcast((begin, t["b"].to_numpy().astype(np.int32), t["m"].to_numpy().astype(np.float64)))
+
+    def search(batches):
+        total = np.zeros(n)
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                total += _dependencies(*sent.value, s)
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["id", "x"])
+
+    parts = 4 * spark.sparkContext.defaultParallelism
+    chosen = names.filter(F.col("id") % stride == 0).select("id").repartition(parts)
+    return chosen.mapInArrow(search, "id long, x double").groupBy("id").agg(F.sum("x").alias("x"))
+
+
+def betweenness(edges: DataFrame, sources: int = 2_000, whole: int = WHOLE_PAIRS) -> DataFrame:
     """(qualified_name, betweenness) of the undirected multigraph, by Brandes from `sources` nodes at a stride, largest value 1.
 
-    All sources search at once, level by level, in joins keyed by (source, node); dependencies come back by the same joins.
+    A graph of at most `whole` pairs of neighbours (counted first) is sent to every task, and tasks share the sources out.  A larger
+    one stays where it is: all sources search at once, level by level, in joins keyed by (source, node), and dependencies come
+    back by the same joins.
     """
     e = edges.filter("source <> target").select("source", "target")
     names = numbered(e.select(F.col("source").alias("qualified_name")).union(e.select("target")), "qualified_name")
@@ -252,6 +307,8 @@ def betweenness(edges: DataFrame, sources: int = 2_000) -> DataFrame:
     ids = e.join(end("source", "a"), "source").join(end("target", "b"), "target").select("a", "b")
     near = saved(ids.union(ids.select("b", "a")).groupBy("a", "b").agg(F.count("*").alias("m")))  # m: parallel edges
     stride = max(1, -(-n // sources))
+    if near.count() <= whole:
+        return _shares(names, _searched(names, near, n, stride))
     levels = [saved(names.filter(F.col("id") % stride == 0).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
     while True:
         met = levels[-1].join(near, F.col("v") == F.col("a")).groupBy("s", "b").agg(F.sum(F.col("paths") * F.col("m")).alias("paths"))
@@ -273,7 +330,11 @@ def betweenness(edges: DataFrame, sources: int = 2_000) -> DataFrame:
         totals.append(saved(need.groupBy(F.col("v").alias("id")).agg(F.sum("need").alias("x"))))
     if not totals:
         return names.select("qualified_name", F.lit(0.0).alias("betweenness"))
-    part = reduce(DataFrame.union, totals).groupBy("id").agg(F.sum("x").alias("x"))
+    return _shares(names, reduce(DataFrame.union, totals).groupBy("id").agg(F.sum("x").alias("x")))
+
+
+def _shares(names: DataFrame, part: DataFrame) -> DataFrame:
+    """Sums (id, x) by name, against the largest of them."""
     met = saved(names.join(part, "id", "left").select("qualified_name", F.coalesce("x", F.lit(0.0)).alias("x")))
     top = met.agg(F.max("x").alias("top"))  # one row
     return met.crossJoin(F.broadcast(top)).select("qualified_name", F.when(F.col("top") > 0, F.col("x") / F.col("top")).otherwise(0.0).alias("betweenness"))
