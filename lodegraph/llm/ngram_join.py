@@ -4,8 +4,8 @@ A document's set holds its distinct word shingles.  Equal sets are one class, kn
 classes, ids come in only when components are named.  Shingles are told apart by 64-bit hashes; but for a collision of
 these (once in 2**64 for a given pair) no link is lost and none is made up.
 
-* Order: shingles are ordered rare first by counts over the whole corpus in hash buckets, on a logarithmic scale of one byte each.
-  There are more buckets the larger the input is, up to 2**MOST_BITS (16 MB), which is what is broadcast at most.
+* Order: shingles are ordered rare first by counts over the whole corpus in hash buckets, on a fine logarithmic scale of two bytes.
+  There are more buckets the larger the input is, up to 2**MOST_BITS (32 MB), which is what is broadcast at most.
 * Prefix filter: two sets with similarity t share a shingle among the first n - ceil(t n) + 1 of each.  Only these
   are joined, by shingle.  A task sends a class once, however many copies it meets, and shingles of crowded buckets go to
   several groups by class, so no group grows with one shingle; such shingles count as hot.
@@ -47,6 +47,8 @@ BLOCK = 256
 CHUNKS = 64
 #: Buckets of counts: one for each BUCKET_BYTES of text, within these bounds.
 BUCKET_BYTES, LEAST_BITS, MOST_BITS = 256, 20, 24
+#: Steps of the scale of counts for each doubling.
+STEPS = 1_600
 #: So many shingles of one bucket at most go to one group.
 GROUP_ROWS = 1_000_000
 
@@ -82,7 +84,7 @@ def most_shared(a: bytes, b: bytes) -> tuple[int, int]:
 
 
 def survey(docs: DataFrame, n: int, bits: int) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, tk, n, digest, sig) of every row, 8 * log2 of how many shingles of all rows fell in each bucket)."""
+    """((doc_id, tk, n, digest, sig) of every row, STEPS * log2 of how many shingles of all rows fell in each bucket)."""
     size, shift = 1 << bits, np.uint64(64 - bits)
     each = size // CHUNKS
     names = ["doc_id", "tk", "n", "digest", "sig", "chunk", "counts"]
@@ -108,15 +110,15 @@ def survey(docs: DataFrame, n: int, bits: int) -> tuple[DataFrame, np.ndarray]:
         total = np.zeros(each, np.int64)
         for x in t["counts"]:
             total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
-        scale = np.minimum(255, 8 * np.log2(total + 1)).astype(np.uint8)
+        scale = np.minimum(65_535, STEPS * np.log2(total + 1)).astype(np.uint16)
         return pa.table({"chunk": t["chunk"][:1], "counts": pa.array([scale.tobytes()], pa.binary())})
 
     schema = "doc_id long, tk long, n long, digest binary, sig binary, chunk int, counts binary"
     found = written(_rows(docs).mapInArrow(look, schema), "survey")
     sums = found.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    counts = np.zeros(size, np.uint8)
+    counts = np.zeros(size, np.uint16)
     for r in sums.collect():  # CHUNKS rows of a fixed size
-        counts[r.chunk * each : (r.chunk + 1) * each] = np.frombuffer(r.counts, np.uint8)
+        counts[r.chunk * each : (r.chunk + 1) * each] = np.frombuffer(r.counts, np.uint16)
     return found.filter("chunk IS NULL").select("doc_id", "tk", "n", "digest", "sig"), counts
 
 
@@ -125,7 +127,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, gr
 
     salt is -1 but for shingles of buckets that hold more than group_rows: these are dealt by class to groups from 0 on.
     """
-    bits, crowded = int(np.log2(len(counts))), 8 * np.log2(group_rows)
+    bits, crowded = int(np.log2(len(counts))), STEPS * np.log2(group_rows)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     names = ["gram", "salt", "cls", "n", "pos"]
 
@@ -152,7 +154,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, gr
                     s_ = s
                 order = np.lexsort((s_, often))[:m]
                 often = often[order].astype(np.float64)
-                groups = np.where(often > crowded, np.exp2(np.maximum(0, often - crowded) / 8) + 1, 0).astype(np.int64)
+                groups = np.where(often > crowded, np.exp2(np.maximum(0, often - crowded) / STEPS) + 1, 0).astype(np.int64)
                 grams.append(s_[order].view(np.int64))
                 salts.append(np.where(groups > 0, int.from_bytes(digest[:4], "little") % np.maximum(1, groups), -1).astype(np.int32))
                 digests.append(digest)
@@ -229,15 +231,17 @@ def _apart(a: str, b: str) -> str:
 
 
 def _pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a prefix gram and pass the length and the positional filter."""
-    met = _side(rows, "a").join(_side(rows, "b"), "gram").filter("a < b").filter(_kept(num, den))
-    return met.select("a", "b").distinct()
+    """(a, b, open, shared) of classes that share prefix grams, and how many; open: at one of them they pass the length and the
+    positional filter (the first one common to both is where the filter is widest)."""
+    met = _side(rows, "a").join(_side(rows, "b"), "gram").filter("a < b")
+    return met.groupBy("a", "b").agg(F.some(F.expr(_kept(num, den))).alias("open"), F.count("*").alias("shared"))
 
 
-def _rest(hot: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+def _rest(hot: DataFrame, comps: DataFrame, cold: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that share a hot gram, pass the filters, were in no block together and lie in different components.
 
-    hot: gram, cls, n, pos, v (the vertex of the class), blocks.  Of two members of a gram one at least is outside the gram's
+    Pairs that are open in cold are decided already; of others, cold says how many more grams
+    their prefixes share.  hot: gram, cls, n, pos, v (the vertex of the class), blocks.  Of two members of a gram one at least is outside the gram's
     largest component.
     """
     rows = hot.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
@@ -246,8 +250,13 @@ def _rest(hot: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
     open_ = written(rows.join(tops.filter("comps > 1").select("gram", F.col("top.comp").alias("top")), "gram"), "open")
     guests = _side(open_.filter("comp <> top"), "a", F.col("comp").alias("ca"), F.col("blocks").alias("ba"))
     hosts = _side(open_, "b", F.col("comp").alias("cb"), F.col("blocks").alias("bb"), "top")
-    met = guests.join(hosts, "gram").filter("ca <> cb AND (cb = top OR a < b)").filter(_apart("ba", "bb"))
-    return met.filter(_kept(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = guests.join(hosts, "gram").filter("ca <> cb AND (cb = top OR a < b)").filter(_apart("ba", "bb")).filter(f"least(na, nb) * {den} >= greatest(na, nb) * {num}")
+    after = F.greatest(*[F.ceil(F.col(x) * num / den) - 1 for x in ("na", "nb")])
+    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("both"), after.alias("after"))
+    pairs = pairs.agg(F.countDistinct("gram").alias("w"), F.some(F.expr(_kept(num, den))).alias("here")).filter("here")
+    pairs = pairs.join(cold, ["a", "b"], "left").filter("open IS NULL OR NOT open")
+    # What follows a prefix has at most as many common members as it is long, so so many of the prefixes' must be common.
+    return pairs.filter(f"(w + coalesce(shared, 0) + after) * {num + den} >= {num} * both").select("a", "b")
 
 
 def overlaps(sets: list[np.ndarray], columns: int = 16_384) -> np.ndarray:
@@ -327,11 +336,11 @@ def row_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits: in
     shared = prefixes(docs, counts, n, num, den).repartition("gram", "salt").dropDuplicates(["gram", "salt", "cls"])
     shared = shared.withColumn("g", F.count("*").over(W.partitionBy("gram", "salt")))
     shared = written(shared.filter("g > 1 OR salt >= 0"), "prefixes")
-    pairs = _pairs(shared.filter(f"g <= {HOT} AND salt < 0"), num, den)
+    cold = written(_pairs(shared.filter(f"g <= {HOT} AND salt < 0"), num, den), "cold")
     hot = shared.filter(f"g > {HOT} OR salt >= 0").select("gram", "cls", "n", "pos")
     blocks = written(_blocks(hot), "blocks")
     side = lambda x: blocks.select(F.col("cls").alias(x), F.col("blocks").alias(f"{x}_blocks"))
-    pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(_apart("a_blocks", "b_blocks")).select("a", "b")
+    pairs = cold.filter("open").join(side("a"), "a", "left").join(side("b"), "b", "left").filter(_apart("a_blocks", "b_blocks")).select("a", "b")
     pairs = written(passed(pairs, classes, num, den), "pairs")
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(blocks.select("cls")).distinct()
     sets = sets_of(docs, classes.join(needed, "cls", "left_semi").select("cls", F.col("class_id").alias("doc_id"), "tk"), n)
@@ -348,7 +357,7 @@ def row_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits: in
     comps = components(edges)
     if dealt:
         rows = hot.join(classes.select("cls", "v"), "cls").join(blocks, "cls")
-        rest = _rest(rows, comps, num, den).join(pairs, ["a", "b"], "left_anti")
+        rest = _rest(rows, comps, cold, num, den)
         more = _by_vertex(verified(written(passed(rest, classes, num, den), "rest"), sets, num, den), classes)
         comps = components(comps.select(F.col("v").alias("a_v"), F.col("comp").alias("b_v")).union(more))
     tops = comps.select(F.col("comp").alias("v")).distinct().withColumn("top", F.lit(True))

@@ -172,15 +172,19 @@ def looked_at(docs: DataFrame) -> DataFrame:
     return _rows(docs).mapInArrow(each, "doc_id long, votes string, cols binary, vals binary")
 
 
+def counted(said: DataFrame) -> dict[str, int]:
+    """How often each pattern of votes occurs; 3 ** labellers patterns at most."""
+    return {r.votes: r["count"] for r in said.groupBy("votes").count().collect()}
+
+
 def vote_patterns(docs: DataFrame) -> dict[str, int]:
-    """How often each pattern occurs over all documents; 3 ** labellers patterns at most.  docs: with votes, or with texts."""
+    """How often each pattern occurs over all documents."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             yield pa.RecordBatch.from_arrays([pa.array([votes(t.as_py()) for t in batch.column(0)], pa.string())], names=["votes"])
 
-    said = docs if "vals" in docs.columns else _rows(docs).select("text").mapInArrow(each, "votes string")
-    return {r.votes: r["count"] for r in said.groupBy("votes").count().collect()}
+    return counted(_rows(docs).select("text").mapInArrow(each, "votes string"))
 
 
 def sample_share(docs: DataFrame, sample_rows: int) -> float:
@@ -201,7 +205,7 @@ def fit_scorer(drawn: DataFrame, posterior: dict[str, float], n_docs: int) -> tu
 
 def fitted(docs: DataFrame, seen: DataFrame | None, sample_rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], float, np.ndarray, float]:
     """(posterior by pattern, prior, weights, bias); seen: looked_at(docs), where that is written."""
-    patterns = vote_patterns(docs if seen is None else seen)
+    patterns = vote_patterns(docs) if seen is None else counted(seen)
     posterior, _, prior = fit_labellers(patterns)
     posterior[SILENT * len(LABELLERS)] = prior
     chosen = drawn(F.col("doc_id").cast("long"), 3, sample_share(docs, sample_rows))

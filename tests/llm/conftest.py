@@ -25,7 +25,7 @@ EDGE = [
     (15, "x" * 5000),
 ]
 #: Names that operators use for columns of their own.
-CLASHING = "digest gram n g pos key row rank shard part bucket block slot at arc length votes score ids words spans __rank __piece kept v comp map mix_id mix_at grp cls tk maybe piece".split()
+CLASHING = "digest gram n g pos key row rank shard part bucket block slot at arc length votes score ids words spans __rank __piece kept v vals cols comp map mix_id mix_at grp cls tk maybe piece".split()
 
 
 def table_of(spark, rows):
