@@ -53,7 +53,7 @@ def blocks(raw: bytes, k: int):
         end = cut.start() if cut else len(raw)
         words = tail + raw[at:end].replace(MARK, b" " + MARK + b" ").split()
         yield words
-        at, tail = end, words[len(words) - k + 1 :] if k > 1 else []
+        at, tail = end, words[max(0, len(words) - k + 1) :] if k > 1 else []
 
 
 def gram_hashes(w: np.ndarray, k: int, lang: int) -> np.ndarray:

@@ -83,8 +83,8 @@ def test_collocations_of_nothing(spark, none):
 def test_collocations_count_what_the_filter_lets_through(spark, docs, monkeypatch):
     """A bitmap that holds everything changes no result."""
     want = mined(spark, docs, 8, 4)
-    monkeypatch.setattr(collocations, "LEAST_BITS", 3)
-    monkeypatch.setattr(collocations, "MOST_BITS", 3)
+    full = spark.sparkContext.broadcast(np.full(1 << 15, 255, np.uint8))
+    monkeypatch.setattr(collocations, "frequent_filter", lambda level, k: (18, full))
     assert mined(spark, docs, 8, 4) == want
 
 
