@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("relational", "graphs", "texts", "events", "code", "ledgers")
+AREAS = ("relational", "graphs", "texts", "fulltext", "events", "code", "ledgers")
 
 
 def _registries() -> list:
