@@ -59,7 +59,9 @@ def _steps():
 def stemmed(words: DataFrame, column: str) -> DataFrame:
     """words with the column's words stemmed, one projection for each step, so that no step is written out twice."""
     raw = column + "__raw"
-    out = words.withColumn(raw, F.col(column)).withColumn(column, F.regexp_replace(column, "^y", "Y"))
+    fits = F.length(raw).between(SHORTEST, LONGEST)
+    first = F.when(fits, F.regexp_replace(raw, "^y", "Y")).otherwise("")
+    out = words.withColumn(raw, F.col(column)).withColumn(column, first)
     w = F.col(column)
     for rules in _steps():
         changed = F
@@ -67,7 +69,6 @@ def stemmed(words: DataFrame, column: str) -> DataFrame:
             inner = reduce(lambda rest, p: F.when(w.rlike(p[0]), w if p[1] == "=" else F.concat(F.regexp_extract(w, p[0], 1), F.lit(p[1]))).otherwise(rest), reversed(patterns), w)
             changed = changed.when(w.endswith(suffix), inner)
         out = out.withColumn(column, changed.otherwise(w))
-    fits = F.length(raw).between(SHORTEST, LONGEST)
     return out.withColumn(column, F.when(fits, F.regexp_replace(column, "^Y", "y")).otherwise(F.col(raw))).drop(raw)
 
 

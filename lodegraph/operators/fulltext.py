@@ -92,9 +92,10 @@ def build_index(docs: DataFrame, key: str, columns: list[str], path: str, bucket
 def phrases_of(spark: SparkSession, query: str) -> list[list[str]]:
     """A query's phrases, stemmed: what stands in double quotes, else each of its words; a word that folds into several is a phrase."""
     raw = [a or b for a, b in re.findall(r'"([^"]*)"|([^\s"]+)', query)]
-    rows = spark.createDataFrame(list(enumerate(raw)), "at int, text string").select("at", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    asked = spark.range(0, 1, 1, 1).select(F.posexplode(F.array(*map(F.lit, raw))).alias("at", "text")) if raw else spark.createDataFrame([], "at int, text string")
+    rows = asked.select("at", F.posexplode(words(F.col("text"))).alias("pos", "term"))
     out: dict[int, list[str]] = {}
-    for r in stemmed(rows, "term").orderBy("at", "pos").collect():  # the words of one query
+    for r in sorted(stemmed(rows, "term").collect()):  # the words of one query
         out.setdefault(r.at, []).append(r.term)
     return list(out.values())
 
