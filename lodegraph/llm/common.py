@@ -7,7 +7,7 @@ import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -82,9 +82,25 @@ def hash_bucket(column, bits: int):
     return F.shiftrightunsigned(F.xxhash64(column), 64 - bits).cast("int")
 
 
-def drawn(key, seed: int, share: float):
-    """Whether a hash of the key falls in this share of all hashes, to 63 bits."""
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 1) <= F.lit(int(share * (1 << 53)) * 1024 - 1 if share < 1 else (1 << 63) - 1)
+def mark(key, rest, seed: int) -> Column:
+    """A 63-bit hash of a row: 39 bits of its key, 24 of the rest.  Rows that repeat both have the same."""
+    high = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 1).bitwiseAND(F.lit(~0xFFFFFF))
+    return high.bitwiseOR(F.xxhash64(rest).bitwiseAND(F.lit(0xFFFFFF)))
+
+
+def lowest(rows: DataFrame, mark: Column, most: int) -> Column:
+    """What holds for the rows whose mark is among the `most` smallest different marks of rows.
+
+    So a sample is bounded whatever repeats, and is empty only if rows is.  Most rows are passed over by their mark alone.
+    """
+    n = rows.count()
+    for share in sorted({min(1.0, 4 * most / max(1, n)), 1.0}):
+        some = rows.select(mark.alias("mark"))
+        some = some.filter(F.col("mark") < F.lit(int(share * (1 << 53)) << 10)) if share < 1 else some
+        found, last = some.distinct().orderBy("mark").limit(most).agg(F.count("*"), F.max("mark")).first()
+        if found == most or share == 1:
+            return mark <= F.lit(last) if found else F.lit(False)
+    raise AssertionError
 
 
 #: A filter has FILTER_RATE bits a key, between these powers of two (16 MB at most), sent as pieces of 4 KB.

@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import drawn, small, written
+from lodegraph.llm.common import lowest, mark, small, written
 from lodegraph.llm.hashed import Rows, logistic, sigmoid
 
-#: At most about so many rows, and so much text, are drawn for the fit of the scorer.
+#: At most so many rows, and about so much text, are drawn for the fit of the scorer.
 SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 256_000_000
 SHAPE_BITS = 16
 SYMBOLS = frozenset("#$%&*@^~<>{}[]\\=+_")
@@ -157,6 +157,11 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def row_mark():
+    """Rows of the same id and text have the same; so of rows that repeat both, the fit reads one."""
+    return mark(F.col("doc_id").cast("long"), F.col("text").cast("string"), 3)
+
+
 def looked_at(docs: DataFrame) -> DataFrame:
     """(doc_id, votes, cols, vals) of every row: its votes, and its word shapes as bytes of uint16 and of float32."""
 
@@ -166,10 +171,10 @@ def looked_at(docs: DataFrame) -> DataFrame:
             texts = [t.as_py() for t in batch.column(1)]
             found = [features(t, shapes) for t in texts]
             cols, vals = [c.astype("<u2").tobytes() for c, _ in found], [v.astype("<f4").tobytes() for _, v in found]
-            arrays = [batch.column(0), pa.array([votes(t) for t in texts], pa.string()), pa.array(cols, pa.binary()), pa.array(vals, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "votes", "cols", "vals"])
+            arrays = [batch.column(0), pa.array([votes(t) for t in texts], pa.string()), pa.array(cols, pa.binary()), pa.array(vals, pa.binary()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "votes", "cols", "vals", "mark"])
 
-    return _rows(docs).mapInArrow(each, "doc_id long, votes string, cols binary, vals binary")
+    return _rows(docs).withColumn("mark", row_mark()).mapInArrow(each, "doc_id long, votes string, cols binary, vals binary, mark long")
 
 
 def counted(said: DataFrame) -> dict[str, int]:
@@ -187,17 +192,15 @@ def vote_patterns(docs: DataFrame) -> dict[str, int]:
     return counted(_rows(docs).select("text").mapInArrow(each, "votes string"))
 
 
-def sample_share(docs: DataFrame, sample_rows: int) -> float:
-    """The share of rows of docs that keeps both bounds."""
+def sample_bound(docs: DataFrame, sample_rows: int) -> int:
+    """The rows that keep both bounds, as texts are of mean length; one at least."""
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col("text").cast("string")))).first()
-    return min(1.0, sample_rows / max(1, n), SAMPLE_BYTES / max(1, size or 0))
+    return max(1, int(min(sample_rows, SAMPLE_BYTES * n / max(1, size or 0))))
 
 
-def fit_scorer(drawn: DataFrame, posterior: dict[str, float], n_docs: int) -> tuple[np.ndarray, float]:
+def fit_scorer(drawn: DataFrame, posterior: dict[str, float]) -> tuple[np.ndarray, float]:
     """Weights and bias from the rows drawn (doc_id, votes, cols, vals)."""
     t = drawn.toArrow()
-    if n_docs and not t.num_rows:
-        raise ValueError("no row was drawn for the fit of the scorer")
     t = t.sort_by([("doc_id", "ascending"), ("votes", "ascending"), ("cols", "ascending")])
     rows = Rows.of([np.frombuffer(x.as_py(), "<u2") for x in t["cols"]], [np.frombuffer(x.as_py(), "<f4") for x in t["vals"]])
     return logistic(rows, np.array([posterior[v] for v in t["votes"].to_pylist()]), 1 << SHAPE_BITS)
@@ -208,9 +211,10 @@ def fitted(docs: DataFrame, seen: DataFrame | None, sample_rows: int = SAMPLE_RO
     patterns = vote_patterns(docs) if seen is None else counted(seen)
     posterior, _, prior = fit_labellers(patterns)
     posterior[SILENT * len(LABELLERS)] = prior
-    chosen = drawn(F.col("doc_id").cast("long"), 3, sample_share(docs, sample_rows))
-    some = looked_at(docs.filter(chosen)) if seen is None else seen.filter(chosen)
-    return posterior, prior, *fit_scorer(some, posterior, sum(patterns.values()))
+    rows, of_row = (docs, row_mark()) if seen is None else (seen, F.col("mark"))
+    chosen = rows.filter(lowest(rows, of_row, sample_bound(docs, sample_rows)))
+    some = looked_at(chosen) if seen is None else chosen
+    return posterior, prior, *fit_scorer(some.dropDuplicates(["mark"]), posterior)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

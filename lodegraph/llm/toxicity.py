@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import drawn, small
+from lodegraph.llm.common import lowest, mark, small
 from lodegraph.llm.hashed import Adam, Rows, sigmoid
 
 MAX_POSITIVE, MAX_UNLABELLED, SAMPLE_BYTES = 3_000, 7_000, 256_000_000
@@ -96,15 +96,19 @@ def train(
         return {}, -20.0
     prior = min(0.9, max(1e-4, n_toxic / n))
     n_docs, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col("text").cast("string")))).first()
-    # Both samples together hold about SAMPLE_BYTES at most, as their texts are of mean length.
+    # Both samples together hold about SAMPLE_BYTES at most, as their texts are of mean length; one row each at least.
     rows_at_most = SAMPLE_BYTES / max(1.0, (size or 0) / max(1, n_docs))
-    share = lambda most, total: min(1.0, min(most, rows_at_most / 2) / max(1, total))
-    id_ = F.col("doc_id")
-    # most_positive rows or so: small enough for any executor.
-    sure = by_doc.filter((F.col("toxic") == 1) & drawn(id_, 1, share(most_positive, n_toxic))).select("doc_id", F.lit(True).alias("sure"))
-    rows = docs.select(id_.cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(~held_out(folds))
-    rows = rows.join(F.broadcast(sure), "doc_id", "left").withColumn("free", drawn(id_, 2, share(most_unlabelled, n_docs)))
-    rows = rows.filter("sure OR free").select("doc_id", "text", F.coalesce("sure", F.lit(False)).alias("sure"), F.coalesce("free", F.lit(False)).alias("free"))
+    bound = lambda most: max(1, int(min(most, rows_at_most / 2)))
+    # most_positive ids at most: small enough for any executor.
+    toxic = by_doc.filter(F.col("toxic") == 1).select("doc_id")
+    sure = toxic.filter(lowest(toxic, mark("doc_id", F.lit(0), 1), bound(most_positive))).withColumn("known", F.lit(True))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(~held_out(folds))
+    rows = rows.join(F.broadcast(sure), "doc_id", "left")
+    of_row, known = mark("doc_id", "text", 2), F.coalesce(F.col("known"), F.lit(False))
+    positive = known & lowest(rows.filter(known), of_row, bound(most_positive))
+    free = lowest(rows, of_row, bound(most_unlabelled))
+    rows = rows.select("doc_id", "text", positive.alias("sure"), free.alias("free"), of_row.alias("mark")).filter("sure OR free").dropDuplicates(["mark"])
+    rows = rows.select("doc_id", "text", "sure", "free")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known()
@@ -113,8 +117,8 @@ def train(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2), b.column(3)], names=["doc_id", "cols", "sure", "free"])
 
     t = rows.mapInArrow(each, "doc_id long, cols binary, sure boolean, free boolean").toArrow()
-    if n_docs and not t.num_rows:
-        raise ValueError("no row was drawn for the fit")
+    if not any(t["sure"].to_pylist()):  # no toxic document can be read: the share of toxic labels is all that is known
+        return {}, float(np.log(prior / (1 - prior)))
     t = t.sort_by([("doc_id", "ascending"), ("cols", "ascending")])
     cols = [np.frombuffer(x.as_py(), np.int32) for x in t["cols"]]
     sure_at, free_at = (np.flatnonzero(t[k].to_numpy()) for k in ("sure", "free"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import drawn, small, written
+from lodegraph.llm.common import lowest, mark, small, written
 
 LEAF = 64
 #: Pivots for each length of vector, and about so many rows for each pivot at least.
@@ -93,11 +93,12 @@ def _sound(column: Column) -> Column:
 
 
 def pivots_of(rows: DataFrame, n: int, most: int) -> dict[int, np.ndarray]:
-    """The pivots by length of vector, from a sample of about 2 * most rows at most, in order of id."""
+    """The pivots by length of vector, from a sample of 2 * most different rows at most, in order of id."""
     wanted = max(1, min(most, n // CELL_ROWS))
-    some = rows.filter(drawn(F.col("vec_id"), 9, min(1.0, 2 * wanted / max(1, n)))).select("dim", "vec_id", "v").collect()
+    of_row = mark("vec_id", "v", 9)
+    some = rows.filter(lowest(rows, of_row, 2 * wanted)).withColumn("mark", of_row).dropDuplicates(["mark"]).select("dim", "vec_id", "v").collect()
     out: dict[int, list] = {}
-    for r in sorted(some, key=lambda r: (r.dim, r.vec_id)):
+    for r in sorted(some, key=lambda r: (r.dim, r.vec_id, r.v)):
         out.setdefault(r.dim, []).append(r.v)
     return {dim: np.unique(np.array(v[:wanted], np.float64), axis=0) for dim, v in out.items()}
 

@@ -186,17 +186,44 @@ def test_toxicity_scores_by_plain_loops(spark):
     assert max(abs(got[i] - want[i]) for i in texts) < 2e-3
 
 
-def test_shares_of_very_large_tables(spark):
-    """A share of one in 10**11 still draws, in proportion; a sample without rows is an error."""
-    from lodegraph.llm.common import drawn
-
-    hashes = spark.range(200_000)
-    assert abs(hashes.filter(drawn("id", 3, 0.01)).count() - 2_000) < 300
-    assert hashes.filter(drawn("id", 3, 1.0)).count() == 200_000
-    far = spark.range(3_000_000_000, 3_040_000_000, numPartitions=8)
-    assert 1 <= far.filter(drawn("id", 3, 1e-6)).count() <= 100
-    with pytest.raises(ValueError, match="no row"):
-        quality.fit_scorer(quality.looked_at(spark.createDataFrame([], "doc_id long, text string")), {}, 10**11)
+def test_samples_are_bounded_whatever_repeats(spark):
+    from lodegraph.llm.common import lowest, mark
+
+    of_row = mark("id", F.lit(0), 3)
+    for df, n in ((spark.range(200_000), 200_000), (spark.range(200_000).select((F.col("id") % 3).alias("id")), 3), (spark.range(0), 0)):
+        for most in (1, 2_000, 10**9):
+            assert df.filter(lowest(df, of_row, most)).distinct().count() == min(most, n)
+
+
+@pytest.mark.parametrize("ids", ["0", "1", "2", "5", "cast(null as long)", "id"])
+def test_repeated_ids_and_rows(spark, ids):
+    """20000 rows of one id, alike or not: the fits read no more than they may, and all rows are scored."""
+    words = "concat('good words about the river ', id, ' and the town. ', repeat('more of it ', 20))"
+    for text in (words, "'the same text. '"):
+        docs = spark.range(20_000).selectExpr(f"{ids} AS doc_id", f"{text} AS text")
+        seen = quality.looked_at(docs)
+        chosen = seen.filter(quality.lowest(seen, F.col("mark"), 500)).dropDuplicates(["mark"])
+        assert 1 <= chosen.count() <= 500
+        assert quality.classify(spark, docs, 500).count() == 20_000
+        labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+        rows = toxicity.score(spark, docs, labels, most_positive=300, most_unlabelled=300)
+        assert rows.agg(F.count("score"), F.min("score") >= 0, F.max("score") <= 1).first() == (20_000, True, True)
+
+
+def test_toxicity_without_a_readable_example(spark):
+    """All rows held out, or without ids: the prior's score for all."""
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 0)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(100, 180)], "doc_id long, quality int, toxic int")
+    open_ = [i % 4 == 0 for i in range(100, 180) if zlib.crc32(str(i).encode()) % 5]
+    for rows in ([(held, "some text")], [(None, "a"), (None, None)]):
+        got = toxicity.score(spark, spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+        assert len(got) == len(rows) and all(r.score == pytest.approx(sum(open_) / len(open_)) for r in got)
+
+
+def test_one_very_long_text_is_drawn(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 100)
+    docs = spark.createDataFrame([(1, "long words " * 500)], "doc_id long, text string")
+    assert quality.classify(spark, docs).count() == 1
 
 
 def test_larger_samples_score_alike(spark, middle):

@@ -227,3 +227,10 @@ def test_relaxed_pruning_keeps_recall():
     exact = tree.nearest(ids, points[ids], 10)[1]
     near = tree.nearest(ids, points[ids], 10, relax=1.3)[1]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(exact, near)]) >= 0.9
+
+
+def test_pivots_of_repeated_ids_are_bounded(spark):
+    for v in ("array(cast(id AS double), 1.0D)", "array(3.0D, 1.0D)"):
+        rows = spark.range(30_000).selectExpr("7L AS vec_id", f"{v} AS v", "2 AS dim")
+        found = vp_search.pivots_of(rows, 30_000, 8)
+        assert 1 <= len(found[2]) <= 8

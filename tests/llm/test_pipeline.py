@@ -67,7 +67,7 @@ def test_entry_has_them_all():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in names}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
@@ -130,3 +130,16 @@ def test_stages_judge_rows(spark):
     mixed = corpus_pipeline.mixed(spark, written(both, "test-both"), SMALL)
     assert mixed.columns == table.columns and of(mixed) == of(both)
     assert mixed.filter("`map` = 'map' AND maybe = 'maybe' AND __piece = '__piece'").count() == 3
+
+
+def test_columns_of_any_type(spark):
+    rows = [(i, "The same words in a row, said again and again by the people of the town. " * 4) for i in (1, 1, 2, 3)] + [(4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "*", "'en' AS lang", "'web' AS source", "map('k', doc_id) AS m", "array(map(doc_id, struct(doc_id AS x, map('a', 1) AS y))) AS nested", "parse_json('{\"a\": [1]}') AS v", "cast(text AS binary) AS raw"
+    )
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        at = written(stage(spark, at, SMALL), "test-types")
+        assert at.schema.simpleString() == docs.schema.simpleString()
+    assert sorted((r.doc_id, r.m) for r in at.collect()) == [(3, {"k": 3}), (4, {"k": 4})]
+    quality.good_only(spark, docs).count()
