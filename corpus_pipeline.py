@@ -25,13 +25,13 @@ def _keep_rows(docs: DataFrame, told: DataFrame, digest) -> DataFrame:
     """The rows of docs but for those that told (id, sha, stays) drops.
 
     A row is known by its id and a digest of its text.  Rows without an entry pass; of rows that repeat an entry that stays,
-    the least by all columns does.
+    the one whose columns have the least digest does: columns may be of types without an order.
     """
     told = written(told, "told")
     near, free = parted(docs, F.col("doc_id").cast("long"), sized_filter(told, "id"))
     rows = near.select(F.struct(*columns_of(near)).alias("row"))
     met = rows.join(told, F.col("row.doc_id").eqNullSafe(F.col("id")) & (digest(F.col("row.text")) == F.col("sha")), "left")
-    once = met.filter("stays").groupBy("id", "sha").agg(F.min("row").alias("row"))
+    once = met.filter("stays").groupBy("id", "sha").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
     return free.union(met.filter("stays IS NULL").select("row.*")).union(once.select("row.*"))
 
 
@@ -40,7 +40,7 @@ def _sha(text):
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row: that with the largest id, a null id below all others; of rows that repeat both, the least by all columns."""
+    """Of equal texts one row: that with the largest id, a null id below all others; of rows that repeat both, one."""
     found = exact_dedup.exact_dedup(spark, docs).filter("group_size > 1")
     return _keep_rows(docs, found.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("stays")), _sha)
 
