@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodegraph.operators.graph import saved
 from lodegraph.operators.relational import contains_any
 
 
@@ -29,22 +30,54 @@ def in_scope(constraints: DataFrame, scopes: list[str]) -> DataFrame:
     return constraints.filter(F.col("scope").isin(*scopes)).withColumn("rank", rank).filter("rank = 1").drop("rank").orderBy(F.desc("at"), "id")
 
 
-def step_tree(steps: DataFrame, depth: int = 10) -> DataFrame:
-    """(step_id, root, depth, path): every step under its root, from parent ids; steps whose parent is unknown are roots.
+def _climbed(links: DataFrame) -> DataFrame:
+    """links (step_id, up, hops, least, done), each step joined with what its farthest known ancestor knows."""
+    above = links.select(F.col("step_id").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
+    met = links.filter("NOT done").join(above, "up")
+    both = met.select("step_id", F.col("up2").alias("up"), (F.col("hops") + F.col("hops2")).alias("hops"), F.least("least", "least2").alias("least"), F.col("done2").alias("done"))
+    return saved(links.filter("done").union(both))
 
-    One join a level; what a level finds is small against the steps and is not collected.
+
+def step_tree(steps: DataFrame) -> DataFrame:
+    """(step_id, root, depth, path, on_cycle): every step once, whatever the depth; steps whose parent is unknown are roots.
+
+    Ancestors are found by doubling: each round joins a step with its ancestor's ancestor, so rounds grow with the logarithm of
+    the depth.  A round that brings no step to a root shows that what is left leads into cycles of parents; there the root is the
+    cycle's least step, depth and path are null, and on_cycle tells the cycle's own steps from those below it.
+    Of repeated steps the least parent counts; a null step is none.
     """
-    ids = steps.select(F.col("step_id").alias("parent_step_id")).distinct()
-    own = steps.join(ids.withColumn("known", F.lit(True)), "parent_step_id", "left")
-    roots = own.filter("known IS NULL").select("step_id", F.col("step_id").alias("root"), F.lit(0).alias("depth"), F.col("step_id").cast("string").alias("path"))
-    out, level = roots, roots
-    children = steps.filter("parent_step_id IS NOT NULL").select(F.col("step_id").alias("child"), F.col("parent_step_id").alias("step_id"))
-    for _ in range(depth):
-        level = level.join(children, "step_id").select(
-            F.col("child").alias("step_id"), "root", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", F.col("child").cast("string")).alias("path")
-        )
-        out = out.union(level)
-    return out
+    own = saved(steps.filter("step_id IS NOT NULL").groupBy("step_id").agg(F.min("parent_step_id").alias("parent")))
+    known = own.select(F.col("step_id").alias("parent"), F.lit(True).alias("known"))
+    linked = own.join(known, "parent", "left")
+    up = F.when(F.col("known"), F.col("parent")).otherwise(F.col("step_id"))
+    roots = linked.select("step_id", up.alias("up"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("hops"), F.least("step_id", up).alias("least"), F.col("known").isNull().alias("done"))
+    first = saved(roots)
+    links, open_ = first, first.filter("NOT done").count()
+    while open_:
+        links = _climbed(links)
+        left = links.filter("NOT done").count()
+        if left == open_:
+            break
+        open_ = left
+    rooted = links.filter("done").select("step_id", F.col("up").alias("root"), F.col("hops").alias("depth"))
+    # Paths are put together by the same doubling, over steps with a root alone: those of a cycle would grow for ever.
+    inner = first.join(rooted.select("step_id"), "step_id", "left_semi")
+    paths = saved(inner.select("step_id", "up", "done", F.col("step_id").cast("string").alias("path")))
+    while not paths.filter("NOT done").isEmpty():
+        above = paths.select(F.col("step_id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("done").alias("done2"))
+        met = paths.filter("NOT done").join(above, "up").select("step_id", F.col("up2").alias("up"), F.col("done2").alias("done"), F.concat_ws("/", "path2", "path").alias("path"))
+        paths = saved(paths.filter("done").union(met))
+    tree = rooted.join(paths.select("step_id", "path"), "step_id").withColumn("on_cycle", F.lit(False))
+    if not open_:
+        return tree
+    # Beyond as many hops as there are steps left, an ancestor is on the cycle, and the least step on the way from it is the cycle's.
+    lost = links.filter("NOT done")
+    while lost.filter(F.col("hops") < open_).limit(1).count():
+        lost = _climbed(lost)
+    ring = saved(lost.select(F.col("up").alias("member")).distinct())
+    least = lost.select(F.col("step_id").alias("up"), F.col("least").alias("root"))
+    told = lost.join(least, "up").join(ring.select(F.col("member").alias("step_id"), F.lit(True).alias("on")), "step_id", "left")
+    return tree.union(told.select("step_id", "root", F.lit(None).cast("long"), F.lit(None).cast("string"), F.coalesce("on", F.lit(False))))
 
 
 def open_proposals(proposals: DataFrame, kinds: list[str] | None = None, limit: int = 100) -> DataFrame:

@@ -74,20 +74,24 @@ def constraints(spark, d):
     return H.in_scope(rows, ["decision", "impl"]).select("scope", "rule_id", "id")
 
 
-STEPS = "SELECT o_orderkey AS step_id, CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 < 5 THEN o_orderkey - o_orderkey % 10 ELSE o_orderkey - 4 END AS parent FROM orders"
+#: Orders in chains of up to 500, of which every other one leads into a cycle of 91.
+PARENT = """CASE WHEN o_orderkey % 1000 = 507 THEN o_orderkey + 90 WHEN o_orderkey % 500 = 0 THEN NULL ELSE o_orderkey - 1 END"""
 
 
 @Q.add(
     "J17_L7_U1_step_tree",
-    f"""WITH RECURSIVE s AS ({STEPS}), t(step_id, root, depth, path) AS (
-      SELECT step_id, step_id, 0, step_id::VARCHAR FROM s WHERE parent IS NULL OR parent NOT IN (SELECT step_id FROM s)
-      UNION SELECT s.step_id, root, depth + 1, path || '/' || s.step_id FROM t JOIN s ON s.parent = t.step_id)
-    SELECT step_id, root, depth::BIGINT AS depth, path FROM t""",
+    f"""WITH RECURSIVE s AS (SELECT o_orderkey AS step_id, {PARENT} AS parent FROM orders), t(step_id, root, depth, path) AS (
+      SELECT step_id, step_id, 0::BIGINT, step_id::VARCHAR FROM s WHERE parent IS NULL OR parent NOT IN (SELECT step_id FROM s)
+      UNION SELECT s.step_id, root, depth + 1, path || '/' || s.step_id FROM t JOIN s ON s.parent = t.step_id),
+    lost AS (SELECT * FROM s WHERE step_id NOT IN (SELECT step_id FROM t)),
+    w(low, top) AS (SELECT step_id, parent FROM lost UNION SELECT low, parent FROM w JOIN lost ON step_id = top),
+    ring AS (SELECT low AS member FROM w WHERE low = top)
+    SELECT step_id, root, depth, path, false AS on_cycle FROM t
+    UNION ALL SELECT low, min(top) FILTER (top IN (SELECT member FROM ring)), NULL, NULL, low IN (SELECT member FROM ring) FROM w GROUP BY low""",
 )
 def step_tree(spark, d):
-    parent = F.expr("CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 < 5 THEN o_orderkey - o_orderkey % 10 ELSE o_orderkey - 4 END")
-    steps = table(spark, d, "orders").select(F.col("o_orderkey").alias("step_id"), parent.alias("parent_step_id"))
-    return H.step_tree(steps, 4).withColumn("depth", F.col("depth").cast("long"))
+    steps = table(spark, d, "orders").select(F.col("o_orderkey").alias("step_id"), F.expr(PARENT).alias("parent_step_id"))
+    return H.step_tree(steps)
 
 
 PROPOSALS = "SELECT o_orderkey AS id, o_orderpriority AS kind, o_totalprice AS confidence, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS applied_at FROM orders"

@@ -75,7 +75,7 @@ def test_intents(spark):
 
 def test_steps_and_reads(spark):
     steps = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99), (5, 4)], "step_id long, parent_step_id long")
-    got = sorted((r.step_id, r.root, r.depth, r.path) for r in history.step_tree(steps).collect())
+    got = sorted((r.step_id, r.root, r.depth, r.path) for r in history.step_tree(steps).collect() if r.path)
     assert got == [(1, 1, 0, "1"), (2, 1, 1, "1/2"), (3, 1, 2, "1/2/3"), (4, 4, 0, "4"), (5, 4, 1, "4/5")]
     sends = spark.createDataFrame([("a", k, k != 3) for k in range(8)] + [("b", k, k % 2 == 0) for k in range(8)], "who string, at long, full boolean")
     assert [(r.who, r.evicted_at) for r in bus.evicted(sends, "who", "at", "full", 4).collect()] == [("a", 7)]
@@ -99,3 +99,19 @@ def test_hash_embedding_by_plain_loops():
         norm = np.sqrt((out**2).sum())
         want = out / norm if norm > 1e-12 else np.eye(1, sketch.DIMENSIONS)[0]
         assert np.allclose(sketch.hash_embed(text), want)
+
+
+def test_deep_chains_and_cycles_of_parents(spark):
+    """Every step once: a chain of 300, a ring of 7 with tails, a step that is its own parent, repeats and unknown parents."""
+    rows = [(k, k - 1 if k else None) for k in range(300)] + [(1000 + k, 1000 + (k + 1) % 7) for k in range(7)]
+    rows += [(2000, 1003), (2001, 2000), (2002, 2001), (3000, 3000), (3001, 3000), (4000, 9999), (4001, 4000), (4001, 4000), (None, 1)]
+    got = {r.step_id: r for r in history.step_tree(spark.createDataFrame(rows, "step_id long, parent_step_id long")).collect()}
+    assert len(got) == 300 + 7 + 3 + 2 + 2
+    for k in range(300):
+        assert (got[k].root, got[k].depth, got[k].path, got[k].on_cycle) == (0, k, "/".join(map(str, range(k + 1))), False)
+    for k in range(7):
+        assert (got[1000 + k].root, got[1000 + k].depth, got[1000 + k].on_cycle) == (1000, None, True)
+    assert [(got[k].root, got[k].path, got[k].on_cycle) for k in (2000, 2001, 2002)] == [(1000, None, False)] * 3
+    assert (got[3000].root, got[3000].on_cycle, got[3001].root, got[3001].on_cycle) == (3000, True, 3000, False)
+    assert (got[4000].path, got[4001].path) == ("4000", "4000/4001")
+    assert history.step_tree(spark.createDataFrame([], "step_id long, parent_step_id long")).collect() == []
