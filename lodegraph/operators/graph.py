@@ -176,14 +176,35 @@ def _least_label(edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def _moved(links: DataFrame, weight: DataFrame, total: float, gamma: float, rounds: int) -> DataFrame:
+def _pieces(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label): the connected pieces over links (source, target) of both directions; the label is the least node of the piece.
+
+    Each round takes the least label around, then the label of that label, so rounds grow with the logarithm of a piece's length.
+    """
+    labels = saved(nodes.select("node", F.col("node").alias("label")))
+    while True:
+        told = links.join(labels.withColumnRenamed("node", "target"), "target").select(F.col("source").alias("node"), "label")
+        least = saved(labels.union(told).groupBy("node").agg(F.min("label").alias("label")))
+        over = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        new = saved(least.join(over, "label").select("node", F.least("label", "next").alias("label")))
+        if new.join(labels, ["node", "label"], "left_anti").isEmpty():
+            return new
+        labels = new
+
+
+#: Rounds in a row without fewer nodes that want to move, after which moving ends.
+PATIENCE = 3
+
+
+def _moved(links: DataFrame, weight: DataFrame, total: float, gamma: float, start: DataFrame | None = None) -> DataFrame:
     """(node, label): local moving by modularity over links (source, target, weight) of both directions; weight: (node, k).
 
     In each round half of the nodes, by a hash, go where the gain is largest, the smaller label first; so two sides don't
-    swap for ever.  It ends when no node would go anywhere.
+    swap for ever.  It ends when no node would go anywhere, or when their number has stopped to fall.
     """
-    labels = saved(weight.select("node", F.col("node").alias("label")))
-    for r in range(rounds):
+    labels = saved(start if start is not None else weight.select("node", F.col("node").alias("label")))
+    fewest, waited, r = None, 0, 0
+    while waited < PATIENCE:
         held = labels.join(weight, "node")
         sums = held.groupBy("label").agg(F.sum("k").alias("all"))
         told = links.join(labels.withColumnRenamed("node", "target"), "target").select(F.col("source").alias("node"), "label", "weight")
@@ -194,40 +215,77 @@ def _moved(links: DataFrame, weight: DataFrame, total: float, gamma: float, roun
         best = met.groupBy("node", "now").agg(F.min(F.struct((-gain).alias("cost"), "label")).alias("b")).select("node", "now", F.col("b.label").alias("best"))
         turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
         moved = saved(best.select("node", F.when(turn, F.col("best")).otherwise(F.col("now")).alias("label"), (F.col("best") != F.col("now")).alias("open")))
-        labels = moved.select("node", "label")
-        if moved.filter("open").isEmpty():
+        labels, r = moved.select("node", "label"), r + 1
+        open_ = moved.filter("open").count()
+        if not open_:
             break
+        fewest, waited = (open_, 0) if fewest is None or open_ < fewest else (fewest, waited + 1)
     return labels
 
 
-def communities(edges: DataFrame, rounds: int = 12, gamma: float = 1.0, levels: int = 3) -> DataFrame:
-    """(qualified_name, community_id) by modularity over undirected weights: local moving, then the same over the communities found.
+def _inside(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links between nodes of the same label."""
+    met = links.join(labels.select(F.col("node").alias("source"), F.col("label").alias("a")), "source")
+    return met.join(labels.select(F.col("node").alias("target"), F.col("label").alias("b")), "target").filter("a = b").select("source", "target", "weight")
 
-    Ids are given by size, then least member.  Self-loops don't count.  Each level's graph is smaller than the one before; it ends when
-    nothing moves.
+
+def communities(edges: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """(qualified_name, community_id) by modularity over undirected weights: moving, refining, and the same over what was refined.
+
+    Refining begins anew inside each community, from single nodes, and takes the connected pieces of what it finds as the nodes of the
+    next level, which starts from the communities found.  It ends when a level joins no nodes.  A community that is not connected at
+    the end comes apart, which never lowers the modularity; so every community is connected.
+    Ids are given by size, then least member.  Self-loops don't count.
     """
     e = edges.filter("source <> target").select("source", "target", F.coalesce("weight", F.lit(1.0)).cast("double").alias("weight"))
     links = saved(e.union(e.select("target", "source", "weight")).groupBy("source", "target").agg(F.sum("weight").alias("weight")))
     weight = saved(links.groupBy(F.col("source").alias("node")).agg(F.sum("weight").alias("k")))
-    total = weight.agg(F.sum("k")).first()[0] or 1.0
-    found = weight.select("node", F.col("node").alias("label"))
-    for _ in range(levels):
-        to = _moved(links, weight, total, gamma, rounds)
-        if to.filter("node <> label").isEmpty():
+    n, total = weight.agg(F.count("*"), F.coalesce(F.sum("k"), F.lit(1.0))).first()
+    found, start = weight.select("node", F.col("node").alias("label")), None
+    while True:
+        whole = _moved(links, weight, total, gamma, start)
+        inside = saved(_inside(links, whole))
+        parts = _pieces(weight, saved(_inside(inside, _moved(inside, weight, total, gamma))))
+        m = parts.select("label").distinct().count()
+        if m == n:
             break
-        found = saved(found.join(to.select(F.col("node").alias("label"), F.col("label").alias("new")), "label").select("node", F.col("new").alias("label")))
-        side = lambda x: to.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))  # noqa: B023, E731
+        step = parts.select(F.col("node").alias("label"), F.col("label").alias("new"))
+        found = saved(found.join(step, "label").select("node", F.col("new").alias("label")))
+        side = lambda x: parts.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))  # noqa: B023, E731
         met = links.join(side("source"), "source").join(side("target"), "target").filter("source_label <> target_label")
         links = saved(met.groupBy(F.col("source_label").alias("source"), F.col("target_label").alias("target")).agg(F.sum("weight").alias("weight")))
-        weight = saved(weight.join(to, "node").groupBy("label").agg(F.sum("k").alias("k")).withColumnRenamed("label", "node"))
-    return reindex(found)
+        weight = saved(weight.join(parts, "node").groupBy("label").agg(F.sum("k").alias("k")).withColumnRenamed("label", "node"))
+        start = whole.join(step.select(F.col("label").alias("node"), "new"), "node").groupBy(F.col("new").alias("node")).agg(F.min("label").alias("label"))
+        n = m
+    last = _pieces(weight, inside).select(F.col("node").alias("label"), F.col("label").alias("last"))
+    return reindex(found.join(last, "label").select("node", F.col("last").alias("label")))
+
+
+def modularity(edges: DataFrame, members: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """(modularity) of members (qualified_name, community_id) over undirected weights; one row."""
+    e = edges.filter("source <> target").select("source", "target", F.coalesce("weight", F.lit(1.0)).cast("double").alias("w"))
+    m = members.select(F.col("qualified_name").alias("source"), F.col("community_id").alias("a"))
+    met = e.join(m, "source").join(m.select(F.col("source").alias("target"), F.col("a").alias("b")), "target")
+    ends = met.select(F.explode(F.array(*[F.struct(F.col(c).alias("c"), F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0).alias("own"), "w") for c in "ab"])).alias("x"))
+    per = ends.groupBy("x.c").agg(F.sum("x.own").alias("own"), F.sum("x.w").alias("k"))
+    return per.agg((F.sum("own") / F.sum("k") - gamma * F.sum(F.col("k") * F.col("k")) / F.pow(F.sum("k"), F.lit(2))).alias("modularity"))
+
+
+def disconnected(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(community_id, pieces) of the communities that come apart over their own edges."""
+    e = edges.filter("source <> target").select("source", "target", F.lit(1.0).alias("weight"))
+    labels = saved(members.select(F.col("qualified_name").alias("node"), F.col("community_id").alias("label")))
+    both = saved(_inside(e.union(e.select("target", "source", "weight")).distinct(), labels))
+    parts = _pieces(labels, both).select("node", F.col("label").alias("piece")).join(labels, "node")
+    return parts.groupBy(F.col("label").alias("community_id")).agg(F.countDistinct("piece").alias("pieces")).filter("pieces > 1")
 
 
 def reindex(labels: DataFrame) -> DataFrame:
-    """Community ids from 0 by size, then least member.  labels: (node, label)"""
+    """Community ids from 0 by size, then least member, counted by ranges.  labels: (node, label)"""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("least"))
-    ids = sizes.withColumn("community_id", F.row_number().over(W.orderBy(F.desc("n"), "least")).cast("long") - 1)
-    return labels.join(ids.select("label", "community_id"), "label").select(F.col("node").alias("qualified_name"), "community_id")
+    ids = numbered(sizes.select(F.struct((-F.col("n")).alias("less"), "least").alias("place")), "place")
+    named = sizes.join(ids, F.struct((-F.col("n")).alias("less"), F.col("least")) == F.col("place")).select("label", F.col("id").cast("long").alias("community_id"))
+    return labels.join(named, "label").select(F.col("node").alias("qualified_name"), "community_id")
 
 
 def numbered(names: DataFrame, column: str) -> DataFrame:
@@ -401,11 +459,11 @@ def file_dependencies(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select(F.col("f").alias("source"), F.col("g").alias("target")).distinct()
 
 
-def shortest_cycles(edges: DataFrame, starts: int = 10, most: int = 3, depth: int = 12) -> DataFrame:
+def shortest_cycles(edges: DataFrame, starts: int = 10, most: int = 3) -> DataFrame:
     """(start, length, nodes) of short cycles: from up to `starts` nodes on cycles, the shortest way back to each, each cycle once.
 
-    Searches run side by side inside the strongly connected components, level by level; of the ways to a node at its least depth, the
-    one that comes first by name is kept.
+    Searches run side by side inside the strongly connected components, level by level, each until it is back at its start; of the
+    ways to a node at its least depth, the one that comes first by name is kept.
     """
     members = strong_components(edges)
     seeds = saved(members.groupBy("component").agg(F.min("node").alias("node")).union(members.select("component", "node")).select("node").distinct().orderBy("node").limit(starts))
@@ -414,15 +472,15 @@ def shortest_cycles(edges: DataFrame, starts: int = 10, most: int = 3, depth: in
     inside = saved(inside.join(members.select(F.col("node").alias("target"), F.col("component").alias("b")), "target").filter("a = b").select("source", "target"))
     front = seeds.select(F.col("node").alias("start"), F.col("node").alias("source"), F.array("node").alias("way"))
     seen, back = front.select("start", F.col("source").alias("target")), None
-    for _ in range(depth):
+    while not front.isEmpty():
         step = front.join(inside, "source").select("start", "target", "way")
-        closed = step.filter("target = start").groupBy("start").agg(F.min("way").alias("way"))
+        closed = saved(step.filter("target = start").groupBy("start").agg(F.min("way").alias("way")))
         back = closed if back is None else back.union(closed)
-        new = step.join(seen, ["start", "target"], "left_anti").groupBy("start", "target").agg(F.min("way").alias("way"))
+        new = step.join(closed.select("start"), "start", "left_anti").join(seen, ["start", "target"], "left_anti").groupBy("start", "target").agg(F.min("way").alias("way"))
         front = saved(new.select("start", F.col("target").alias("source"), F.array_append("way", F.col("target")).alias("way")))
-        if front.isEmpty():
-            break
         seen = saved(seen.union(front.select("start", "source")))
+    if back is None:
+        return seeds.select(F.col("node").alias("start"), F.lit(0).alias("length"), F.array("node").alias("nodes"))
     found = back.groupBy("start").agg(F.min(F.struct(F.size("way").alias("length"), "way")).alias("c")).select("start", "c.length", F.col("c.way").alias("nodes"))
     first = F.row_number().over(W.partitionBy(F.sort_array("nodes")).orderBy("start"))
     return found.withColumn("first", first).filter("first = 1").drop("first").orderBy("length", "start").limit(most)

@@ -187,12 +187,15 @@ def first_existing(rows: DataFrame, row_key: str, candidates: str, known: DataFr
 def resolve_calls(calls: DataFrame, index: DataFrame) -> DataFrame:
     """Calls (id, file_path, callee) against index (name, qualified_name, file_path, ord): the first of the same file, else the first.
 
-    The bare name is what follows the last :: and then the last dot.
+    The bare name is what follows the last :: and then the last dot.  The index is cut down to the first of each name and the first
+    of each name and file before calls meet it, so a call meets two rows at most.
     """
     bare = F.substring_index(F.substring_index("callee", "::", -1), ".", -1)
-    met = calls.withColumn("name", bare).join(index.withColumnRenamed("file_path", "target_file"), "name")
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc(F.col("file_path") == F.col("target_file")), "ord"))
-    return met.withColumn("rank", rank).filter("rank = 1").select("id", "callee", F.col("qualified_name").alias("target"))
+    first = F.min(F.struct("ord", "qualified_name"))
+    by_file = index.groupBy("name", "file_path").agg(first.alias("near"))
+    by_name = index.groupBy("name").agg(first.alias("any"))
+    met = calls.withColumn("name", bare).join(by_file, ["name", "file_path"], "left").join(by_name, "name")
+    return met.select("id", "callee", F.coalesce("near.qualified_name", "any.qualified_name").alias("target"))
 
 
 def decay(scores: DataFrame, stale: Column, factor: float = 0.95, floor: float = 0.01) -> DataFrame:

@@ -36,10 +36,11 @@ def match_paths(requests: DataFrame, files: DataFrame, root: str = "") -> DataFr
     known = files.select("path").distinct()
     exact = asked.join(known.withColumnRenamed("path", "plain"), "plain", "left_semi").select("request", F.col("plain").alias("path"))
     left = asked.join(exact.select("request"), "request", "left_anti")
-    # Endings meet by their last segment, so this is an equi-join.
-    last = lambda c: F.substring_index(c, "/", -1).alias("last")
-    met = left.select("request", "plain", last("plain")).join(known.select("path", last("path")), "last")
-    met = met.filter(F.col("path").endswith(F.concat(F.lit("/"), F.col("plain")))).groupBy("request").agg(F.min("path").alias("path"), F.count("*").alias("n"))
+    # A path has as many endings as folders above it; each meets the requests that are just that ending.
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    endings = known.filter(F.size(parts) > 1).select("path", F.explode(ends).alias("plain"))
+    met = left.join(endings, "plain").groupBy("request").agg(F.min("path").alias("path"), F.count("*").alias("n"))
     return exact.union(met.filter("n = 1").select("request", "path"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodegraph.operators import graph as G
+from lodegraph.operators.graph import saved
 from lodegraph.plans.registry import CONTAINMENT, GRAPH, MEMBERS, ORDER_EDGES, Registry
 from lodegraph.sources.tables import containment_edges, edges, membership, nodes, order_edges, table
 
@@ -118,6 +119,24 @@ def communities(spark, d):
     return G.communities(edges(spark, d))
 
 
+#: What a good partition of this graph reaches at least.
+LEAST_MODULARITY = 0.1
+
+
+@Q.add(
+    "G11_connected",
+    f"""{GRAPH}, ends AS (SELECT source AS q FROM edges WHERE source <> target UNION SELECT target FROM edges WHERE source <> target)
+    SELECT count(*) AS nodes, 0::BIGINT AS disconnected, true AS good FROM ends""",
+)
+def connected(spark, d):
+    """All nodes have a community, each community is connected over its own edges, and the modularity is LEAST_MODULARITY or more."""
+    e = saved(edges(spark, d).select("source", "target", "weight"))
+    found = saved(G.communities(e))
+    apart = G.disconnected(e, found).agg(F.count("*").alias("disconnected"))
+    good = G.modularity(e, found).select((F.col("modularity") >= LEAST_MODULARITY).alias("good"))
+    return found.agg(F.count("*").alias("nodes")).crossJoin(apart).crossJoin(good)  # one row each
+
+
 @Q.add("G14_betweenness")
 def betweenness(spark, d):
     return G.betweenness(edges(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
@@ -221,18 +240,27 @@ def blast_risk(spark, d):
     return c.select("target", G.blast_risk(F.col("direct"), F.col("transitive"), F.col("tests"), F.lit(0)).alias("risk"))
 
 
+RINGS = """SELECT p_partkey AS a, CASE WHEN p_partkey % 40 = 39 THEN p_partkey - 39 ELSE p_partkey + 1 END AS b FROM part
+  UNION ALL SELECT p_partkey, p_partkey - 24 FROM part WHERE p_partkey % 80 = 24"""
+
+
 @Q.add(
     "G9_shortest_cycles",
-    """SELECT * FROM (VALUES ('n:0', 3, ['n:0', 'n:1', 'n:2']), ('n:10', 5, ['n:10', 'n:11', 'n:12', 'n:13', 'n:14']),
-      ('n:15', 5, ['n:15', 'n:16', 'n:17', 'n:18', 'n:19'])) AS t(start, length, nodes)""",
+    f"""WITH RECURSIVE e AS (SELECT 'p:' || a AS s, 'p:' || b AS t FROM ({RINGS})),
+    r(a, b) AS (SELECT s, t FROM e UNION SELECT r.a, e.t FROM r JOIN e ON e.s = r.b),
+    starts AS (SELECT a AS start FROM r WHERE a = b ORDER BY a LIMIT 10),
+    w(start, node, way, back) AS (SELECT start, start, [start], false FROM starts
+      UNION ALL SELECT start, t, CASE WHEN t = start THEN way ELSE list_append(way, t) END, t = start FROM w JOIN e ON s = node WHERE NOT back AND (t = start OR NOT list_contains(way, t))),
+    found AS (SELECT start, way, row_number() OVER (PARTITION BY start ORDER BY len(way), way) AS k FROM w WHERE back),
+    once AS (SELECT start, way, row_number() OVER (PARTITION BY list_sort(way) ORDER BY start) AS k FROM found WHERE k = 1)
+    SELECT start, len(way) AS length, way AS nodes FROM once WHERE k = 1 ORDER BY 2, 1 LIMIT 8""",
 )
 def shortest_cycles(spark, d):
-    """Rings of five nations each, and a short cut in the first."""
-    n = F.col("n_nationkey")
-    after = F.when(n % 5 == 4, n - 4).otherwise(n + 1)
-    ring = table(spark, d, "nation").select(F.concat(F.lit("n:"), n.cast("string")).alias("source"), F.concat(F.lit("n:"), after.cast("string")).alias("target"))
-    ring = ring.union(spark.createDataFrame([("n:2", "n:0")], "source string, target string"))
-    return G.shortest_cycles(ring)
+    """Rings of forty parts each, every other one with a short cut; the last ring of the table may be open."""
+    part = table(spark, d, "part")
+    ring = part.selectExpr("p_partkey AS a", "IF(p_partkey % 40 = 39, p_partkey - 39, p_partkey + 1) AS b")
+    ring = ring.union(part.filter("p_partkey % 80 = 24").selectExpr("p_partkey", "p_partkey - 24"))
+    return G.shortest_cycles(ring.selectExpr("concat('p:', a) AS source", "concat('p:', b) AS target"), most=8)
 
 
 @Q.add("G12_oversized_split", "SELECT p_brand || '/' || (p_partkey % 2) AS member, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")

@@ -115,3 +115,17 @@ def test_deep_chains_and_cycles_of_parents(spark):
     assert (got[3000].root, got[3000].on_cycle, got[3001].root, got[3001].on_cycle) == (3000, True, 3000, False)
     assert (got[4000].path, got[4001].path) == ("4000", "4000/4001")
     assert history.step_tree(spark.createDataFrame([], "step_id long, parent_step_id long")).collect() == []
+
+
+def test_calls_and_paths_meet_few_rows(spark):
+    from lodegraph.operators import relational, resolve
+
+    index = spark.createDataFrame([("f", f"q{i}", f"file{i % 50}", i) for i in range(2000)], "name string, qualified_name string, file_path string, ord long")
+    calls = spark.createDataFrame([(i, f"file{i}", "m::x.f") for i in range(60)] + [(99, None, "f"), (100, "file1", "g")], "id long, file_path string, callee string")
+    got = {r.id: r.target for r in relational.resolve_calls(calls, index).collect()}
+    assert got == {**{i: f"q{i}" if i < 50 else "q0" for i in range(60)}, 99: "q0"}
+    files = spark.createDataFrame([("src/a/index.ts",), ("src/b/index.ts",), ("lib/c/x.ts",), ("/abs/y.ts",)], "path string")
+    asked = spark.createDataFrame([("index.ts",), ("a/index.ts",), ("x.ts",), ("src/b/index.ts",), ("abs/y.ts",)], "request string")
+    assert {r.request: r.path for r in resolve.match_paths(asked, files).collect()} == {
+        "a/index.ts": "src/a/index.ts", "x.ts": "lib/c/x.ts", "src/b/index.ts": "src/b/index.ts", "abs/y.ts": "/abs/y.ts"
+    }
