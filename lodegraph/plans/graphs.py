@@ -240,8 +240,8 @@ def blast_risk(spark, d):
     return c.select("target", G.blast_risk(F.col("direct"), F.col("transitive"), F.col("tests"), F.lit(0)).alias("risk"))
 
 
-RINGS = """SELECT p_partkey AS a, CASE WHEN p_partkey % 40 = 39 THEN p_partkey - 39 ELSE p_partkey + 1 END AS b FROM part
-  UNION ALL SELECT p_partkey, p_partkey - 24 FROM part WHERE p_partkey % 80 = 24"""
+RINGS = """SELECT p_partkey AS a, CASE WHEN p_partkey % 20 = 19 THEN p_partkey - 19 ELSE p_partkey + 1 END AS b FROM part
+  UNION ALL SELECT p_partkey, p_partkey - 14 FROM part WHERE p_partkey % 40 = 14"""
 
 
 @Q.add(
@@ -256,10 +256,10 @@ RINGS = """SELECT p_partkey AS a, CASE WHEN p_partkey % 40 = 39 THEN p_partkey -
     SELECT start, len(way) AS length, way AS nodes FROM once WHERE k = 1 ORDER BY 2, 1 LIMIT 8""",
 )
 def shortest_cycles(spark, d):
-    """Rings of forty parts each, every other one with a short cut; the last ring of the table may be open."""
+    """Rings of twenty parts each, every other one with a short cut; the last ring of the table may be open."""
     part = table(spark, d, "part")
-    ring = part.selectExpr("p_partkey AS a", "IF(p_partkey % 40 = 39, p_partkey - 39, p_partkey + 1) AS b")
-    ring = ring.union(part.filter("p_partkey % 80 = 24").selectExpr("p_partkey", "p_partkey - 24"))
+    ring = part.selectExpr("p_partkey AS a", "IF(p_partkey % 20 = 19, p_partkey - 19, p_partkey + 1) AS b")
+    ring = ring.union(part.filter("p_partkey % 40 = 14").selectExpr("p_partkey", "p_partkey - 14"))
     return G.shortest_cycles(ring.selectExpr("concat('p:', a) AS source", "concat('p:', b) AS target"), most=8)
 
 
