@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from functools import lru_cache
+from itertools import islice
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,27 +37,50 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-@lru_cache(200_000)
-def _token_bits(token: str) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(hashlib.sha256(token.encode()).digest()[:8], np.uint8), bitorder="little").astype(np.int32) * 2 - 1
+class Hashed:
+    """Words of one task by number, each hashed once: 64 signs for SimHash and 128 salted values for MinHash.
+
+    keep bounds the words held (about 600 bytes each); beyond it the store starts anew.  salts=0 leaves MinHash out.
+    """
+
+    def __init__(self, salts: int = SALTS, keep: int = 100_000, chunk: int = 20_000) -> None:
+        self.keep, self.chunk, self.salted = keep, chunk, [s.to_bytes(4, "little") for s in range(salts)]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.at: dict[str, int] = {}
+        self.signs, self.mins = np.empty((1024, 64), np.int8), np.empty((1024, len(self.salted)), "<u4")
 
+    def _number(self, word: str) -> int:
+        i = self.at.setdefault(word, len(self.at))
+        if i == len(self.signs):
+            self.signs, self.mins = (np.concatenate([m, np.empty_like(m)]) for m in (self.signs, self.mins))
+        data, sha = word.encode(), hashlib.sha256
+        self.signs[i] = np.unpackbits(np.frombuffer(sha(data).digest()[:8], np.uint8), bitorder="little").astype(np.int8) * 2 - 1
+        self.mins[i] = np.frombuffer(b"".join([sha(s + data).digest()[:4] for s in self.salted]), "<u4")
+        return i
 
-@lru_cache(50_000)
-def _token_mins(token: str) -> np.ndarray:
-    data = token.encode()
-    return np.array([int.from_bytes(hashlib.sha256(s.to_bytes(4, "little") + data).digest()[:4], "little") for s in range(SALTS)], np.int64)
+    def sketches(self, text: str | None) -> tuple[int, np.ndarray]:
+        """(SimHash: 64 votes of the words' hashes, repeats counted, as a signed number, 0 without words;
+        MinHash: for each salt the smallest hash of the different words, the largest value without words)."""
+        counts = Counter(m.group() for m in WORD.finditer((text or "").lower()))
+        votes, mins = np.zeros(64, np.int64), np.full(len(self.salted), 0xFFFFFFFF, "<u4")
+        each = iter(counts.items())
+        while part := list(islice(each, self.chunk)):
+            if len(self.at) + len(part) > self.keep:
+                self._empty()
+            ids = np.array([self.at[w] if w in self.at else self._number(w) for w, _ in part])
+            votes += np.array([n for _, n in part]) @ self.signs[ids]
+            np.minimum(mins, self.mins[ids].min(axis=0), out=mins)
+        return int(np.packbits(votes > 0, bitorder="little").view("<i8")[0]), mins
 
 
-def simhash(text: str) -> int:
-    """64 votes of the words' hashes, repeats counted, as a signed number; 0 without words."""
-    votes = sum((_token_bits(t) for t in words(text)), np.zeros(64, np.int32))
-    return int(np.packbits(votes > 0, bitorder="little").view("<i8")[0])
+def simhash(text: str | None) -> int:
+    return Hashed(0).sketches(text)[0]
 
 
-def minhash(text: str) -> list[int]:
-    """For each salt, the smallest hash of the different words; the largest value without words."""
-    found = set(words(text))
-    return np.minimum.reduce([_token_mins(t) for t in found]).tolist() if found else [0xFFFFFFFF] * SALTS
+def minhash(text: str | None) -> list[int]:
+    return Hashed().sketches(text)[1].tolist()
 
 
 @lru_cache(200_000)
@@ -89,13 +115,17 @@ def hash_embed(text: str) -> np.ndarray:
 
 
 @F.pandas_udf(T.LongType())
-def simhash64(texts: pd.Series) -> pd.Series:
-    return texts.map(simhash, na_action=None)
+def simhash64(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    hashed = Hashed(0)
+    for texts in batches:
+        yield pd.Series([hashed.sketches(t)[0] for t in texts], dtype="int64")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def minhash128(texts: pd.Series) -> pd.Series:
-    return texts.map(minhash, na_action=None)
+def minhash128(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    hashed = Hashed()
+    for texts in batches:
+        yield pd.Series([hashed.sketches(t)[1].astype("int64") for t in texts], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

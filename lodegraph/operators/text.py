@@ -135,18 +135,26 @@ def pack_budget(hits: DataFrame, groups: list[str], text: str, score: str, key:
     return reduce(DataFrame.union, kept).select(*[F.col(n).alias(g) for g, n in names.items()], F.col("key").alias(key), F.col("cost").alias("tokens"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows in as many partitions as there are cores at least, for work that costs far more than moving a row; tables of many
+    splits, as large ones are, stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def fingerprints(docs: DataFrame, kind: str, key: str, text: str = "text") -> DataFrame:
     """(kind, key, simhash, mins): the MinHash values as little-endian unsigned 32-bit integers; a null kind is a kind of its own."""
 
     def made(batches):
+        hashed = sketch.Hashed()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            columns = [pa.array([sketch.simhash(t) for t in texts], pa.int64()), pa.array([np.array(sketch.minhash(t), "<u4").tobytes() for t in texts], pa.binary())]
+            found = [hashed.sketches(t.as_py()) for t in batch.column(2)]
+            columns = [pa.array([s for s, _ in found], pa.int64()), pa.array([m.tobytes() for _, m in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["kind", "key", "simhash", "mins"])
 
     named = F.concat(F.when(F.col(kind).isNull(), "0").otherwise("1"), F.coalesce(F.col(kind).cast("string"), F.lit("")))
     rows = docs.select(named.alias("kind"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(made, "kind string, key long, simhash long, mins binary")
+    return spread(rows).mapInArrow(made, "kind string, key long, simhash long, mins binary")
 
 
 def most_similar(prints: DataFrame, is_probe: Column, top: int = 5, block: int = 16_384, probe_block: int = 4_096) -> DataFrame:

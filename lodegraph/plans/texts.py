@@ -104,12 +104,38 @@ def hash_embedding(spark, d):
     return e.select("doc_id", F.round(F.array_max("e"), 6).alias("largest"), F.size("e").alias("dims"))
 
 
-@Q.add("R18_R22_simhash")
+def _little(digest: str, n: int) -> str:
+    """The first n bytes of a hexadecimal digest as an unsigned number, little end first."""
+    return "('0x' || " + " || ".join(f"substr({digest}, {2 * i + 1}, 2)" for i in reversed(range(n))) + ")::UBIGINT"
+
+
+#: Words with counts, and 64 votes of their hashes.
+SIMHASHES = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM documents),
+    c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2), x AS (SELECT DISTINCT word, sha256(word) AS x FROM c),
+    h AS (SELECT word, {_little("x", 8)} AS h FROM x),
+    v AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN n ELSE -n END) AS votes FROM c JOIN h USING (word), (SELECT unnest(range(64))::UBIGINT AS b) GROUP BY 1, 2),
+    s AS (SELECT doc_id, sum(CASE WHEN votes > 0 THEN (1::UBIGINT << b)::HUGEINT ELSE 0 END) AS u FROM v GROUP BY 1),
+    sims AS (SELECT d.doc_id, lang, (CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE coalesce(u, 0) END)::BIGINT AS simhash
+      FROM documents d LEFT JOIN s USING (doc_id))"""
+MINHASHES = f"""m AS (SELECT word, salt, sha256(unhex(printf('%02x000000', salt)) || encode(word)) AS m FROM x, (SELECT unnest(range(128)) AS salt)),
+    mins AS (SELECT doc_id, salt, min({_little("m", 4)}) AS least FROM c JOIN m USING (word) GROUP BY 1, 2),
+    lists AS (SELECT doc_id, list(least ORDER BY salt) AS mins FROM mins GROUP BY 1),
+    prints AS (SELECT doc_id, lang, simhash, coalesce(mins, list_transform(range(128), lambda i: 4294967295::UBIGINT)) AS mins FROM sims LEFT JOIN lists USING (doc_id))"""
+
+
+@Q.add("R18_R22_simhash", f"WITH {SIMHASHES} SELECT doc_id, simhash FROM sims")
 def simhash(spark, d):
-    return table(spark, d, "documents").select("doc_id", sketch.simhash64("text").alias("simhash"))
+    return text.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", sketch.simhash64("text").alias("simhash"))
 
 
-@Q.add("R19_R20_R21_similar")
+@Q.add(
+    "R19_R20_R21_similar",
+    f"""WITH {SIMHASHES}, {MINHASHES}, scored AS (SELECT a.doc_id AS probe, b.doc_id,
+      (128 - 2 * bit_count(xor(a.simhash, b.simhash)) + len(list_filter(list_zip(a.mins, b.mins), lambda z: z[1] = z[2]))) / 256 AS score
+      FROM prints a JOIN prints b ON a.lang IS NOT DISTINCT FROM b.lang AND a.doc_id <> b.doc_id WHERE a.doc_id % 100 = 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, doc_id) AS rank FROM scored)
+    SELECT probe, doc_id, score, rank FROM ranked WHERE rank <= 5""",
+)
 def similar(spark, d):
     """One id in a hundred as probes, each against all documents of its language: the five most similar."""
     prints = text.fingerprints(table(spark, d, "documents"), "lang", "doc_id")

@@ -210,3 +210,12 @@ def test_change_intents(spark):
     c = spark.createDataFrame(rows, "file string, at string, lines long, message string, todos int").withColumn("committed_at", F.to_timestamp("at"))
     now = spark.sql("SELECT timestamp'2024-01-01' AS now")
     assert {r.file: (r.intent, r.confidence) for r in mining.change_intents(c, now).collect()} == {"old": ("frozen", 0.6), "stop": ("frozen", 0.8), "busy": ("deferred", 0.5)}
+
+
+def test_store_of_words_starts_anew():
+    rows = ["alpha beta alpha", "", None, " ".join(f"w{i}" for i in range(50)), "beta gamma"]
+    whole, tight = sketch.Hashed(), sketch.Hashed(keep=7, chunk=3)
+    for t in rows:
+        (a, m), (b, n) = whole.sketches(t), tight.sketches(t)
+        assert a == b and m.tolist() == n.tolist() and len(tight.at) <= 7
+    assert sketch.Hashed(0).sketches(rows[3])[0] == whole.sketches(rows[3])[0]
