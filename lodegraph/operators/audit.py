@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from lodegraph.functions.names import style
 
@@ -93,6 +96,29 @@ def rules_table(spark: SparkSession, rules: list[tuple], kind: str = "forbidden"
     return spark.createDataFrame([(i, s, kind, e, p) for i, s, e, p in rules], RULE)
 
 
+def _plan(rules: list[tuple], required: list[tuple] = ()) -> list[tuple]:
+    finder = lambda p: p if callable(p) else re.compile(p).finditer
+    return [(i, s, e, finder(p), True) for i, s, e, p in rules] + [(i, s, e, finder(p), False) for i, s, e, p in required]
+
+
+def _found(plan: list[tuple], text: str | None, extension: str | None):
+    """(rule_id, scanner, severity, line, column, snippet) of one text."""
+    text = text or ""
+    for rule, severity, extensions, matches, forbidden in plan:
+        if extensions and extension not in extensions:
+            continue
+        scanner = rule.split(".")[0]
+        if not forbidden:
+            if next(iter(matches(text)), None) is None:
+                yield rule, scanner, severity, 1, 0, ""
+            continue
+        line, seen = 1, 0
+        for m in matches(text):
+            line += text.count("\n", seen, m.start())
+            seen = m.start()
+            yield rule, scanner, severity, line, m.start() - (text.rfind("\n", 0, m.start()) + 1), m[0][:80]
+
+
 def scan(docs: DataFrame, rules: list[tuple], required: list[tuple] = (), extension: str | None = None) -> DataFrame:
     """Findings of docs (doc_key, text[, extension]): one for each match of a forbidden rule, one at line 1 for a required rule without a match.
 
@@ -100,31 +126,62 @@ def scan(docs: DataFrame, rules: list[tuple], required: list[tuple] = (), extens
     """
 
     def look(batches):
-        finder = lambda p: p if callable(p) else re.compile(p).finditer
-        plan = [(i, s, e, finder(p), True) for i, s, e, p in rules] + [(i, s, e, finder(p), False) for i, s, e, p in required]
+        plan = _plan(rules, required)
         for batch in batches:
-            out = []
-            for key, text, ext in zip(batch["doc_key"], batch["text"], batch["extension"]):
-                text = text or ""
-                for rule, severity, extensions, matches, forbidden in plan:
-                    if extensions and ext not in extensions:
-                        continue
-                    scanner = rule.split(".")[0]
-                    if not forbidden:
-                        if next(iter(matches(text)), None) is None:
-                            out.append((key, rule, scanner, severity, 1, 0, ""))
-                        continue
-                    line, seen = 1, 0
-                    for m in matches(text):
-                        line += text.count("\n", seen, m.start())
-                        seen = m.start()
-                        out.append((key, rule, scanner, severity, line, m.start() - (text.rfind("\n", 0, m.start()) + 1), m[0][:80]))
+            out = [(key, *f) for key, text, ext in zip(batch["doc_key"], batch["text"], batch["extension"]) for f in _found(plan, text, ext)]
             yield pd.DataFrame(out, columns=["doc_key", "rule_id", "scanner", "severity", "line", "column", "snippet"])
 
     ext = F.col(extension) if extension else F.lit(None).cast("string")
     return docs.select(F.col("doc_key").cast("string").alias("doc_key"), "text", ext.alias("extension")).mapInPandas(look, FINDING)
 
 
+def _named(rules: str) -> list[tuple]:
+    """Rules by `code`, `prose`, `all` or the names of scanners, with commas between."""
+    every = CODE_RULES + CODE_CHECKS + PROSE_RULES
+    sets = {"code": CODE_RULES + CODE_CHECKS, "prose": PROSE_RULES, "all": every}
+    out = []
+    for name in filter(None, (n.strip() for n in rules.split(","))):
+        of = sets.get(name) or [r for r in every if r[0].split(".")[0] == name]
+        if not of:
+            raise ValueError(f"no rules are named {name}")
+        out += [r for r in of if r not in out]
+    return out
+
+
+class ScanText:
+    """scan_text(text, extension, rules): a row for each finding; rules are as in `_named` and must be a constant.
+
+    A null text has no findings, a null extension those of the rules for any text; `analyze` refuses unknown rules before anything runs.
+    """
+
+    def __init__(self, analyzed=None) -> None:
+        self.plan = _plan(_named(analyzed.rules))
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, extension: AnalyzeArgument, rules: AnalyzeArgument) -> AnalyzeResult:
+        if not rules.isConstantExpression or rules.value is None:
+            raise ValueError("the third argument of scan_text names rules and must be a constant")
+        _named(rules.value)
+        schema = T.StructType()
+        for column in FINDING.split(", ")[1:]:
+            name, kind = column.split()
+            schema = schema.add(name, {"string": T.StringType(), "int": T.IntegerType()}[kind])
+        return ScanRules(schema=schema, rules=rules.value)
+
+    def eval(self, text, extension, rules):
+        yield from _found(self.plan, text, extension)
+
+
+@dataclass
+class ScanRules(AnalyzeResult):
+    rules: str = ""
+
+
+def register(spark: SparkSession) -> None:
+    """Make scan_text known to SQL."""
+    spark.udtf.register("scan_text", F.udtf(ScanText))
+
+
 def counts(docs: DataFrame, rules: list[tuple], key: str, text: str = "text") -> DataFrame:
     """(key, rule_id, n): how often each rule matches, without positions and so without Python."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("rule_id"), F.regexp_count(F.col(text), F.lit(p)).alias("n")) for i, _, _, p in rules]))

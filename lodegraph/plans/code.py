@@ -159,6 +159,13 @@ def findings(spark, d):
     return found.select(F.col("doc_key").alias("path"), "rule_id")
 
 
+@Q.add("C1_C5_scan_text", f"{WITH_FILES} {FINDINGS}")
+def findings_by_table_function(spark, d):
+    """The same through SQL: a table function in a LATERAL join."""
+    audit.register(spark)
+    return spark.sql("SELECT f.path, s.rule_id FROM {files} f, LATERAL scan_text(f.text, f.extension, 'code') s", files=_files(spark, d))
+
+
 @Q.add(
     "C8_markdown_drift",
     f"""{WITH_FILES}, said AS (SELECT path AS doc_key, 'src/m' || (id % 4) || '/f' || (id + 15) || '.md' AS path FROM files WHERE extension = 'md'

@@ -10,6 +10,7 @@ from lodegraph.operators import history as H
 from lodegraph.operators.graph import folder
 from lodegraph.plans.registry import CONTAINMENT, GRAPH, MEMBERS, NODES, Registry
 from lodegraph.sources import files as S
+from lodegraph.sources.store import KeyedStore
 from lodegraph.sources.tables import containment_edges, membership, nodes, table
 from lodegraph.streaming import bus
 
@@ -192,15 +193,37 @@ def snapshots(spark, d):
     return parts[0].union(parts[1])
 
 
+@Q.add(
+    "S13_S15_L20_upserts",
+    """WITH v1 AS (SELECT o_orderkey AS id, o_custkey AS who, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0),
+    v2 AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 1 ELSE o_custkey END AS who, o_totalprice AS price FROM orders
+      WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0),
+    v3 AS (SELECT * FROM v2 WHERE id % 5 <> 0),
+    all_v AS (SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v3)
+    SELECT version, id % 16 AS part, count(*) AS n, sum(who)::BIGINT AS who, round(sum(price), 2) AS price FROM all_v GROUP BY 1, 2""",
+)
+def upserts(spark, d):
+    """A load, a batch of updates and inserts, a batch of deletes; the rows as of each version."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("who"), F.col("o_totalprice").alias("price"))
+    held = KeyedStore(spark, f"{folder(spark)}/upserts-{uuid.uuid4().hex}", "id")
+    held.upsert(rows.filter("id % 3 <> 0"), "who")
+    even = rows.filter("id % 2 = 0")
+    held.upsert(even.union(even.withColumn("who", F.col("who") + 1)), "who")
+    held.upsert(rows.filter("id % 5 = 0"), "who", F.lit(True))
+    parts = [held.read(v).groupBy(F.lit(v).alias("version"), (F.col("id") % 16).alias("part")) for v in (1, 2, 3)]
+    sums = [p.agg(F.count("*").alias("n"), F.sum("who").alias("who"), F.round(F.sum(F.col("price").cast("double")), 2).alias("price")) for p in parts]
+    return sums[0].union(sums[1]).union(sums[2])
+
+
 @Q.add("T1_T8_T14_published", "SELECT user_id AS path, max(event_id) AS event_id FROM events GROUP BY 1")
 def published(spark, d):
     """Events as a stream, upserted by user: what is left is each user's newest event."""
     path = f"{folder(spark)}/published-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
-    rows = stream.select(F.col("user_id").alias("path"), "event_id")
-    bus.upsert_newest(rows, f"{path}/rows", "path", "event_id", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/rows").groupBy("path").agg(F.max("event_id").alias("event_id"))
+    held = KeyedStore(spark, f"{path}/rows", "path")
+    held.upsert_stream(stream.select(F.col("user_id").alias("path"), "event_id"), "event_id", f"{path}/checkpoint").awaitTermination()
+    return held.read()
 
 
 @Q.add(
