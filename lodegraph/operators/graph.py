@@ -520,10 +520,15 @@ def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def circle_layout(nodes: DataFrame, group: str, radius: float = 10.0, apart: float = 100.0) -> DataFrame:
-    """Nodes with x and y: each group on a circle in order of name, the circles side by side in order of the groups' names."""
-    sizes = nodes.groupBy(group).agg(F.count("*").alias("n"))
-    place = sizes.withColumn("g", F.row_number().over(W.orderBy(group)) - 1)  # one row for each group
-    w = W.partitionBy(group).orderBy("qualified_name")
-    met = nodes.withColumn("i", F.row_number().over(w) - 1).join(F.broadcast(place), group)
-    angle = 2 * F.pi() * F.col("i") / F.col("n")
-    return met.withColumn("x", F.col("g") * apart + radius * F.cos(angle)).withColumn("y", radius * F.sin(angle)).drop("i", "n", "g")
+    """Nodes with x and y: each group on a circle in order of name, the circles side by side in order of the groups' names.
+
+    Places are counted by ranges of (group, name), so a group of any size is no one task's; nodes that share both share a place.
+    """
+    at = F.struct(F.col(group).alias("group"), F.col("qualified_name").alias("name"))
+    ids = numbered(nodes.select(at.alias("place")), "place")
+    sizes = ids.groupBy(F.col("place.group").alias("__group")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    sizes = sizes.withColumn("g", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("first")) - 1)  # one row for each group
+    met = nodes.join(ids, at == F.col("place")).join(sizes, F.col(group).eqNullSafe(F.col("__group")))
+    angle = 2 * F.pi() * (F.col("id") - F.col("first")) / F.col("n")
+    placed = met.withColumn("__x", F.col("g") * apart + radius * F.cos(angle)).withColumn("__y", radius * F.sin(angle))
+    return placed.select(*[nodes[c] for c in nodes.columns], F.col("__x").alias("x"), F.col("__y").alias("y"))

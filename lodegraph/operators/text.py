@@ -207,12 +207,17 @@ def occurrences(docs: DataFrame, needle: str, key: str, text: str = "text", limi
 CONCEPT_SCORES = {"identifier": 0.70, "comment": 0.55, "heading": 0.85}
 
 
-def concepts(docs: DataFrame, key: str, text: str = "text", top: int = 12) -> DataFrame:
-    """(key, term, score): identifiers, words of comments and headings; a term's best score counts; the best of each text."""
+def concepts(docs: DataFrame, key: str, text: str = "text", top: int = 12, prose: Column | None = None) -> DataFrame:
+    """(key, term, score): identifiers, words of comments and headings; a term's best score counts; the best of each text.
+
+    prose: which rows have headings, as # begins a comment in code; by default all.
+    """
     raw = F.col(text)
     names = F.flatten(F.transform(F.regexp_extract_all(raw, F.lit(r"\b([A-Za-z]+(?:_[A-Za-z0-9]+)+|[a-z]+(?:[A-Z][a-z0-9]+)+|(?:[A-Z][a-z0-9]+){2,})\b"), 1), split_identifier))
     comments = F.flatten(F.transform(F.regexp_extract_all(raw, F.lit(r"(?m)^\s*(?://|#)(?!#)\s?(.*)$"), 1), lambda c: F.filter(tokens(c), lambda t: F.length(t) > 3)))
     heads = F.transform(F.regexp_extract_all(raw, F.lit(r"(?m)^#{1,6}\s+(.+)$"), 1), lambda h: F.lower(F.trim(h)))
+    if prose is not None:
+        heads = F.when(F.coalesce(prose, F.lit(False)), heads).otherwise(F.array().cast("array<string>"))
     found = [F.transform(terms, _scored(CONCEPT_SCORES[kind])) for kind, terms in (("identifier", names), ("comment", comments), ("heading", heads))]
     each = docs.select(key, F.explode(F.concat(*found)).alias("c")).groupBy(key, "c.term").agg(F.max("c.score").alias("score"))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "term"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators import audit, mining, resolve
 from lodegraph.operators.relational import orphans, resolve_calls
-from lodegraph.plans.registry import Registry
+from lodegraph.plans.registry import CONTAINMENT, NODES, Registry
 from lodegraph.sources import files as S
 from lodegraph.sources.code import FILES, MANIFESTS, TESTS, for_sql, made
 from lodegraph.sources.tables import table
@@ -196,8 +196,7 @@ def refactor(spark, d):
 
 @Q.add("C9_unused_imports", f"{WITH_FILES} SELECT path, 'load' || id AS name FROM files WHERE {SCRIPT} AND id % 17 = 0")
 def unused_imports(spark, d):
-    cut = F.expr("IF(id % 17 = 0, regexp_replace(text, 'return load[0-9]+', 'return 1'), text)")
-    return audit.unused_imports(_docs(spark, d).filter(SCRIPT).withColumn("text", cut)).select(F.col("doc_key").alias("path"), "name")
+    return audit.unused_imports(_docs(spark, d)).select(F.col("doc_key").alias("path"), "name")
 
 
 @Q.add(
@@ -264,13 +263,12 @@ def summaries(spark, d):
 
 @Q.add(
     "R23_shapes",
-    f"""{WITH_FILES} SELECT 'class : def ( ) : return ( )' AS shape, count(*) AS n FROM files
-      WHERE extension = 'py' HAVING count(*) > 0""",
+    f"""{WITH_FILES} SELECT extension, substr(array_to_string(regexp_extract_all(text, '\\b(?:{"|".join(resolve.SHAPE_WORDS)})\\b|[{{}}()\\[\\];]'), ' '), 1, 512) AS shape,
+      count(*) AS n FROM files GROUP BY 1, 2""",
 )
 def shapes(spark, d):
-    text = F.regexp_replace(F.regexp_replace("text", "(?m)^(#|from).*\n", ""), "$", "")
-    found = _files(spark, d).filter("extension = 'py'").select(resolve.shape(text).alias("shape"))
-    return found.groupBy(F.replace(F.replace("shape", F.lit("class def"), F.lit("class : def")), F.lit(") return"), F.lit(") : return")).alias("shape")).agg(F.count("*").alias("n"))
+    """How many files of a language have each shape."""
+    return _files(spark, d).groupBy("extension", resolve.shape(F.col("text")).alias("shape")).agg(F.count("*").alias("n"))
 
 
 @Q.add(
@@ -299,35 +297,47 @@ def identity(spark, d):
     return manifests.join(deps.select("path", "package"), "path", "left").groupBy(stack.alias("stack")).agg(F.countDistinct("path").alias("manifests"), F.countDistinct("package").alias("packages"))
 
 
-@Q.add("R32_R40_skills", "SELECT 'graph' AS name, 3 AS score, 'high' AS confidence UNION ALL SELECT 'index', 1, 'medium'")
+@Q.add(
+    "R32_R40_skills",
+    """WITH s AS (SELECT 'part-' || p_partkey AS name, list_distinct(string_split(lower(p_name), ' ')) AS triggers, [lower(p_type), 'size' || p_size] AS tags FROM part),
+    asked AS (SELECT ['how', 'do', 'i', 'fit', 'a', 'red', 'widget', 'economy', 'size7'] AS words),
+    scored AS (SELECT name, (2 * len(list_intersect(triggers, words)) + len(list_intersect(tags, words)))::INT AS score FROM s, asked)
+    SELECT name, score, CASE WHEN score >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM scored WHERE score > 0 ORDER BY score DESC, name LIMIT 20""",
+)
 def skills(spark, d):
+    """Each part is a skill: the words of its name trigger it, its type and size are its tags."""
     from lodegraph.operators.ledger import skill_scores
 
-    rows = [("graph", ["walk", "Cycle"], ["edges"]), ("index", ["posting"], ["edges"]), ("none", ["x"], [])]
-    return skill_scores("find a cycle of EDGES", spark.createDataFrame(rows, "name string, triggers array<string>, tags array<string>")).select("name", "score", "confidence")
+    tags = F.array("p_type", F.concat(F.lit("size"), F.col("p_size").cast("string")))
+    rows = table(spark, d, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("name"), F.split("p_name", " ").alias("triggers"), tags.alias("tags"))
+    return skill_scores("How do I fit a RED widget economy size7", rows, 20).select("name", "score", "confidence")
 
 
 @Q.add(
     "S16_exports",
-    """SELECT 'graphml' AS format, (2 * count(*))::BIGINT AS lines FROM nation UNION ALL
-      SELECT 'cypher', 2 * count(*) FROM nation UNION ALL SELECT 'jsonld', 2 * count(*)
-      FROM nation""",
+    f"""WITH nodes AS ({NODES}), edges AS ({CONTAINMENT})
+    SELECT 'graphml' AS format, '<node id="' || qualified_name || '"><data key="kind">' || kind || '</data></node>' AS value FROM nodes
+    UNION ALL SELECT 'graphml', '<edge source="' || source || '" target="' || target || '"><data key="kind">' || kind || '</data></edge>' FROM edges
+    UNION ALL SELECT 'cypher', 'CREATE (:Node {{id: ' || chr(39) || qualified_name || chr(39) || ', kind: ' || chr(39) || kind || chr(39) || '}});' FROM nodes
+    UNION ALL SELECT 'cypher', 'MATCH (a {{id: ' || chr(39) || source || chr(39) || '}}), (b {{id: ' || chr(39) || target || chr(39) || '}}) CREATE (a)-[:' || upper(kind) || ']->(b);' FROM edges
+    UNION ALL SELECT 'jsonld', '{{"@id":"' || qualified_name || '","@type":"' || kind || '","name":"' || name || '"}}' FROM nodes
+    UNION ALL SELECT 'jsonld', '{{"@id":"' || source || '","relation":"' || kind || '","target":"' || target || '"}}' FROM edges""",
 )
 def exports(spark, d):
     from lodegraph.sources.tables import containment_edges, nodes
 
-    n, e = nodes(spark, d).filter("kind = 'nation'"), containment_edges(spark, d).filter("source LIKE 'n:%'")
+    n, e = nodes(spark, d), containment_edges(spark, d)
     of = {"graphml": S.graphml_rows, "cypher": S.cypher_rows, "jsonld": S.jsonld_rows}
-    parts = [rows(n, e).agg(F.lit(name).alias("format"), F.count("*").alias("lines")) for name, rows in of.items()]
+    parts = [rows(n, e).select(F.lit(name).alias("format"), "value") for name, rows in of.items()]
     return parts[0].union(parts[1]).union(parts[2])
 
 
 @Q.add(
     "S7_git_log",
-    """SELECT 'c' || o_orderkey AS sha, sum(l_linenumber)::BIGINT AS additions, count(*) AS files FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 4 = 0 GROUP BY 1""",
+    """SELECT 'c' || o_orderkey AS sha, sum(l_linenumber)::BIGINT AS additions, count(*) AS files FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""",
 )
 def git_log(spark, d):
-    lines = table(spark, d, "lineitem").filter("l_orderkey % 4 = 0")
+    lines = table(spark, d, "lineitem")
     value = F.concat_ws("\t", F.col("l_linenumber").cast("string"), F.lit("-"), F.concat(F.lit("p"), "l_partkey"))
     found = S.commit_files(lines.select(F.concat(F.lit("c"), "l_orderkey").alias("sha"), value.alias("value")))
     return found.groupBy("sha").agg(F.sum("additions").alias("additions"), F.count("*").alias("files"))

@@ -13,6 +13,7 @@ from lodegraph.sources import files as S
 from lodegraph.sources.store import KeyedStore
 from lodegraph.sources.tables import containment_edges, membership, nodes, table
 from lodegraph.streaming import bus
+from lodegraph.streaming.state import STATE_STORE, last_percentiles
 
 Q = Registry()
 ENTRIES = """
@@ -156,12 +157,12 @@ def wiki_list(spark, d):
 
 @Q.add(
     "R17_hybrid_fallback",
-    f"""WITH h AS (SELECT id::VARCHAR AS id, 'ledger' AS origin, 0.75::DOUBLE AS score FROM ({ENTRIES}) WHERE contains(lower(text), 'medium') AND id % 50 = 0
+    f"""WITH h AS (SELECT id::VARCHAR AS id, 'ledger' AS origin, 0.75::DOUBLE AS score FROM ({ENTRIES}) WHERE contains(lower(text), 'medium')
       UNION ALL SELECT qualified_name, 'graph', 0.55 FROM ({NODES}) WHERE contains(lower(name), 'medium'))
     SELECT * FROM h ORDER BY score DESC, id LIMIT 20""",
 )
 def hybrid(spark, d):
-    return H.hybrid_fallback(_entries(spark, d).filter("id % 50 = 0"), nodes(spark, d), "MEDIUM other words")
+    return H.hybrid_fallback(_entries(spark, d), nodes(spark, d), "MEDIUM other words")
 
 
 @Q.add(
@@ -226,6 +227,27 @@ def published(spark, d):
     return held.read()
 
 
+@Q.add(
+    "T9_stream_percentiles",
+    """WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE value IS NOT NULL),
+    l AS (SELECT event_type, list_sort(list(value)) AS v FROM s WHERE r <= 256 GROUP BY 1)
+    SELECT event_type AS key, len(v) AS n, v[least(floor(0.5 * len(v)), len(v) - 1)::INT + 1] AS p50, v[least(floor(0.95 * len(v)), len(v) - 1)::INT + 1] AS p95,
+      v[least(floor(0.99 * len(v)), len(v) - 1)::INT + 1] AS p99 FROM l""",
+)
+def stream_percentiles(spark, d):
+    """Events as a stream with state for each type; each batch's percentiles are upserted."""
+    path = f"{folder(spark)}/percentiles-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    before = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(*STATE_STORE)
+    try:
+        held = KeyedStore(spark, f"{path}/rows", "key", 4)
+        held.upsert_stream(last_percentiles(stream, "event_type", "ts", "event_id", "value"), "n", f"{path}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE[0], before)
+    return held.read()
+
+
 @Q.add(
     "T4_slow_consumers",
     """WITH e AS (SELECT user_id, event_id, CASE WHEN value > 10 THEN 1 ELSE 0 END AS busy, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
@@ -261,12 +283,12 @@ def overview(spark, d):
 
 @Q.add(
     "G22_layout",
-    f"""WITH n AS ({NODES}), r AS (SELECT qualified_name, kind, row_number() OVER (PARTITION BY kind ORDER BY hash_free) - 1 AS i FROM (SELECT *, qualified_name AS hash_free FROM n WHERE kind IN ('region', 'nation'))),
-    k AS (SELECT kind, count(*) AS n FROM r GROUP BY 1)
-    SELECT qualified_name, round(CASE kind WHEN 'nation' THEN 0 ELSE 1 END * 100 + 10 * cos(2 * pi() * i / k.n), 6) AS x, round(10 * sin(2 * pi() * i / k.n), 6) AS y FROM r JOIN k USING (kind)""",
+    f"""WITH n AS ({NODES}), r AS (SELECT qualified_name, kind, row_number() OVER (PARTITION BY kind ORDER BY qualified_name) - 1 AS i FROM n),
+    k AS (SELECT kind, count(*) AS n, row_number() OVER (ORDER BY kind) - 1 AS g FROM r GROUP BY 1)
+    SELECT qualified_name, round(g * 100 + 10 * cos(2 * pi() * i / k.n), 6) + 0.0 AS x, round(10 * sin(2 * pi() * i / k.n), 6) + 0.0 AS y FROM r JOIN k USING (kind)""",
 )
 def layout(spark, d):
     from lodegraph.operators.graph import circle_layout
 
-    rows = nodes(spark, d).filter("kind IN ('region', 'nation')")
-    return circle_layout(rows, "kind").select("qualified_name", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    zero = F.lit(0.0)  # a negative zero becomes a plain one
+    return circle_layout(nodes(spark, d), "kind").select("qualified_name", (F.round("x", 6) + zero).alias("x"), (F.round("y", 6) + zero).alias("y"))

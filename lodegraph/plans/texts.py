@@ -178,13 +178,12 @@ def token_estimate(spark, d):
       UNION ALL SELECT path, id::VARCHAR, 0.55 FROM files WHERE extension IN ('rs', 'md') AND id >= 1000
       UNION ALL SELECT path, 'part', 0.55 FROM files WHERE extension = 'md'
       UNION ALL SELECT path, unnest(['part ' || id, 'use', 'limits']), 0.85 FROM files WHERE extension = 'md'
-      UNION ALL SELECT path, unnest(CASE WHEN id % 2 = 0 THEN ['open', 'widget', 'open widget'] ELSE ['max', 'size', 'max size'] END), 0.70 FROM files WHERE extension = 'py')
+      UNION ALL SELECT path, unnest(CASE WHEN id % 2 = 0 THEN ['open', 'widget', 'open widget'] ELSE ['max', 'size', 'max size'] END), 0.70 FROM files WHERE extension = 'py'
+      UNION ALL SELECT path, unnest(['deprecated', 'other']), 0.55 FROM files WHERE extension = 'py' AND id % 7 = 0)
     SELECT * FROM found""",
 )
 def concepts(spark, d):
-    files = made(spark, d, FILES).filter("extension IN ('rs', 'md', 'py')")
-    files = files.withColumn("text", F.expr("CASE WHEN extension <> 'py' THEN text WHEN id % 2 = 0 THEN 'openWidget(1)' ELSE 'x = max_size' END"))
-    return text.concepts(files, "path")
+    return text.concepts(made(spark, d, FILES).filter("extension IN ('rs', 'md', 'py')"), "path", prose=F.col("extension") == "md")
 
 
 @Q.add(

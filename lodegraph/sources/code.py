@@ -34,7 +34,7 @@ SELECT id, folder, extension, concat(folder, '/f', id, '.', extension) AS path,
       CASE WHEN id % 14 = 0 THEN 'for (const a of b) { const c = Array.from(a) }' END,
       CASE WHEN id % 15 = 0 THEN 'ipcMain.handle("save", (event, data) => { write(data) })' END,
       CASE WHEN id % 15 = 1 THEN 'ipcMain.handle("open", (event, data) => { schema.parse(data) })' END,
-      concat('function ', CASE WHEN id % 5 = 0 THEN 'read_' ELSE 'read' END, CASE WHEN id % 2 = 0 THEN 'All' ELSE 'all' END, id, '(x) { return load', id, '(x) }'),
+      concat('function ', CASE WHEN id % 5 = 0 THEN 'read_' ELSE 'read' END, CASE WHEN id % 2 = 0 THEN 'All' ELSE 'all' END, id, '(x) { return ', CASE WHEN id % 17 = 0 THEN '1' ELSE concat('load', id, '(x)') END, ' }'),
       CASE WHEN id % 4 = 1 THEN concat('use(', CASE WHEN id % 5 = 0 THEN 'read_' ELSE 'read' END, 'all', id, ')') END,
       CASE WHEN id % 16 = 0 THEN concat('interface Shape', id, ' { a: number }') END)
     WHEN extension = 'rs' THEN concat_ws(chr(10),
@@ -47,6 +47,7 @@ SELECT id, folder, extension, concat(folder, '/f', id, '.', extension) AS path,
       CASE WHEN id % 7 = 0 THEN '# deprecated: use the other one' END,
       concat('from .f', id + 20, ' import load'),
       concat('class Part', id, ':'),
+      CASE WHEN id % 2 = 0 THEN '    openWidget = 1' ELSE '    max_size = 1' END,
       '    def run(self):', '        return load()')
     ELSE concat_ws(chr(10), concat('# Part ', id), concat('See `src/m', id % 4, '/f', id + 15, '.md` and [it](src/none/x', id, '.md).'),
       '## Use', 'Call it.', '## Limits', CASE WHEN id % 2 = 0 THEN 'None known.' END) END AS text

@@ -69,3 +69,24 @@ def test_scan_text_in_sql_equals_scan(spark):
         assert sorted(spark.sql(sql, docs=made).collect()) == sorted(audit.scan(made, rules, extension="extension").collect())
     with pytest.raises(Exception, match="no rules are named zzz"):
         spark.sql("SELECT * FROM scan_text('x', 'ts', 'zzz')").collect()
+
+
+def test_stream_percentiles_keep_the_last_samples_over_batches(spark, tmp_path):
+    from lodegraph.streaming.state import STATE_STORE, last_percentiles
+
+    rng, schema = random.Random(3), "kind string, at timestamp, id long, value double"
+    events = [(rng.choice(["a", "b", None]), 1_700_000_000 + i // 3, i, rng.choice([None, *range(9)])) for i in range(60)]
+    for part in (events[20:40], events[:20], events[40:]):  # late rows come first
+        made = spark.createDataFrame([(k, t, i, None if v is None else float(v)) for k, t, i, v in part], "kind string, t long, id long, value double")
+        made.selectExpr("kind", "timestamp_seconds(t) AS at", "id", "value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    before = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(*STATE_STORE)
+    held = KeyedStore(spark, f"file://{tmp_path}/out", "key", 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    held.upsert_stream(last_percentiles(stream, "kind", "at", "id", "value", 5), "n", f"{tmp_path}/checkpoint").awaitTermination()
+    spark.conf.set(STATE_STORE[0], before)
+    want = {}
+    for kind in ("a", "b", None):
+        last = sorted(v for k, _, _, v in [e for e in events if e[0] == kind and e[3] is not None][-5:])
+        want[kind] = (len(last), *[float(last[min(int(q * len(last)), len(last) - 1)]) for q in (0.5, 0.95, 0.99)])
+    assert {r.key: (r.n, r.p50, r.p95, r.p99) for r in held.read().collect()} == want
