@@ -77,7 +77,27 @@ def nearest(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
-@Q.add("R14_R15_fusion")
+def _spread(c: str) -> str:
+    return f"CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) ELSE 0 END"
+
+
+@Q.add(
+    "R14_R15_fusion",
+    f"""WITH t AS (SELECT doc_id, {TOKENS} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS m FROM t), q AS (SELECT unnest(['ther', 'and']) AS w),
+    df AS (SELECT w, count(*) AS df FROM q JOIN t ON list_contains(t, w) GROUP BY 1),
+    x AS (SELECT doc_id, q.w, len(list_filter(t, lambda y: y = q.w)) AS tf, len(t) AS l FROM t, q),
+    a AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / m))) AS score
+      FROM x JOIN df USING (w), s WHERE tf > 0 GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 30),
+    e AS (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings),
+    b AS (SELECT a.vec_id AS doc_id, list_cosine_similarity(a.embedding, b.embedding) AS score FROM e a, (SELECT embedding FROM e WHERE vec_id = 3) b ORDER BY score DESC, doc_id LIMIT 30),
+    c AS (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS score FROM documents WHERE contains(lower(text), 'the') ORDER BY score DESC, doc_id LIMIT 30),
+    r AS (SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part, 'bm25' AS source FROM a
+      UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)), 'vector' FROM b
+      UNION ALL SELECT doc_id, 0.5::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)), 'graph' FROM c),
+    f AS (SELECT doc_id, sum(part) AS score, list_sort(list(DISTINCT source)) AS sources FROM r GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 25),
+    j AS (SELECT f.doc_id, f.score, sources, a.score AS second FROM f LEFT JOIN a USING (doc_id))
+    SELECT doc_id, round(score, 9) AS score, sources, round(second, 9) AS second, round(0.5 * {_spread("score")} + 0.5 * coalesce({_spread("second")}, {_spread("score")}), 9) AS blend FROM j""",
+)
 def fusion(spark, d):
     docs, v = table(spark, d, "documents"), table(spark, d, "embeddings")
     a = text.bm25(docs, "ther and", "doc_id", limit=30)
