@@ -1,15 +1,19 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame operations only.
 
-A source's documents, in hash order, form blocks of `block_docs`.  Target weights are whole numbers W; one round gives W
-blocks to each source that still has so many, and what is left to one that runs out.  Within a round of L slots,
-a source's block i of m is released at floor(i * L / m) and due at ceil((i + 1) * L / m); in every slot the released
-block with the earliest deadline goes first (ties: the source that sorts first).  As m blocks of L slots are a share
-of m / L, every source is less than one block from its target at every slot, and exactly on it between rounds.
-Every document gets a slot: sources that run out leave their share to the others.
+A source's documents, in hash order, form blocks of `block_docs`.  Target weights are whole numbers W; in a round each source
+gets W blocks as long as it has so many.  Let S(v) = the sum over sources of min(blocks, W * v) be the slots that have passed
+when every source was served in proportion to its weight for v rounds.  A source's block i is released at floor(S(i / W)) and due
+at ceil(S((i + 1) / W)); in every slot the released block with the earliest deadline goes first (ties: the source that sorts
+first).  All blocks meet their deadlines then, so every source is less than one block from its target at every slot, and exactly
+on it between rounds.  Every document gets a slot: from the moment a source runs out, the others share its slots.
 
-Rounds with the same blocks have the same order, and there are at most 2k + 1 different ones for k sources, so
-the scheduling is done once for each of those, on tables whose size k and the sum of the weights bound.  Ranks within a
-source are counts over hash buckets plus a rank within the bucket, so a source with a third of all rows is no hot key.
+Weights made from sizes are whole numbers of about 32 a source in sum (256 at least), and 1 at least, so a source's share is at
+most one part in 32 below its target, besides the rounding of its own weight by half.
+
+At the end of a round all sources have whole blocks, so rounds are scheduled each by itself.  Rounds with the same blocks have the
+same order, and there are at most 2k + 1 different ones for k sources, so the scheduling is done once for each of those, on
+tables whose size k and the sum of the weights bound.  Ranks within a source are counts over hash buckets plus a rank within the
+bucket, so a source with a third of all rows is no hot key.
 
 Defined cases: a null source is a source of its own; a null id is an id like others; repeated rows count each; an empty
 table gives an empty result; extra columns are ignored.  Up to MAX_SOURCES sources the rounds are made by Spark's array
@@ -32,6 +36,12 @@ from lodegraph.llm.common import hash_bucket, written
 MAX_SOURCES = 256
 RANK_BITS = 10
 
+#: Of each source s of a round with weights w and blocks m, w[s] * S(i / w[s]) for i up to m[s].
+EDGES = """
+transform(sequence(0, size(m) - 1), s -> transform(sequence(0, m[s]), i ->
+  aggregate(sequence(0, size(m) - 1), 0L, (x, j) -> x + least(m[j] * w[s], w[j] * i))))
+"""
+
 #: One round: in each slot t, of the sources with a released block, the one whose block is due first.
 ROUND = """
 aggregate(
@@ -39,9 +49,9 @@ aggregate(
   named_struct('given', array_repeat(0, size(m)),
                'order', cast(array() as array<struct<src: int, nth: int, release: int, deadline: int>>)),
   (st, t) -> transform(array(array_min(transform(
-      filter(sequence(0, size(m) - 1), s -> st.given[s] < m[s] and st.given[s] * slots div m[s] <= t),
-      s -> named_struct('deadline', cast(((st.given[s] + 1) * slots + m[s] - 1) div m[s] as int), 'src', s,
-                        'release', cast(st.given[s] * slots div m[s] as int))))),
+      filter(sequence(0, size(m) - 1), s -> st.given[s] < m[s] and edges[s][st.given[s]] div w[s] <= t),
+      s -> named_struct('deadline', cast((edges[s][st.given[s] + 1] + w[s] - 1) div w[s] as int), 'src', s,
+                        'release', cast(edges[s][st.given[s]] div w[s] as int))))),
     p -> named_struct('given', transform(st.given, (g, s) -> if(s = p.src, g + 1, g)),
                       'order', concat(st.order, array(named_struct('src', p.src, 'nth', st.given[p.src],
                                                                    'release', p.release, 'deadline', p.deadline)))))[0],
@@ -53,11 +63,11 @@ def _key(column: str = "source"):
     return F.concat(F.when(F.col(column).isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
-def temper(counts: DataFrame, quanta: int = 256, power: float = 0.5) -> DataFrame:
-    """Target weights in proportion to a power of each source's size: (key, n, weight), weights of about quanta in sum."""
-    share = F.pow("n", F.lit(power))
-    total = F.sum(share).over(W.partitionBy(F.lit(0)))
-    return counts.select("key", "n", F.greatest(F.lit(1), F.round(share * quanta / total)).cast("int").alias("weight"))
+def temper(counts: DataFrame, quanta: int = 256, power: float = 0.5, per_source: int = 32) -> DataFrame:
+    """Target weights in proportion to a power of each source's size: (key, n, weight), weights of about quanta, or per_source for each source, in sum."""
+    share, all_ = F.pow("n", F.lit(power)), W.partitionBy(F.lit(0))
+    quanta = F.greatest(F.lit(quanta), F.lit(per_source) * F.count("*").over(all_))
+    return counts.select("key", "n", F.greatest(F.lit(1), F.round(share * quanta / F.sum(share).over(all_))).cast("int").alias("weight"))
 
 
 def templates(sources: DataFrame, block_docs: int) -> DataFrame:
@@ -72,18 +82,27 @@ def templates(sources: DataFrame, block_docs: int) -> DataFrame:
         "r.a AS from_round",
         "r.b AS to_round",
         "transform(srcs, s -> cast(greatest(0L, least(s.weight, s.blocks - r.a * s.weight)) AS int)) AS m",
+        "transform(srcs, s -> cast(s.weight AS long)) AS w",
         "aggregate(srcs, 0L, (x, s) -> x + least(s.blocks, r.a * s.weight)) AS base",
     ).withColumn("slots", F.expr("aggregate(m, 0, (x, y) -> x + y)"))
-    order = kinds.filter("slots > 0").select("from_round", "to_round", "base", "slots", F.posexplode(F.expr(ROUND)).alias("t", "o"))
+    kinds = kinds.filter("slots > 0").repartition("from_round").withColumn("edges", F.expr(EDGES))
+    order = kinds.select("from_round", "to_round", "base", "slots", F.posexplode(F.expr(ROUND)).alias("t", "o"))
     return order.select("from_round", "to_round", "base", "slots", "o.src", "o.nth", "t", "o.release", "o.deadline")
 
 
-def round_order(m: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """One round as in ROUND, of m[s] blocks of each source s: (s, nth, release, deadline) slot by slot."""
+def round_order(m: np.ndarray, w: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """One round as in ROUND, of m[s] blocks of each source s with weight w[s]: (s, nth, release, deadline) slot by slot."""
     slots = int(m.sum())
     src = np.repeat(np.arange(len(m)), m)
     nth = np.arange(slots) - np.repeat(np.cumsum(m) - m, m)
-    release, deadline = nth * slots // m[src], -(-(nth + 1) * slots // m[src])
+    ends = np.argsort(m / w)
+    done, rate = np.append(0, np.cumsum(m[ends])), w.sum() - np.append(0, np.cumsum(w[ends]))
+
+    def edge(i: np.ndarray) -> np.ndarray:
+        past = np.searchsorted((m / w)[ends], i / w[src])
+        return w[src] * done[past] + i * rate[past]
+
+    release, deadline = edge(nth) // w[src], -(-edge(nth + 1) // w[src])
     by = np.argsort(release, kind="stable")
     queue, out, k = [], [], 0
     for t in range(slots):
@@ -111,7 +130,7 @@ def schedule(sources: DataFrame, block_docs: int) -> DataFrame:
 
     def ordered(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("src", ignore_index=True)
-        found = np.array(round_order(t["m"].to_numpy("int64")), "int64").reshape(-1, 4)
+        found = np.array(round_order(t["m"].to_numpy("int64"), t["weight"].to_numpy("int64")), "int64").reshape(-1, 4)
         s = found[:, 0]
         columns = {"a": t["a"][s], "src": t["src"][s], "weight": t["weight"][s]}
         out = {k: v.to_numpy("int64") for k, v in columns.items()} | {"nth": found[:, 1], "t": np.arange(len(s)), "release": found[:, 2], "deadline": found[:, 3]}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter, defaultdict
 
@@ -45,20 +46,19 @@ def test_mix(spark, request, name, weights):
 
 
 def plain_schedule(n, weight, size):
-    """Slot by slot: (source, block) of each, released blocks with the earliest deadline first, the first source of several."""
+    """Slot by slot and without rounds: (source, block) of each, released blocks with the earliest deadline first, the first source of several."""
     names = sorted(n, key=lambda s: (s is not None, s or ""))
-    left, given, out = {s: -(-n[s] // size) for s in names}, Counter(), []
-    while any(left.values()):
-        m = {s: min(weight[s], left[s]) for s in names if left[s]}
-        length, done = sum(m.values()), Counter()
-        for t in range(length):
-            open_ = [(-(-(done[s] + 1) * length // m[s]), k, s) for k, s in enumerate(names) if s in m and done[s] < m[s] and done[s] * length // m[s] <= t]
-            s = min(open_)[2]
-            out.append((s, given[s]))
-            done[s] += 1
-            given[s] += 1
-        for s in m:
-            left[s] -= m[s]
+    blocks = {s: -(-n[s] // size) for s in names}
+    # All slots passed when source s has i blocks, times its weight.
+    at = lambda i, s: sum(min(blocks[j] * weight[s], weight[j] * i) for j in names)
+    jobs = sorted((at(i, s) // weight[s], -(-at(i + 1, s) // weight[s]), k, s, i) for k, s in enumerate(names) for i in range(blocks[s]))
+    queue, out = [], []
+    for t in range(len(jobs)):
+        while jobs and jobs[0][0] <= t:
+            heapq.heappush(queue, jobs.pop(0)[1:])
+        due, _, s, i = heapq.heappop(queue)
+        assert t < due
+        out.append((s, i))
     return out
 
 
@@ -67,7 +67,7 @@ def test_mix_slot_by_slot(spark, request, name, weights):
     rows = mixing.mix(spark, request.getfixturevalue(name), weights, block_docs=4).collect()
     n = Counter(r.source for r in rows)
     roots = sum(v**0.5 for v in n.values())
-    told = {s: (weights.get(s, 1) if weights else max(1, round(n[s] ** 0.5 * 256 / roots))) for s in n}
+    told = {s: (weights.get(s, 1) if weights else max(1, round(n[s] ** 0.5 * max(256, 32 * len(n)) / roots))) for s in n}
     assert {r.source: r.weight for r in rows} == told
     got = {r.slot: (r.source, r.block) for r in rows}
     assert [got[t] for t in sorted(got)] == plain_schedule(n, told, 4)
@@ -97,6 +97,31 @@ def test_mix_any_number_of_sources(spark):
         assert all(abs(given[s] - (t + 1) * weights.get(s, 1) / total) < 1 for s in sizes)
 
 
+@pytest.mark.parametrize("sizes", [[40000] + [80] * 1000, [10**7 // (i + 1) for i in range(10000)]])
+def test_weights_keep_their_targets_with_many_sources(spark, sizes):
+    counts = spark.createDataFrame([(str(i), n) for i, n in enumerate(sizes)], "key string, n long")
+    weight = {int(r.key): r.weight for r in mixing.temper(counts).collect()}
+    roots, total = sum(n**0.5 for n in sizes), sum(weight.values())
+    for i, n in enumerate(sizes):
+        want = n**0.5 / roots
+        assert abs(weight[i] / total - want) <= want / 32 + 1 / total
+
+
+def test_many_sources_get_their_shares_at_every_slot(spark):
+    sizes = {"hot": 4000} | {f"site{i}": 8 + i % 3 for i in range(1000)}
+    table = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, n int").selectExpr("source", "explode(sequence(1, n)) AS doc_id")
+    rows = mixing.mix(spark, table, block_docs=4, most_sources=None).select("slot", "source", "block", "weight").distinct().collect()
+    weight, got = {r.source: r.weight for r in rows}, {r.slot: (r.source, r.block) for r in rows}
+    order = [got[t] for t in sorted(got)]
+    assert order == plain_schedule(sizes, weight, 4)
+    # Until the first small source runs out, the hot one has its share to within one block.
+    share, first = weight["hot"] / sum(weight.values()), next(t for t, (s, b) in enumerate(order) if s != "hot" and b == 1)
+    roots = sum(n**0.5 for n in sizes.values())
+    assert share == pytest.approx(sizes["hot"] ** 0.5 / roots, rel=1 / 32)
+    for t in range(first):
+        assert abs(sum(s == "hot" for s, _ in order[: t + 1]) - share * (t + 1)) < 1
+
+
 @pytest.mark.parametrize("name", ["docs", "edge", "none"])
 def test_both_ways_to_mix_agree(spark, request, name):
     table = request.getfixturevalue(name)
