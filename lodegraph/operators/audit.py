@@ -202,6 +202,44 @@ def undeclared_channels(uses: DataFrame, declared: DataFrame) -> DataFrame:
     return uses.join(declared.select("channel").distinct(), "channel", "left_anti")
 
 
+#: Where channels are handled, called and declared, and the scripts that may do so (fixed values).
+HANDLER = r"""\bipcMain\.(?:handle|on)\s*\(\s*['"]([^'"]+)['"]"""
+CALL = r"""\bipcRenderer\.(?:invoke|send|on)\s*\(\s*['"]([^'"]+)['"]"""
+BRIDGE = r"contextBridge\.exposeInMainWorld\s*\("
+BRIDGE_KEY = r"(?m)^\s*([A-Za-z_$][A-Za-z0-9_$]*)\s*:"
+DECLARED = r"""['"]([a-z][a-z0-9:_\-./]*)['"]"""
+SCRIPTS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
+
+
+def declared_channels(types: DataFrame, text: str = "text") -> DataFrame:
+    """(channel): the quoted channel names of files of types, each once."""
+    return types.select(F.explode(F.regexp_extract_all(text, F.lit(DECLARED), 1)).alias("channel")).distinct()
+
+
+def _named_at(docs: DataFrame, pattern: str) -> DataFrame:
+    """docs with (channel, line) of each match of a pattern; lines are counted in what stands between the matches, and in those."""
+    lines = lambda c: F.transform(c, lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"))))
+    found = docs.withColumn("channels", F.regexp_extract_all("text", F.lit(pattern), 1)).filter(F.size("channels") > 0)
+    found = found.withColumns({"between": lines(F.split("text", pattern, -1)), "within": lines(F.regexp_extract_all("text", F.lit(pattern), 0))})
+    each = found.select("*", F.posexplode("channels").alias("pos", "channel"))
+    before = "aggregate(slice(between, 1, pos + 1), 1, (x, n) -> x + n) + aggregate(slice(within, 1, pos), 0, (x, n) -> x + n)"
+    return each.withColumn("line", F.expr(before)).drop("channels", "between", "within", "pos")
+
+
+def channel_findings(docs: DataFrame, declared: DataFrame) -> DataFrame:
+    """(doc_key, rule_id, severity, channel, line) of scripts (doc_key, extension, text) against the declared channels.
+
+    Found are calls of a channel that is neither declared nor a key of a bridge in the same file, and handlers of channels that
+    are not declared.  Without any declared channel nothing is found.
+    """
+    scripts = docs.filter(F.lower("extension").isin(*SCRIPTS)).select("doc_key", "text")
+    keys = F.when(F.col("text").rlike(BRIDGE), F.regexp_extract_all("text", F.lit(BRIDGE_KEY), 1)).otherwise(F.array().cast("array<string>"))
+    calls = _named_at(scripts.withColumn("keys", keys), CALL).filter(~F.array_contains("keys", F.col("channel")))
+    row = lambda df, rule, severity: df.select("doc_key", F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), "channel", "line")
+    both = row(calls, "ipc.unknown-channel", "error").union(row(_named_at(scripts, HANDLER), "ipc.handler-not-in-types", "warning"))
+    return undeclared_channels(both, declared).join(declared.limit(1).select(F.lit(1).alias("any")), F.lit(True), "left_semi").select(*both.columns)
+
+
 def unused_imports(docs: DataFrame) -> DataFrame:
     """(doc_key, name): imported names that stand in the text only once."""
     each = docs.select("doc_key", "text", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^import\s+\{?\s*([A-Za-z_][A-Za-z0-9_]*)"), 1)).alias("name"))

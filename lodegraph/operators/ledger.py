@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodegraph.functions.sketch import cosine
 from lodegraph.operators.relational import contains_any
 
 #: What marks the kind of a turn, tried in this order (fixed values).
@@ -73,6 +74,20 @@ def recall(entries: DataFrame, key: str, recency: str, hits: DataFrame, limit: i
     return met.orderBy(F.coalesce("hit", F.lit(0)).desc(), F.desc(recency), key).limit(limit)
 
 
+def semantic_recall(entries: DataFrame, key: str, recency: str, embedding: str, asked: list[float], hits: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """The entries nearest to an asked vector by cosine, of the newest ones and the newest of those that a search hit; with `score`.
+
+    Both pools hold 4 * limit entries, 20 at least.  An entry without a vector scores 0; ties: newest first, then by key.
+    """
+    pool = max(4 * limit, 20)
+    newest = lambda df: df.orderBy(F.desc(recency), key).limit(pool)
+    ids = newest(entries).select(key)
+    if hits is not None:
+        ids = ids.union(newest(entries.join(hits.select(key), key, "left_semi")).select(key)).distinct()
+    score = F.coalesce(cosine(F.col(embedding), F.array(*[F.lit(float(x)) for x in asked])), F.lit(0.0))
+    return entries.join(ids, key, "left_semi").withColumn("score", score).orderBy(F.desc("score"), F.desc(recency), key).limit(limit)
+
+
 def first_of(parts: list[DataFrame], limit: int = 1) -> DataFrame:
     """The rows of the first part that has any: each part is a fallback of those before it."""
     out = None

@@ -8,7 +8,7 @@ from lodegraph.operators import audit, mining, resolve
 from lodegraph.operators.relational import orphans, resolve_calls
 from lodegraph.plans.registry import CONTAINMENT, NODES, Registry
 from lodegraph.sources import files as S
-from lodegraph.sources.code import FILES, MANIFESTS, TESTS, for_sql, made
+from lodegraph.sources.code import CHANNEL_SCRIPTS, CHANNEL_TYPES, FILES, MANIFESTS, TESTS, for_sql, made
 from lodegraph.sources.tables import table
 
 Q = Registry()
@@ -166,6 +166,26 @@ def findings_by_table_function(spark, d):
     return spark.sql("SELECT f.path, s.rule_id FROM {files} f, LATERAL scan_text(f.text, f.extension, 'code') s", files=_files(spark, d))
 
 
+@Q.add(
+    "C7_channels",
+    """WITH declared AS (SELECT 'load' || (3 * n_nationkey + 1) AS channel FROM nation UNION SELECT 'c' || (3 * n_nationkey) FROM nation UNION SELECT 'building' FROM nation),
+    c AS (SELECT c_custkey AS id, lower(c_mktsegment) AS segment FROM customer),
+    said AS (SELECT id, 'ipc.handler-not-in-types' AS rule_id, 'warning' AS severity, segment AS channel, 1 AS line FROM c WHERE id % 3 = 0
+      UNION ALL SELECT id, 'ipc.handler-not-in-types', 'warning', 'c' || id, 3 FROM c WHERE id % 3 = 0
+      UNION ALL SELECT id, 'ipc.handler-not-in-types', 'warning', 'Upper', 4 FROM c WHERE id % 3 = 0
+      UNION ALL SELECT id, 'ipc.unknown-channel', 'error', 'load' || id, 1 FROM c WHERE id % 3 = 1
+      UNION ALL SELECT id, 'ipc.unknown-channel', 'error', segment, 2 FROM c WHERE id % 3 = 1
+      UNION ALL SELECT id, 'ipc.unknown-channel', 'error', 'done', 4 FROM c WHERE id % 3 = 1
+      UNION ALL SELECT id, 'ipc.unknown-channel', 'error', 'gone' || id, 3 FROM c WHERE id % 3 = 2)
+    SELECT 'app/c' || id || '.ts' AS path, rule_id, severity, channel, line FROM said WHERE channel NOT IN (SELECT channel FROM declared)""",
+)
+def channels(spark, d):
+    """Scripts of a process with windows: what they call and handle, against the types of channels."""
+    scripts = made(spark, d, CHANNEL_SCRIPTS).select(F.col("path").alias("doc_key"), F.lit("ts").alias("extension"), "text")
+    found = audit.channel_findings(scripts, audit.declared_channels(made(spark, d, CHANNEL_TYPES)))
+    return found.withColumnRenamed("doc_key", "path")
+
+
 @Q.add(
     "C8_markdown_drift",
     f"""{WITH_FILES}, said AS (SELECT path AS doc_key, 'src/m' || (id % 4) || '/f' || (id + 15) || '.md' AS path FROM files WHERE extension = 'md'

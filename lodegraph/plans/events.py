@@ -95,6 +95,24 @@ def recall(spark, d):
     return ledger.recall(e, "event_id", "ts", hits, 10).select("event_id")
 
 
+@Q.add(
+    "L2_semantic_recall",
+    """WITH asked AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7),
+      ids AS (SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 40)
+        UNION SELECT doc_id FROM (SELECT doc_id FROM documents WHERE contains(lower(text), 'tion the') ORDER BY doc_id DESC LIMIT 40)),
+      scored AS (SELECT doc_id, coalesce(list_cosine_similarity(embedding::DOUBLE[], q), 0) AS s FROM documents LEFT JOIN embeddings ON vec_id = doc_id, asked WHERE doc_id IN (FROM ids))
+      SELECT doc_id, round(s, 6) AS score FROM scored ORDER BY s DESC, doc_id DESC LIMIT 10""",
+)
+def semantic_recall(spark, d):
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.filter("vec_id = 7").select("embedding").first().embedding
+    docs = table(spark, d, "documents")
+    entries = docs.join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
+    hits = docs.filter(F.contains(F.lower("text"), F.lit("tion the")))
+    found = ledger.semantic_recall(entries, "doc_id", "doc_id", "embedding", asked, hits, 10)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
 @Q.add(
     "L14_first_of",
     """SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 1""",

@@ -75,7 +75,21 @@ FROM {supplier}
 """
 
 
-TABLES = ("part", "supplier", "orders", "events", "customer", "documents")
+#: (path, text): for each customer a script that handles channels, calls them, or lays them open by a bridge.
+CHANNEL_SCRIPTS = """
+SELECT concat('app/c', c_custkey, '.ts') AS path, CASE c_custkey % 3
+  WHEN 0 THEN concat_ws(chr(10), concat('ipcMain.handle("', lower(c_mktsegment), '", load)'), '', concat('ipcMain.on( ', chr(39), 'c', c_custkey, chr(39), ', save)'), 'ipcMain.handle("Upper", f)')
+  WHEN 1 THEN concat_ws(chr(10), concat('const a = await ipcRenderer.invoke("load', c_custkey, '")'), 'ipcRenderer.send(', concat('  ', chr(39), lower(c_mktsegment), chr(39), ')'), 'ipcRenderer.on("done", f)')
+  ELSE concat_ws(chr(10), 'contextBridge.exposeInMainWorld("api", {', concat('  load', c_custkey, ': () => ipcRenderer.invoke("load', c_custkey, '"),'), concat('  other: () => ipcRenderer.send("gone', c_custkey, '"),'), '})') END AS text
+FROM {customer}
+"""
+
+#: (path, text): the types of channels, a file for each nation.
+CHANNEL_TYPES = """
+SELECT concat('types/n', n_nationkey, '.ts') AS path, concat('export type N', n_nationkey, ' = "load', 3 * n_nationkey + 1, '" | ', chr(39), 'c', 3 * n_nationkey, chr(39), ' | "Upper" | "building"') AS text FROM {nation}
+"""
+
+TABLES = ("nation", "part", "supplier", "orders", "events", "customer", "documents")
 
 
 def made(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:

@@ -129,3 +129,34 @@ def test_calls_and_paths_meet_few_rows(spark):
     assert {r.request: r.path for r in resolve.match_paths(asked, files).collect()} == {
         "a/index.ts": "src/a/index.ts", "x.ts": "lib/c/x.ts", "src/b/index.ts": "src/b/index.ts", "abs/y.ts": "/abs/y.ts"
     }
+
+
+def plain_channels(docs, declared):
+    """File by file, with the patterns' places in the text."""
+    out = []
+    for key, extension, text in docs:
+        if extension.lower() not in audit.SCRIPTS or not declared or not text:
+            continue
+        keys = set(re.findall(audit.BRIDGE_KEY, text)) if re.search(audit.BRIDGE, text) else set()
+        for pattern, rule in ((audit.CALL, "ipc.unknown-channel"), (audit.HANDLER, "ipc.handler-not-in-types")):
+            for m in re.finditer(pattern, text):
+                if m[1] not in declared and not (rule == "ipc.unknown-channel" and m[1] in keys):
+                    out.append((key, rule, m[1], text.count("\n", 0, m.start()) + 1))
+    return sorted(out)
+
+
+def test_channels_against_their_types(spark):
+    docs = [
+        ("a", "ts", "x\nipcRenderer.invoke('load')\n\nipcRenderer.send(\n\n  \"gone\"); ipcRenderer.on('gone', f)\nipcMain.on('late', f)"),
+        ("b", "TSX", "contextBridge.exposeInMainWorld('api', {\n  open: () => ipcRenderer.invoke('open'),\n  other: () => ipcRenderer.invoke('shut')\n})"),
+        ("c", "js", "ipcRenderer.invoke('open')\nipcMain.handle('load', f)\nipcMain.handle('Open', f)"),
+        ("d", "py", "ipcRenderer.invoke('nowhere')"), ("e", "ts", None), ("f", "ts", ""), ("c", "js", "ipcRenderer.invoke('open')"),
+    ]
+    rows = spark.createDataFrame(docs, "doc_key string, extension string, text string").withColumn("line", F.lit("clash")).withColumn("keys", F.lit(1))
+    types = spark.createDataFrame([("type A = 'load' | \"Open\" | 'a b'",), (None,), ("'load' 'x:y/z'",)], "text string")
+    declared = audit.declared_channels(types)
+    assert sorted(r.channel for r in declared.collect()) == ["load", "x:y/z"]
+    for known in (declared, declared.limit(0)):
+        got = sorted((r.doc_key, r.rule_id, r.channel, r.line) for r in audit.channel_findings(rows, known).collect())
+        assert got == plain_channels(docs, {r.channel for r in known.collect()})
+    assert audit.channel_findings(rows.limit(0), declared).count() == 0

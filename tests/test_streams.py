@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from lodegraph.operators import ledger
 from lodegraph.sources import files as S
 from lodegraph.streaming import bus
 
@@ -110,3 +111,18 @@ def test_exports_and_gate(spark):
     assert S.cypher_rows(n, e).collect()[1].value == "MATCH (a {id: 'a<'}), (b {id: 'b\\''}) CREATE (a)-[:CALLS]->(b);"
     assert S.jsonld_rows(n, e).count() == 2
     assert S.allowed_sql("SELECT ';' AS a;") and not S.allowed_sql("SELECT 1; DROP TABLE x") and not S.allowed_sql("SELECT 1 -- x") and S.allowed_sql("insert into t values (1)", True)
+
+
+def test_semantic_recall(spark):
+    rows = [(i, i % 50, None if i % 7 == 0 else [9.0 if i < 3 else float(i % 5), 1.0], "deep" if i < 3 else "new") for i in range(100)]
+    entries = spark.createDataFrame(rows, "id int, at int, vec array<float>, text string")
+    hits = entries.filter("text = 'deep'")
+    got = [r.id for r in ledger.semantic_recall(entries, "id", "at", "vec", [1.0, 0.0], hits, 6).collect()]
+    newest = lambda found: sorted(found, key=lambda r: (-r[1], r[0]))[:24]
+    pool = {r[0]: r for r in newest(rows) + newest([r for r in rows if r[3] == "deep"])}
+    cos = lambda v: 0.0 if v is None else v[0] / (v[0] ** 2 + 1) ** 0.5
+    assert got == [r[0] for r in sorted(pool.values(), key=lambda r: (-round(cos(r[2]), 9), -r[1], r[0]))[:6]]
+    assert got[:2] == [2, 1]  # old, and found by the search alone
+    every = ledger.semantic_recall(entries, "id", "at", "vec", [1.0, 0.0], None, 100)
+    assert every.count() == 100 and every.filter("vec IS NULL AND score <> 0").count() == 0
+    assert ledger.semantic_recall(entries.limit(0), "id", "at", "vec", [1.0]).count() == 0
