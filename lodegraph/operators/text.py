@@ -225,10 +225,10 @@ def concepts(docs: DataFrame, key: str, text: str = "text", top: int = 12, prose
 
 
 def smart_scores(nodes: DataFrame, cycle_nodes: DataFrame) -> DataFrame:
-    """(qualified_name, in_degree, composite) of nodes (qualified_name, in_degree, out_degree, span): what is worth asking about.
+    """(qualified_name, in_degree, composite, kinds) of nodes (qualified_name, in_degree, out_degree, span): what is worth asking about.
 
     0.4 of the positive z-score of in-degree, 0.3 of that of the span (the upper median where it is missing), 0.3 of the anomalies: most-used
-    (in-degree at the 95th percentile or above), on a cycle 0.7, unconnected 0.5, 1 at most in sum.
+    (in-degree at the 95th percentile or above), on a cycle 0.7, unconnected 0.5, 1 at most in sum.  kinds: the questions a node is good for, a starter, a deep_dive or an anomaly, and all from 0.01 on.
     """
     counted = nodes.groupBy("in_degree").agg(F.count("*").alias("m"))
     run = counted.withColumn("upto", F.sum("m").over(W.orderBy("in_degree"))).withColumn("total", F.sum("m").over(W.partitionBy(F.lit(0))))
@@ -242,4 +242,13 @@ def smart_scores(nodes: DataFrame, cycle_nodes: DataFrame) -> DataFrame:
     z = lambda c, m, s: F.greatest(F.lit(0.0), F.when(F.col(s) < 1e-9, 0.0).otherwise((F.col(c) - F.col(m)) / F.col(s)))
     odd = F.when(F.col("in_degree") >= F.col("p95"), 1.0).otherwise(0.0) + F.coalesce("cycle", F.lit(0.0)) + F.when((F.col("in_degree") == 0) & (F.col("out_degree") == 0), 0.5).otherwise(0.0)
     composite = 0.4 * z("in_degree", "m1", "s1") + 0.3 * z("span", "m2", "s2") + 0.3 * F.least(F.lit(1.0), odd)
-    return met.select("qualified_name", "in_degree", composite.alias("composite"))
+    fit = {"starter": (odd == 0) & (z("in_degree", "m1", "s1") > 0), "deep_dive": z("span", "m2", "s2") > 0.5, "anomaly": odd > 0, "all": composite >= 0.01}
+    kinds = F.array_compact(F.array(*[F.when(holds, F.lit(kind)) for kind, holds in fit.items()]))
+    return met.select("qualified_name", "in_degree", composite.alias("composite"), kinds.alias("kinds"))
+
+
+def questions(scores: DataFrame, kind: str, limit: int = 20) -> DataFrame:
+    """(kind, qualified_name, score): the nodes of smart_scores() that are best to ask a question of a kind about; scores of 1 at most, to 6 digits."""
+    fit = scores.filter(F.array_contains("kinds", kind))
+    score = F.round(F.least(F.lit(1.0), "composite"), 6)
+    return fit.select(F.lit(kind).alias("kind"), "qualified_name", score.alias("score")).orderBy(F.desc("score"), "qualified_name").limit(limit)

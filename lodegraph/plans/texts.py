@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions import names, sketch
 from lodegraph.operators import audit, mining, text
-from lodegraph.operators.graph import degrees
+from lodegraph.operators.graph import degrees, saved, strong_components
 from lodegraph.plans.registry import GRAPH, NODES, ORDER_EDGES, Registry
 from lodegraph.sources.code import FILES, for_sql, made
 from lodegraph.sources.tables import edges, nodes, order_edges, table
@@ -208,20 +211,31 @@ def concepts(spark, d):
 
 @Q.add(
     "R33_smart_questions",
-    f"""{GRAPH}, i AS (SELECT target AS q, count(*) AS n FROM edges GROUP BY 1), o AS (SELECT source AS q, count(*) AS n FROM edges GROUP BY 1),
+    f"""{GRAPH}, mutual AS (SELECT 'p:' || a.p_partkey AS source, 'p:' || b.p_partkey AS target FROM part a JOIN part b ON a.p_partkey // 40 = b.p_partkey // 40
+      AND (a.p_partkey % 40 = 0 AND b.p_partkey % 40 = 1 OR a.p_partkey % 40 = 1 AND b.p_partkey % 40 = 0)),
+    linked AS (SELECT source, target FROM edges UNION ALL FROM mutual),
+    i AS (SELECT target AS q, count(*) AS n FROM linked GROUP BY 1), o AS (SELECT source AS q, count(*) AS n FROM linked GROUP BY 1),
     b AS (SELECT qualified_name, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, length(name) AS span FROM nodes LEFT JOIN i ON i.q = qualified_name LEFT JOIN o ON o.q = qualified_name),
     s AS (SELECT avg(in_degree) AS m1, stddev_pop(in_degree) AS s1, avg(span) AS m2, stddev_pop(span) AS s2,
-      greatest(1, list_sort(list(in_degree))[least(floor(0.95 * count(*)), count(*) - 1)::BIGINT + 1]) AS p95 FROM b)
-    SELECT qualified_name, in_degree, round(0.4 * greatest(0, (in_degree - m1) / s1) + 0.3 * greatest(0, (span - m2) / s2) + 0.3 * least(1,
-        CASE WHEN in_degree >= p95 THEN 1 ELSE 0 END + CASE WHEN qualified_name LIKE 'n:%' THEN 0.7 ELSE 0 END + CASE WHEN in_degree = 0 AND out_degree = 0 THEN 0.5 ELSE 0 END), 6) AS composite
-    FROM b, s ORDER BY composite DESC, qualified_name LIMIT 50""",
+      greatest(1, list_sort(list(in_degree))[least(floor(0.95 * count(*)), count(*) - 1)::BIGINT + 1]) AS p95 FROM b),
+    z AS (SELECT qualified_name, greatest(0, (in_degree - m1) / s1) AS zi, greatest(0, (span - m2) / s2) AS zs, CASE WHEN in_degree >= p95 THEN 1 ELSE 0 END
+      + CASE WHEN qualified_name IN (SELECT source FROM mutual) THEN 0.7 ELSE 0 END + CASE WHEN in_degree = 0 AND out_degree = 0 THEN 0.5 ELSE 0 END AS odd FROM b, s),
+    c AS (SELECT *, 0.4 * zi + 0.3 * zs + 0.3 * least(1, odd) AS composite FROM z),
+    k AS (SELECT 'starter' AS kind, * FROM c WHERE odd = 0 AND zi > 0 UNION ALL SELECT 'deep_dive', * FROM c WHERE zs > 0.5
+      UNION ALL SELECT 'anomaly', * FROM c WHERE odd > 0 UNION ALL SELECT 'all', * FROM c WHERE composite >= 0.01),
+    r AS (SELECT kind, qualified_name, round(least(1, composite), 6)::DOUBLE AS score FROM k)
+    SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, qualified_name) <= 20""",
 )
 def smart(spark, d):
-    deg = nodes(spark, d).join(degrees(edges(spark, d)), "qualified_name", "left")
+    """Orders, containment, and pairs of parts that lead to each other; the nodes on cycles are found, not told."""
+    pair = table(spark, d, "part").filter("p_partkey % 40 < 2").groupBy(F.expr("p_partkey div 40").alias("pair")).agg(F.sort_array(F.collect_list("p_partkey")).alias("p"))
+    ends = pair.filter("size(p) = 2").select(F.explode(F.expr("array(struct(p[0] AS a, p[1] AS b), struct(p[1] AS a, p[0] AS b))")).alias("e"))
+    mutual = ends.select(F.concat(F.lit("p:"), "e.a").alias("source"), F.concat(F.lit("p:"), "e.b").alias("target"))
+    linked = edges(spark, d).select("source", "target").union(mutual)
+    deg = nodes(spark, d).join(degrees(linked), "qualified_name", "left")
     rows = deg.select("qualified_name", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.length("name").cast("long").alias("span"))
-    # Nations stand for the nodes on cycles.
-    found = text.smart_scores(rows, rows.filter("qualified_name LIKE 'n:%'")).withColumn("composite", F.round("composite", 6))
-    return found.orderBy(F.desc("composite"), "qualified_name").limit(50)
+    scores = saved(text.smart_scores(rows, strong_components(linked).withColumnRenamed("node", "qualified_name")))
+    return reduce(DataFrame.union, [text.questions(scores, kind) for kind in ("starter", "deep_dive", "anomaly", "all")])
 
 
 RULE_SQL = " UNION ALL ".join(

@@ -219,3 +219,15 @@ def test_store_of_words_starts_anew():
         (a, m), (b, n) = whole.sketches(t), tight.sketches(t)
         assert a == b and m.tolist() == n.tolist() and len(tight.at) <= 7
     assert sketch.Hashed(0).sketches(rows[3])[0] == whole.sketches(rows[3])[0]
+
+
+def test_questions_by_kind(spark):
+    rows = [("hub", 9, 1, 3), ("ring", 1, 1, None), ("alone", 0, 0, 90), ("some", 2, 0, 2), ("rest", 0, 1, 1), ("rest2", 0, 1, 1)]
+    nodes = spark.createDataFrame(rows, "qualified_name string, in_degree long, out_degree long, span long")
+    scores = text.smart_scores(nodes, nodes.filter("qualified_name = 'ring'").select("qualified_name"))
+    asked = lambda kind: [r.qualified_name for r in text.questions(scores, kind).collect()]
+    assert asked("starter") == []  # "some" has the mean of the in-degrees
+    assert asked("deep_dive") == ["alone"] and sorted(asked("anomaly")) == ["alone", "hub", "ring"]
+    assert set(asked("all")) == {"alone", "hub", "ring"}
+    assert [r.score for r in text.questions(scores, "all", 1).collect()] == [1.0]
+    assert text.questions(text.smart_scores(nodes.limit(0), nodes.limit(0)), "all").count() == 0
