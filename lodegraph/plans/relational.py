@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators import relational as R
 from lodegraph.plans.registry import CONTAINMENT, GRAPH, MEMBERS, NODES, ORDER_EDGES, Registry
-from lodegraph.sources.tables import containment_edges, edges, membership, nodes, order_edges, table
+from lodegraph.sources.tables import containment_edges, edges, membership, nodes, order_edges, order_lines, table
 
 Q = Registry()
 
@@ -163,8 +163,7 @@ def orphans(spark, d):
       WHERE o_custkey = 7 OR l_partkey = 7""",
 )
 def edges_of_file(spark, d):
-    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    e = lines.select(
+    e = order_lines(spark, d, "l_orderkey", "l_linenumber", "o_custkey", "l_partkey").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         F.concat(F.lit("c:"), "o_custkey").alias("source"),
         F.concat(F.lit("p:"), "l_partkey").alias("target"),
