@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators import relational as R
 from lodegraph.plans.registry import CONTAINMENT, GRAPH, MEMBERS, NODES, ORDER_EDGES, Registry
-from lodegraph.sources.tables import containment_edges, edges, membership, nodes, order_edges, order_lines, table
+from lodegraph.sources.tables import containment_edges, edges, key, membership, nodes, order_edges, order_lines, spread, table, tasks_for
 
 Q = Registry()
 
@@ -179,9 +179,12 @@ def edges_of_file(spark, d):
       FROM edges) GROUP BY 1""",
 )
 def neighbours(spark, d):
-    e = order_edges(spark, d)
-    both = e.select(F.col("source").alias("self"), F.col("target").alias("other")).union(e.select("target", "source"))
-    return both.groupBy("self").agg(F.countDistinct("other").alias("neighbours"))
+    # Pairs are made different as numbers, once for both directions; names come after.
+    lines = order_lines(spark, d, "o_custkey", "l_partkey")
+    pairs = spread(lines, tasks_for(table(spark, d, "lineitem")), "o_custkey", "l_partkey").distinct()
+    side = lambda kind, own, other: pairs.groupBy(own).agg(F.count(other).alias("n")).select(key(kind, own).alias("self"), "n")
+    both = side("customer", "o_custkey", "l_partkey").union(side("part", "l_partkey", "o_custkey"))
+    return both.groupBy("self").agg(F.sum("n").alias("neighbours"))
 
 
 @Q.add(

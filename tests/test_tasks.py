@@ -16,3 +16,12 @@ def test_tasks_of_order_lines_grow_with_the_lines(spark, monkeypatch):
     assert tables.order_edges(spark, SMALL).rdd.getNumPartitions() >= 10
     plan = catalog.queries()["J3_A3_edges_of_file"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(l_orderkey#\d+L?, 1[01]\)", plan)
+
+
+def test_neighbours_meet_pairs_as_numbers(spark, duck):
+    """No aggregate over pairs of names, and pairs are counted once for both directions."""
+    found = catalog.queries()["J4_neighbours"](spark, SMALL)
+    want = dict(duck.execute(catalog.oracle_sql()["J4_neighbours"]).fetchall())
+    assert {r.self: r.neighbours for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [self#" in plan and "other" not in plan
