@@ -1,4 +1,4 @@
-"""Porter's stemmer as expressions over words, for Spark and, from the same rules, as SQL for DuckDB.
+"""Porter's stemmer: expressions over words for Spark, SQL for DuckDB and, for the words of Arrow batches, a function, all from the same rules.
 
 A rule is (suffix, [(pattern, tail)]).  In each step the rule of the longest suffix that a word has is taken; of its patterns the first
 that matches leaves its first group and the tail; if none does, the word stays.
@@ -6,7 +6,8 @@ that matches leaves its first group and the tail; if none does, the word stays.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,27 @@ def _steps():
     return map(_ordered, STEPS)
 
 
+#: By the last letter of a suffix, as a word whose last letter ends no suffix of a step leaves it as it is.
+_BY_END = [{x: [(s, [(re.compile(p), t) for p, t in ps]) for s, ps in rules if s[-1] == x] for x in {s[-1] for s, _ in rules}} for rules in _steps()]
+
+
+@lru_cache(200_000)
+def stem(word: str) -> str:
+    """What stemmed() makes of a word; those of a task that repeat are stemmed once."""
+    if not SHORTEST <= len(word) <= LONGEST:
+        return word
+    w = "Y" + word[1:] if word[0] == "y" else word
+    for by_end in _BY_END:
+        for suffix, patterns in by_end.get(w[-1], ()):
+            if w.endswith(suffix):
+                for pattern, tail in patterns:
+                    if m := pattern.search(w):
+                        w = w if tail == "=" else m[1] + tail
+                        break
+                break
+    return "y" + w[1:] if w[0] == "Y" else w
+
+
 def stemmed(words: DataFrame, column: str) -> DataFrame:
     """words with the column's words stemmed, one projection for each step, so that no step is written out twice."""
     raw = column + "__raw"

@@ -2,13 +2,13 @@
 
 Words are runs of letters and digits, lower-cased, without Latin accents, and stemmed.  The index is a folder:
 
-    postings/bucket=NN   (term, key, length, positions), sorted by term and key
+    postings/bucket=NN   (term, key, length, positions), each file sorted by term and key
     terms/bucket=NN      (term, df, cf)
     stats                (n_docs, n_tokens)
 
 A term's bucket follows from its first two characters, so a term, or all terms that begin with two or more given characters, are
-in one bucket: a query reads the buckets of its words, and within them the row groups that may hold the terms.  Frequent terms
-are cut by key over several files.
+in one bucket: a query reads the buckets of its words, and within them the row groups that may hold the terms.  A bucket
+is cut by a hash of the key over several files.
 
 A query is a list of phrases, each a list of words; a phrase is in a text where its words follow each other in one column, the
 last of them whole or, with `prefix`, as a beginning.  Phrases are joined by "and" or "or".
@@ -22,10 +22,12 @@ import zlib
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.functions.stem import stemmed
+from lodegraph.functions.stem import stem
 
 #: Latin letters with marks and the letters they are without, by their decomposition.
 _MARKED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for r in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in r}
@@ -34,6 +36,12 @@ ACCENTED, PLAIN = "".join(_MARKED), "".join(_MARKED.values())
 
 HEAD = 2
 
+#: Words that a task looks at together, but for a text that has more.
+WORDS_AT_ONCE = 500_000
+
+#: Files for each partition that the postings are dealt over.
+CUTS = 4
+
 #: FTS ranking constants, and the least idf (fixed values).
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -63,7 +71,43 @@ class Index:
         return self.spark.read.schema("n_docs long, n_tokens long").parquet(f"{self.path}/stats")
 
     def bucket_of(self, term: str) -> int:
-        return zlib.crc32(term[:HEAD].encode()) % self.buckets
+        return _bucket(term, self.buckets)
+
+
+def _bucket(term: str, buckets: int) -> int:
+    return zlib.crc32(term[:HEAD].encode()) % buckets
+
+
+def _posted(batches, buckets: int):
+    """(term, key, length, positions, bucket) of texts (key, length, w): a row for each stem of a text, of some texts at a time by bucket and
+    term, so that the sort behind it merges runs.  Each different word of these texts is stemmed once."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + WORDS_AT_ONCE, "right")))
+            key, length, lists = batch.slice(i, j - i).columns
+            sizes = np.diff(ends[i:j], prepend=ends[i - 1] if i else 0)
+            i = j
+            flat = lists.flatten()
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            coded = flat.dictionary_encode()
+            stems = [stem(w) for w in coded.dictionary.to_pylist()]
+            terms = sorted((_bucket(t, buckets), t) for t in set(stems))
+            place = {t: n for n, (_, t) in enumerate(terms)}
+            held = flat.is_valid().to_numpy(zero_copy_only=False)
+            term = np.array([place[t] for t in stems], np.int64)[coded.indices.drop_null().to_numpy()]
+            text, at = text[held], at[held].astype(np.int32)
+            group = term * len(sizes) + text
+            order = np.argsort(group, kind="stable")  # so positions stay ascending
+            group, at = group[order], at[order]
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            own, named = pa.array(group[first] % len(sizes)), pa.array(group[first] // len(sizes))
+            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(at))
+            bucket, name = pa.array([b for b, _ in terms], pa.int32()), pa.array([t for _, t in terms], pa.string())
+            columns = [name.take(named), key.take(own), length.take(own), positions, bucket.take(named)]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "key", "length", "positions", "bucket"])
 
 
 def build_index(docs: DataFrame, key: str, columns: list[str], path: str, buckets: int = 32) -> Index:
@@ -75,16 +119,17 @@ def build_index(docs: DataFrame, key: str, columns: list[str], path: str, bucket
     gap = F.array(F.lit(None).cast("string"))
     joined = reduce(lambda a, b: F.concat(a, gap, b), lists)
     texts = docs.select(F.col(key).alias("key"), joined.alias("w"), reduce(lambda a, b: a + b, map(F.size, lists)).alias("length"))
-    each = texts.select("key", "length", F.posexplode("w").alias("pos", "term")).filter("term IS NOT NULL")
-    held = stemmed(each, "term").groupBy("term", "key", "length").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    bucket = F.pmod(F.crc32(F.substring("term", 1, HEAD)), F.lit(buckets)).cast("int")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = held.withColumn("bucket", bucket).repartitionByRange(parts, "bucket", "term", "key").sortWithinPartitions("bucket", "term", "key")
+    schema = f"term string, key {docs.schema[key].dataType.simpleString()}, length int, positions array<int>, bucket int"
+    held = texts.select("key", "length", "w").mapInArrow(lambda batches: _posted(batches, buckets), schema)
+    # A hash deals them in one pass, where ranges would have all texts stemmed once more to find their bounds.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
+    cut = F.pmod(F.xxhash64("key"), F.lit(-(-CUTS * parts // buckets)))
+    dealt = held.repartition(parts, "bucket", cut).sortWithinPartitions("bucket", "term", "key")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index = Index(spark, path, buckets, docs.schema[key].dataType.simpleString())
     terms = index.postings.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).alias("cf"))
     terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    stats = texts.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_tokens"))
+    stats = index.terms.agg(F.lit(docs.count()).cast("long").alias("n_docs"), F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"))
     stats.write.mode("overwrite").parquet(f"{path}/stats")
     return index
 
@@ -95,8 +140,8 @@ def phrases_of(spark: SparkSession, query: str) -> list[list[str]]:
     asked = spark.range(0, 1, 1, 1).select(F.posexplode(F.array(*map(F.lit, raw))).alias("at", "text")) if raw else spark.createDataFrame([], "at int, text string")
     rows = asked.select("at", F.posexplode(words(F.col("text"))).alias("pos", "term"))
     out: dict[int, list[str]] = {}
-    for r in sorted(stemmed(rows, "term").collect()):  # the words of one query
-        out.setdefault(r.at, []).append(r.term)
+    for r in sorted(rows.collect()):  # the words of one query
+        out.setdefault(r.at, []).append(stem(r.term))
     return list(out.values())
 
 

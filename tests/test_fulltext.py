@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.functions.stem import stem_sql, stemmed
+from lodegraph.functions.stem import stem, stem_sql, stemmed
 from lodegraph.operators import fulltext
 
 #: Words and stems from the published description of the algorithm, and words at the edges of its rules.
@@ -100,3 +100,25 @@ def test_an_empty_index(spark, tmp_path):
     none = spark.createDataFrame([], "id string, text string")
     made = fulltext.build_index(none, "id", ["text"], f"file://{tmp_path}/index")
     assert fulltext.ranked(made, "a b", "or").collect() == [] and made.stats.first().n_docs == 0
+
+
+def test_stems_of_the_function(stems):
+    assert [x for x in STEMS if stem(x.split(":")[0]) != x.split(":")[1]] == []
+    odd = ["élan", "ys", "yyyed", "ßing", "12ing", "x" * 70 + "ing", "agreed~", "漢字s"]
+    got = stemmed(stems.sparkSession.createDataFrame([(w, w) for w in odd], "word string, got string"), "got").collect()
+    assert {r.word: r.got for r in got} == {w: stem(w) for w in odd}
+
+
+def test_an_index_is_made_in_one_pass_over_the_texts(spark, tmp_path):
+    """Finding ranges of terms, or counting words for the statistics, would split and stem all texts once more."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(TEXTS * 100, "id long, text string, more string").mapInArrow(watched, "id long, text string, more string")
+    made = fulltext.build_index(docs.withColumn("id", F.monotonically_increasing_id()), "id", ["text", "more"], f"file://{tmp_path}/index", buckets=8)
+    assert made.stats.first().n_docs == 700 and made.stats.first().n_tokens == made.terms.agg(F.sum("cf")).first()[0]
+    assert seen.value == 2 * 700  # the postings, and the count of texts
