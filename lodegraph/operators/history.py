@@ -38,6 +38,51 @@ def _climbed(links: DataFrame) -> DataFrame:
     return saved(links.filter("done").union(both))
 
 
+#: Steps of a path that are put together before they are set behind the path of the step above them.
+PATH_STEPS = 16
+
+
+def _with_paths(first: DataFrame, rooted: DataFrame) -> DataFrame:
+    """rooted (step_id, root, depth) with path; first: (step_id, up).
+
+    Each step gets the end of its path, from the nearest step above whose depth is a multiple of PATH_STEPS; then whole paths go from one
+    such step to the next ones.  So only every PATH_STEPS-th step's path is moved, and the others are written once, beside those
+    that begin alike.  Chains of such steps are put together by the same means: rounds grow with the logarithm of the depth.
+    """
+    most = rooted.agg(F.max("depth")).first()[0] or 0
+    steps = rooted.join(first.select("step_id", "up"), "step_id").withColumn("part", F.col("step_id").cast("string"))
+    return _joined(saved(steps), most).select("step_id", "root", "depth", "path")
+
+
+def _joined(steps: DataFrame, most: int) -> DataFrame:
+    """steps (step_id, up, root, depth, part), depths up to `most` counted in links, with path: the parts from the root to the step."""
+    if most == 0:
+        return steps.withColumn("path", F.col("part"))
+    # A tail is the part of a step and of those above it, `far` links in all; doubled until it ends below a multiple of PATH_STEPS.
+    far = F.when(F.col("depth") == 0, 0).otherwise((F.col("depth") - 1) % PATH_STEPS + 1)
+    tails = steps.select("step_id", "up", "root", "depth", F.col("part").alias("tail"), F.when(F.col("depth") == 0, 0).otherwise(1).alias("n"), far.alias("far"))
+    reached = 1
+    while reached < min(most, PATH_STEPS):
+        above = tails.select(F.col("step_id").alias("up"), F.col("up").alias("up2"), F.col("tail").alias("tail2"), F.col("n").alias("n2"))
+        met = tails.join(above, "up", "left")
+        more = F.col("n") < F.col("far")
+        tails = saved(met.select(
+            "step_id", F.when(more, F.col("up2")).otherwise(F.col("up")).alias("up"), "root", "depth",
+            F.when(more, F.concat_ws("/", "tail2", "tail")).otherwise(F.col("tail")).alias("tail"),
+            F.when(more, F.col("n") + F.col("n2")).otherwise(F.col("n")).alias("n"), "far",
+        ))
+        reached *= 2
+    heads = tails.filter("depth > 0").select(F.col("up").alias("step_id")).distinct()
+    marked = tails.join(heads, "step_id", "left_semi")
+    level = F.ceil(F.col("depth") / PATH_STEPS).cast("long")
+    marked = saved(marked.select("step_id", "up", "root", level.alias("depth"), F.col("tail").alias("part")))
+    whole = _joined(marked, -(-(most - 1) // PATH_STEPS)).select(F.col("step_id").alias("up"), F.col("path").alias("head"))
+    below = tails.filter("depth > 0").join(whole.hint("shuffle_merge"), "up").withColumn("path", F.concat_ws("/", "head", "tail"))
+    top = tails.filter("depth = 0").withColumn("path", F.col("tail"))
+    out = ("step_id", "up", "root", "depth", "path")
+    return top.select(*out).union(below.select(*out))
+
+
 def step_tree(steps: DataFrame) -> DataFrame:
     """(step_id, root, depth, path, on_cycle): every step once, whatever the depth; steps whose parent is unknown are roots.
 
@@ -60,14 +105,7 @@ def step_tree(steps: DataFrame) -> DataFrame:
             break
         open_ = left
     rooted = links.filter("done").select("step_id", F.col("up").alias("root"), F.col("hops").alias("depth"))
-    # Paths are put together by the same doubling, over steps with a root alone: those of a cycle would grow for ever.
-    inner = first.join(rooted.select("step_id"), "step_id", "left_semi")
-    paths = saved(inner.select("step_id", "up", "done", F.col("step_id").cast("string").alias("path")))
-    while not paths.filter("NOT done").isEmpty():
-        above = paths.select(F.col("step_id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("done").alias("done2"))
-        met = paths.filter("NOT done").join(above, "up").select("step_id", F.col("up2").alias("up"), F.col("done2").alias("done"), F.concat_ws("/", "path2", "path").alias("path"))
-        paths = saved(paths.filter("done").union(met))
-    tree = rooted.join(paths.select("step_id", "path"), "step_id").withColumn("on_cycle", F.lit(False))
+    tree = _with_paths(first, saved(rooted)).withColumn("on_cycle", F.lit(False))
     if not open_:
         return tree
     # Beyond as many hops as there are steps left, an ancestor is on the cycle, and the least step on the way from it is the cycle's.

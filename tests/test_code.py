@@ -117,6 +117,25 @@ def test_deep_chains_and_cycles_of_parents(spark):
     assert history.step_tree(spark.createDataFrame([], "step_id long, parent_step_id long")).collect() == []
 
 
+def test_paths_are_not_moved_whole_round_by_round(spark, monkeypatch):
+    """Chains of 200 and a comb: what is saved on the way holds far fewer characters than the paths do."""
+    rows = [(1000 * c + k, 1000 * c + k - 1 if k else None) for c in range(5) for k in range(200)]
+    rows += [(100_000 + k, k - 1) for k in range(1, 100)]
+    held, saved = [], history.saved
+
+    def watched(df):
+        out = saved(df)
+        held.extend(out.agg(F.coalesce(F.sum(F.length(c)), F.lit(0))).first()[0] for c in out.columns if c in ("path", "tail", "part"))
+        return out
+
+    monkeypatch.setattr(history, "saved", watched)
+    got = {r.step_id: r for r in history.step_tree(spark.createDataFrame(rows, "step_id long, parent_step_id long")).collect()}
+    for c in range(5):
+        assert all(got[1000 * c + k].path == "/".join(str(1000 * c + i) for i in range(k + 1)) for k in range(200))
+    assert all(got[100_000 + k].path == got[k - 1].path + f"/{100_000 + k}" and got[100_000 + k].depth == k for k in range(1, 100))
+    assert sum(held) < sum(len(r.path) for r in got.values())
+
+
 def test_calls_and_paths_meet_few_rows(spark):
     from lodegraph.operators import relational, resolve
 
