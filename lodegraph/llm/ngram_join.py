@@ -16,7 +16,7 @@ these (once in 2**64 for a given pair) no link is lost and none is made up.
   ROUNDS of them, by smallest hash, so that near copies pick the same; those that picked the same are dealt into blocks, and all
   pairs of a block are compared inside a task, which returns a spanning forest.  Then only pairs are left that share a hot
   shingle, weren't in one block and aren't connected yet: what is outside a shingle's largest component meets the other
-  components there, under the same filters.  So every pair is compared unless it is connected already, and a pair
+  components there, under the same filters, which the join holds by itself: by shingle and band of sizes.  So every pair is compared unless it is connected already, and a pair
   outside the blocks is verified once.
 
 Defined cases: no words or a null text: an empty set that links with nothing; fewer words than a shingle: the whole
@@ -45,6 +45,8 @@ HOT = 32
 ROUNDS = 2
 BLOCK = 256
 CHUNKS = 64
+#: Bands of set sizes for each factor of e.
+BANDS = 64
 #: Buckets of counts: one for each BUCKET_BYTES of text, within these bounds.
 BUCKET_BYTES, LEAST_BITS, MOST_BITS = 256, 20, 24
 #: Steps of the scale of counts for each doubling.
@@ -231,32 +233,32 @@ def _apart(a: str, b: str) -> str:
 
 
 def _pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, open, shared) of classes that share prefix grams, and how many; open: at one of them they pass the length and the
-    positional filter (the first one common to both is where the filter is widest)."""
+    """(a, b, open) of classes that share prefix grams; open: at one of them they pass the length and the positional filter
+    (the first one common to both is where the filter is widest)."""
     met = _side(rows, "a").join(_side(rows, "b"), "gram").filter("a < b")
-    return met.groupBy("a", "b").agg(F.some(F.expr(_kept(num, den))).alias("open"), F.count("*").alias("shared"))
+    return met.groupBy("a", "b").agg(F.some(F.expr(_kept(num, den))).alias("open"))
 
 
 def _rest(hot: DataFrame, comps: DataFrame, cold: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that share a hot gram, pass the filters, were in no block together and lie in different components.
+    """Pairs (a, b) that share a hot gram, pass the filters there, were in no block together and lie in different components.
 
-    Pairs that are open in cold are decided already; of others, cold says how many more grams
-    their prefixes share.  hot: gram, cls, n, pos, v (the vertex of the class), blocks.  Of two members of a gram one at least is outside the gram's
-    largest component.
+    Pairs that are open in cold are decided already.  hot: gram, cls, n, pos, v (the vertex of the class), blocks.  Of two
+    members of a gram one at least is outside the gram's largest component.  By both filters a place in a prefix says which sizes
+    the other set may have, so a guest only meets the bands of these sizes.
     """
     rows = hot.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     sizes = rows.groupBy("gram", "comp").agg(F.count("*").alias("k"))
     tops = sizes.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
     open_ = written(rows.join(tops.filter("comps > 1").select("gram", F.col("top.comp").alias("top")), "gram"), "open")
-    guests = _side(open_.filter("comp <> top"), "a", F.col("comp").alias("ca"), F.col("blocks").alias("ba"))
-    hosts = _side(open_, "b", F.col("comp").alias("cb"), F.col("blocks").alias("bb"), "top")
-    met = guests.join(hosts, "gram").filter("ca <> cb AND (cb = top OR a < b)").filter(_apart("ba", "bb")).filter(f"least(na, nb) * {den} >= greatest(na, nb) * {num}")
-    after = F.greatest(*[F.ceil(F.col(x) * num / den) - 1 for x in ("na", "nb")])
-    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("both"), after.alias("after"))
-    pairs = pairs.agg(F.countDistinct("gram").alias("w"), F.some(F.expr(_kept(num, den))).alias("here")).filter("here")
-    pairs = pairs.join(cold, ["a", "b"], "left").filter("open IS NULL OR NOT open")
-    # What follows a prefix has at most as many common members as it is long, so so many of the prefixes' must be common.
-    return pairs.filter(f"(w + coalesce(shared, 0) + after) * {num + den} >= {num} * both").select("a", "b")
+    band = lambda x: f"CAST(floor(ln({x}) * {BANDS}) AS INT)"
+    least, most = f"(n * {num} + {den - 1}) div {den}", f"least(n * {den} div {num}, (n - pos) * {num + den} div {num} - n)"
+    guests = open_.filter("comp <> top").withColumns({"least": F.expr(least), "most": F.expr(most)}).filter("least <= most")
+    guests = guests.withColumn("band", F.explode(F.expr(f"sequence({band('least')}, {band('most')})")))
+    guests = _side(guests, "a", "band", F.col("comp").alias("ca"), F.col("blocks").alias("ba"))
+    hosts = _side(open_, "b", F.expr(band("n")).alias("band"), F.col("comp").alias("cb"), F.col("blocks").alias("bb"), "top")
+    met = guests.join(hosts, ["gram", "band"]).filter("ca <> cb AND (cb = top OR a < b)").filter(_kept(num, den)).filter(_apart("ba", "bb"))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(cold.filter("open"), ["a", "b"], "left_anti")
 
 
 def overlaps(sets: list[np.ndarray], columns: int = 16_384) -> np.ndarray:

@@ -134,6 +134,34 @@ def test_jaccard_with_hot_shingles(spark, monkeypatch, block):
     assert got == brute_jaccard(pairs)
 
 
+def joined_rows(df):
+    """The most rows that a join of df's plan made, once df has run."""
+    def walk(plan):
+        if hasattr(plan, "finalPhysicalPlan") and "AdaptiveSparkPlan" in plan.nodeName():
+            plan = plan.finalPhysicalPlan()
+        if "QueryStage" in plan.nodeName():
+            plan = plan.plan()
+        made = plan.metrics().get("numOutputRows") if "Join" in plan.nodeName() else None
+        return max([made.get().value() if made is not None and made.isDefined() else 0, *(walk(plan.children().apply(i)) for i in range(plan.children().size()))])
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_unlike_members_of_a_hot_shingle_meet_only_where_filters_pass(spark):
+    """A family shares hot shingles; members with many shingles of their own have these late in their prefixes, and meet nobody."""
+    members = [(g, b"%04d" % i, 100, 15 + g if i % 2 else 5 + g, i, ["a%d" % i, "b%d" % i]) for i in range(600) for g in range(4)]
+    hot = spark.createDataFrame(members, "gram long, cls binary, n int, pos int, v long, blocks array<string>")
+    comps = spark.createDataFrame([(i, 0) for i in range(2, 600, 2)], "v long, comp long")
+    cold = spark.createDataFrame([], "a binary, b binary, open boolean, shared long")
+    rest = ngram_join._rest(hot, comps, cold, 4, 5)
+    assert joined_rows(rest) <= len(members)
+    early = [(m[0], m[1], m[2], 5 + m[0], *m[4:]) if m[4] in (1, 3) else m for m in members]
+    rest = ngram_join._rest(spark.createDataFrame(early, hot.schema), comps, cold, 4, 5)
+    want = {(min(a, b), max(a, b)) for a in (1, 3) for b in [*range(0, 600, 2), 1, 3] if a != b}
+    assert {(int(r.a), int(r.b)) for r in rest.collect()} == want
+
+
 def test_jaccard_with_crowded_buckets(spark, monkeypatch):
     """Shingles of buckets with many go to several groups by class; no link is lost by that."""
     cut = ngram_join.prefixes
