@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodegraph.operators.text import spread as spread_out
 from lodegraph.sources.tables import table
 
 #: (id, folder, extension, path, text): one file for each part; what a file holds goes by remainders of its id.
@@ -92,12 +93,14 @@ SELECT concat('types/n', n_nationkey, '.ts') AS path, concat('export type N', n_
 TABLES = ("nation", "part", "supplier", "orders", "events", "customer", "documents")
 
 
-def made(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
-    """One of the statements above over the tables of sf_dir."""
+def made(spark: SparkSession, sf_dir: str, statement: str, spread: bool = False) -> DataFrame:
+    """One of the statements above over the tables of sf_dir; with spread, keys are dealt to all cores before texts are made of
+    them, for work in Python on tables of few splits."""
     for t in TABLES:
         if "{" + t + "}" in statement:
             view = f"made_{t}_{uuid.uuid4().hex}"
-            table(spark, sf_dir, t).createOrReplaceTempView(view)
+            rows = table(spark, sf_dir, t)
+            (spread_out(rows) if spread else rows).createOrReplaceTempView(view)
             statement = statement.replace("{" + t + "}", view)
     return spark.sql(statement)
 

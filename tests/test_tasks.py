@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from conftest import SMALL
 
 from lodegraph.plans import catalog
@@ -25,3 +26,9 @@ def test_neighbours_meet_pairs_as_numbers(spark, duck):
     assert {r.self: r.neighbours for r in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [self#" in plan and "other" not in plan
+
+
+@pytest.mark.parametrize("name", ["C1_C5_scan_text", "C1_C2_C3_C4_C5_C12_findings"])
+def test_scans_use_all_cores(spark, name):
+    """A table of files has few splits, but its texts are scanned in as many tasks as there are cores."""
+    assert catalog.queries()[name](spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
