@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from functools import lru_cache
+from functools import cache, lru_cache
 from itertools import islice
 from typing import Iterator
 
@@ -40,24 +40,39 @@ def fnv1a(data: bytes) -> int:
 class Hashed:
     """Words of one task by number, each hashed once: 64 signs for SimHash and 128 salted values for MinHash.
 
-    keep bounds the words held (about 600 bytes each); beyond it the store starts anew.  salts=0 leaves MinHash out.
+    keep bounds the words held (about 600 bytes each); beyond it the half of them at most that most texts had stays, but for
+    words of one text alone.  salts=0 leaves MinHash out.
     """
 
-    def __init__(self, salts: int = SALTS, keep: int = 100_000, chunk: int = 20_000) -> None:
+    def __init__(self, salts: int = SALTS, keep: int = 250_000, chunk: int = 20_000) -> None:
         self.keep, self.chunk, self.salted = keep, chunk, [s.to_bytes(4, "little") for s in range(salts)]
         self._empty()
 
     def _empty(self) -> None:
         self.at: dict[str, int] = {}
         self.signs, self.mins = np.empty((1024, 64), np.int8), np.empty((1024, len(self.salted)), "<u4")
+        self.met = np.zeros(1024, np.int64)
+
+    def _sweep(self, room: int) -> None:
+        """Keep the words that several texts had since the last time, the more of them the fewer stay."""
+        n, least = len(self.at), 2
+        while np.count_nonzero(self.met[:n] >= least) > self.keep // 2:
+            least *= 2
+        stay = np.flatnonzero(self.met[:n] >= least)
+        if len(stay) + room > self.keep:
+            return self._empty()
+        self.signs[: len(stay)], self.mins[: len(stay)] = self.signs[stay], self.mins[stay]
+        words = list(self.at)
+        self.at = {words[i]: k for k, i in enumerate(stay.tolist())}
+        self.met[:] = 0
 
     def _number(self, word: str) -> int:
         i = self.at.setdefault(word, len(self.at))
         if i == len(self.signs):
-            self.signs, self.mins = (np.concatenate([m, np.empty_like(m)]) for m in (self.signs, self.mins))
+            self.signs, self.mins, self.met = (np.concatenate([m, np.zeros_like(m)]) for m in (self.signs, self.mins, self.met))
         data, sha = word.encode(), hashlib.sha256
         self.signs[i] = np.unpackbits(np.frombuffer(sha(data).digest()[:8], np.uint8), bitorder="little").astype(np.int8) * 2 - 1
-        self.mins[i] = np.frombuffer(b"".join([sha(s + data).digest()[:4] for s in self.salted]), "<u4")
+        self.mins[i] = np.frombuffer(b"".join([sha(s + data).digest() for s in self.salted]), "<u4")[::8]
         return i
 
     def sketches(self, text: str | None) -> tuple[int, np.ndarray]:
@@ -68,13 +83,20 @@ class Hashed:
         each = iter(counts.items())
         while part := list(islice(each, self.chunk)):
             if len(self.at) + len(part) > self.keep:
-                self._empty()
+                self._sweep(len(part))
             ids = np.array([self.at[w] if w in self.at else self._number(w) for w, _ in part])
+            self.met[ids] += 1
             votes += np.array([n for _, n in part]) @ self.signs[ids]
             np.minimum(mins, self.mins[ids].min(axis=0), out=mins)
         return int(np.packbits(votes > 0, bitorder="little").view("<i8")[0]), mins
 
 
+@cache
+def held() -> Hashed:
+    """One for each worker process, so later tasks hash only what is new to it."""
+    return Hashed()
+
+
 def simhash(text: str | None) -> int:
     return Hashed(0).sketches(text)[0]
 
@@ -123,7 +145,7 @@ def simhash64(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def minhash128(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    hashed = Hashed()
+    hashed = held()
     for texts in batches:
         yield pd.Series([hashed.sketches(t)[1].astype("int64") for t in texts], dtype=object)
 

@@ -239,3 +239,25 @@ def test_postings_shuffle_no_words(spark):
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.id, r.term, r.tf, r.length) for r in made.collect())
     assert got == [(1, "cat", 2, 4), (1, "the", 2, 4), (4, "cat", 1, 2), (4, "é", 1, 2), (6, "dog", 3, 3)]
+
+
+def test_words_of_many_texts_stay_in_a_full_store(monkeypatch):
+    """Words of one text alone make room for new ones; a word that many texts have is hashed once, whatever comes between."""
+    made = []
+    number = sketch.Hashed._number
+    monkeypatch.setattr(sketch.Hashed, "_number", lambda self, word: made.append(word) or number(self, word))
+    hashed = sketch.Hashed(keep=50, chunk=20)
+    for i in range(200):
+        assert hashed.sketches(f"the und a{i} b{i} c{i}")[0] == sketch.simhash(f"the und a{i} b{i} c{i}")
+        assert len(hashed.at) <= 50
+    tight = [w for w in made if w in ("the", "und")]
+    assert len(tight) == 2 + 2 * 200  # the store itself, and each call of simhash anew
+
+
+def test_most_similar_with_values_of_equal_low_bytes(spark):
+    """Values that share their low bytes alone are not equal."""
+    own = np.arange(128, dtype="<u4")
+    rows = [("1en", 0, 0, own.tobytes())] + [("1en", k, 0, np.where(np.arange(128) < k, own, own + 256 * k).astype("<u4").tobytes()) for k in range(1, 40)]
+    prints = spark.createDataFrame([(a, b, c, bytearray(d)) for a, b, c, d in rows], "kind string, key long, simhash long, mins binary")
+    got = text.most_similar(prints, F.col("key") == 0, 5).orderBy("rank").collect()
+    assert [(r.key, r.score) for r in got] == [(k, (128 + k) / 256) for k in range(39, 34, -1)]
