@@ -3,12 +3,15 @@
 Each block is coded on its own, from a fresh model, and carries a checksum of its ids.  Its header lists which ids occur in it;
 the coder sees them as codes 0, 1, 2, ...  For every id three models speak: order 2 and order 1 each name the id that last
 followed the two ids (the one id) before, order 0 gives every code of the block a share by how often it came so far.  How
-far orders 2 and 1 are to be trusted is a logistic mix of two adaptive estimates (how often a context this sure was right, and
-what happened at the last ids); its weights are learned as the block goes, for each order on its own.  What they leave is
-shared out by order 0.  So every id is one step of one range coder, with 12 bits for who was right and 15 for order 0.
+far orders 2 and 1 are to be trusted is a logistic mix of three adaptive estimates (how often an id named this surely was right,
+how often after the same last steps, and both); its weights are learned as the block goes, for each order on its own.  What
+they leave is shared out by order 0.  So every id is one step of one range coder, with 12 bits for who was right and 12 for
+order 0 (more in blocks of more than 2048 different ids).  What is learned from the steps is worked in at renewals.
 
-All arithmetic is on whole numbers, so a file reads the same on every machine.  Numpy codes many blocks side by side, one id
-of each at a time; the blocks know nothing of each other, so a reader may decode any of them alone.
+All results are whole numbers (two quotients are taken in floating point, which has them exactly), so a file reads the same on
+every machine.  A block is coded in STRETCHES stretches side by side, each with a range coder of its own; they share the block's
+model, which learns from all of them at each step.  Numpy codes many blocks side by side, one id of each stretch at a time;
+the blocks know nothing of each other, so a reader may decode any of them alone.
 
 Files hold documents in ascending order of id: cuts of the ids deal documents to ranges, ids of tokens (not texts) are shuffled
 by range and sorted, each task writes the blocks of its ranges, and block headers say which documents end where.
@@ -34,235 +37,325 @@ from lodegraph.llm.common import small, written
 from lodegraph.llm.tokens import encoder
 
 BLOCK_IDS = 8_192
-#: Blocks that are coded side by side.
-LANES = 1_024
+#: Blocks that are coded side by side, and stretches of a block that are: these share the block's model.
+LANES, STRETCHES = 512, 8
 #: A range holds about so many bytes of text, but there are never more than MOST_RANGES: a task streams through its range.
 RANGE_BYTES, MOST_RANGES = 20_000_000, 20_000
+#: Texts that are encoded at once.
+TEXTS = 2_048
 SLOTS = 4_096
-ONE, WHOLE = 12, 15
-LEAST, SIXTEEN, LOW, HIGH = np.uint64(1 << 32), np.uint64(16), np.uint64(0xFFFFFFFF), np.uint64(32)
-BASE = np.uint64(ONE + WHOLE)
+#: Bits for who was right, and at least for order 0 (more for blocks with more different ids).
+ONE, LEAST_WHOLE = 12, 12
+LEAST, LOW, TOLD = 1 << 32, (1 << 32) - 1, 1 << ONE
 _p = np.arange(1 << ONE) + 0.5
 STRETCH = np.clip(np.round(256 * np.log(_p / ((1 << ONE) - _p))), -2047, 2047).astype(np.int64)
-SQUASH = np.clip(np.round((1 << ONE) / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 24, (1 << ONE) - 48).astype(np.int64)
-HIST = np.array([(h << 1 & 7) | k for h in range(8) for k in (0, 1)])
-UP = np.array([0, 0, 0, 0, 1, 2, 3, 3])  # level after a miss, after a hit
+#: The bounds leave each of order 2, order 1 and order 0 a share.
+SQUASH = np.clip(np.round((1 << ONE) / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 64, (1 << ONE) - 64).astype(np.int64)
+#: Contexts of an order: [how sure, last three steps named or not, whether both orders name the same id].
+CONTEXTS = (4, 8, 2)
+#: How often ids named this surely are right, before a block says more (of 2**ONE), and the weights it starts from (of 2**16).
+PRIOR = np.array([500, 1_600, 2_400, 3_300]).reshape(4, 1, 1)
+WEIGHTS = (20_000, 20_000, 30_000)
+#: Order 0 and the shares are renewed after FIRST steps (even), then twice as many each time up to EVERY, then always after EVERY.
+FIRST, EVERY = 8, 256
+
+
+def whole_bits(size: int) -> int:
+    """Bits of order 0 in a block of so many different ids."""
+    return max(LEAST_WHOLE, (size - 1).bit_length() + 1)
 
 
 class Model:
-    """The adaptive state of many blocks, a lane each; sizes: how many codes each block has."""
+    """The adaptive state of many blocks, STRETCHES lanes each; sizes: how many codes each block has; whole: the bits of order 0.
 
-    def __init__(self, sizes: list[int]):
-        self.sizes = np.asarray(sizes)
-        lanes, self.width = len(sizes), int(max(sizes))
-        self.lane = np.arange(lanes)
-        # What came last, as code * 4 + how sure: all slots of order 2, then those of order 1.
-        self.tab = np.zeros(lanes * (SLOTS + self.width), np.int32)
-        self.at = np.stack([self.lane * SLOTS, lanes * SLOTS + self.lane * self.width])
-        self.at1, self.at0 = self.lane * self.width, self.lane * (self.width + 1)
-        self.count = (np.arange(self.width) < self.sizes[:, None]).astype(np.int32)
-        self.flat = self.count.reshape(-1)
-        # How often the named id was right, by [estimate, order, lane, context]; estimates: sureness, last hits.
-        self.shares = np.full(4 * lanes * 16, 1 << 9, np.int64)
-        self.base = (np.arange(4).reshape(2, 2, 1) * lanes + self.lane) * 16
-        self.weight = np.full((2, 2, lanes), 40_000, np.int64)
-        self.ctx = np.zeros((2, 2, lanes), np.int64)
-        self.ix = np.zeros((2, lanes), np.int64)
-        self.hist = np.zeros(lanes, np.int64)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.cum = np.zeros((lanes, self.width + 1), np.int64)
-        self.cflat = self.cum.reshape(-1)
-        self.step, self.due = 0, 16
-        self.renew()
+    A step only looks up shares and notes what came; all that is learned from it waits for the next renewal.
+    """
 
-    def renew(self) -> None:
-        """Order 0 from the counts so far: cumulative shares of 2**WHOLE, at least 1 for each code of the block."""
-        free = ((1 << WHOLE) - self.sizes)[:, None]
-        total = self.count.sum(1, dtype=np.int64, keepdims=True)
-        freq = self.count * (free * 65536 // total)
+    def __init__(self, sizes: list[int], whole: int, reads: bool):
+        self.sizes, self.whole, self.reads = np.asarray(sizes), whole, reads
+        blocks, self.width = len(sizes), int(max(sizes))
+        block = np.repeat(np.arange(blocks), STRETCHES)
+        lanes = len(block)
+        # What came last, as code * 4 + how sure: all slots of order 2, then those of order 1.
+        self.tab = np.zeros(blocks * (SLOTS + self.width), np.uint16 if self.width <= 1 << 14 else np.int32)
+        self.at = np.stack([block * SLOTS, blocks * SLOTS + block * self.width])
+        self.at0 = block * self.width
+        self.base = np.stack([block * 128, block * 128 + 64])
+        self.ix, self.ctx = self.at.copy(), np.zeros((2, lanes), np.int64)
+        self.hist = np.zeros(lanes, self.tab.dtype)
+        self.before = np.zeros(lanes, np.int64)
+        self.kind = np.int32 if whole <= 14 else np.int64
+        # Of order 0: how often each code came; then its first share and its number of shares in one number.
+        self.count = (np.arange(self.width) < self.sizes[:, None]).astype(self.kind)
+        # Of orders 2 and 1: how often a context came and was right, by [lane, order, *CONTEXTS].
+        self.came, self.right = np.zeros((2, blocks, 2, *CONTEXTS), np.int64)
+        self.weight = np.zeros((3, blocks, 2, 1, 1, 1), np.int64) + np.reshape(WEIGHTS, (3, 1, 1, 1, 1, 1))
+        self.noted = np.zeros((EVERY // 2, 2, lanes), np.uint8)
+        self.codes_seen = np.zeros((EVERY, lanes), np.uint16)
+        self.step, self.due, self.k = 0, FIRST, 0
+        self.share()
+        self.mix()
+
+    def share(self) -> None:
+        """Order 0 from the counts so far: shares of 2**whole, at least 1 for each code of the block."""
+        free = (1 << self.whole) - self.sizes
+        freq = self.count * (free * 65536 // self.count.sum(1)).astype(self.kind)[:, None]
         freq >>= 16
         freq += 1
-        np.cumsum(freq, axis=1, out=self.cum[:, 1:])
-        for i, s in enumerate(self.sizes):
-            self.cum[i, s:] = 1 << WHOLE
-
-    def look(self) -> tuple[np.ndarray, ...]:
-        """(id of order 2, id of order 1, share of order 2, share of order 1), shares of 2**ONE, with room for order 0."""
-        ix, ctx = self.ix, self.ctx
-        h = self.last * 40503
-        h += self.before * 30011
-        h >>= 3
-        h &= SLOTS - 1
-        ix[0] = h
-        ix[1] = self.last
-        ix += self.at
-        self.got = got = self.tab.take(ix, mode="clip").astype(np.int64)
-        self.codes = codes = got >> 2
-        same = self.same = codes[0] == codes[1]
-        self.level = got & 3
-        np.add(self.level, self.level, out=ctx[0])
-        np.add(self.hist, self.hist, out=ctx[1, 0])
-        ctx[1, 1] = ctx[1, 0]
-        ctx += same
-        ctx += self.base
-        self.known = self.shares.take(ctx, mode="clip")
-        self.s = s = STRETCH.take(self.known, mode="clip")
-        z = s * self.weight
-        z = z[0] + z[1]
-        z >>= 16
-        z += 2048
-        self.p = p = SQUASH.take(z, mode="clip")
-        p1 = ((1 << ONE) - p[0]) * p[1]
-        p1 >>= ONE
-        np.maximum(p1, 1, out=p1)
-        p1 *= ~same
-        return codes[0], codes[1], p[0], p1
+        freq *= np.arange(self.width) < self.sizes[:, None]
+        freq[:, 0] += (1 << self.whole) - freq.sum(1)
+        first = np.cumsum(freq, axis=1, dtype=self.kind)
+        first -= freq
+        first <<= self.whole + 1
+        first |= freq
+        self.cf = first.reshape(-1)
+        if self.reads:  # which code each share belongs to
+            codes = np.broadcast_to(np.arange(self.width, dtype=np.uint16), freq.shape)
+            self.owner = np.repeat(codes.reshape(-1), freq.reshape(-1))
+
+    def mix(self) -> None:
+        """The share of each context of orders 2 and 1: three estimates (by sureness, by the last steps, by both), mixed."""
+        n, h = self.came, self.right
+        by_level = (h.sum(4, keepdims=True) * TOLD + 2 * PRIOR) // (n.sum(4, keepdims=True) + 2)
+        by_last = (h.sum(3, keepdims=True) * TOLD + 2_000) // (n.sum(3, keepdims=True) + 2)
+        by_both = (h * TOLD + 4 * by_level) // (n + 4)
+        top = TOLD - 1
+        self.told = [STRETCH[np.minimum(p, top)] for p in (by_level, by_last, by_both)]
+        z = sum(w * s for w, s in zip(self.weight, self.told))
+        p = SQUASH.take((z >> 16) + 2048, mode="clip")
+        self.p = p.copy()
+        p[:, 1, :, :, 1] = 0  # order 1 has nothing to add
+        self.shares = p.reshape(-1).astype(np.int32)
+
+    def renew(self) -> None:
+        """Learn from the steps since the last time."""
+        blocks, k = len(self.sizes), self.k
+        at = self.codes_seen[:k] + self.at0
+        self.count += (24 * np.bincount(at.reshape(-1), minlength=self.count.size)).astype(self.kind).reshape(self.count.shape)
+        noted = self.noted[: k // 2]
+        at = noted + 2 * self.base
+        asked = ~((noted[:, 0] | noted[:, 0] >> 1) & 1).astype(bool)  # order 1, where order 2 was wrong and it had another id
+        every = np.concatenate([at[:, 0].reshape(-1), at[:, 1][asked]])
+        found = np.bincount(every, minlength=256 * blocks).reshape(blocks, 2, *CONTEXTS, 2)
+        n, h = found.sum(-1), found[..., 1]
+        err = h * TOLD - n * self.p
+        total = n.sum((2, 3, 4), keepdims=True) + 16
+        for w, s in zip(self.weight, self.told):
+            w += np.clip((s * err).sum((2, 3, 4), keepdims=True) // total, -16_000, 16_000)
+        self.came += n
+        self.right += h
+        self.k = 0
+        self.share()
+        self.mix()
+
+    def look(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of order 2 and order 1, of 2**ONE, with room for order 0; the ids that they name are in codes."""
+        got = self.tab.take(self.ix, mode="clip")
+        self.codes = got >> 2
+        got &= 3
+        self.level = got
+        self.mark = got << 4
+        self.mark |= self.hist
+        self.mark |= self.codes[0] == self.codes[1]
+        np.add(self.base, self.mark, out=self.ctx)
+        two, one = self.shares.take(self.ctx, mode="clip")
+        one *= TOLD - two
+        one >>= ONE
+        return two, one
 
     def learn(self, x: np.ndarray, hits: np.ndarray) -> None:
         """x: the codes that came; hits: whether order 2, whether order 1 had named them."""
-        goal = hits * (1 << ONE)
-        err = goal - self.p
-        told = ~(hits[0] | self.same)
-        err[1] *= told
-        step = self.s * err
-        step >>= 10
-        self.weight += step
-        d = goal - self.known
-        d[:, 1] *= told
-        d >>= 4
-        d += self.known
-        self.shares[self.ctx] = d
-        self.level += hits * 4
-        new = UP.take(self.level, mode="clip")
-        new += x << 2
-        self.tab[self.ix] = new
-        self.flat[self.at1 + x] += 24
-        self.hist += self.hist
-        self.hist += hits[0] | hits[1]
-        self.hist &= 7
-        self.before, self.last = self.last, x
+        if self.k & 1:  # orders 2 and 1 learn from every other step
+            self.mark <<= 1
+            self.mark |= hits
+            self.noted[self.k >> 1] = self.mark
+        self.codes_seen[self.k] = x
+        self.k += 1
+        level = self.level
+        level += 1
+        np.minimum(level, 3, out=level)
+        level *= hits
+        level += x.astype(level.dtype) << 2
+        self.tab[self.ix] = level
+        self.hist |= hits[0] | hits[1]  # its lowest bit is free for `same`
+        self.hist <<= 1
+        self.hist &= 14
+        last = x.astype(np.int64)
+        ix = self.ix
+        np.multiply(last, 40503, out=ix[0])
+        ix[0] += self.before
+        ix[0] >>= 3
+        ix[0] &= SLOTS - 1
+        ix[1] = last
+        ix += self.at
+        last *= 30011
+        self.before = last
         self.step += 1
         if self.step == self.due:
             self.renew()
-            self.due += min(self.due, 1024)
+            self.due += min(self.due, EVERY)
+
+
+def by_bits(sizes: list[int]) -> list[tuple[int, list[int]]]:
+    """(bits of order 0, the blocks that have them): a block's bits go by its own size, whoever is coded beside it."""
+    bits = [whole_bits(s) for s in sizes]
+    return [(w, [i for i, b in enumerate(bits) if b == w]) for w in sorted(set(bits))]
 
 
 def encode_blocks(blocks: list[np.ndarray], sizes: list[int]) -> list[bytes]:
     """The coded bytes of each block of codes; sizes: how many codes each has."""
-    lanes, n = len(blocks), np.array([len(b) for b in blocks])
-    width, least = int(n.max()), int(n.min())
+    out: list[bytes] = [b""] * len(blocks)
+    for whole, some in by_bits(sizes):
+        for i, payload in zip(some, _encode([blocks[i] for i in some], [sizes[i] for i in some], whole)):
+            out[i] = payload
+    return out
+
+
+def stretches(n: int) -> list[tuple[int, int]]:
+    """Where the stretches of a block of n ids start and end; the last may be shorter or empty."""
+    each = -(-n // STRETCHES)
+    return [(min(n, i * each), min(n, (i + 1) * each)) for i in range(STRETCHES)]
+
+
+def _encode(blocks: list[np.ndarray], sizes: list[int], whole: int) -> list[bytes]:
+    parts = [b[i:j] for b in blocks for i, j in stretches(len(b))]
+    lanes, n = len(parts), np.array([len(p) for p in parts])
+    width, least, base, mask = int(n.max()), int(n.min()), ONE + whole, (1 << (whole + 1)) - 1
     ids = np.zeros((width, lanes), np.uint16)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    m, lane = Model(sizes), np.arange(lanes)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 47, np.uint64)
-    words, used = np.zeros((lanes, width * 3 // 4 + 64), np.int32), np.zeros(lanes, np.int64)
+    for i, p in enumerate(parts):
+        ids[: len(p), i] = p
+    m, at = Model(sizes, whole, False), np.zeros(lanes, np.int64)
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, 1 << 47, np.int64)
+    # What may go out at each step, and whether it does.
+    words, sent, k = np.zeros((width + 64, lanes), np.int32), np.zeros((width + 64, lanes), bool), 0
     for step in range(width):
-        x = ids[step].astype(np.int64)
-        a, b, p2, p1 = m.look()
-        hits = x == m.codes
-        at = m.at0 + x
-        c = m.cflat.take(at, mode="clip")
-        at += 1
-        f = m.cflat.take(at, mode="clip")
-        f -= c
+        x = ids[step]
+        p2, p1 = m.look()
+        hits = m.codes == x
+        two, one = hits
+        np.add(m.at0, x, out=at)
+        c = m.cf.take(at, mode="clip")
+        f = c & mask
+        c >>= whole + 1
         both = p2 + p1
-        esc = (1 << ONE) - both
-        two, one = hits[0], hits[1]
-        start = np.where(two, 0, np.where(one, p2 << WHOLE, (both << WHOLE) + esc * c)).view(np.uint64)
-        freq = np.where(two, p2 << WHOLE, np.where(one, p1 << WHOLE, esc * f)).view(np.uint64)
-        r = rng >> BASE
+        esc = TOLD - both
+        p2 <<= whole
+        p1 <<= whole
+        both <<= whole
+        c *= esc
+        f *= esc
+        c += both
+        start = np.where(one, p2, c)
+        start *= ~two
+        freq = np.where(two, p2, np.where(one, p1, f))
+        r = rng >> base
         if step >= least:
             live = n > step
-            low += np.where(live, r * start, 0).astype(np.uint64)
+            low += r * start * live
             rng = np.where(live, r * freq, rng)
         else:
-            start *= r
-            low += start
+            low += r * start
             rng = r * freq
-        short = np.flatnonzero(rng < LEAST)
-        while len(short):
-            u = used[short]
-            if step & 255 == 0 and u.max() >= words.shape[1] - 600:
-                words = np.concatenate([words, np.zeros_like(words)], 1)
-            lo = low[short]
-            words[short, u] = lo >> HIGH
-            used[short] = u + 1
-            low[short] = (lo & LOW) << SIXTEEN
-            g = rng[short] << SIXTEEN
-            rng[short] = g
-            short = short[g < LEAST]
+        short = rng < LEAST
+        while short.any():
+            if k == len(words):
+                words, sent = np.concatenate([words, np.zeros_like(words)]), np.concatenate([sent, np.zeros_like(sent)])
+            np.right_shift(low, 32, out=words[k], casting="unsafe")
+            sent[k] = short
+            k += 1
+            rng <<= short * np.int64(16)
+            low = np.where(short, (low & LOW) << 16, low)
+            short = rng < LEAST
         m.learn(x, hits)
+    used = sent[:k].sum(0)
+    out = np.zeros((lanes, int(used.max(initial=0)) + 3), np.int32)
+    out[np.arange(out.shape[1]) < used[:, None]] = words[:k].T[sent[:k].T]
+    lane = np.arange(lanes)
     for _ in range(3):
-        words[lane, used] = low >> HIGH
+        out[lane, used] = low >> 32
         used += 1
-        low = (low & LOW) << SIXTEEN
-    for j in range(words.shape[1] - 1, 0, -1):  # words may have one bit too many: carry it
-        words[:, j - 1] += words[:, j] >> 16
-    out = (words & 0xFFFF).astype("<u2")
-    return [out[i, : used[i]].tobytes() for i in range(lanes)]
+        low = (low & LOW) << 16
+    for j in range(out.shape[1] - 1, 0, -1):  # words may have one bit too many: carry it
+        out[:, j - 1] += out[:, j] >> 16
+    raw = (out & 0xFFFF).astype("<u2")
+    heads = used.astype("<u4").reshape(-1, STRETCHES)
+    coded = [raw[i, : used[i]].tobytes() for i in range(lanes)]
+    return [h.tobytes() + b"".join(coded[i * STRETCHES : (i + 1) * STRETCHES]) for i, h in enumerate(heads)]
 
 
 def decode_blocks(payloads: list[bytes], counts: list[int], sizes: list[int]) -> list[np.ndarray]:
     """The codes of each block; counts: how many it holds."""
-    lanes, n = len(payloads), np.array(counts)
-    width, longest = int(n.max()), max(map(len, payloads)) // 2
-    words = np.zeros((lanes, longest + 4), np.uint16)
-    for i, p in enumerate(payloads):
-        words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-    flat, nxt = words.reshape(-1), np.arange(lanes) * (longest + 4) + 3
-    m = Model(sizes)
-    first = words[:, :3].astype(np.uint64)
-    code, rng = first[:, 0] << HIGH | first[:, 1] << SIXTEEN | first[:, 2], np.full(lanes, 1 << 47, np.uint64)
+    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(payloads)
+    for whole, some in by_bits(sizes):
+        for i, codes in zip(some, _decode([payloads[i] for i in some], [counts[i] for i in some], [sizes[i] for i in some], whole)):
+            out[i] = codes
+    return out
+
+
+def _decode(payloads: list[bytes], counts: list[int], sizes: list[int], whole: int) -> list[np.ndarray]:
+    spans = [stretches(k) for k in counts]
+    n = np.array([j - i for x in spans for i, j in x])
+    lanes, width, least, base, mask = len(n), int(n.max()), int(n.min()), ONE + whole, (1 << (whole + 1)) - 1
+    coded = []
+    for p in payloads:
+        at = np.concatenate([[0], np.cumsum(np.frombuffer(p[: 4 * STRETCHES], "<u4"), dtype=np.int64)])
+        rest = np.frombuffer(p[4 * STRETCHES :], "<u2")
+        coded += [rest[i:j] for i, j in zip(at[:-1], at[1:])]
+    longest = max(map(len, coded)) + 4
+    words = np.zeros((lanes, longest), np.uint16)
+    for i, c in enumerate(coded):
+        words[i, : len(c)] = c
+    flat, nxt = words.reshape(-1), np.arange(lanes) * longest + 3
+    m = Model(sizes, whole, True)
+    first = words[:, :3].astype(np.int64)
+    code, rng = first[:, 0] << 32 | first[:, 1] << 16 | first[:, 2], np.full(lanes, 1 << 47, np.int64)
     ids = np.zeros((width, lanes), np.uint16)
-    key = np.arange(lanes, dtype=np.int64) << (WHOLE + 1)
-    hunt_at, least, top = 0, int(n.min()), np.uint64((1 << (ONE + WHOLE)) - 1)
+    own, top = np.repeat(np.arange(len(counts)), STRETCHES) << whole, (1 << base) - 1
     for step in range(width):
-        a, b, p2, p1 = m.look()
-        r = rng >> BASE
-        v = np.minimum(code // r, top).view(np.int64)
+        p2, p1 = m.look()
+        r = rng >> base
+        # Quotients of whole numbers below 2**48 by such below 2**24, and of 2**29 by 2**12: floating point has their whole part exactly.
+        v = code / r
+        v = np.minimum(v, top, out=v).astype(m.kind)
         both = p2 + p1
-        e2, e1 = p2 << WHOLE, both << WHOLE
-        two = v < e2
-        one = v < e1
-        one &= ~two
-        esc = (1 << ONE) - both
-        if m.step == hunt_at:
-            hunt = (m.cum + key[:, None]).reshape(-1)
-            hunt_at = m.due
-        v -= e1
+        esc = TOLD - both
+        p2 <<= whole
+        p1 <<= whole
+        both <<= whole
+        two, one = v < p2, v < both
+        v -= both
         np.maximum(v, 0, out=v)
-        v //= esc
-        v += key
-        at = hunt.searchsorted(v, side="right")
-        f = m.cflat.take(at, mode="clip")
-        at -= 1
-        c = m.cflat.take(at, mode="clip")
-        f -= c
-        at -= m.at0
-        x = np.where(two, a, np.where(one, b, at))
-        start = np.where(two, 0, np.where(one, e2, e1 + esc * c)).view(np.uint64)
-        freq = np.where(two, e2, np.where(one, e1 - e2, esc * f)).view(np.uint64)
+        at = (v / esc).astype(np.int64)
+        at += own
+        x0 = m.owner.take(at, mode="clip")
+        np.add(m.at0, x0, out=at)
+        c = m.cf.take(at, mode="clip")
+        f = c & mask
+        c >>= whole + 1
+        c *= esc
+        f *= esc
+        c += both
+        x = np.where(two, m.codes[0], np.where(one, m.codes[1], x0))
+        start = np.where(one, p2, c)
+        start *= ~two
+        freq = np.where(two, p2, np.where(one, p1, f))
         if step >= least:
             live = n > step
-            x = np.where(live, x, 0)
-            code = np.where(live, code - r * start, code)
+            x = x * live
+            code -= r * start * live
             rng = np.where(live, r * freq, rng)
         else:
-            start *= r
-            code -= start
+            code -= r * start
             rng = r * freq
         ids[step] = x
-        short = np.flatnonzero(rng < LEAST)
-        while len(short):
-            u = nxt[short]
-            code[short] = code[short] << SIXTEEN | flat.take(u, mode="clip")
-            nxt[short] = u + 1
-            g = rng[short] << SIXTEEN
-            rng[short] = g
-            short = short[g < LEAST]
-        m.learn(x, x == m.codes)
-    return [ids[:k, i] for i, k in enumerate(counts)]
+        short = rng < LEAST
+        while short.any():
+            rng <<= short * np.int64(16)
+            code = np.where(short, code << 16 | flat.take(nxt, mode="clip"), code)
+            nxt += short
+            short = rng < LEAST
+        m.learn(x, m.codes == x)
+    return [np.concatenate([ids[: j - i, k * STRETCHES + q] for q, (i, j) in enumerate(x)]) for k, x in enumerate(spans)]
 
 
 def alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,9 +363,9 @@ def alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if int(ids.max()) >= 1 << 16:
         found, codes = np.unique(ids, return_inverse=True)
         return found, codes.astype(np.uint16)
-    place = np.zeros(1 << 16, np.uint16)
-    place[ids] = 1
-    found = np.flatnonzero(place)
+    met, place = np.zeros(1 << 16, bool), np.empty(1 << 16, np.uint16)
+    met[ids] = True
+    found = np.flatnonzero(met)
     place[found] = np.arange(len(found))
     return found, place.take(ids)
 
@@ -328,16 +421,15 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int, cuts: np.ndarray) -
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in small(batches):
+        for batch in small(batches, TEXTS):
             key = batch.column(0).fill_null(-(1 << 63)).to_numpy()
             low, high = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
             part = low + batch.column(2).to_numpy(zero_copy_only=False) % np.maximum(1, high - low)
             wide, ids = [], []
-            for text in batch.column(1):
-                x = np.frombuffer(of.ids(text.as_py()) + end, "<u4")
-                wide.append(bool(x.max() >= 1 << 16))
-                ids.append(x.tobytes() if wide[-1] else x.astype("<u2").tobytes())
+            for x in of.many(batch.column(1)):
+                wide.append(bool(max(end_id, x.max(initial=0)) >= 1 << 16))
+                kind = "<u4" if wide[-1] else "<u2"
+                ids.append(x.astype(kind).tobytes() + np.array(end_id, kind).tobytes())
             cols = [pa.array(part, pa.int32()), batch.column(0), pa.array(wide, pa.bool_()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["part", "doc_id", "wide", "ids"])
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -179,3 +180,42 @@ def test_sequences_hold_the_ids(spark, docs):
     got = packing.sequences(spark, docs.limit(50), WORDS, 1, 4096).collect()
     assert sum(len(r.ids) for r in got) == sum(len(plain(WORDS, t)) + 1 for _, t in pairs_of(docs.limit(50)))
     assert all(len(r.ids) <= 4096 and r.ids[-1] in (1, *range(2, 49408)) for r in got)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t\n\r\x85\xa0 　'’.,!?#$aAzZéÉΣσςİß0123éǅøù<|>"))), max_size=6))
+def test_batches_give_the_ids_of_each_text(path, texts):
+    got = FAST[path].many(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in got] == [plain(path, t) for t in texts]
+
+
+@pytest.mark.parametrize("text", ["a \nb", "a\n b", "a\n\nb", " a", "\na", "a ", "a\n", "a \n", "a  b", "\n", "a\t \nb", "ñ.\nÑu,*** ab12", "<|endoftext|> a b", ""])
+def test_white_space_at_the_ends_of_words(text):
+    for _ in range(2):  # the second time from what was kept
+        got = FAST[BYTES].many(pa.array([text, f"x {text} y", text + "\n" + text]))
+        assert [x.tolist() for x in got] == [plain(BYTES, t) for t in (text, f"x {text} y", text + "\n" + text)]
+
+
+def test_new_words_share_calls_of_the_model(docs):
+    of, calls = Encoder(BYTES), []
+    ask = of.pieces
+    of.pieces = lambda letters: calls.append(1) or ask(letters)
+    texts = [t or "" for _, t in pairs_of(docs)]
+    got = of.many(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in got] == [plain(BYTES, t) for t in texts]
+    assert len(calls) < len({w for t in texts for w in t.split()}) / 10
+
+
+def test_steps_are_fewer_than_the_ids_of_a_block(monkeypatch):
+    steps = []
+    learn = token_coder.Model.learn
+    monkeypatch.setattr(token_coder.Model, "learn", lambda self, x, hits: steps.append(len(x)) or learn(self, x, hits))
+    rng = np.random.default_rng(3)
+    blocks = [rng.integers(0, k, n).astype(np.uint16) for k, n in ((50, 4_000), (3_000, 4_000), (1, 7))]
+    sizes = [50, 3_000, 1]
+    coded = token_coder.encode_blocks(blocks, sizes)
+    assert len(steps) <= 2 * 4_000 // 8
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, token_coder.decode_blocks(coded, [len(b) for b in blocks], sizes)))
+    for b, s, p in zip(blocks, sizes, coded):  # a block's bytes don't depend on those coded beside it
+        assert token_coder.encode_blocks([b], [s]) == [p]
