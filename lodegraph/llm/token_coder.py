@@ -56,8 +56,8 @@ CONTEXTS = (4, 8, 2)
 #: How often ids named this surely are right, before a block says more (of 2**ONE), and the weights it starts from (of 2**16).
 PRIOR = np.array([500, 1_600, 2_400, 3_300]).reshape(4, 1, 1)
 WEIGHTS = (20_000, 20_000, 30_000)
-#: Order 0 and the shares are renewed after FIRST steps (even), then twice as many each time up to EVERY, then always after EVERY.
-FIRST, EVERY = 8, 256
+#: Order 0 and the shares are renewed after FIRST steps (divisible by 4), then twice as many each time up to EVERY, then always after EVERY.
+FIRST, EVERY = 16, 512
 
 
 def whole_bits(size: int) -> int:
@@ -90,7 +90,7 @@ class Model:
         # Of orders 2 and 1: how often a context came and was right, by [lane, order, *CONTEXTS].
         self.came, self.right = np.zeros((2, blocks, 2, *CONTEXTS), np.int64)
         self.weight = np.zeros((3, blocks, 2, 1, 1, 1), np.int64) + np.reshape(WEIGHTS, (3, 1, 1, 1, 1, 1))
-        self.noted = np.zeros((EVERY // 2, 2, lanes), np.uint8)
+        self.noted = np.zeros((EVERY // 4, 2, lanes), np.uint8)
         self.codes_seen = np.zeros((EVERY, lanes), np.uint16)
         self.step, self.due, self.k = 0, FIRST, 0
         self.share()
@@ -132,7 +132,7 @@ class Model:
         blocks, k = len(self.sizes), self.k
         at = self.codes_seen[:k] + self.at0
         self.count += (24 * np.bincount(at.reshape(-1), minlength=self.count.size)).astype(self.kind).reshape(self.count.shape)
-        noted = self.noted[: k // 2]
+        noted = self.noted[: k // 4]
         at = noted + 2 * self.base
         asked = ~((noted[:, 0] | noted[:, 0] >> 1) & 1).astype(bool)  # order 1, where order 2 was wrong and it had another id
         every = np.concatenate([at[:, 0].reshape(-1), at[:, 1][asked]])
@@ -165,10 +165,10 @@ class Model:
 
     def learn(self, x: np.ndarray, hits: np.ndarray) -> None:
         """x: the codes that came; hits: whether order 2, whether order 1 had named them."""
-        if self.k & 1:  # orders 2 and 1 learn from every other step
+        if self.k & 3 == 3:  # orders 2 and 1 learn from every fourth step
             self.mark <<= 1
             self.mark |= hits
-            self.noted[self.k >> 1] = self.mark
+            self.noted[self.k >> 2] = self.mark
         self.codes_seen[self.k] = x
         self.k += 1
         level = self.level
@@ -358,16 +358,21 @@ def _decode(payloads: list[bytes], counts: list[int], sizes: list[int], whole: i
     return [np.concatenate([ids[: j - i, k * STRETCHES + q] for q, (i, j) in enumerate(x)]) for k, x in enumerate(spans)]
 
 
+#: Scratch of alphabet(): _met is all false between calls, _place is written before it is read.
+_met, _place = np.zeros(1 << 16, bool), np.zeros(1 << 16, np.uint16)
+
+
 def alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the different ids, ascending; each id's place among them)."""
     if int(ids.max()) >= 1 << 16:
         found, codes = np.unique(ids, return_inverse=True)
         return found, codes.astype(np.uint16)
-    met, place = np.zeros(1 << 16, bool), np.empty(1 << 16, np.uint16)
-    met[ids] = True
-    found = np.flatnonzero(met)
-    place[found] = np.arange(len(found))
-    return found, place.take(ids)
+    ids = ids.astype(np.int64)
+    _met[ids] = True
+    found = np.flatnonzero(_met)
+    _met[found] = False
+    _place[found] = np.arange(len(found))
+    return found, _place.take(ids)
 
 
 def gaps_out(ascending: np.ndarray) -> bytes:

@@ -161,9 +161,10 @@ class Encoder:
         words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.words.__getitem__, words))
         if self.new:
-            bad = self._learn(self.new)
+            made, bad = self._learn(self.new)
+            self.words.update(made)
             learned = iter(self.new)
-            ids = [self.words.get(next(learned), b"") if x is None else x for x in ids]
+            ids = [made.get(next(learned), b"") if x is None else x for x in ids]
             if bad:
                 among = np.isin(found.indices.to_numpy(), [i for i, w in enumerate(words) if w in bad])
                 odd[np.flatnonzero(kept)[np.unique(np.searchsorted(at, np.flatnonzero(among), "right") - 1)]] = True
@@ -178,12 +179,12 @@ class Encoder:
             out.append(np.frombuffer(self.ids(texts[i].as_py()), "<u4") if odd[i] else whole[start:end])
         return out
 
-    def _learn(self, new: list[str]) -> set[str]:
-        """Keeps the ids of new words; returns those with white space at an end, which words alone don't tell."""
+    def _learn(self, new: list[str]) -> tuple[dict[str, bytes], set[str]]:
+        """(the ids of new words, those with white space at an end, which words alone don't tell)."""
         if len(self.words) >= self.entries * 5 // 2:
             self.older = dict(self.words)
             self.words.clear()
-        bad, plain, others, texts = set(), [], [], []
+        made, bad, plain, others, texts = {}, set(), [], [], []
         for word in new:
             # The model keeps letters, digits and other signs apart by itself.
             if len(word) <= 200 and (word.isalpha() or word and word.isascii() and word.isprintable() and "'" not in word):
@@ -197,7 +198,7 @@ class Encoder:
             text = core if first else word if word[:1] == "\n" else " " + word
             body = core.rstrip("".join(CLOSERS))
             if len(core) > 200 or not (core.isascii() and core.isprintable() and "'" not in core or body.isalpha()):
-                self.words[word] = self._encode(text)
+                made[word] = self._encode(text)
                 continue
             others.append(word)
             raw = text.encode()
@@ -213,8 +214,8 @@ class Encoder:
         x = x[x != piece_id]
         ends = 4 * np.flatnonzero(x == end_id)
         flat, starts = x.tobytes(), np.concatenate([[0], ends[:-1] + 4]) if len(ends) else ends
-        self.words.update(zip(plain + others, [flat[i:j] for i, j in zip(starts.tolist(), ends.tolist())]))
-        return bad
+        made.update(zip(plain + others, [flat[i:j] for i, j in zip(starts.tolist(), ends.tolist())]))
+        return made, bad
 
 
 _made: dict[str, Encoder] = {}
